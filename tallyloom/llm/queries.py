@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import jaccard_join, line_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_jaccard_join": jaccard_join.query,
         "op9_mix_sources": mixing.query,
         "op10_line_dedup": line_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": mixing.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_jaccard_join": jaccard_join.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
