@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, mixing
+from . import jaccard_join, line_dedup, mixing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": suffix_dedup.query,
         "op2_jaccard_join": jaccard_join.query,
         "op9_mix_sources": mixing.query,
         "op10_line_dedup": line_dedup.query,
