@@ -42,6 +42,8 @@ COMMON = 24
 BLOCK_TOKENS = 2_000_000
 PIVOTS = 32
 PAIR = "a long, b long"
+#: Up to this many measured pairs (16 bytes each), components are found in one task; beyond it, by alternating stars.
+LOCAL_EDGES = 1 << 20
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -114,7 +116,7 @@ def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
             for b, (data,) in scatter(h, [h.astype(np.uint32)], buckets):
                 v = np.sort(np.frombuffer(data, np.uint32))
                 keep = np.ones(len(v), bool)
-                keep[2:] = v[2:] != v[:-2]  # two of a kind say all there is to say
+                keep[COMMON:] = v[COMMON:] != v[:-COMMON]  # COMMON of a kind say all there is to say
                 yield b, _planes(v[keep])
 
         def sent(found):
@@ -264,9 +266,36 @@ def _block_pairs(sets: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(sets.mapInArrow(deal, kind), buckets).mapInArrow(meet, PAIR).distinct()
 
 
+def _local_components(edges: DataFrame) -> DataFrame:
+    """The same for at most LOCAL_EDGES (measured) pairs, by union-find in one task of an executor."""
+    kind = "node long, component long"
+    schema = arrow_schema(kind, edges.sparkSession)
+
+    def unite(batches):
+        root: dict[int, int] = {}
+
+        def top(x):
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = root[y]
+                x = y
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], schema=schema)
+
+    return edges.coalesce(1).mapInArrow(unite, kind)
+
+
 def components(pairs: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) for all nodes of pairs(a, b); component: the smallest node. Alternates large and small stars."""
     edges = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if edges.count() <= LOCAL_EDGES:
+        return _local_components(edges)
     state = None
     for _ in range(limit):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -303,12 +332,18 @@ class Trie:
         stack = [(0, m, 0, -1)]
         while stack:
             a, b, d, parent = stack.pop()
+            single = b - a == 1
+            end = int(size[a]) if single else int(lcp[a + 1 : b].min())
+            shortest, longest = int(size[a:b].min()), int(size[a:b].max())
+            # long slices become chains of nodes, so that a walk can stop within them
+            step = max(8, longest * (DEN - NUM) * 6 // (DEN * 10))
+            while end - d > step:
+                nodes.append((parent, self.base[a] + d, self.base[a] + d + step, d + step, shortest, longest, -1))
+                parent, d = len(nodes) - 1, d + step
             me = len(nodes)
-            if b - a == 1:
-                nodes.append((parent, self.base[a] + d, self.base[a + 1], size[a], size[a], size[a], a))
+            nodes.append((parent, self.base[a] + d, self.base[a] + end, end, shortest, longest, a if single else -1))
+            if single:
                 continue
-            end = int(lcp[a + 1 : b].min())
-            nodes.append((parent, self.base[a] + d, self.base[a] + end, end, size[a:b].min(), size[a:b].max(), -1))
             cuts = [a, *(a + 1 + np.flatnonzero(lcp[a + 1 : b] == end)).tolist(), b]
             stack += [(x, y, end, me) for x, y in zip(cuts, cuts[1:], strict=False)]
         self.parent, self.start, self.end, self.depth, self.low, self.high, self.leaf = np.array(nodes, np.int64).T

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, mixing, suffix_dedup
+from . import chat_format, decontaminate, html_text, jaccard_join, line_dedup, mixing, quality_crf, quality_rules, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,16 @@ def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": suffix_dedup.query,
         "op2_jaccard_join": jaccard_join.query,
+        "op3_quality_crf": quality_crf.query,
+        "op4_quality_rules": quality_rules.query,
+        "op5_toxicity": toxicity.query,
+        "op6_decontaminate": decontaminate.query,
+        "op7_html_text": html_text.query,
+        "op8_chat_format": chat_format.query,
         "op9_mix_sources": mixing.query,
         "op10_line_dedup": line_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard_join.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_jaccard_join": jaccard_join.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
