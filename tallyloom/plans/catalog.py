@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import evaluation, mining
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = ""
+FAMILIES = (evaluation, mining)
+FLAGSHIP = "agg03_cgs_by_setting"
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for f in FAMILIES for k, v in f.SQL.items() if v}
