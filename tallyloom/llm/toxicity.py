@@ -24,7 +24,7 @@ FIT_DOCS, FIT_BYTES = 10_000, 1 << 16
 #: Categories in chain order: name, and the SQL expression of its 0/1 label over the labels table.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 FOLDS = 5
-MAX_WORDS, WORDS_A_ROUND, SIGNIFICANT = 160, 10, 40.0
+MAX_WORDS, WORDS_A_ROUND, SIGNIFICANT = 160, 10, 20.0
 PENALTY = 1e-3
 THRESHOLD = 0.5
 
