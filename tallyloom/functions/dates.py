@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import money_scale, same_number
+from .numbers import let, money_scale, same_number
 from .text import part_of_list, same_answer
 
 # Formats in the order in which they are tried: pattern of the text, Spark format, precision.
@@ -52,7 +52,10 @@ def loose_date(c: Column) -> Column:
 
 def coarser_date(a: Column, b: Column) -> Column:
     """Whether two loose dates differ only in that one was recorded with less precision."""
-    x, y = loose_date(a), loose_date(b)
+    return let(F.struct(loose_date(a).alias("x"), loose_date(b).alias("y")), lambda p: _coarser(p.x, p.y))
+
+
+def _coarser(x: Column, y: Column) -> Column:
     rank = lambda p: F.when(p == "day", 2).when(p == "month", 1).otherwise(0)
     coarse = F.when(rank(x.precision) < rank(y.precision), x.precision).otherwise(y.precision)
     same = F.when(coarse == "year", F.year(x.d) == F.year(y.d)).otherwise(F.trunc(x.d, "MONTH") == F.trunc(y.d, "MONTH"))
@@ -79,9 +82,9 @@ def year_gap(a: Column, b: Column) -> Column:
 
 def values_match(kind: Column, a: Column, b: Column) -> Column:
     """match, mismatch, scale_mismatch, granularity_mismatch or unparseable, by the field's kind."""
-    x, y = loose_date(a), loose_date(b)
     number = F.when(same_number(a, b), "match").when((kind == "monetary") & money_scale(a, b), "scale_mismatch").otherwise("mismatch")
-    date = F.when(x.isNull() | y.isNull(), "unparseable").when(x.d == y.d, "match").when(coarser_date(a, b), "granularity_mismatch").otherwise("mismatch")
+    verdict = lambda p: F.when(p.x.isNull() | p.y.isNull(), "unparseable").when(p.x.d == p.y.d, "match").when(_coarser(p.x, p.y), "granularity_mismatch").otherwise("mismatch")
+    date = let(F.struct(loose_date(a).alias("x"), loose_date(b).alias("y")), verdict)
     text = F.when(same_answer(a, b), "match").when(part_of_list(a, b), "granularity_mismatch").otherwise("mismatch")
     return F.when(kind.isin("monetary", "numerical"), number).when(kind == "date", date).otherwise(text)
 

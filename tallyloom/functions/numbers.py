@@ -15,10 +15,15 @@ MONEY_FACTORS, MONEY_TOLERANCE = (1e3, 1e6, 1e9), 0.02
 OCR_FACTORS = ((10.0, 0.0005), (100.0, 0.0005), (1000.0, 0.02), (1e6, 0.02))
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c computed once; keeps deep expressions from being copied into every use."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strict_value(c: Column) -> Column:
     """A double if the whole trimmed text is one number; parentheses negate; else null."""
     t = F.trim(c)
-    bare = F.regexp_replace(t, r"[,$£€%()\s]", "")
+    bare = F.trim(F.regexp_replace(t, r"[,$£€%()]", ""))
     value = bare.try_cast("double")
     return F.when(t.rlike(STRICT), F.when(t.startswith("(") & t.endswith(")"), -value).otherwise(value))
 
@@ -71,8 +76,8 @@ def close(a: Column, b: Column | float, tolerance: float) -> Column:
 def money_scale(a: Column, b: Column) -> Column:
     """Whether two texts agree up to a factor of a thousand, a million or a billion."""
     x, y = canonical(a).try_cast("double"), canonical(b).try_cast("double")
-    ratio = F.when(y != 0, x / F.nullif(y, F.lit(0.0)))
-    return F.coalesce(reduce(lambda p, q: p | q, (close(ratio, f, MONEY_TOLERANCE) | close(ratio, 1 / f, MONEY_TOLERANCE) for f in MONEY_FACTORS)), F.lit(False))
+    near = lambda ratio: reduce(lambda p, q: p | q, (close(ratio, f, MONEY_TOLERANCE) | close(ratio, 1 / f, MONEY_TOLERANCE) for f in MONEY_FACTORS))
+    return F.coalesce(let(x / F.nullif(y, F.lit(0.0)), near), F.lit(False))
 
 
 def scale_or_sign(target: Column, number: Column) -> Column:
@@ -85,8 +90,8 @@ def scale_or_sign(target: Column, number: Column) -> Column:
 def scale_shift(prediction: Column, target: Column) -> Column:
     """Whether the canonical numbers' ratio is within 0.001 of a power of ten from 0.001 to 1000 (1 excepted)."""
     x, y = canonical(prediction).try_cast("double"), canonical(target).try_cast("double")
-    ratio = F.when((y != 0) & (x != 0), x / F.nullif(y, F.lit(0.0)))
-    return F.coalesce(reduce(lambda p, q: p | q, (F.abs(ratio - k) < 0.001 for k in SHIFTS)), F.lit(False))
+    near = lambda ratio: (ratio != 0) & reduce(lambda p, q: p | q, (F.abs(ratio - k) < 0.001 for k in SHIFTS))
+    return F.coalesce(let(x / F.nullif(y, F.lit(0.0)), near), F.lit(False))
 
 
 def rate(num: Column, den: Column) -> Column:

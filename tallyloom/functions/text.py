@@ -244,7 +244,7 @@ def part_of_list(a: Column, b: Column) -> Column:
     x, y = F.trim(a), F.trim(b)
     shorter = F.lower(F.when(F.length(x) <= F.length(y), x).otherwise(y))
     longer = F.lower(F.when(F.length(x) <= F.length(y), y).otherwise(x))
-    return (shorter != longer) & F.array_contains(F.transform(F.split(longer, ","), F.trim), shorter)
+    return (shorter != longer) & F.array_contains(F.transform(F.split(longer, ","), lambda t: F.trim(t)), shorter)
 
 
 def mean_text(mean: Column, sd: Column, percent: bool = False) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, mining
+from . import auditing, evaluation, mining, records, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = (evaluation, mining)
+FAMILIES = (evaluation, mining, scalars, auditing, records)
 FLAGSHIP = "agg03_cgs_by_setting"
 
 
