@@ -65,7 +65,7 @@ def raw_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(arr: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(arr: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets from 0) for runs of whole texts of about ``size`` bytes."""
     data, offsets = raw_bytes(arr)
     i = 0

@@ -34,9 +34,9 @@ from .common import BROADCAST_BYTES, arrow_schema, blob, by_bucket, chunks, grou
 from .jaccard_join import plan_bytes
 
 LENGTH, K = 100, 32
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 #: Phrases or strings that a task gathers before it combines them, and contexts of one trigger that send it to step 2.
-FLUSH, MANY = 1_200_000, 32
+FLUSH, MANY = 500_000, 32
 #: A longer text is parsed in slices that overlap by LENGTH - 1 bytes; places take 24 bits beside 40 bits of hash.
 SLICE = 1 << 24
 LAST = (1 << 63) - 1
