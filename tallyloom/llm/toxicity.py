@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_schema, chunks, mix, read, rolling, shingles, span_hash, texts
+from .common import arrow_schema, chunks, _LOWER, mix, read, rolling, shingles, span_hash, texts, tidy
 
 FIT_DOCS, FIT_BYTES = 10_000, 1 << 16
 #: Categories in chain order: name, and the SQL expression of its 0/1 label over the labels table.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 FOLDS = 5
-MAX_WORDS, WORDS_A_ROUND, SIGNIFICANT = 160, 10, 20.0
-PENALTY = 1e-3
+MAX_WORDS, WORDS_A_ROUND, SIGNIFICANT = 160, 10, 12.0
+PENALTY = 1e-4
 THRESHOLD = 0.5
 
 _TERM = np.zeros(256, bool)
@@ -147,7 +147,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str],
                         sketch[full, k] = np.minimum.reduceat(mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), at[:-1][full])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([r.tobytes() for r in y[i:j]], pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], schema=schema)
 
-    rows = sorted(sample.mapInArrow(describe, kind).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(sample.mapInArrow(tidy(describe), kind).collect(), key=lambda r: r["doc_id"])
     seen: set[tuple[int, int]] = set()
     ys, ws, ids = [], [], []
     for r in rows:
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Data
                 p = sent.value.predict(*terms(data, offsets))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(p[:, k].copy()) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(score, kind)
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
