@@ -104,10 +104,14 @@ def period_in(period: Column, context: Column) -> Column:
     return (p != "") & (F.contains(F.lower(context), F.lower(p)) | ((F.size(years) > 0) & F.forall(years, lambda y: F.contains(context, y))))
 
 
+def content_words(c: Column) -> Column:
+    """Distinct words of a label without stop words and single characters."""
+    return F.array_distinct(F.filter(F.split(c, " "), lambda t: (F.length(t) > 1) & ~F.array_contains(strings(JACCARD_STOPWORDS), t)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of the word sets without stop words and single characters; 0 if either is empty."""
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: (F.length(t) > 1) & ~F.array_contains(strings(JACCARD_STOPWORDS), t)))
-    x, y = words(a), words(b)
+    x, y = content_words(a), content_words(b)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 

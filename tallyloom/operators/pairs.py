@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_number, whole_year, year_gap
-from ..functions.text import ACTUAL_LABELS, FORECAST_LABELS, confusable, first_year, has_qualifier, is_footnote_copy, jaccard, label_class, strings, temporal_remainder, without_qualifiers
+from ..functions.text import ACTUAL_LABELS, FORECAST_LABELS, confusable, content_words, first_year, has_qualifier, is_footnote_copy, label_class, strings, temporal_remainder, without_qualifiers
 
 # Fixed values.
 JACCARD_FROM = 0.5
@@ -50,12 +50,28 @@ def metric_pairs(facts: DataFrame) -> DataFrame:
     """Pairs of related metrics of a table in one period, unit and scope (null equal to null) with other values."""
     one = agreed(facts, ["table_id", "metric", "period", "unit", "scope"], "value", "arrival")
     one = one.withColumn("scope", F.coalesce(F.concat(F.lit("="), F.col("scope")), F.lit("")))
-    j = _self_join(one, ["table_id", "period", "unit", "scope"], ["table_id", "period", "unit", "scope", "metric", "value"], (F.col("metric_a") < F.col("metric_b")) & (F.col("value_a") != F.col("value_b")))
-    a, b = F.col("metric_a"), F.col("metric_b")
-    base_a, base_b = without_qualifiers(a), without_qualifiers(b)
-    basis = (base_a != "") & (base_a == base_b) & (has_qualifier(a) != has_qualifier(b))
-    j = j.withColumn("jaccard", jaccard(a, b)).where(~is_footnote_copy(a, b) & ((F.col("jaccard") >= JACCARD_FROM) | basis))
-    return j.select("table_id", "period", "unit", "metric_a", "metric_b", "value_a", "value_b", F.bround("jaccard", 6).alias("jaccard"), F.when(basis, "basis").otherwise("metric").alias("pair_type"), confusable(a, b).alias("confusable"))
+    related = related_metrics(one.select("metric").distinct())
+    keys = ["table_id", "period", "unit", "scope"]
+    side = lambda s: one.select(*keys, F.col("metric").alias(f"metric_{s}"), F.col("value").alias(f"value_{s}"))
+    j = side("a").join(related, "metric_a").join(side("b"), [*keys, "metric_b"]).where(F.col("value_a") != F.col("value_b"))
+    return j.select("table_id", "period", "unit", "metric_a", "metric_b", "value_a", "value_b", F.bround("jaccard", 6).alias("jaccard"), F.when(F.col("basis"), "basis").otherwise("metric").alias("pair_type"), confusable(F.col("metric_a"), F.col("metric_b")).alias("confusable"))
+
+
+def related_metrics(metrics: DataFrame) -> DataFrame:
+    """(metric_a, metric_b, jaccard, basis) of distinct labels that a metric pair may join, found by shared words or one base.
+
+    Labels are few beside facts, so relatedness is settled once a label pair and joined to the facts by equality.
+    """
+    words = metrics.select("metric", content_words(F.col("metric")).alias("w")).withColumn("n", F.size("w"))
+    one = words.select("metric", "n", F.explode("w").alias("word"))
+    a, b = (one.select("word", F.col("metric").alias(f"metric_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    shared = a.join(b, "word").where("metric_a < metric_b").groupBy("metric_a", "metric_b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    alike = shared.select("metric_a", "metric_b", (F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("jaccard"))
+    based = metrics.select("metric", without_qualifiers(F.col("metric")).alias("base"), has_qualifier(F.col("metric")).alias("q")).where("base <> ''")
+    a, b = (based.select("base", F.col("metric").alias(f"metric_{s}"), F.col("q").alias(f"q_{s}")) for s in "ab")
+    basis = a.join(b, "base").where("metric_a < metric_b and q_a <> q_b").select("metric_a", "metric_b", F.lit(True).alias("basis"))
+    out = alike.join(basis, ["metric_a", "metric_b"], "full").fillna(0.0, ["jaccard"]).fillna(False, ["basis"])
+    return out.where(((F.col("jaccard") >= JACCARD_FROM) | F.col("basis")) & ~is_footnote_copy(F.col("metric_a"), F.col("metric_b")))
 
 
 def classify(a: dict[str, Column], b: dict[str, Column]) -> Column:
