@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, read, sha256
+from .common import arrow_schema, read, sha256, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -146,7 +146,7 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
+    return ordered.select("conv_id", "role", "text").mapInArrow(tidy(run), FORMATTED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append({"conv_id": conv, "n_turns": len(turns), "turns_sha256": sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()), "loss_chars": len(loss), "loss_sha256": sha256(loss.encode()), "formatted_chars": len(formatted)})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return format_chats(rows).select("conv_id", "formatted", "loss_spans").mapInArrow(digest, kind)
+    return format_chats(rows).select("conv_id", "formatted", "loss_spans").mapInArrow(tidy(digest), kind)
 
 
 def _added() -> str:

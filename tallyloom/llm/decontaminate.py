@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, materialize, mix, read, texts
+from .common import arrow_schema, chunks, materialize, mix, read, texts, tidy
 from .toxicity import terms
 
 BLOCK = 32
@@ -115,7 +115,7 @@ def gram_sketch(docs: DataFrame, omega: np.ndarray) -> tuple[np.ndarray, np.ndar
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["part"])
         return pd.DataFrame({"slice": [int(key[0])], "part": [total.astype(np.float32).tobytes()]})
 
-    partial = docs.select("text").mapInArrow(sketch, kind).groupBy("slice", "fan").applyInPandas(add, "slice int, part binary")
+    partial = docs.select("text").mapInArrow(tidy(sketch), kind).groupBy("slice", "fan").applyInPandas(add, "slice int, part binary")
     found = {r["slice"]: np.frombuffer(r["part"], np.float32) for r in partial.groupBy("slice").applyInPandas(add, "slice int, part binary").collect()}
     if not found:
         return np.zeros((DIMS, k)), np.zeros(DIMS), 0.0
@@ -261,7 +261,7 @@ def find_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 found = [(ids[r], *rest) for r, *rest in matches(*sent.value, texts(batch.column(1)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 6, schema, strict=True)], schema=schema)
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, MATCHES))
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(search), MATCHES))
     return out
 
 
@@ -284,5 +284,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = materialize(docs.mapInArrow(clean, docs.schema), "clean") if len(items.ids) == QUERY_ITEMS else docs.mapInArrow(clean, docs.schema)
+        docs = materialize(docs.mapInArrow(tidy(clean), docs.schema), "clean") if len(items.ids) == QUERY_ITEMS else docs.mapInArrow(tidy(clean), docs.schema)
     return docs

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, SPACES, arrow_schema, materialize, mix, read, sha256, texts
+from .common import arrow_schema, BROADCAST_BYTES, materialize, mix, read, sha256, SPACES, texts, tidy
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -177,7 +177,7 @@ def line_counts(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array(n[at].astype(np.int64))], schema=schema)
 
-    return docs.select(text).mapInArrow(count, COUNTS).groupBy("k1", "k2").agg(F.sum("docs").alias("docs"))
+    return docs.select(text).mapInArrow(tidy(count), COUNTS).groupBy("k1", "k2").agg(F.sum("docs").alias("docs"))
 
 
 def build_filters(counts: DataFrame, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> DataFrame:
@@ -201,7 +201,7 @@ def _chance_hits(counts: DataFrame, screen, min_docs: int) -> DataFrame:
             k1, k2 = (np.asarray(batch.column(i)).copy() for i in (0, 1))
             yield batch.filter(pa.array(screen.value.hits(k1, k2)))
 
-    return counts.where(F.col("docs") < min_docs).mapInArrow(probe, COUNTS)
+    return counts.where(F.col("docs") < min_docs).mapInArrow(tidy(probe), COUNTS)
 
 
 def _clean(docs: DataFrame, text: str, min_chars: int, decide, extra: str) -> DataFrame:
@@ -240,7 +240,7 @@ def _clean(docs: DataFrame, text: str, min_chars: int, decide, extra: str) -> Da
                         columns.append(part.column(part.schema.get_field_index(f.name)).cast(f.type))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, max_filter_bytes: int = BROADCAST_BYTES, counts: DataFrame | None = None) -> DataFrame:
@@ -279,7 +279,7 @@ def _drop_by_join(docs: DataFrame, text: str, min_docs: int, min_chars: int, cou
                 yield pa.RecordBatch.from_arrays([pa.array([th[d] for d in seen // (len(k1) + 1)], pa.string()), pa.array(k1[seen % (len(k1) + 1)]), pa.array(k2[seen % (len(k1) + 1)])], schema=schema)
 
     common = counts.where(F.col("docs") >= min_docs).select("k1", "k2").hint("merge")
-    found = docs.select(text).mapInArrow(explode, pairs_type).join(common, ["k1", "k2"]).groupBy("th").agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
+    found = docs.select(text).mapInArrow(tidy(explode), pairs_type).join(common, ["k1", "k2"]).groupBy("th").agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
     marked = docs.withColumn("th", F.md5(F.coalesce(F.col(text), F.lit("")))).join(found, "th", "left").drop("th")
 
     def decide(part, ids, k1, k2, line_doc):
@@ -342,7 +342,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             hashes = [sha256(x.as_buffer()) if x.is_valid else sha256(b"") for x in b["text"]]
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["n_lines"], b["n_dropped"], pa.array(hashes, pa.string())], schema=schema)
 
-    return cleaned.mapInArrow(digest, out)
+    return cleaned.mapInArrow(tidy(digest), out)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, read, texts, words
+from .common import arrow_schema, chunks, read, texts, tidy, words
 
 FIT_DOCS, FIT_BYTES = 4000, 1 << 16
 HELD_OUT_REMAINDER, FOLDS = 2, 4
@@ -162,7 +162,7 @@ def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
                 x = x[:, :N_OWN].astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array(labels_here[i:j].astype(np.int32)), pa.array(np.diff(first).astype(np.int32)), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], schema=schema)
 
-    found = sample.mapInArrow(describe, kind).collect()
+    found = sample.mapInArrow(tidy(describe), kind).collect()
     if not found:
         return Field()
     # repeated texts teach once
@@ -181,7 +181,7 @@ def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
 def scores(field: Field, column: pa.Array) -> np.ndarray:
     """Length-weighted mean of the line marginals of each text."""
     out = np.zeros(len(column))
-    for i, j, data, offsets in chunks(column, 2 << 20):
+    for i, j, data, offsets in chunks(column):
         x, first, length = line_features(data, offsets)
         p = field.marginals(x, first)
         out[i:j] = np.add.reduceat(p * length, first[:-1]) / np.add.reduceat(length, first[:-1])
@@ -199,7 +199,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             s = scores(field.value, texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema=schema)
 
-    return docs.withColumn("held_out", held_out()).mapInArrow(score, kind)
+    return docs.withColumn("held_out", held_out()).mapInArrow(tidy(score), kind)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -211,4 +211,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(field.value, texts(batch.column(at))) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

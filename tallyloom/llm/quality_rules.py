@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, arrow_schema, chunks, materialize, read, rolling, small_join, span_hash, texts, words
+from .common import arrow_schema, chunks, materialize, read, rolling, small_join, _SPACE, span_hash, texts, tidy, words
 
 N = 4
 HASH_BITS = 16
@@ -104,7 +104,7 @@ def slot_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], schema=schema)
 
-    found = marked.select("text", "trusted").mapInArrow(count, kind).groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    found = marked.select("text", "trusted").mapInArrow(tidy(count), kind).groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.full(1 << HASH_BITS, SMOOTHING), np.full(1 << HASH_BITS, SMOOTHING)
     for r in found:
         raw[r["slot"]] += r["raw"]
@@ -132,7 +132,7 @@ def apply_rules(docs: DataFrame, ratios: np.ndarray, keep_from: float = KEEP_FRO
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(llr), pa.array(~failed & (np.round(llr, 9) >= keep_from))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(judge, RULED)
+    return docs.select("doc_id", "text").mapInArrow(tidy(judge), RULED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_schema, blob, by_bucket, chunks, groups, materialize, mix, powers, raw_bytes, read, rolling, scatter, span_hash, texts, _INVERSE
+from .common import arrow_schema, blob, BROADCAST_BYTES, by_bucket, chunks, groups, _INVERSE, materialize, mix, powers, raw_bytes, read, rolling, scatter, span_hash, texts, tidy
 from .jaccard_join import plan_bytes
 
 LENGTH, K = 100, 32
@@ -170,7 +170,7 @@ def _first_contexts(docs: DataFrame, buckets: int) -> DataFrame:
         while through:
             yield through.pop()
 
-    return by_bucket(docs.mapInArrow(parse, PHRASES), buckets).mapInArrow(match, PHRASES)
+    return by_bucket(docs.mapInArrow(tidy(parse), PHRASES), buckets).mapInArrow(tidy(match), PHRASES)
 
 
 def _merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +200,7 @@ def _spans(blobs: DataFrame, buckets: int) -> DataFrame:
                     ready.setdefault(int(doc[a]), [None, None])[kind - 1] = np.stack([x, y], 1).astype(np.int64).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(ready), pa.int64()), pa.array([r for r, _ in ready.values()], pa.binary()), pa.array([a for _, a in ready.values()], pa.binary())], schema=schema)
 
-    return by_bucket(blobs.select("bucket", "kind", "doc", "lo", "hi"), buckets).mapInArrow(gather, SPANS)
+    return by_bucket(blobs.select("bucket", "kind", "doc", "lo", "hi"), buckets).mapInArrow(tidy(gather), SPANS)
 
 
 def _first_strings(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _first_strings(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame
             yield through.pop()
 
     joined = _with(docs, asked.where("asked is not null").select("doc", "asked"), "asked", "inner").select("doc", "text", "asked")
-    return by_bucket(joined.mapInArrow(look, PHRASES), buckets).mapInArrow(match, PHRASES)
+    return by_bucket(joined.mapInArrow(tidy(look), PHRASES), buckets).mapInArrow(tidy(match), PHRASES)
 
 
 def _with(docs: DataFrame, by_doc: DataFrame, column: str, how: str) -> DataFrame:
@@ -309,4 +309,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((None if doc == LAST else doc, len(text), sum(b - a for a, b in gone), len(gone), h.hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
 
-    return _with(docs, spans, "removed", "left").select("doc", "text", "removed").mapInArrow(report, out)
+    return _with(docs, spans, "removed", "left").select("doc", "text", "removed").mapInArrow(tidy(report), out)
