@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blob, by_bucket, chunks, groups, materialize, mix, read, scatter, shingles, small_join, texts, words
+from .common import arrow_schema, blob, BROADCAST_BYTES, by_bucket, chunks, groups, materialize, mix, read, scatter, shingles, small_join, texts, tidy, words
 
 WIDTH = 5
 NUM, DEN = 75, 100
 #: Text bytes (as estimated from files) behind one count bucket, and shingles gathered by a task before it sends them on.
-BUCKET_BYTES, FLUSH = 12 << 20, 3 << 20
+BUCKET_BYTES, FLUSH = 4 << 20, 3 << 19
 #: Bytes of both bitmaps together, over all buckets; this much is broadcast at most.
 BITMAP_BYTES = 40 << 20
 COMMON = 24
+#: Numbers, beyond those of the buckets, under which rows of documents are dealt out.
+DEALT = 4096
 #: Shingles of the sets that one task joins at once.
 BLOCK_TOKENS = 2_000_000
 PIVOTS = 32
@@ -140,7 +142,7 @@ def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
                     yield from sent(flush())
                     held, size = [], 0
             k = len(n)  # rows of documents are dealt out in turn, whatever their content
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(done, done + k) % buckets).astype(np.int32)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array((buckets + np.arange(done, done + k) % DEALT).astype(np.int32)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema)
             done += k
         if size:
             yield from sent(flush())
@@ -166,7 +168,25 @@ def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
         while ready:
             yield ready.pop()
 
-    return by_bucket(docs.select("doc_id", "text").mapInArrow(deal, COUNTED), buckets).mapInArrow(count, COUNTED)
+    return by_bucket(docs.select("doc_id", "text").mapInArrow(tidy(deal), COUNTED), buckets).mapInArrow(tidy(count), COUNTED)
+
+
+def _pack(ordered: np.ndarray, own: int, shared: int) -> bytes:
+    """The upper 48 bits of a set's shingles as byte planes of deltas within each tier; about five bytes each compressed."""
+    v = ordered >> np.uint64(16)
+    deltas = np.diff(v, prepend=np.uint64(0))
+    for at in (own, own + shared):
+        if at < len(v):
+            deltas[at] = v[at]
+    return deltas.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unpack(data: bytes, own: int, shared: int) -> np.ndarray:
+    planes = np.zeros((len(data) // 6, 8), np.uint8)
+    planes[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    deltas = planes.view(np.uint64).ravel()
+    parts = np.split(deltas, [own, own + shared])
+    return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in parts]) << np.uint64(16)
 
 
 SETS = "node long, n long, own long, shared long, tokens binary"
@@ -191,14 +211,14 @@ def _sets(docs: DataFrame, width: int, bitmaps, buckets: int) -> DataFrame:
                 own, shared = int((tier == 0).sum()), int((tier == 1).sum())
                 if n and own < n - -(-NUM * n // DEN) + 1 and (d := digest(s)) not in seen:
                     seen.add(d)
-                    yield d[0], n, own, shared, s[np.argsort(tier, kind="stable")].tobytes()
+                    yield d[0], n, own, shared, _pack(s[np.argsort(tier, kind="stable")], own, shared)
 
         for batch in batches:
             for sets in chunk_sets(texts(batch.column(0)), width):
                 out = list(ordered(sets))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
 
-    return docs.select("text").mapInArrow(keep, SETS)
+    return docs.select("text").mapInArrow(tidy(keep), SETS)
 
 
 def _can_link(nx, ny, px, py):
@@ -225,8 +245,8 @@ def _block_pairs(sets: DataFrame, buckets: int) -> DataFrame:
     def deal(batches):
         for batch in batches:
             tokens, nodes, sizes, places = [], [], [], []
-            for node, n, own, t in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                prefix = np.frombuffer(t, np.uint64)[own : n - -(-NUM * n // DEN) + 1]
+            for node, n, own, shared, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                prefix = _unpack(t, own, shared)[own : n - -(-NUM * n // DEN) + 1]
                 tokens.append(prefix)
                 nodes.append(np.full(len(prefix), node, np.int64))
                 sizes.append(np.full(len(prefix), n, np.int64))
@@ -263,7 +283,7 @@ def _block_pairs(sets: DataFrame, buckets: int) -> DataFrame:
             ab = np.unique(np.stack([a, b], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], schema=pair)
 
-    return by_bucket(sets.mapInArrow(deal, kind), buckets).mapInArrow(meet, PAIR).distinct()
+    return by_bucket(sets.mapInArrow(tidy(deal), kind), buckets).mapInArrow(tidy(meet), PAIR).distinct()
 
 
 def _local_components(edges: DataFrame) -> DataFrame:
@@ -288,7 +308,7 @@ def _local_components(edges: DataFrame) -> DataFrame:
         nodes = list(root)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], schema=schema)
 
-    return edges.coalesce(1).mapInArrow(unite, kind)
+    return edges.coalesce(1).mapInArrow(tidy(unite), kind)
 
 
 def components(pairs: DataFrame, limit: int = 60) -> DataFrame:
@@ -420,25 +440,26 @@ def _join_task(tasks: DataFrame) -> DataFrame:
             if len(rows) < 2:
                 continue
             nodes = sorted(rows)
-            sets = [np.frombuffer(rows[x][3], np.uint64) for x in nodes]
+            sets = [_unpack(rows[x][3], rows[x][1], rows[x][2]) for x in nodes]
             tiers = [np.repeat(np.array([0, 1, 2], np.int8), [rows[x][1], rows[x][2], rows[x][0] - rows[x][1] - rows[x][2]]) for x in nodes]
             found = trie_links(sets, tiers, [i for i, x in enumerate(nodes) if rows[x][4]])
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], schema=schema)
 
     columns = ["task", "node", "n", "own", "shared", "tokens", "asks"]
-    return tasks.select(*columns).repartition("task").sortWithinPartitions("task").mapInArrow(run, PAIR)
+    return tasks.select(*columns).repartition("task").sortWithinPartitions("task").mapInArrow(tidy(run), PAIR)
 
 
 def _links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     """All links between sets of a block, up to those that follow from others by reachability."""
-    held = sets.join(blocks.withColumnRenamed("component", "block"), "node")
-    sizes = materialize(sets.select("node", "n").join(blocks, "node").groupBy(F.col("component").alias("block")).agg(F.sum("n").alias("weight")), "block-sizes")
+    rows = blocks.count()
+    held = small_join(sets, blocks.withColumnRenamed("component", "block"), ["node"], "inner", 16, rows)
+    sizes = materialize(held.groupBy("block").agg(F.sum("n").alias("weight")), "block-sizes")
     large = sizes.where(F.col("weight") > BLOCK_TOKENS).withColumn("parts", F.ceil(F.col("weight") * 2 / BLOCK_TOKENS).cast("int"))
-    small = held.join(large.select("block"), "block", "left_anti")
+    small = small_join(held, large.select("block"), ["block"], "left_anti", 16)
     links = _join_task(small.select("*", F.col("block").alias("task"), F.lit(True).alias("asks")))
     if large.isEmpty():
         return links
-    held = materialize(held.join(large.select("block", "parts"), "block").dropDuplicates(["node"]), "large-blocks")
+    held = small_join(held, large.select("block", "parts"), ["block"], "inner", 24)
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     pivots = _pivots(held.withColumn("order", F.xxhash64(F.lit("pivot"), "node")))
 
@@ -454,9 +475,10 @@ def _links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     comp = components(first)
     members = held.select("node", "block", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     main = members.groupBy("block", "component").agg(F.sum("n").alias("w")).groupBy("block").agg(F.max_by("component", "w").alias("main"))
-    rest = members.join(main, "block").where("component <> main").select("node")
-    weight = held.join(rest, "node").groupBy("block").agg(F.ceil(F.sum("n") * 2 / BLOCK_TOKENS).cast("int").alias("groups"))
-    second = against(held.join(rest, "node").join(weight, "block"), "rest-links")
+    rest = materialize(members.join(main, "block").where("component <> main").select("node").distinct(), "rest")
+    asking = small_join(held, rest, ["node"], "inner", 16)
+    weight = asking.groupBy("block").agg(F.ceil(F.sum("n") * 2 / BLOCK_TOKENS).cast("int").alias("groups"))
+    second = against(asking.join(weight, "block"), "rest-links")
     return links.union(first).union(second)
 
 
@@ -479,7 +501,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     for r in counted.where("content is not null").select("bucket", "content", "common").toLocalIterator():
         shared_bits[r["bucket"]], common_bits[r["bucket"]] = np.frombuffer(r["content"], np.uint8), np.frombuffer(r["common"], np.uint8)
     maps = (shared_bits, common_bits)
-    sets = materialize(_sets(docs, width, spark.sparkContext.broadcast(maps), buckets), "shingle-sets")
+    # Copies need not be read twice: ids that stand for no class are left out, where they are few enough to be sent along.
+    ranked = ids.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    copies = ids.join(ranked.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct()
+    spare = materialize(copies.join(ranked.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    n_spare = spare.count()
+    read_again = docs.join(F.broadcast(spare), "doc_id", "left_anti") if n_spare * 16 <= BROADCAST_BYTES else docs
+    sets = materialize(_sets(read_again, width, spark.sparkContext.broadcast(maps), buckets), "shingle-sets")
     blocks = components(_block_pairs(sets, buckets))
     linked = components(_links(sets, blocks))
     classes = ids.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
