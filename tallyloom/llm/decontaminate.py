@@ -3,10 +3,12 @@
 Texts are cut into passages of two blocks of BLOCK words (each block belongs to two passages). A passage is a TF-IDF vector
 over hashed word pairs. One pass over all documents sums, per task, the pairs' document frequencies and the product of the
 passages' Gram matrix with random vectors; with the benchmark's own passages, weighted up so that the space resolves them,
-an orthonormal basis of that range is the randomised decomposition (all its directions are kept, so that no item falls
-out). A second pass projects every passage; those with enough energy in the space and enough cosine to an item become
-candidates, and a candidate counts when the longest common subsequence of words, over the passage and its surroundings,
-covers LCS_FROM of the item and its answer (the part after "Answer:", else the last sentence) is there as well.
+an orthonormal basis of that range is the randomised decomposition. A second pass projects every passage; those with enough
+energy in the space and enough cosine to an item become candidates. The space has 256 directions at most, so with many items
+it doesn't resolve each of them; therefore passages that hold enough of an item's rarest words become candidates as well.
+That test is exact: nothing that can pass the next one fails it. A candidate counts when the longest common subsequence of
+words, over the passage and its surroundings, covers LCS_FROM of the item and its answer (the part after "Answer:", else the
+last sentence) is there as well. The cosine in the result may be low where the space is too small for the item.
 
 Benchmark items are the stated query set: they meet all passages, in blocks of QUERY_ITEMS items; nothing of the documents
 goes to the driver but the summed matrix, whose size is fixed. Defined cases: null, empty or wordless texts and items match
@@ -16,6 +18,7 @@ columns are ignored or pass through ``stage``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,9 @@ QUERY_ITEMS = 4096
 BENCH_WEIGHT = 8.0
 ENERGY_FROM, COSINE_FROM = 0.09, 0.5
 LCS_FROM, ANSWER_FROM = 0.6, 0.5
+#: The part of the words a match needs that must be among the item's indexed (rarest) ones; more: longer lists, fewer candidates.
+RARE_PART = 0.3
+SIEVE = 1 << 20
 SEED = 11
 
 
@@ -136,6 +142,14 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray, *columns: np.ndarray, listed: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+    """Each row's columns repeated for every number from lo to hi - 1, which come first, or as what is listed there last."""
+    n = np.maximum(0, hi - lo)
+    number = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+    columns = tuple(np.repeat(c, n) for c in columns)
+    return (number, *columns) if listed is None else (*columns, *(x[number] for x in listed))
+
+
 class Items:
     """A block of benchmark items: words, answers, and unit vectors of their passages in the latent space."""
 
@@ -158,6 +172,47 @@ class Items:
                     self.slots.append(slot)
                     self.owner.append(n)
         self.vectors = np.zeros((0, 0), np.float32)
+        self.bounds = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
+        self._index()
+
+    def _index(self) -> None:
+        """Lists of items by word. A match holds `need` of an item's n words, so of its n - need + t rarest at least t."""
+        freq = Counter(x for own in self.words for x in set(own))
+        lists: dict[int, list[tuple[int, int]]] = {}
+        self.least = np.zeros(len(self.words), np.int64)
+        self.length = np.array([len(own) for own in self.words], np.int64)
+        for i, own in enumerate(self.words):
+            n = len(own)
+            need = next(x for x in range(1, n + 1) if x / n >= LCS_FROM)
+            self.least[i] = t = max(1, round(need * RARE_PART))
+            for x, m in Counter(sorted(own, key=lambda x: (freq[x], x))[: n - need + t]).items():
+                lists.setdefault(x, []).append((i, m))
+        self.rare = np.array(sorted(lists), np.uint64)
+        held = [lists[x] for x in sorted(lists)]
+        self.rare_first = np.cumsum([0, *map(len, held)])
+        self.rare_item = np.array([i for h in held for i, _ in h], np.int64)
+        self.rare_times = np.array([m for h in held for _, m in h], np.int64)
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[self.rare & np.uint64(SIEVE - 1)] = True
+
+    def holders(self, w: np.ndarray, first: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) where the passage and its surroundings hold enough of the item's rarest words: all that can match."""
+        at = np.flatnonzero(self.sieve[w & np.uint64(SIEVE - 1)])
+        word = np.searchsorted(self.rare, w[at])
+        same = self.rare[np.minimum(word, len(self.rare) - 1)] == w[at]
+        at, word = at[same], word[same]
+        at, word, item, times = _spread(self.rare_first[word], self.rare_first[word + 1], at, word, listed=(self.rare_item, self.rare_times))
+        doc = np.searchsorted(first, at, "right") - 1
+        near = at - first[doc]
+        lo = np.maximum(0, -((2 * BLOCK + self.length[item] - 1 - near) // BLOCK))
+        hi = np.minimum(np.diff(base)[doc] - 1, (near + self.length[item]) // BLOCK)
+        passage, item, word, times = _spread(base[doc] + lo, base[doc] + hi + 1, item, word, times)
+        key, one = np.unique((passage * len(self.words) + item) * len(self.rare) + word, return_index=True)
+        pair = key // len(self.rare)
+        head = np.flatnonzero(np.diff(pair, prepend=-1))
+        pair, count = pair[head], np.add.reduceat(times[one], head) if len(head) else head
+        pair = pair[count >= self.least[pair % len(self.words)]]
+        return pair // len(self.words), pair % len(self.words)
 
     @staticmethod
     def _terms(text: str) -> np.ndarray:
@@ -208,12 +263,13 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
         norm = np.sqrt(np.maximum(v[:, -1], 1e-12))
         inner = np.linalg.norm(v[:, :-1], axis=1)
         near = np.flatnonzero(inner >= ENERGY_FROM * norm)
-        if not len(near):
-            continue
         cosine = (v[near, :-1] / np.maximum(inner[near, None], 1e-12)) @ items.vectors.T
+        a, b = np.nonzero(cosine >= COSINE_FROM)
+        latent = near[a] * len(items.words) + np.array(items.owner)[b]
+        passage, item = items.holders(w, first, base)
         best: dict[tuple[int, int], tuple] = {}
-        for a, b in zip(*np.nonzero(cosine >= COSINE_FROM), strict=True):
-            p, item = int(near[a]), items.owner[b]
+        for pair in np.union1d(latent, passage * len(items.words) + item).tolist():
+            p, item = divmod(pair, len(items.words))
             row = int(np.searchsorted(base, p, "right")) - 1
             start = int(first[row]) + (p - int(base[row])) * BLOCK
             own, answer = items.words[item], items.answers[item]
@@ -222,12 +278,16 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
             if held and held[2] >= 0.999:
                 continue
             around = w[lo:hi].tolist()
+            there = set(around)
+            if sum(x in there for x in own) / len(own) < LCS_FROM:
+                continue
             ratio = lcs(own, around) / len(own)
             if ratio < LCS_FROM or held and held[2] >= ratio:
                 continue
             said = lcs(answer, around) / len(answer) if answer else 1.0
             if said >= ANSWER_FROM:
-                best[row, item] = (start - int(first[row]), float(cosine[a, b]), ratio, said)
+                close = float((items.vectors[items.bounds[item] : items.bounds[item + 1]] @ v[p, :-1]).max() / max(inner[p], 1e-12))
+                best[row, item] = (start - int(first[row]), close, ratio, said)
         for (row, item), found in sorted(best.items()):
             yield i + row, items.ids[item], *found
 

@@ -159,6 +159,30 @@ def test_decontamination(spark, tmp_path):
     assert kept.columns == plain.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _, _ in clean}
 
 
+def test_decontamination_finds_all_of_thousands_of_items(spark, tmp_path):
+    rng = random.Random(10)
+    some = lambda n: [f"w{int(5000 * rng.random() ** 3)}" for _ in range(n)]
+    items = [some(rng.choice([2, 3, 5, 8, 15, 30, 59])) for _ in range(3000)]
+    docs = []
+    for i in range(160):
+        w = list(rng.choice(items))
+        for k in rng.sample(range(len(w)), int(len(w) * rng.choice([0, 0.15, 0.25, 0.35]))):
+            w[k] = f"new{rng.randrange(99)}"
+        docs.append(some(rng.randint(0, 150)) + w + some(rng.randint(0, 90)))
+    want = set()
+    for d, w in enumerate(docs):
+        for p in range(0, len(w), 32):
+            for i, own in enumerate(items):
+                around = w[max(0, p - len(own)) : p + 64 + len(own)]
+                there = set(around)
+                if (d, i) not in want and sum(x in there for x in own) >= 0.6 * len(own) and brute_lcs(own, around) >= 0.6 * len(own):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    path = write(tmp_path, documents=frame(spark, [(d, " ".join(w), "s") for d, w in enumerate(docs)]), benchmark=bench)
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.query(spark, path).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 160
+
+
 def test_decontamination_of_empty_tables(spark, tmp_path):
     bench = spark.createDataFrame([(1, "a few words of an item")], "item_id long, text string")
     d = write(tmp_path, documents=frame(spark, []), benchmark=bench)
