@@ -85,11 +85,11 @@ def dev_split(df: DataFrame, seed: int, fraction: float, key: str) -> DataFrame:
 
 
 def greedy_caps(rows: DataFrame, seed: int, caps: dict[str, int], key: str = "pair_id", total: int | None = None) -> DataFrame:
-    """Rows taken in digest order while none of their cap columns is full.
+    """Rows taken in digest order while none of their cap columns is full; null is a value like others.
 
-    Greedy choice over several caps is sequential by nature. Only keys and cap columns take part, and rows that a single cap
-    excludes whatever the others do cannot be told beforehand, so the keys of one benchmark pool meet in one task; the pool
-    is a curated set of pairs, not the corpus. The chosen keys are joined back.
+    Greedy choice over several caps is sequential by nature, but what fills up stays full: of the rows that agree in all cap
+    columns those taken come first, and they are no more than the least cap. So only that many of each combination, keys and
+    cap columns alone, meet in one task. The chosen keys are joined back.
     """
     columns = list(caps)
     types = dict(rows.dtypes)
@@ -98,14 +98,16 @@ def greedy_caps(rows: DataFrame, seed: int, caps: dict[str, int], key: str = "pa
         counts: dict[tuple, int] = {}
         keep = []
         for row in pdf.sort_values(["h", key]).itertuples(index=False):
-            slots = [(c, getattr(row, c)) for c in columns]
+            slots = [(c, None if (x := getattr(row, c)) != x else x) for c in columns]
             if (total is None or len(keep) < total) and all(counts.get(s, 0) < caps[s[0]] for s in slots):
                 for s in slots:
                     counts[s] = counts.get(s, 0) + 1
                 keep.append(getattr(row, key))
         return pdf[pdf[key].isin(keep)][[key]]
 
-    narrow = rows.select(key, *columns, digest(seed, F.col(key)).alias("h")).withColumn("__one", F.lit(1))
+    least = min([*caps.values(), *([] if total is None else [total])])
+    first = F.row_number().over(Window.partitionBy(*columns).orderBy("h", key))
+    narrow = rows.select(key, *columns, digest(seed, F.col(key)).alias("h")).withColumn("__k", first).where(F.col("__k") <= least).drop("__k").withColumn("__one", F.lit(1))
     chosen = narrow.groupBy("__one").applyInPandas(take, f"`{key}` {types[key]}")
     return rows.join(chosen, key, "left_semi")
 

@@ -180,7 +180,7 @@ add(
 add("win07_capped", lambda s, d: sm.capped(table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), "o_custkey"), 4, "o_custkey", 3), "SELECT o_orderkey AS pair_id, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('4:' || o_orderkey), o_orderkey) <= 3")
 add("smp10_audit_sample", lambda s, d: sm.sampled(table(s, d, "orders").select("o_orderkey", "o_custkey"), 8, 25, "o_orderkey"), "SELECT o_orderkey, o_custkey FROM orders ORDER BY sha256('8:' || o_orderkey), o_orderkey LIMIT 25")
 add("smp11_dev_split", lambda s, d: sm.dev_split(table(s, d, "customer").select("c_custkey"), 6, 0.15, "c_custkey"), "SELECT c_custkey, row_number() OVER (ORDER BY sha256('6:' || c_custkey), c_custkey) <= round_even((SELECT count(*) FROM customer) * 0.15, 0) AS is_dev FROM customer")
-add("smp08_greedy_caps", lambda s, d: sm.greedy_caps(table(s, d, "orders").where("o_custkey <= 200").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_custkey") % 40).alias("page"), (F.col("o_custkey") % 7).alias("company")), 2, {"page": 5, "company": 20}).groupBy("company").agg(F.count("*").alias("n")))
+add("smp08_greedy_caps", lambda s, d: sm.greedy_caps(table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_custkey") % 40).alias("page"), (F.col("o_custkey") % 7).alias("company")), 2, {"page": 5, "company": 20}).groupBy("company").agg(F.count("*").alias("n")))
 add("smp15_jitter", lambda s, d: table(s, d, "customer").select("c_custkey", sm.jitter(7, F.col("c_custkey").cast("string"), [-2, 0, 1, 3]).alias("j")), "SELECT c_custkey, [-2, 1, 3][(('0x' || substr(sha256('7:' || c_custkey), 1, 16))::UBIGINT % 3)::INT + 1]::INT AS j FROM customer")
 
 

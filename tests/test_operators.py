@@ -124,6 +124,34 @@ def test_greedy_caps_hold_together(spark):
     assert {r["pair_id"] for r in got} == {r["pair_id"] for r in sampling.greedy_caps(df.repartition(5), 1, {"page": 5, "company": 9}).collect()}
 
 
+def test_greedy_caps_query_takes_all_orders(spark, tmp_path):
+    import hashlib
+
+    from tallyloom.plans import auditing
+
+    orders = [(i, i * 37 % 911 + 190) for i in range(4000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    page, company = {}, {}
+    for k, c in sorted(orders, key=lambda x: hashlib.sha256(f"2:{x[0]}".encode()).hexdigest()):
+        if page.get(c % 40, 0) < 5 and company.get(c % 7, 0) < 20:
+            page[c % 40], company[c % 7] = page.get(c % 40, 0) + 1, company.get(c % 7, 0) + 1
+    assert {r["company"]: r["n"] for r in auditing.QUERIES["smp08_greedy_caps"](spark, str(tmp_path)).collect()} == company and sum(company.values()) == 140
+
+
+@pytest.mark.parametrize("total", [None, 40])
+def test_greedy_caps_equal_brute_force(spark, total):
+    import hashlib
+
+    rows = [(i, i % 11 or None, "abcd"[i * i % 4] if i % 13 else None) for i in range(2000)]
+    page, company, want = {}, {}, set()
+    for k, p, c in sorted(rows, key=lambda x: hashlib.sha256(f"3:{x[0]}".encode()).hexdigest()):
+        if len(want) < (total or 2000) and page.get(p, 0) < 9 and company.get(c, 0) < 30:
+            page[p], company[c] = page.get(p, 0) + 1, company.get(c, 0) + 1
+            want.add(k)
+    df = spark.createDataFrame(rows, "pair_id long, page long, company string")
+    assert {r["pair_id"] for r in sampling.greedy_caps(df, 3, {"page": 9, "company": 30}, total=total).collect()} == want
+
+
 def test_bootstrap_finds_a_forced_effect(spark):
     a = spark.range(20).select(F.col("id").alias("doc"), F.lit(0).alias("ok"))
     r = resample.bootstrap_delta(a, a.withColumn("ok", F.lit(1)), F.col("ok"), F.lit(1), "doc", 100).first()
