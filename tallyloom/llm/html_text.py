@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 For each host, up to SAMPLES pages (chosen by a digest, so bounded whatever the host's size) are parsed into DOM trees and
-aligned pairwise by simple tree matching. Text nodes that are aligned and equal are constant: they form the host's wrapper,
-a small set of (path, text) digests. All pages are then parsed once more, in place: text under elements that mark page
+aligned pairwise by simple tree matching. Text nodes that are aligned and equal are constant. Besides, the (path, text)
+digests of all pages of a host are counted, once a page: those on COMMON_SHARE of the pages are constant as well, unless the
+pages that hold one agree in most of their content, as copies do. Constant texts form the host's wrapper, a small set of
+digests; texts of page furniture, scripts and styles count nowhere. All pages are then parsed once more, in place: text under elements that mark page
 furniture, and constant text outside the article, is template; the varying slots are content. A page with an article (or
 main) element has its content there, and what is constant in it stays, so copies of an article lose nothing.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +28,14 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, materialize, read, small_join, tidy
 
 SAMPLES = 4
-#: Two sampled pages that agree in more than this share of their text are copies and teach nothing about the template.
+#: Pages that agree in more than this share of their content (the article's, if there is one) are copies and teach nothing.
 COPY_SHARE = 0.8
+#: Digests on fewer of a host's pages aren't counted as constant, which bounds a wrapper whatever the host's size.
+COMMON_SHARE = 0.05
+#: On half of a host's pages, if it has WIDE or more, a text is no article's copy: WIDE_COPY_SHARE holds (short texts in long templates).
+WIDE, WIDE_COPY_SHARE = 8, 0.95
+#: What paths inside an article start with.
+ARTICLE = "@"
 #: Children lists beyond this length are aligned by equal ends only, so that matching stays near linear.
 ALIGN = 40
 #: Elements nested deeper are flattened into their ancestor, as browsers do beyond a depth of their own.
@@ -177,29 +186,51 @@ def _digest(path: str, text: str) -> str:
     return hashlib.md5(f"{path}\0{text}".encode("utf-8", "replace"), usedforsecurity=False).hexdigest()[:16]
 
 
+def _enter(path: str, node: Node) -> str:
+    """The path inside a node."""
+    here = f"{path}/{node.tag} {node.mark}"
+    return ARTICLE + here if node.tag in ("article", "main") and not path.startswith(ARTICLE) else here
+
+
+def flow(root: Node) -> Iterator[tuple[str, str] | None]:
+    """(path, text) of a page's texts outside furniture in their order; None ends a block."""
+    # (node, path) to enter, or None to end a block; an explicit stack bears any depth
+    stack: list[tuple[object, str]] = [(root, "")]
+    while stack:
+        k, path = stack.pop()
+        if k is None:
+            yield None
+        elif isinstance(k, str):
+            yield path, k
+        elif k.tag == "br":
+            yield path, " "
+        elif not furniture(k):
+            here = path if k is root else _enter(path, k)
+            if k.tag in BLOCK:
+                yield None
+                stack.append((None, ""))
+            stack += [(x, here) for x in reversed(k.kids)]
+
+
 def constants(a: Node, b: Node) -> tuple[set[str], int, int]:
-    """Digests of the texts that two aligned pages share in place, and the characters shared and in all of a."""
+    """Digests of the texts that two aligned pages share in place, and the characters of content shared and in all of a."""
     found: set[str] = set()
-    shared = total = 0
+    shared = {False: 0, True: 0}
     stack = [(a, b, "")]
     while stack:
         x, y, path = stack.pop()
-        matched = align(x, y)
-        total += sum(len(k) for k in x.kids if isinstance(k, str))
-        for p, q in matched:
+        for p, q in align(x, y):
             if isinstance(p, str) and isinstance(q, str):
                 if _squeeze(p) == _squeeze(q):
                     found.add(_digest(path, _squeeze(p)))
-                    shared += len(p)
-            elif isinstance(p, Node) and isinstance(q, Node):
-                stack.append((p, q, f"{path}/{p.tag} {p.mark}"))
-        seen = {id(p) for p, _ in matched}
-        total += sum(_length(k) for k in x.kids if isinstance(k, Node) and id(k) not in seen)
-    return found, shared, total
-
-
-def _length(node: Node) -> int:
-    return sum(_length(k) if isinstance(k, Node) else len(k) for k in node.kids)
+                    shared[path.startswith(ARTICLE)] += len(_squeeze(p))
+            elif isinstance(p, Node) and isinstance(q, Node) and not furniture(p):
+                stack.append((p, q, _enter(path, p)))
+    total = {False: 0, True: 0}
+    for path, text in filter(None, flow(a)):
+        total[path.startswith(ARTICLE)] += len(_squeeze(text))
+    inside = total[True] > 0
+    return found, shared[inside], total[inside]
 
 
 def induce(pages: list[str]) -> list[str]:
@@ -216,47 +247,19 @@ def induce(pages: list[str]) -> list[str]:
     return sorted(out)
 
 
-def _articles(node: Node, out: list[Node]) -> None:
-    for k in node.kids:
-        if isinstance(k, Node) and not furniture(k):
-            if k.tag in ("article", "main"):
-                out.append(k)
-            else:
-                _articles(k, out)
-
-
 def main_text(page: str, wrapper: frozenset[str] | set[str]) -> str:
     """The content blocks of a page, given its host's wrapper."""
-    root = parse(page)
-    articles: list[Node] = []
-    _articles(root, articles)
+    parts = list(flow(parse(page)))
+    inside = any(x and x[0].startswith(ARTICLE) for x in parts)
     blocks: list[str] = []
     run: list[str] = []
-
-    def close():
-        if run and (text := _squeeze("".join(run))):
-            blocks.append(text)
-        run.clear()
-
-    # (node, path) to enter, or None to end a block; an explicit stack bears any depth
-    inside = bool(articles)
-    stack: list[tuple[object, str]] = [(a, "") for a in reversed(articles)] if inside else [(root, "")]
-    while stack:
-        k, path = stack.pop()
-        if k is None:
-            close()
-        elif isinstance(k, str):
-            if inside or not wrapper or not k.strip() or _digest(path, _squeeze(k)) not in wrapper:
-                run.append(k)
-        elif k.tag == "br":
-            run.append(" ")
-        elif not furniture(k):
-            here = path if k is root else f"{path}/{k.tag} {k.mark}"
-            if k.tag in BLOCK:
-                close()
-                stack.append((None, ""))
-            stack += [(x, here) for x in reversed(k.kids)]
-    close()
+    for x in [*parts, None]:
+        if x is None:
+            if run and (text := _squeeze("".join(run))):
+                blocks.append(text)
+            run.clear()
+        elif x[0].startswith(ARTICLE) if inside else not wrapper or not x[1].strip() or _digest(x[0], _squeeze(x[1])) not in wrapper:
+            run.append(x[1])
     return "\n".join(blocks)
 
 
@@ -267,8 +270,60 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def page_texts(page: str) -> dict[str, tuple[int, bool]]:
+    """Length by digest of a page's texts outside furniture, and whether they are inside an article."""
+    return {_digest(path, text): (len(text), path.startswith(ARTICLE)) for path, raw in filter(None, flow(parse(page))) if (text := _squeeze(raw))}
+
+
+def common(pages: DataFrame) -> DataFrame:
+    """(host, digest) of texts that are constant over a host's pages, all of them read. pages(host, html).
+
+    A text is judged by the pages that hold it: what else they hold and is found on at most half as many pages must make up
+    more than 1 - COPY_SHARE of their content, less what half of a wide host's pages have. So the texts of an article that is there several times, edited or not, stay.
+    """
+    spark = pages.sparkSession
+    kind, weighed = "host string, digest string", "host string, digest string, rest long, total long"
+    one, two = arrow_schema(kind, spark), arrow_schema(weighed, spark)
+    pages = pages.where("html is not null").select("host", "html")
+
+    def digests(batches):
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = ["", *page_texts(page)]  # the empty one counts pages
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(held), pa.string()), pa.array(held, pa.string())], schema=one)
+
+    counted = materialize(pages.mapInArrow(tidy(digests), kind).groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1"), "counted-texts")
+    size = counted.where("digest = ''").select("host", F.col("n").alias("pages"))
+    counted = materialize(counted.where("digest <> ''").join(size, "host").where(F.col("n") >= F.col("pages") * COMMON_SHARE), "common-texts")
+    known = materialize(counted.groupBy("host").agg(F.collect_list("digest").alias("held"), F.collect_list("n").alias("n"), F.first("pages").alias("pages")), "common-by-host")
+    stats = known.agg(F.count("*"), F.sum(F.size("held") * 32 + 72)).first()
+
+    def weigh(batches):
+        for batch in batches:
+            sums: dict[tuple[str, str], list[int]] = {}
+            for host, page, held, n, pages in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                texts, often = page_texts(page), dict(zip(held, n, strict=True))
+                inside = any(i for _, i in texts.values())
+                content = [(often.get(d, 1), size) for d, (size, i) in texts.items() if i or not inside]
+                wide = pages / 2 if pages >= WIDE else pages + 1
+                counts = {often[d] for d in texts if d in often}
+                rest = {k: sum(size for m, size in content if 2 * m <= k) for k in counts}
+                total = {k: sum(size for m, size in content if m < wide or k >= wide) for k in counts}
+                for d in texts:
+                    if d in often:
+                        at = sums.setdefault((host, d), [0, 0])
+                        at[0] += rest[often[d]]
+                        at[1] += total[often[d]]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], schema=two)
+
+    joined = small_join(pages, known, ["host"], "inner", max(1, (stats[1] or 0) // max(1, stats[0])), stats[0])
+    sums = joined.select("host", "html", "held", "n", "pages").mapInArrow(tidy(weigh), weighed).groupBy("host", "digest").agg(F.sum("rest").alias("rest"), F.sum("total").alias("total"))
+    copies = F.when((F.col("pages") >= WIDE) & (2 * F.col("n") >= F.col("pages")), F.lit(WIDE_COPY_SHARE)).otherwise(F.lit(COPY_SHARE))
+    return sums.join(counted, ["host", "digest"]).where(F.col("rest") > (1 - copies) * F.col("total")).select("host", "digest")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for hosts with two or more sampled pages. pages(page_id, host, html)."""
+    """(host, wrapper) for hosts with constant texts: tree matching of sampled pages and counts over all. pages(page_id, host, html)."""
     pick = F.struct(F.md5(F.concat(F.lit("sample:"), F.col("page_id").cast("string"))).alias("h"), "page_id")
     kind = F.pmod(F.xxhash64("page_id"), F.lit(SAMPLES))
     chosen = pages.where("page_id is not null and html is not null").groupBy("host", kind.alias("k")).agg(F.min(pick).alias("p")).select("host", F.col("p.page_id").alias("page_id"))
@@ -280,7 +335,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         return pd.DataFrame({"host": [key[0]], "wrapper": [induce(sorted(set(pdf["html"]))[:SAMPLES])]})
 
-    return sampled.groupBy("host").applyInPandas(learn, "host string, wrapper array<string>").where(F.size("wrapper") > 0)
+    matched = sampled.groupBy("host").applyInPandas(learn, "host string, wrapper array<string>").select("host", F.explode("wrapper").alias("digest"))
+    return matched.unionByName(common(pages)).groupBy("host").agg(F.collect_set("digest").alias("wrapper"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -37,6 +37,16 @@ def test_wrapper_drops_constant_text_outside_articles(spark):
     assert got[4] == "Story 4 of the day zzzz\nMore 4 28 about it, and a good deal more text"
 
 
+def test_wrapper_bears_scripts_copies_and_texts_of_some_pages(spark):
+    script = "<script>" + "var x = 1;" * 400 + "</script>"
+    menu = "".join(f"<div class=m>Entry {k} of this site</div>" for k in range(12))
+    one = lambda i, n: f"<html><body>{script}{menu}{'<div class=box>Now with prizes</div>' if i % 5 == 0 else ''}<div class=c><p>Story {n} tells {n * 7} things</p><p>More {n}</p></div></body></html>"
+    rows = [(i, f"https://w.example/{i}", one(i, i)) for i in range(60)] + [(100 + i, f"https://w.example/{i}", one(1, 7)) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {i: f"Story {n} tells {n * 7} things\nMore {n}" for i, n in [*((i, i) for i in range(60)), *((100 + i, 7) for i in range(4))]}
+
+
 def test_tree_matching_counts_and_deep_pages():
     a, b = (html_text.parse(h) for h in ("<div><p>1</p><b>2</b><p>3</p></div>", "<div><p>1</p><i>9</i><p>3</p></div>"))
     for t in (a, b):
