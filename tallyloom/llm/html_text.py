@@ -4,9 +4,10 @@ For each host, up to SAMPLES pages (chosen by a digest, so bounded whatever the
 aligned pairwise by simple tree matching. Text nodes that are aligned and equal are constant. Besides, the (path, text)
 digests of all pages of a host are counted, once a page: those on COMMON_SHARE of the pages are constant as well, unless the
 pages that hold one agree in most of their content, as copies do. Constant texts form the host's wrapper, a small set of
-digests; texts of page furniture, scripts and styles count nowhere. All pages are then parsed once more, in place: text under elements that mark page
-furniture, and constant text outside the article, is template; the varying slots are content. A page with an article (or
-main) element has its content there, and what is constant in it stays, so copies of an article lose nothing.
+digests; texts of page furniture, scripts and styles count nowhere. All pages are then parsed once more, in place:
+text under elements that mark page furniture, and constant text, is template; the varying slots are content. A page with an
+article (or main) element has its content there, unless the wrapper leaves more text outside. Inside articles only what
+INSIDE_SHARE of the host's pages have in common is template, so copies of an article, and what articles quote, stay.
 
 A text's blocks are the runs of text between block elements; white space in a block becomes one blank, a line break element
 counts as white space, and blocks are joined by line feeds. Defined cases: null or empty html gives an empty text; a null
@@ -32,6 +33,8 @@ SAMPLES = 4
 COPY_SHARE = 0.8
 #: Digests on fewer of a host's pages aren't counted as constant, which bounds a wrapper whatever the host's size.
 COMMON_SHARE = 0.05
+#: Inside articles, where authors repeat themselves: at least this share, and INSIDE_PAGES.
+INSIDE_SHARE, INSIDE_PAGES = 0.3, 3
 #: On half of a host's pages, if it has WIDE or more, a text is no article's copy: WIDE_COPY_SHARE holds (short texts in long templates).
 WIDE, WIDE_COPY_SHARE = 8, 0.95
 #: What paths inside an article start with.
@@ -183,7 +186,8 @@ def _weight(a: object, b: object) -> int:
 
 
 def _digest(path: str, text: str) -> str:
-    return hashlib.md5(f"{path}\0{text}".encode("utf-8", "replace"), usedforsecurity=False).hexdigest()[:16]
+    """Starts with ARTICLE for a text inside an article."""
+    return path[:1].replace("/", "") + hashlib.md5(f"{path}\0{text}".encode("utf-8", "replace"), usedforsecurity=False).hexdigest()[:16]
 
 
 def _enter(path: str, node: Node) -> str:
@@ -213,7 +217,7 @@ def flow(root: Node) -> Iterator[tuple[str, str] | None]:
 
 
 def constants(a: Node, b: Node) -> tuple[set[str], int, int]:
-    """Digests of the texts that two aligned pages share in place, and the characters of content shared and in all of a."""
+    """Digests of the texts outside articles that two aligned pages share in place, and the characters of content shared and in all of a."""
     found: set[str] = set()
     shared = {False: 0, True: 0}
     stack = [(a, b, "")]
@@ -222,7 +226,8 @@ def constants(a: Node, b: Node) -> tuple[set[str], int, int]:
         for p, q in align(x, y):
             if isinstance(p, str) and isinstance(q, str):
                 if _squeeze(p) == _squeeze(q):
-                    found.add(_digest(path, _squeeze(p)))
+                    if not path.startswith(ARTICLE):  # two pages are too few to judge those
+                        found.add(_digest(path, _squeeze(p)))
                     shared[path.startswith(ARTICLE)] += len(_squeeze(p))
             elif isinstance(p, Node) and isinstance(q, Node) and not furniture(p):
                 stack.append((p, q, _enter(path, p)))
@@ -249,8 +254,11 @@ def induce(pages: list[str]) -> list[str]:
 
 def main_text(page: str, wrapper: frozenset[str] | set[str]) -> str:
     """The content blocks of a page, given its host's wrapper."""
-    parts = list(flow(parse(page)))
-    inside = any(x and x[0].startswith(ARTICLE) for x in parts)
+    parts = [x if x is None or not wrapper or not x[1].strip() or _digest(x[0], _squeeze(x[1])) not in wrapper else (x[0], "") for x in flow(parse(page))]
+    size = {True: 0, False: 0}
+    for path, text in filter(None, parts):
+        size[path.startswith(ARTICLE)] += len(_squeeze(text))
+    inside = any(x and x[0].startswith(ARTICLE) for x in parts) and not (wrapper and size[False] > size[True])
     blocks: list[str] = []
     run: list[str] = []
     for x in [*parts, None]:
@@ -258,7 +266,7 @@ def main_text(page: str, wrapper: frozenset[str] | set[str]) -> str:
             if run and (text := _squeeze("".join(run))):
                 blocks.append(text)
             run.clear()
-        elif x[0].startswith(ARTICLE) if inside else not wrapper or not x[1].strip() or _digest(x[0], _squeeze(x[1])) not in wrapper:
+        elif not inside or x[0].startswith(ARTICLE):
             run.append(x[1])
     return "\n".join(blocks)
 
@@ -294,7 +302,7 @@ def common(pages: DataFrame) -> DataFrame:
 
     counted = materialize(pages.mapInArrow(tidy(digests), kind).groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1"), "counted-texts")
     size = counted.where("digest = ''").select("host", F.col("n").alias("pages"))
-    counted = materialize(counted.where("digest <> ''").join(size, "host").where(F.col("n") >= F.col("pages") * COMMON_SHARE), "common-texts")
+    counted = materialize(counted.where("digest <> ''").join(size, "host").where((F.col("n") >= F.col("pages") * COMMON_SHARE) & (~F.col("digest").startswith(ARTICLE) | (F.col("n") >= F.greatest(F.lit(INSIDE_PAGES), F.col("pages") * INSIDE_SHARE)))), "common-texts")
     known = materialize(counted.groupBy("host").agg(F.collect_list("digest").alias("held"), F.collect_list("n").alias("n"), F.first("pages").alias("pages")), "common-by-host")
     stats = known.agg(F.count("*"), F.sum(F.size("held") * 32 + 72)).first()
 

@@ -47,6 +47,18 @@ def test_wrapper_bears_scripts_copies_and_texts_of_some_pages(spark):
     assert got == {i: f"Story {n} tells {n * 7} things\nMore {n}" for i, n in [*((i, i) for i in range(60)), *((100 + i, 7) for i in range(4))]}
 
 
+def test_wrapper_works_inside_articles_and_chooses_the_region(spark):
+    one = lambda i, n: f"<html><body><article><p>Story {n} tells {n * 7} things</p><div class=x>Tell your friends</div><p>More {n}</p>{'<p>A quoted line</p>' if i < 3 else ''}</article></body></html>"
+    teasers = lambda i: f"<html><body><div class=top>Daily Site</div><article>Teaser {i}</article><div class=c>The long main text of page {i} in plain elements</div></body></html>"
+    rows = [(i, f"https://w.example/{i}", one(i, i)) for i in range(20)] + [(100 + i, f"https://w.example/{i}", one(9, 9)) for i in range(3)] + [(200 + i, f"https://copies.example/{i}", one(9, 9)) for i in range(9)] + [(300 + i, f"https://t.example/{i}", teasers(i)) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    story = lambda n: f"Story {n} tells {n * 7} things\nMore {n}"
+    want = {i: story(i) + ("\nA quoted line" if i < 3 else "") for i in range(20)} | {100 + i: story(9) for i in range(3)}
+    want |= {200 + i: story(9).replace("\n", "\nTell your friends\n") for i in range(9)}
+    assert got == want | {300 + i: f"Teaser {i}\nThe long main text of page {i} in plain elements" for i in range(9)}
+
+
 def test_tree_matching_counts_and_deep_pages():
     a, b = (html_text.parse(h) for h in ("<div><p>1</p><b>2</b><p>3</p></div>", "<div><p>1</p><i>9</i><p>3</p></div>"))
     for t in (a, b):
