@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """This application's part of the folder all executors share (``spark.checkpoint.dir``); it goes when the JVM ends.
+
+    Where the setting is missing, local sessions (tests) get a temporary folder, as driver and executors are one machine;
+    on a cluster that would lose rows, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    own = f"{folder.rstrip('/')}/tallyloom-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return own
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -48,6 +61,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _names_its_rows(docs: DataFrame) -> bool:
+    """Whether docs is columns and rows of one file table, each row of a file at most once."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long, ``name``, that tells its rows apart and is the same in every pass over them.
+
+    Rows of a Parquet table are named by 64 bits of their file and place in it; any other docs is written once, with numbers.
+    """
+    if _names_its_rows(docs):
+        with contextlib.suppress(AnalysisException):  # file formats without places
+            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or a longer one that none of the columns has (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Join whose small side is broadcast only if rows * row_bytes is within BROADCAST_BYTES; otherwise a shuffle join with the same rows."""
     n = small.count() if rows is None else rows
@@ -164,9 +204,20 @@ def scatter(keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterat
         yield int(b), [c[bounds[b] : bounds[b + 1]].tobytes() for c in columns]
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the input (file sizes for tables); it only sizes the shuffles."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bucket_count(total_bytes: int, each: int) -> int:
+    """Buckets follow the input; beyond 2 ** 20 (some 4 TB of text at 4 MB each) the buckets grow instead of the rows' overhead."""
+    return int(max(4, min(1 << 20, total_bytes // each)))
+
+
 def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
-    """Shuffle bucket blobs so that the blobs of a bucket meet, sorted by bucket, in one task."""
-    return df.repartition(min(buckets, 4 * shuffle_partitions(df.sparkSession)), "bucket").sortWithinPartitions("bucket")
+    """Shuffle bucket blobs so that the blobs of a bucket meet, sorted by bucket, in one task; a task gets 16 buckets at most, up to 2 ** 17 tasks."""
+    tasks = max(4 * shuffle_partitions(df.sparkSession), min(1 << 17, buckets // 16))
+    return df.repartition(min(buckets, tasks), "bucket").sortWithinPartitions("bucket")
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[tuple[object, pa.Table]]:

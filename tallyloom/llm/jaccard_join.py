@@ -16,8 +16,9 @@ their own, drop out before anything but counts is shuffled.
    one component are not compared again. Blocks above BLOCK_TOKENS are cut into parts: all parts meet a few pivot sets,
    then every set that is not with the block's largest component meets every part, so no pair goes unseen.
 
-Defined cases: null, empty or blank texts have an empty set, link with nothing and are their own component; repeated rows
-and repeated ids are separate documents of one class; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null, empty or blank texts have an empty set, link with nothing and are their own component; every row is a
+document of its own, told apart by its row key (``numbered``), so repeated and null ids do no harm; a component without any
+doc_id has the component_id null; an empty table gives an empty result; extra columns are ignored, and pass through ``stage``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blob, BROADCAST_BYTES, by_bucket, chunks, groups, materialize, mix, read, scatter, shingles, small_join, texts, tidy, words
+from .common import arrow_schema, blob, BROADCAST_BYTES, bucket_count, by_bucket, chunks, groups, materialize, mix, numbered, plan_bytes, read, scatter, shingles, small_join, texts, tidy, unused, words
 
 WIDTH = 5
 NUM, DEN = 75, 100
@@ -48,11 +49,6 @@ PAIR = "a long, b long"
 LOCAL_EDGES = 1 << 20
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the input (file sizes for tables); it only sizes the shuffles."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def chunk_sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
     """The sorted distinct shingle hashes of each text, for runs of texts."""
     for _, _, data, offsets in chunks(column):
@@ -102,7 +98,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(40)) % np.uint64(buckets)
 
 
-COUNTED = "bucket int, doc_id long, n long, d1 long, d2 long, content binary, common binary"
+COUNTED = "bucket int, doc_id long, row long, n long, d1 long, d2 long, content binary, common binary"
 
 
 def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
@@ -125,11 +121,11 @@ def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
             found = list(found)
             n = len(found)
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), none, none, none, none, pa.array([x for _, x in found], pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), none, none, none, none, none, pa.array([x for _, x in found], pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
 
         for batch in batches:
             n, d1, d2 = [], [], []
-            for s in (s for sets in chunk_sets(texts(batch.column(1)), width) for s in sets):
+            for s in (s for sets in chunk_sets(texts(batch.column(2)), width) for s in sets):
                 a, b = digest(s)
                 n.append(len(s))
                 d1.append(a)
@@ -142,7 +138,7 @@ def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
                     yield from sent(flush())
                     held, size = [], 0
             k = len(n)  # rows of documents are dealt out in turn, whatever their content
-            yield pa.RecordBatch.from_arrays([pa.array((buckets + np.arange(done, done + k) % DEALT).astype(np.int32)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array((buckets + np.arange(done, done + k) % DEALT).astype(np.int32)), batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema)
             done += k
         if size:
             yield from sent(flush())
@@ -150,7 +146,7 @@ def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
     def count(batches):
         def documents():
             for batch in batches:
-                content = batch.column(5)
+                content = batch.column(6)
                 is_doc = content.is_null()
                 docs_here = batch.filter(is_doc)
                 if docs_here.num_rows:
@@ -164,11 +160,11 @@ def _counted(docs: DataFrame, width: int, buckets: int, bits: int) -> DataFrame:
             v = np.sort(np.concatenate([_unplane(x) for x in table.column("content").to_pylist()]))
             shared = np.unique(v[1:][v[1:] == v[:-1]])
             often = np.unique(v[COMMON - 1 :][v[COMMON - 1 :] == v[: len(v) - COMMON + 1]]) if len(v) >= COMMON else v[:0]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.array([_bitmap(shared, bits)], pa.binary()), pa.array([_bitmap(often, max(8, bits // 8))], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.nulls(1, pa.int64())] * 5, pa.array([_bitmap(shared, bits)], pa.binary()), pa.array([_bitmap(often, max(8, bits // 8))], pa.binary())], schema=schema)
         while ready:
             yield ready.pop()
 
-    return by_bucket(docs.select("doc_id", "text").mapInArrow(tidy(deal), COUNTED), buckets).mapInArrow(tidy(count), COUNTED)
+    return by_bucket(docs.select("doc_id", "row", "text").mapInArrow(tidy(deal), COUNTED), buckets).mapInArrow(tidy(count), COUNTED)
 
 
 def _pack(ordered: np.ndarray, own: int, shared: int) -> bytes:
@@ -488,35 +484,58 @@ def _pivots(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("block", F.pmod(F.col("order"), F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct(*fields), "order").alias("p")).select("block", *(F.col(f"p.{f}").alias(f) for f in fields))
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+def jaccard_members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(row, doc_id, n, part, component_id) for every row of docs(row, doc_id, text).
+
+    part names the component (null: an empty set, linked with nothing), component_id is its smallest doc_id.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(4, min(1 << 16, plan_bytes(docs) // BUCKET_BYTES))
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = min(1 << 16, bucket_count(plan_bytes(docs), BUCKET_BYTES))
     bits = 1 << max(10, min(22, int(np.log2(BITMAP_BYTES * 7 / buckets))))
     counted = materialize(_counted(docs, width, buckets, bits), "shingle-counts")
-    ids = counted.where("n is not null").select("doc_id", "n", "d1", "d2")
+    ids = counted.where("n is not null").select("row", "doc_id", "n", "d1", "d2")
     # At most BITMAP_BYTES in all, whatever the input.
     shared_bits, common_bits = np.zeros((buckets, bits // 8), np.uint8), np.zeros((buckets, max(8, bits // 8) // 8), np.uint8)
     for r in counted.where("content is not null").select("bucket", "content", "common").toLocalIterator():
         shared_bits[r["bucket"]], common_bits[r["bucket"]] = np.frombuffer(r["content"], np.uint8), np.frombuffer(r["common"], np.uint8)
     maps = (shared_bits, common_bits)
-    # Copies need not be read twice: ids that stand for no class are left out, where they are few enough to be sent along.
-    ranked = ids.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = ids.join(ranked.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct()
-    spare = materialize(copies.join(ranked.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
-    n_spare = spare.count()
-    read_again = docs.join(F.broadcast(spare), "doc_id", "left_anti") if n_spare * 16 <= BROADCAST_BYTES else docs
+    classes = materialize(ids.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    total = classes.agg(F.sum("copies"), F.sum(F.col("copies") - 1)).first()
+    # Copies need not be read twice: all rows of a class but one are left out, where they are few enough to be sent along.
+    repeated = classes.where("copies > 1").select("d1", "d2", "first", "copies")
+    read_again = docs
+    if (total[1] or 0) * 16 <= BROADCAST_BYTES:
+        spare = materialize(_to_classes(ids.select("row", "d1", "d2"), repeated, total[0] or 0).where("row <> first").select("row"), "copies")
+        read_again = docs.join(F.broadcast(spare), "row", "left_anti")
     sets = materialize(_sets(read_again, width, spark.sparkContext.broadcast(maps), buckets), "shingle-sets")
     blocks = components(_block_pairs(sets, buckets))
     linked = components(_links(sets, blocks))
-    classes = ids.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     with_links = classes.join(linked, classes["d1"] == linked["node"])
-    least = with_links.groupBy("component").agg(F.min("rep").alias("least"))
-    named = with_links.join(least, "component").select("d1", "d2", "least")
-    classes = classes.join(named, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "rep").alias("component_id"))
-    out = ids.join(classes, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = with_links.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = with_links.join(least, "component").select("d1", "d2", F.col("component").alias("part"), "component_id")
+    known = classes.join(named, ["d1", "d2"], "left").select("d1", "d2", "copies", F.coalesce("part", "d1").alias("part"), F.coalesce("component_id", "least").alias("component_id"))
+    of_class = _to_classes(ids.where("n > 0"), known, total[0] or 0).select("row", "doc_id", "n", "part", "component_id")
+    return of_class.unionByName(ids.where("n = 0").select("row", "doc_id", "n", F.lit(None).cast("long").alias("part"), F.col("doc_id").alias("component_id")))
+
+
+def _to_classes(ids: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """ids joined with their classes by (d1, d2), though one class may hold a third of all rows.
+
+    Classes of more copies than a share of the rows that lets no more than BROADCAST_BYTES of them be that large are sent
+    to all tasks; what is left has no key of more rows than that.
+    """
+    many = max(64, -(-rows * 64 // BROADCAST_BYTES))
+    large, small = classes.where(F.col("copies") > many).drop("copies"), classes.where(F.col("copies") <= many).drop("copies")
+    mark = ids.join(F.broadcast(large.select("d1", "d2", F.lit(True).alias("is_large"))), ["d1", "d2"], "left")
+    apart = mark.where("is_large").drop("is_large").join(F.broadcast(large), ["d1", "d2"], "inner")
+    return apart.unionByName(mark.where("is_large is null").drop("is_large").join(small, ["d1", "d2"]))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    found = jaccard_members(numbered(docs.select("doc_id", "text"), "row"), width)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,15 +543,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the smallest id; of repeated rows of it, one."""
-    found = materialize(jaccard_components(docs), "near-copies")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = small_join(docs, gone, ["doc_id"], "left_anti", 16)
-    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.join(again, "doc_id", "left_anti")
-    return single.select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Pipeline stage: one row of each component stays: that with the smallest doc_id (null last), then row key. Empty sets stay."""
+    row = unused("row", docs.columns)
+    keyed = numbered(docs, row)
+    found = materialize(jaccard_members(keyed.select(F.col(row).alias("row"), "doc_id", "text")), "near-copies")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    stays = found.where("part is not null").groupBy("part").agg(F.min(place).alias("p")).select("p.row")
+    gone = found.where("part is not null").select("row").join(stays, "row", "left_anti").select(F.col("row").alias(row))
+    return small_join(keyed, materialize(gone, "copies-gone"), [row], "left_anti", 16).select(*docs.columns)
 
 
 #: Components of docs(row_no, doc_id, text) by recursion over all links; for small tables.

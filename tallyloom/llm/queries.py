@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard_join.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op2_jaccard_join": jaccard_join.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

@@ -3,22 +3,25 @@
 Texts are parsed at rolling-hash triggers: a place is a trigger if the hash of its K bytes is the least (leftmost of equals)
 among those of some window of LENGTH - K + 1 places. So each 100-byte string holds the trigger that it names itself, wherever
 it occurs, and the runs of strings that name one trigger are the phrases of the parse. A string is a suffix of its phrase's
-context that goes on into the next phrases, as in the suffix order of a prefix-free parse:
-
-1. Parse. Phrases are dealt out by trigger. Phrases with equal contexts (all bytes of their strings) are one dictionary
-   entry; all but its first occurrence in corpus order (doc_id, start) repeat it as a whole.
-2. Dictionary. Only where one trigger stands in different contexts may single strings still be equal. The strings of the
-   first occurrences of those contexts are grouped by hash; all but the first of equal ones in corpus order repeat it.
-
-There is no suffix array of dictionary or parse: contexts and strings are equal if their 64-bit hashes are (contexts: those of
-their triggers, too), and no bytes are compared. Of n unlike strings that meet in step 2, n * n / 2 ** 65 pairs at most are
-taken for equal on average, if hashes act as random (0.03 at 10 ** 9 strings), and then unique bytes go; repeats are never
-missed. Texts made to collide are not guarded against. A task combines its own rows first (a repeat of a string in the same task needs no shuffle), and a trigger with many
-contexts in one task skips step 1, leaving one witness there; so no trigger, string or group of copies fills a task.
-
-Defined cases: null texts are empty; texts under LENGTH bytes lose nothing; matches never cross documents; rows that repeat
-a doc_id are taken as one document (of equal starts none is earlier); a null doc_id comes last; an empty table gives an
-empty result; extra columns are ignored.
+context (all bytes of the phrase's strings), cut at the depth of 100 bytes that is asked for. Corpus order is (doc_id, row,
+start). The two suffix orders of a prefix-free parse are made in parts that are dealt out by trigger:
+
+1. Parse. The phrases of a part are sorted by (trigger, context, corpus order): the suffix order of the parse at that depth,
+   where phrases go by fingerprints, as usual. All but the first phrase of equal ones repeat it as a whole.
+2. Dictionary. Only where one trigger stands in different contexts may single strings still be equal. The bytes of those
+   contexts, each once in the corpus, meet in their trigger's part; a suffix array of them by prefix doubling (8, 16, 32, 64,
+   100 bytes) puts strings with a common prefix of 100 bytes side by side, and with the first places from the parse, corpus
+   order tells which of them stays. Equality of strings is by their bytes here.
+
+Fingerprints: phrases with the same trigger (64 bits) are equal if their contexts' 64 bits are; m unlike contexts of one
+trigger give m * m / 2 ** 65 false pairs on average, if hashes act as random. Texts made to collide are not guarded against.
+Repeats are never missed. A task combines its own rows first, so a group of copies sends one phrase a task. A trigger with
+MANY contexts in one task, or HOT in all, is dealt by single strings instead (128-bit fingerprints), as its contexts would
+fill one part; so no trigger, string or group of copies fills a task.
+
+Defined cases: null texts are empty; texts under LENGTH bytes lose nothing; matches never cross documents; every row is a
+document of its own: of rows that repeat a doc_id, the order of their row keys (``numbered``) decides which is earlier; rows
+without a doc_id come last, in the order of their row keys; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,18 +35,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blob, BROADCAST_BYTES, by_bucket, chunks, groups, _INVERSE, materialize, mix, powers, raw_bytes, read, rolling, scatter, span_hash, texts, tidy
-from .jaccard_join import plan_bytes
+from .common import arrow_schema, blob, BROADCAST_BYTES, bucket_count, by_bucket, chunks, groups, _INVERSE, materialize, mix, numbered, plan_bytes, powers, raw_bytes, read, rolling, scatter, span_hash, texts, tidy
 
 LENGTH, K = 100, 32
 BUCKET_BYTES = 4 << 20
-#: Phrases or strings that a task gathers before it combines them, and contexts of one trigger that send it to step 2.
-FLUSH, MANY = 500_000, 32
+#: Phrases or strings that a task gathers before it combines them (more with many buckets, so that blobs hold some rows each).
+FLUSH, A_BLOB = 500_000, 4
+#: Contexts of one trigger, in a task and in all, that have it dealt by single strings.
+MANY, HOT = 256, 4096
+#: Bytes of contexts that one suffix array is made of; a trigger's contexts stay together.
+ARRAY_BYTES = 4 << 20
 #: A longer text is parsed in slices that overlap by LENGTH - 1 bytes; places take 24 bits beside 40 bits of hash.
 SLICE = 1 << 24
 LAST = (1 << 63) - 1
-PHRASES = "bucket int, kind int, trigger binary, context binary, doc binary, lo binary, hi binary"
-SPANS = "doc long, removed binary, asked binary"
+PHRASES = "bucket int, kind int, trigger binary, context binary, doc binary, row binary, lo binary, hi binary"
+SPANS = "doc long, row long, removed binary, asked binary"
+#: Kinds of blobs: phrases of a part; starts that go; starts to look at by their contexts' bytes, and string by string.
+PHRASE, GONE, ASKED, SINGLY = 0, 1, 2, 3
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -92,85 +100,99 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def _later(group_start: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Whether each row, sorted by (group, doc, lo), comes after its group's first place."""
-    head = np.flatnonzero(group_start)
-    first = np.repeat(head, np.diff(np.append(head, len(doc))))
-    return (doc != doc[first]) | (lo != lo[first])
+def _sizes(heads: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(heads, n))
 
 
-def _by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: int, buckets: int) -> Iterator[dict]:
-    """Blobs of starts per bucket of documents. kind 1: removed starts, 2: starts to be looked at in step 2."""
-    for b, (d, x, y) in scatter(mix(doc.view(np.uint64)), [doc, lo.astype(np.int64), hi.astype(np.int64)], buckets):
-        yield {"bucket": b, "kind": kind, "doc": d, "lo": x, "hi": y}
+def _by_doc(kind: int, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, buckets: int, trigger: np.ndarray | None = None) -> Iterator[dict]:
+    """Blobs of starts lo to hi, by bucket of documents."""
+    columns = [doc, row, lo.astype(np.int64), hi.astype(np.int64), *([] if trigger is None else [trigger])]
+    for b, (d, r, x, y, *t) in scatter(mix(doc.view(np.uint64) + mix(row.view(np.uint64))), columns, buckets):
+        yield {"bucket": b, "kind": kind, "doc": d, "row": r, "lo": x, "hi": y, "trigger": t[0] if t else None}
 
 
 def _emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _passing(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Iterator[tuple[pa.Table | None, list[pa.RecordBatch]]]:
+    """(blobs of one bucket, of the kinds to be worked on; what passes through untouched)."""
+    through: list[pa.RecordBatch] = []
+
+    def parts():
+        for batch in batches:
+            mine = pc.is_in(batch.column(1), pa.array(kinds, pa.int32()))
+            if (rest := batch.filter(pc.invert(mine))).num_rows:
+                through.append(rest)
+            yield batch.filter(mine)
+
+    for _, table in groups(parts()):
+        yield table, through[:]
+        through.clear()
+    yield None, through
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(batch.column(0).cast(pa.int64())), np.asarray(batch.column(1).cast(pa.int64()))
+
+
 def _first_contexts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 1: blobs of removed starts (kind 1) and of starts to look at (kind 2), by bucket of documents."""
+    """Step 1: blobs of starts that go, and of starts to look at, by bucket of documents."""
     schema = arrow_schema(PHRASES, docs.sparkSession)
-
-    def combine(t, c, doc, lo, hi):
-        order = np.lexsort((lo, doc, c, t))
-        t, c, doc, lo, hi = t[order], c[order], doc[order], lo[order], hi[order]
-        late = _later(_runs(t, c), doc, lo)
-        out = list(_by_doc(doc[late], lo[late], hi[late], 1, buckets)) if late.any() else []
-        t, c, doc, lo, hi = t[~late], c[~late], doc[~late], lo[~late], hi[~late]
-        same = _runs(t, c, doc, lo)
-        t, c, doc, lo, hi = t[same], c[same], doc[same], lo[same], hi[same]
+    flush = max(FLUSH, A_BLOB * buckets)
+
+    def combine(t, c, doc, row, lo, hi):
+        order = np.lexsort((lo, row, doc, c, t))
+        t, c, doc, row, lo, hi = (x[order] for x in (t, c, doc, row, lo, hi))
+        late = ~_runs(t, c)
+        out = list(_by_doc(GONE, doc[late], row[late], lo[late], hi[late], buckets)) if late.any() else []
+        t, c, doc, row, lo, hi = (x[~late] for x in (t, c, doc, row, lo, hi))
         head = np.flatnonzero(_runs(t))
-        size = np.diff(np.append(head, len(t)))
+        size = _sizes(head, len(t))
         many = np.repeat(size >= MANY, size)
         if many.any():
-            out += _by_doc(doc[many], lo[many], hi[many], 2, buckets)
-        witness = head[size >= MANY]
-        t2, c2 = np.append(t[~many], t[witness]), np.append(c[~many], ~t[witness])
-        doc2, lo2, hi2 = np.append(doc[~many], np.full(len(witness), LAST)), np.append(lo[~many], np.full(len(witness), -1)), np.append(hi[~many], np.full(len(witness), -1))
-        out += [{"bucket": b, "kind": 0, "trigger": a, "context": x, "doc": d, "lo": p, "hi": q} for b, (a, x, d, p, q) in scatter(t2, [t2, c2, doc2, lo2.astype(np.int32), (hi2 - lo2).astype(np.uint8)], buckets)]
+            out += _by_doc(SINGLY, doc[many], row[many], lo[many], hi[many], buckets, t[many])
+        witness = t[head[size >= MANY]]  # stands for many contexts, with no place of its own
+        none = np.full(len(witness), -1)
+        columns = [np.append(t[~many], witness), np.append(c[~many], ~witness), np.append(doc[~many], none), np.append(row[~many], none), np.append(lo[~many], none).astype(np.int32), np.append(hi[~many] - lo[~many], none + 1).astype(np.uint8)]
+        out += [{"bucket": b, "kind": PHRASE, **dict(zip(("trigger", "context", "doc", "row", "lo", "hi"), parts, strict=True))} for b, parts in scatter(columns[0], columns, buckets)]
         return _emit(out, schema)
 
     def parse(batches):
         held, size = [], 0
         for batch in batches:
-            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(LAST))
-            for t, c, row, lo, hi in _parsed(texts(batch.column(1))):
-                held.append((t, c, ids[row], lo, hi))
+            ids, rows = _ids(batch)
+            for t, c, at, lo, hi in _parsed(texts(batch.column(2))):
+                held.append((t, c, ids[at], rows[at], lo, hi))
                 size += len(t)
-                if size >= FLUSH:
+                if size >= flush:
                     yield combine(*map(np.concatenate, zip(*held, strict=True)))
                     held, size = [], 0
         if size:
             yield combine(*map(np.concatenate, zip(*held, strict=True)))
 
     def match(batches):
-        through: list[pa.RecordBatch] = []
-
-        def parts():
-            for batch in batches:
-                done = pc.greater(batch.column(1), 0)
-                if (rest := batch.filter(done)).num_rows:
-                    through.append(rest)
-                yield batch.filter(pc.invert(done))
-
-        for _, table in groups(parts()):
-            while through:
-                yield through.pop()
-            t, c, doc = blob(table, "trigger", np.uint64), blob(table, "context", np.uint64), blob(table, "doc", np.int64)
+        for table, through in _passing(batches, (PHRASE,)):
+            yield from through
+            if table is None:
+                continue
+            t, c, doc, row = blob(table, "trigger", np.uint64), blob(table, "context", np.uint64), blob(table, "doc", np.int64), blob(table, "row", np.int64)
             lo = blob(table, "lo", np.int32).astype(np.int64)
             hi = lo + blob(table, "hi", np.uint8)
-            order = np.lexsort((lo, doc, c, t))
-            t, c, doc, lo, hi = t[order], c[order], doc[order], lo[order], hi[order]
-            real = lo >= 0
-            late = _later(_runs(t, c), doc, lo) & real
+            order = np.lexsort((lo, row, doc, c, t))
+            t, c, doc, row, lo, hi = (x[order] for x in (t, c, doc, row, lo, hi))
+            real, fresh = lo >= 0, _runs(t, c)
+            late = ~fresh & real
             head = np.flatnonzero(_runs(t))
-            kinds = np.add.reduceat(_runs(t, c).astype(np.int64), head) if len(head) else head
-            ask = np.repeat(kinds > 1, np.diff(np.append(head, len(t)))) & real & ~late
-            yield _emit([*_by_doc(doc[late], lo[late], hi[late], 1, buckets), *_by_doc(doc[ask], lo[ask], hi[ask], 2, buckets)], schema)
-        while through:
-            yield through.pop()
+            size = _sizes(head, len(t))
+            kinds = np.add.reduceat((fresh & real).astype(np.int64), head) if len(head) else head
+            seen = np.add.reduceat((~real).astype(np.int64), head) if len(head) else head
+            ask = np.repeat((kinds > 1) | (seen > 0), size) & real & ~late
+            hot = np.repeat((kinds >= HOT) | (seen > 0), size)
+            out = list(_by_doc(GONE, doc[late], row[late], lo[late], hi[late], buckets))
+            for kind, which in ((ASKED, ask & ~hot), (SINGLY, ask & hot)):
+                out += _by_doc(kind, doc[which], row[which], lo[which], hi[which], buckets, t[which])
+            yield _emit(out, schema)
 
     return by_bucket(docs.mapInArrow(tidy(parse), PHRASES), buckets).mapInArrow(tidy(match), PHRASES)
 
@@ -183,101 +205,204 @@ def _merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(blobs: DataFrame, buckets: int) -> DataFrame:
-    """One row a document: byte ranges removed, and first and last starts asked for."""
+    """One row a document: byte ranges that go, and (first start, last start, trigger, kind) of what is to be looked at."""
     schema = arrow_schema(SPANS, blobs.sparkSession)
 
     def gather(batches):
         for _, table in groups(batches):
-            ready: dict[int, list] = {}
-            for kind in (1, 2):
-                part = table.filter(pc.equal(table.column("kind"), kind))
-                doc, lo, hi = (blob(part, n, np.int64) for n in ("doc", "lo", "hi"))
-                order = np.lexsort((lo, doc))
-                doc, lo, hi = doc[order], lo[order], hi[order]
-                if not len(doc):
+            ready: dict[tuple[int, int], list] = {}
+            for gone in (True, False):
+                part = table.filter(pc.equal(table.column("kind"), GONE) if gone else pc.greater(table.column("kind"), GONE))
+                if not part.num_rows:
                     continue
-                cuts = np.flatnonzero(_runs(doc))
+                doc, row, lo, hi = (blob(part, n, np.int64) for n in ("doc", "row", "lo", "hi"))
+                t = np.zeros(len(doc), np.int64) if gone else blob(part, "trigger", np.int64)
+                kind = np.repeat(np.asarray(part.column("kind")).astype(np.int64), [len(x) // 8 for x in part.column("doc").to_pylist()])
+                order = np.lexsort((lo, row, doc))
+                doc, row, lo, hi, t, kind = (x[order] for x in (doc, row, lo, hi, t, kind))
+                cuts = np.flatnonzero(_runs(doc, row))
                 for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
-                    x, y = _merged(lo[a:b], hi[a:b] + LENGTH) if kind == 1 else (lo[a:b], hi[a:b])
-                    ready.setdefault(int(doc[a]), [None, None])[kind - 1] = np.stack([x, y], 1).astype(np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(ready), pa.int64()), pa.array([r for r, _ in ready.values()], pa.binary()), pa.array([a for _, a in ready.values()], pa.binary())], schema=schema)
+                    found = _merged(lo[a:b], hi[a:b] + LENGTH) if gone else (lo[a:b], hi[a:b], t[a:b], kind[a:b])
+                    ready.setdefault((int(doc[a]), int(row[a])), [None, None])[not gone] = np.stack(found, 1).astype(np.int64).tobytes()
+            keys = list(ready)
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keys], pa.int64()), pa.array([r for _, r in keys], pa.int64()), pa.array([r for r, _ in ready.values()], pa.binary()), pa.array([a for _, a in ready.values()], pa.binary())], schema=schema)
+
+    return by_bucket(blobs.select("bucket", "kind", "doc", "row", "lo", "hi", "trigger"), buckets).mapInArrow(tidy(gather), SPANS)
+
+
+def _rank(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of 64-bit keys."""
+    order = np.argsort(key)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(_runs(key[order])) - 1
+    return out.view(np.uint64)
 
-    return by_bucket(blobs.select("bucket", "kind", "doc", "lo", "hi"), buckets).mapInArrow(tidy(gather), SPANS)
+
+def suffix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): starts in the order of their suffixes cut at LENGTH bytes, and whether each has less than that in common with the one before.
+
+    Prefix doubling: ranks of 8, 16, 32 and 64 bytes at all places, then of LENGTH bytes at the starts.
+    """
+    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)])
+    n, rank = len(text), np.zeros(len(text), np.uint64)
+    for k in range(8):
+        rank = (rank << np.uint64(8)) | padded[k : n + k].astype(np.uint64)
+    depth = 8
+    while depth * 2 <= LENGTH:
+        rank = _rank(rank) + np.uint64(1)
+        rank = (rank << np.uint64(32)) | np.append(rank[depth:], np.zeros(depth, np.uint64))[:n]
+        depth *= 2
+    rank = _rank(rank)
+    key = (rank[starts] << np.uint64(32)) | rank[starts + LENGTH - depth]
+    order = np.argsort(key, kind="stable")
+    return order, _runs(key[order])
+
+
+def _late_strings(head: np.ndarray, order: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Indices of strings that equal one which is earlier in corpus order; doc, row and lo of each string, not in ``order``."""
+    group = np.cumsum(head) - 1
+    shared = np.bincount(group)[group] > 1
+    order, group = order[shared], group[shared]
+    again = np.lexsort((lo[order], row[order], doc[order], group))
+    return order[again[~_runs(group[again])]]
+
+
+def _as_runs(entry: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, first start, last start) of maximal runs of starts, within their entries."""
+    order = np.lexsort((start, entry))
+    entry, start = entry[order], start[order]
+    cut = np.ones(len(entry), bool)
+    cut[1:] = (entry[1:] != entry[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(cut)
+    return entry[at], start[at], start[np.append(at[1:], len(start)) - 1] if len(at) else start
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _within(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) for all numbers from each row's first, as many as its count."""
+    at = np.repeat(np.arange(len(first)), count)
+    return at, np.arange(len(at)) - np.repeat(_offsets(count)[:-1], count) + np.repeat(first, count)
+
+
+def dictionary_repeats(t: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, size: np.ndarray, content: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(entry, first and last start) of strings that repeat earlier ones. Entries are contexts, ``size`` bytes of ``content`` each."""
+    at = _offsets(size)[:-1]
+    order = np.argsort(t, kind="stable")
+    heads = np.flatnonzero(_runs(t[order]))
+    total = _offsets(size[order])[np.append(heads, len(t))]
+    a = 0
+    while a < len(heads):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + ARRAY_BYTES, "right")) - 1)
+        part = order[heads[a] : heads[b] if b < len(heads) else len(t)]
+        a = b
+        text = content[_within(at[part], size[part])[1]]
+        entry, start = _within(_offsets(size[part])[:-1], size[part] - LENGTH + 1)
+        place = lo[part][entry] + start - _offsets(size[part])[entry]
+        ranked, head = suffix_order(text, start)
+        late = _late_strings(head, ranked, doc[part][entry], row[part][entry], place)
+        yield _as_runs(part[entry[late]], place[late])
 
 
 def _first_strings(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
-    """Step 2: blobs of removed starts, from grouping the asked strings by hash."""
+    """Step 2: blobs of starts that go, from the suffix arrays of the asked contexts; hot triggers' strings by their fingerprints."""
     schema = arrow_schema(PHRASES, docs.sparkSession)
-
-    def combine(parts):
-        h, doc, lo = map(np.concatenate, zip(*parts, strict=True))
-        order = np.lexsort((lo, doc, h))
-        h, doc, lo = h[order], doc[order], lo[order]
-        late = _later(_runs(h), doc, lo)
-        keep = ~late & _runs(h, doc, lo)
-        return [*_by_doc(doc[late], lo[late], lo[late], 1, buckets), *({"bucket": b, "kind": 0, "trigger": x, "doc": d, "lo": y} for b, (x, d, y) in scatter(mix(h[keep] ^ np.uint64(0x9E3779B97F4A7C15)), [h[keep], doc[keep], lo[keep].astype(np.int32)], buckets))]
+    flush = max(FLUSH, A_BLOB * buckets)
+
+    def contexts(parts):
+        """Blobs of contexts by trigger: bytes in ``context``, their number in ``hi``."""
+        t, doc, row, lo, size, content = map(np.concatenate, zip(*parts, strict=True))
+        at = _offsets(size)[:-1]
+        number = np.arange(len(t))
+        for b, (x,) in scatter(t, [number], buckets):
+            i = np.frombuffer(x, np.int64)
+            yield {"bucket": b, "kind": PHRASE, "trigger": t[i].tobytes(), "context": content[_within(at[i], size[i])[1]].tobytes(), "doc": doc[i].tobytes(), "row": row[i].tobytes(), "lo": lo[i].astype(np.int32).tobytes(), "hi": size[i].astype(np.uint8).tobytes()}
+
+    def singles(h, h2, doc, row, lo):
+        """Blobs of single strings, by fingerprint; of equal ones here, the first goes on."""
+        order = np.lexsort((lo, row, doc, h2, h))
+        h, h2, doc, row, lo = (x[order] for x in (h, h2, doc, row, lo))
+        late = ~_runs(h, h2)
+        yield from _by_doc(GONE, doc[late], row[late], lo[late], lo[late], buckets)
+        columns = [x[~late] for x in (h, h2, doc, row)]
+        for b, (x, y, d, r, p) in scatter(columns[0], [*columns, lo[~late].astype(np.int32)], buckets):
+            yield {"bucket": b, "kind": SINGLY, "trigger": x, "context": y, "doc": d, "row": r, "lo": p}
 
     def look(batches):
-        held, size = [], 0
+        whole, single, n, m, size = [], [], 0, 0, 0
         for batch in batches:
-            ids, asks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, j, data, offsets in chunks(texts(batch.column(1))):
-                prefix = rolling(data)
+            ids, rows = _ids(batch)
+            asks = batch.column(3).to_pylist()
+            for i, j, data, offsets in chunks(texts(batch.column(2))):
                 for r in range(i, j):
-                    lo, hi = np.frombuffer(asks[r], np.int64).reshape(-1, 2).T
-                    count = hi - lo + 1
-                    cum = np.cumsum(count)
-                    start = np.arange(cum[-1]) + np.repeat(lo - cum + count, count)
-                    start = start[start + LENGTH <= offsets[r - i + 1] - offsets[r - i]]
-                    held.append((span_hash(prefix, start + offsets[r - i], start + offsets[r - i] + LENGTH), np.full(len(start), ids[r], np.int64), start))
-                    size += len(start)
-                if size >= FLUSH:
-                    yield _emit(combine(held), schema)
-                    held, size = [], 0
-        if size:
-            yield _emit(combine(held), schema)
+                    lo, hi, t, kind = np.frombuffer(asks[r], np.int64).reshape(-1, 4).T
+                    base, length = offsets[r - i], hi - lo + LENGTH
+                    for k, one in ((kind == ASKED, False), (kind == SINGLY, True)):
+                        if not k.any():
+                            continue
+                        part = data[_within(lo[k] + base, length[k])[1]]
+                        doc, row = np.full(k.sum(), ids[r]), np.full(k.sum(), rows[r])
+                        if not one:
+                            whole.append((t[k].view(np.uint64), doc, row, lo[k], length[k], part))
+                            n += len(doc)
+                            size += len(part)
+                            continue
+                        entry, x = _within(_offsets(length[k])[:-1], length[k] - LENGTH + 1)
+                        place = lo[k][entry] + x - _offsets(length[k])[entry]
+                        back = len(part) - x
+                        single.append((span_hash(rolling(part), x, x + LENGTH), span_hash(rolling(part[::-1]), back - LENGTH, back), doc[entry], row[entry], place))
+                        m += len(place)
+                if n >= flush or size >= 64 << 20:
+                    yield _emit(list(contexts(whole)), schema)
+                    whole, n, size = [], 0, 0
+                if m >= flush:
+                    yield _emit(list(singles(*map(np.concatenate, zip(*single, strict=True)))), schema)
+                    single, m = [], 0
+        if n:
+            yield _emit(list(contexts(whole)), schema)
+        if m:
+            yield _emit(list(singles(*map(np.concatenate, zip(*single, strict=True)))), schema)
 
     def match(batches):
-        through: list[pa.RecordBatch] = []
-
-        def parts():
-            for batch in batches:
-                done = pc.greater(batch.column(1), 0)
-                if (rest := batch.filter(done)).num_rows:
-                    through.append(rest)
-                yield batch.filter(pc.invert(done))
-
-        for _, table in groups(parts()):
-            while through:
-                yield through.pop()
-            h, doc, lo = blob(table, "trigger", np.uint64), blob(table, "doc", np.int64), blob(table, "lo", np.int32).astype(np.int64)
-            order = np.lexsort((lo, doc, h))
-            h, doc, lo = h[order], doc[order], lo[order]
-            late = _later(_runs(h), doc, lo)
-            yield _emit(list(_by_doc(doc[late], lo[late], lo[late], 1, buckets)), schema)
-        while through:
-            yield through.pop()
-
-    joined = _with(docs, asked.where("asked is not null").select("doc", "asked"), "asked", "inner").select("doc", "text", "asked")
+        for table, through in _passing(batches, (PHRASE, SINGLY)):
+            yield from through
+            if table is None:
+                continue
+            part = table.filter(pc.equal(table.column("kind"), PHRASE))
+            if part.num_rows:
+                t, doc, row, lo = blob(part, "trigger", np.uint64), blob(part, "doc", np.int64), blob(part, "row", np.int64), blob(part, "lo", np.int32).astype(np.int64)
+                for entry, first, last in dictionary_repeats(t, doc, row, lo, blob(part, "hi", np.uint8).astype(np.int64), blob(part, "context", np.uint8)):
+                    yield _emit(list(_by_doc(GONE, doc[entry], row[entry], first, last, buckets)), schema)
+            part = table.filter(pc.equal(table.column("kind"), SINGLY))
+            if part.num_rows:
+                h, h2, doc, row, lo = blob(part, "trigger", np.uint64), blob(part, "context", np.uint64), blob(part, "doc", np.int64), blob(part, "row", np.int64), blob(part, "lo", np.int32).astype(np.int64)
+                order = np.lexsort((h2, h))
+                late = _late_strings(_runs(h[order], h2[order]), order, doc, row, lo)
+                yield _emit(list(_by_doc(GONE, doc[late], row[late], lo[late], lo[late], buckets)), schema)
+
+    joined = _with(docs, asked.where("asked is not null").select("doc", "row", "asked"), "asked", "inner").select("doc", "row", "text", "asked")
     return by_bucket(joined.mapInArrow(tidy(look), PHRASES), buckets).mapInArrow(tidy(match), PHRASES)
 
 
 def _with(docs: DataFrame, by_doc: DataFrame, column: str, how: str) -> DataFrame:
     """docs joined with blobs by document; the blobs are broadcast only while their measured size is small."""
-    size = by_doc.agg(F.sum(F.octet_length(column) + 32)).first()[0] or 0
-    return docs.join(F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc.hint("merge"), "doc", how)
+    size = by_doc.agg(F.sum(F.octet_length(column) + 40)).first()[0] or 0
+    return docs.join(F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc.hint("merge"), ["doc", "row"], how)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, removed): byte ranges of each document covered by strings that start earlier, as pairs of 64-bit numbers.
+    """(doc, row, removed): byte ranges of each document covered by strings that start earlier, as pairs of 64-bit numbers.
 
-    docs(doc, text), doc a long with LAST for null. Documents that lose nothing have no row.
+    docs(doc, row, text): doc is a long, LAST for null; (doc, row) is the document. Documents that lose nothing have no row.
     """
-    buckets = max(4, min(1 << 16, plan_bytes(docs) // BUCKET_BYTES))
+    docs = docs.select("doc", "row", "text")
+    buckets = bucket_count(plan_bytes(docs), BUCKET_BYTES)
     first = materialize(_spans(_first_contexts(docs, buckets), buckets), "phrase-spans")
     second = materialize(_spans(_first_strings(docs, first, buckets), buckets), "string-spans")
-    whole = first.where("removed is not null").select("doc", F.col("removed").alias("r1"))
-    return whole.join(second.select("doc", F.col("removed").alias("r2")), "doc", "full").select("doc", F.concat(F.coalesce("r1", F.lit(b"")), F.coalesce("r2", F.lit(b""))).alias("removed"))
+    whole = first.where("removed is not null").select("doc", "row", F.col("removed").alias("r1"))
+    return whole.join(second.select("doc", "row", F.col("removed").alias("r2")), ["doc", "row"], "full").select("doc", "row", F.concat(F.coalesce("r1", F.lit(b"")), F.coalesce("r2", F.lit(b""))).alias("removed"))
 
 
 def kept_pieces(text: np.ndarray, removed: bytes | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -291,13 +416,14 @@ def kept_pieces(text: np.ndarray, removed: bytes | None) -> tuple[list[tuple[int
     return gone, list(zip([0, *end.tolist()], [*lo.tolist(), len(text)], strict=True))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text)."""
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    schema = arrow_schema(out, spark)
-    docs = read(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    schema = arrow_schema(out, docs.sparkSession)
+    docs = numbered(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text"), "row")
     spans = materialize(repeated_spans(docs), "removed-spans")
 
-    def report(batches):
+    def digest(batches):
         for batch in batches:
             ids, removed = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             data, offsets = raw_bytes(texts(batch.column(1)))
@@ -311,4 +437,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((None if doc == LAST else doc, len(text), sum(b - a for a, b in gone), len(gone), h.hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
 
-    return _with(docs, spans, "removed", "left").select("doc", "text", "removed").mapInArrow(tidy(report), out)
+    return _with(docs, spans, "removed", "left").select("doc", "text", "removed").mapInArrow(tidy(digest), out)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(read(spark, sf_dir, "documents"))
+
+
+#: Bytes as pairs of hex digits; strings are grouped by their own content. Rows that share a doc_id go by their order in the table.
+ORACLE_SQL = """
+WITH t AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST) AS o FROM (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents)),
+s AS (SELECT o, unnest(range(0, (length(h) // 2 - 99)::BIGINT)) AS p, h FROM t WHERE length(h) >= 200),
+g AS (SELECT o, p, substr(h, (p * 2 + 1)::BIGINT, 200) AS w FROM s),
+late AS (SELECT o, p FROM g QUALIFY row_number() OVER (PARTITION BY w ORDER BY o, p) > 1),
+runs AS (SELECT o, p, CASE WHEN p <= COALESCE(lag(p) OVER (PARTITION BY o ORDER BY p) + 100, -1) THEN 0 ELSE 1 END AS fresh FROM late),
+numbered AS (SELECT o, p, sum(fresh) OVER (PARTITION BY o ORDER BY p) AS k FROM runs),
+spans AS (SELECT o, k, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY o, k),
+pieces AS (SELECT o, k, COALESCE(lag(b) OVER (PARTITION BY o ORDER BY k), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT o, max(k) + 1, max(b), NULL FROM spans GROUP BY o),
+kept AS (SELECT o, string_agg(CASE WHEN b IS NULL THEN substr(h, (a * 2 + 1)::BIGINT) ELSE substr(h, (a * 2 + 1)::BIGINT, ((b - a) * 2)::BIGINT) END, '' ORDER BY k) AS h FROM pieces JOIN t USING (o) GROUP BY o),
+lost AS (SELECT o, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM spans GROUP BY o)
+SELECT doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(COALESCE(kept.h, t.h))) AS kept_sha256
+FROM t LEFT JOIN lost USING (o) LEFT JOIN kept USING (o)"""

@@ -1,6 +1,7 @@
 """Suffix dedup, Jaccard join and line dedup against brute force."""
 
 import hashlib
+import random
 import re
 import string
 from collections import Counter
@@ -21,33 +22,67 @@ def write(spark, tmp_path, **tables):
 
 
 def brute_spans(rows, length=100):
+    """Rows that share a doc_id, or have none, are documents of their own, here in the order of ``rows``."""
     place, out = {}, []
     last = 1 << 63
-    for doc, text, *_ in rows:
+    key = lambda n, doc, i: (last if doc is None else doc, n, i)
+    for n, (doc, text, *_) in enumerate(rows):
         b = (text or "").encode()
         for i in range(len(b) - length + 1):
             w = b[i : i + length]
-            place[w] = min(place.get(w, (last + 1, 0)), (last if doc is None else doc, i))
-    for doc, text, *_ in rows:
+            place[w] = min(place.get(w, (last + 1, 0, 0)), key(n, doc, i))
+    for n, (doc, text, *_) in enumerate(rows):
         b = (text or "").encode()
         mark = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if place[b[i : i + length]] < (last if doc is None else doc, i):
+            if place[b[i : i + length]] < key(n, doc, i):
                 mark[i : i + length] = b"\1" * length
         kept = bytes(c for c, m in zip(b, mark) if not m)
         out.append((doc, len(b), sum(mark), len([x for x in bytes(mark).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("many", [32, 1])
-def test_suffix_dedup(spark, tmp_path, monkeypatch, many):
+@pytest.mark.parametrize("many,hot", [(256, 4096), (1, 4096), (256, 2), (3, 4)])
+def test_suffix_dedup(spark, tmp_path, monkeypatch, many, hot):
     monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = documents() + [(60 + i, "x" * 150 + str(i), "s") for i in range(5)]
     d = write(spark, tmp_path, documents=frame(spark, rows).repartition(5))
     got = [tuple(r) for r in suffix_dedup.query(spark, d).collect()]
     assert sorted(got, key=repr) == brute_spans(rows)
 
 
+def odd_ids():
+    """Different texts under one doc_id and under none, that share passages with others or with nothing."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice(string.ascii_letters) for _ in range(n))
+    shared, twin = text(150), text(400)
+    return [(1, shared + text(60)), (None, shared + text(70)), (None, text(300)), (7, shared + text(80)), (7, text(280)), (7, twin), (7, twin), (None, twin[:200]), (None, text(90)), (3, None), (3, "")], shared, twin
+
+
+@pytest.mark.parametrize("from_table", [True, False])
+def test_suffix_dedup_of_repeated_and_null_ids(spark, tmp_path, from_table):
+    rows, shared, twin = odd_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if from_table:
+        docs.repartition(3).write.parquet(f"{tmp_path}/d")
+        docs = spark.read.parquet(f"{tmp_path}/d")
+    got = sorted((tuple(r)[:4] for r in suffix_dedup.report(docs).collect()), key=repr)
+    # of equal twins under one id, either may be the one that stays
+    assert got == sorted((r[:4] for r in brute_spans(rows)), key=repr)
+
+
+def test_suffix_order_is_that_of_sorted_strings():
+    rng = np.random.default_rng(2)
+    text = np.concatenate([rng.integers(97, 99, 600), np.full(300, 97), rng.integers(97, 99, 600)]).astype(np.uint8)
+    text[900:1300] = text[50:450]
+    starts = np.arange(len(text) - 99)
+    order, head = suffix_dedup.suffix_order(text, starts)
+    strings = [bytes(text[i : i + 100]) for i in starts]
+    assert [strings[i] for i in order] == sorted(strings)
+    assert [bool(h) for h in head] == [k == 0 or strings[order[k]] != strings[order[k - 1]] for k in range(len(order))]
+
+
 def test_suffix_dedup_slices_of_a_long_text(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 512)
     import pyarrow as pa
@@ -125,6 +160,14 @@ def test_jaccard_stage_keeps_one_of_each(spark):
     assert {i for i in ids if i is not None} - least == {22, 23, 24} and len(ids) == len(set(ids))
 
 
+def test_jaccard_stage_of_repeated_and_null_ids(spark):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuv")
+    rows = [(5, t, 1), (30, t, 2), (30, u, 3), (None, t, 4), (None, t, 5), (9, v, 6), (None, u, 7), (None, None, 8), (30, "", 9), (None, v + " more", 10)]
+    for columns in ("doc_id long, text string, row long", "doc_id long, text string, part long"):
+        kept = jaccard_join.stage(spark, spark.createDataFrame(rows, columns).repartition(3), "")
+        assert sorted(r[2] for r in kept.collect()) == [1, 3, 6, 8, 9]
+
+
 def brute_lines(rows, min_docs=10):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     lines = [(r[1] or "").split("\n") for r in rows]
