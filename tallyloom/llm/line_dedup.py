@@ -5,10 +5,12 @@ reference-count table holds, exactly, the number of documents of every key. Keys
 are *common*; each shard's cuckoo filter holds their fingerprints. Documents are cleaned by probing the filters while their
 text streams by, without shuffling any text. A key that the filters hit by chance is found beforehand, by probing the
 filters with the rest of the exact table, and travels along as an exception: the filters plus exceptions are exact.
+Only RESIDENT_KEYS keys' filters, the most frequent ones, go to all tasks. Where there are more common keys, the other
+filters stay in their shards, each built from its part of the exact table, and the keys of the remaining lines go to them.
 
 Defined cases: a null or empty text is one empty line; empty keys are never counted or dropped; each row is one document,
-also where rows repeat a doc_id; an empty table gives an empty result; extra columns pass through ``drop_lines`` untouched,
-and those named like its results are replaced.
+also where rows repeat a doc_id; an empty table gives an empty result; extra columns pass through ``drop_lines`` untouched
+(its results take other names if asked to, and replace columns of the same name), and through ``stage`` in any case.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, BROADCAST_BYTES, materialize, mix, read, sha256, SPACES, texts, tidy
+from .common import arrow_schema, blob, BROADCAST_BYTES, bucket_count, by_bucket, groups, materialize, mix, numbered, read, scatter, sha256, small_join, SPACES, texts, tidy, unused
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-SHARDS = 64
+#: Shards of a kept index, keys (or lines that ask for keys) of a shard otherwise, and filter keys sent to all tasks (10 bytes each at most).
+SHARDS, SHARD_KEYS, RESIDENT_KEYS = 64, 1 << 17, BROADCAST_BYTES // 10
 SLOTS = 4
 COUNTS = "k1 long, k2 long, docs long"
 
@@ -193,23 +196,22 @@ def build_filters(counts: DataFrame, min_docs: int = MIN_DOCS, shards: int = SHA
     return counts.where(F.col("docs") >= min_docs).withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, filter binary")
 
 
-def _chance_hits(counts: DataFrame, screen, min_docs: int) -> DataFrame:
-    """Keys of the exact table that are not common, yet hit by the filters."""
+def _chance_hits(counts: DataFrame, screen, least: int) -> DataFrame:
+    """Keys of the exact table that are in fewer than ``least`` documents, yet hit by the filters."""
 
     def probe(batches):
         for batch in batches:
             k1, k2 = (np.asarray(batch.column(i)).copy() for i in (0, 1))
             yield batch.filter(pa.array(screen.value.hits(k1, k2)))
 
-    return counts.where(F.col("docs") < min_docs).mapInArrow(tidy(probe), COUNTS)
+    return counts.where(F.col("docs") < least).mapInArrow(tidy(probe), COUNTS)
 
 
-def _clean(docs: DataFrame, text: str, min_chars: int, decide, extra: str) -> DataFrame:
-    """Drop lines by ``decide(batch rows, ids, k1, k2, rows of lines)``; all columns of docs pass through."""
-    results = ("n_lines", "n_dropped")
-    keep = [f for f in docs.schema.fields if f.name not in results and f.name != extra]
+def _clean(docs: DataFrame, text: str, min_chars: int, decide, extra: str, results: tuple[str, str]) -> DataFrame:
+    """Drop lines by ``decide(batch rows, ids, k1, k2, rows of lines)``; all columns of docs but ``extra`` pass through, then the results."""
+    keep = [f for f in docs.schema.fields if f.name not in (*results, extra)]
     docs = docs.select(*(f.name for f in docs.schema.fields if f.name not in results))
-    out = T.StructType([*keep, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = T.StructType([*keep, *(T.StructField(n, T.LongType()) for n in results)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(out)
@@ -232,9 +234,9 @@ def _clean(docs: DataFrame, text: str, min_chars: int, decide, extra: str) -> Da
                     if f.name == text:
                         # texts that lose nothing stay as they are, nulls included
                         columns.append(pc.if_else(pa.array(n_drop > 0), joined, part.column(part.schema.get_field_index(text)).cast(pa.string())))
-                    elif f.name == "n_lines":
+                    elif f.name == results[0]:
                         columns.append(pa.array(n.astype(np.int64)))
-                    elif f.name == "n_dropped":
+                    elif f.name == results[1]:
                         columns.append(pa.array(n_drop.astype(np.int64)))
                     else:
                         columns.append(part.column(part.schema.get_field_index(f.name)).cast(f.type))
@@ -243,52 +245,113 @@ def _clean(docs: DataFrame, text: str, min_chars: int, decide, extra: str) -> Da
     return docs.mapInArrow(tidy(run), out)
 
 
-def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, max_filter_bytes: int = BROADCAST_BYTES, counts: DataFrame | None = None) -> DataFrame:
-    """docs with the lines of common keys dropped from ``text``, plus n_lines (before) and n_dropped.
+def _resident_from(counts: DataFrame, min_docs: int, resident_keys: int) -> int:
+    """The least number of documents from which on keys' filters are sent to all tasks: ``min_docs``, or the power of two that leaves no more than ``resident_keys``."""
+    power = F.floor(F.log2("docs")).cast("int")
+    sizes = sorted(((r["p"], r["n"]) for r in counts.where(F.col("docs") >= min_docs).groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    left = resident_keys
+    for p, n in sizes:
+        if n > left:
+            return max(min_docs, 2 << p)
+        left -= n
+    return min_docs
 
-    counts: a kept reference-count table (LineIndex); by default it is made from docs. Filters larger than
-    ``max_filter_bytes`` are not sent to executors: the exact table is then joined by shuffle, with the same result.
+
+def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, resident_keys: int = RESIDENT_KEYS, counts: DataFrame | None = None, results: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the lines of common keys dropped from ``text``, plus the results (lines before, and dropped).
+
+    counts: a kept reference-count table (LineIndex); by default it is made from docs. Filters of the most frequent common
+    keys, ``resident_keys`` of them at most, are sent to all tasks. If there are more common keys, the other filters stay
+    with their shards, and the keys of the lines that the first ones do not drop go there.
     """
     counts = materialize(line_counts(docs, text, min_chars), "line-counts") if counts is None else counts
-    filters = materialize(build_filters(counts, min_docs, shards), "line-filters")
-    if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= max_filter_bytes:
-        content = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}
-        sc = docs.sparkSession.sparkContext
-        screen = sc.broadcast(Screen(content, [], shards))
-        chance = _chance_hits(counts, screen, min_docs).limit(max_filter_bytes // 16 + 1).select("k1", "k2").collect() if content else []
-        if len(chance) <= max_filter_bytes // 16:
-            exact = sc.broadcast(Screen(content, [(r["k1"], r["k2"]) for r in chance], shards)) if chance else screen
-            return _clean(docs, text, min_chars, lambda part, ids, k1, k2, doc: (ids >= 0) & np.append(exact.value.common(k1, k2), False)[ids], "")
-    return _drop_by_join(docs, text, min_docs, min_chars, counts)
-
-
-def _drop_by_join(docs: DataFrame, text: str, min_docs: int, min_chars: int, counts: DataFrame) -> DataFrame:
-    """The same result by joining each row's keys with the common ones; rows meet again by the digest of their text."""
-    pairs_type = "th string, k1 long, k2 long"
-    schema = arrow_schema(pairs_type, docs.sparkSession)
-
-    def explode(batches):
-        for batch in batches:
-            column = texts(batch.column(0))
-            for i, j in _pieces(column):
-                part = column.slice(i, j - i)
-                _, first, ids, k1, k2 = line_keys(part, min_chars)
-                doc = np.repeat(np.arange(j - i), np.diff(first))
-                seen = np.unique(doc[ids >= 0] * (len(k1) + 1) + ids[ids >= 0])
-                th = [hashlib.md5(x.as_buffer(), usedforsecurity=False).hexdigest() for x in part]
-                yield pa.RecordBatch.from_arrays([pa.array([th[d] for d in seen // (len(k1) + 1)], pa.string()), pa.array(k1[seen % (len(k1) + 1)]), pa.array(k2[seen % (len(k1) + 1)])], schema=schema)
-
-    common = counts.where(F.col("docs") >= min_docs).select("k1", "k2").hint("merge")
-    found = docs.select(text).mapInArrow(tidy(explode), pairs_type).join(common, ["k1", "k2"]).groupBy("th").agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
-    marked = docs.withColumn("th", F.md5(F.coalesce(F.col(text), F.lit("")))).join(found, "th", "left").drop("th")
+    least = _resident_from(counts, min_docs, resident_keys)
+    resident = counts.where(F.col("docs") >= least)
+    shards = shards or max(1, -(-resident.count() // SHARD_KEYS))
+    content = {r["shard"]: bytes(r["filter"]) for r in build_filters(resident, least, shards).collect()}
+    sc = docs.sparkSession.sparkContext
+    screen = sc.broadcast(Screen(content, [], shards))
+    # Fingerprints of 32 bits: one key in 5 * 10 ** 8 that is not resident is among these, 16 bytes each.
+    chance = _chance_hits(counts, screen, least).select("k1", "k2").collect() if content else []
+    exact = sc.broadcast(Screen(content, [(r["k1"], r["k2"]) for r in chance], shards)) if chance else screen
+
+    def common(ids, k1, k2):
+        return (ids >= 0) & np.append(exact.value.common(k1, k2), False)[ids]
+
+    if least == min_docs:
+        return _clean(docs, text, min_chars, lambda part, ids, k1, k2, doc: common(ids, k1, k2), "", results)
+    row, extra = unused("row", docs.columns), unused("drops", docs.columns)
+    keyed = numbered(docs, row)
+    hits = materialize(_routed_hits(keyed.select(F.col(row).alias("row"), F.col(text).alias("text")), counts.where(F.col("docs") < least), min_docs, min_chars, exact), "line-hits")
+    found = hits.groupBy("row").agg(F.collect_list(F.struct("k1", "k2")).alias(extra)).withColumnRenamed("row", row)
+    marked = small_join(keyed, found, [row], "left", 48, hits.count())
 
     def decide(part, ids, k1, k2, line_doc):
-        drops = part.column(part.schema.get_field_index("__drop")).to_pylist()
-        sets = [{(x["k1"], x["k2"]) for x in d} if d else () for d in drops]
-        pairs = list(zip(k1.tolist(), k2.tolist(), strict=True))
-        return np.array([i >= 0 and pairs[i] in sets[d] for i, d in zip(ids.tolist(), line_doc.tolist(), strict=True)], bool)
+        out = common(ids, k1, k2)
+        drops = [{(x["k1"], x["k2"]) for x in d} if d else None for d in part.column(part.schema.get_field_index(extra)).to_pylist()]
+        at = np.flatnonzero(np.array([d is not None for d in drops])[line_doc] & (ids >= 0) & ~out) if len(line_doc) else []
+        for i in at:
+            out[i] = (int(k1[ids[i]]), int(k2[ids[i]])) in drops[line_doc[i]]
+        return out
+
+    return _clean(marked.drop(row), text, min_chars, decide, extra, results)
+
 
-    return _clean(marked, text, min_chars, decide, "__drop")
+ROUTED = "bucket int, row binary, k1 binary, k2 binary, docs binary"
+
+
+def _routed_hits(docs: DataFrame, counts: DataFrame, min_docs: int, min_chars: int, resident) -> DataFrame:
+    """(row, k1, k2) of lines of docs(row, text) with common keys of counts: each shard builds its filter where its lines come.
+
+    counts has no key of more documents than a share of all that ``resident`` leaves, so no shard is hot.
+    """
+    spark = docs.sparkSession
+    kind = "row long, k1 long, k2 long"
+    schema, found = arrow_schema(ROUTED, spark), arrow_schema(kind, spark)
+    total = counts.agg(F.sum("docs")).first()[0] or 0
+    shards = bucket_count(total, SHARD_KEYS)
+
+    def blobs(columns):
+        names = ("row", "k1", "k2", "docs")
+        parts = [(b, dict(zip(columns, x, strict=True))) for b, x in scatter(columns["k1"].view(np.uint64), list(columns.values()), shards)]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([x.get(n) for _, x in parts], pa.binary()) for n in names)], schema=schema)
+
+    def table(batches):
+        for batch in batches:
+            k1, k2, n = (np.asarray(batch.column(i)) for i in range(3))
+            yield blobs({"k1": k1, "k2": k2, "docs": n})
+
+    def lines(batches):
+        for batch in batches:
+            rows, column = np.asarray(batch.column(0).cast(pa.int64())), texts(batch.column(1))
+            for i, j in _pieces(column):
+                _, first, ids, k1, k2 = line_keys(column.slice(i, j - i), min_chars)
+                if not len(k1):
+                    continue
+                rest = np.append(~resident.value.common(k1, k2), False)
+                doc = np.repeat(rows[i:j], np.diff(first))
+                wanted = rest[ids]
+                seen = np.unique(np.stack([doc[wanted], ids[wanted]], 1), axis=0)
+                if len(seen):
+                    yield blobs({"k1": k1[seen[:, 1]], "k2": k2[seen[:, 1]], "row": seen[:, 0].copy()})
+
+    def probe(batches):
+        for _, held in groups(batches):
+            known = held.filter(pc.is_valid(held.column("docs")))
+            asked = held.filter(pc.is_valid(held.column("row")))
+            k1, k2, n = (blob(known, c, np.int64) for c in ("k1", "k2", "docs"))
+            often = n >= min_docs
+            if not often.any() or not asked.num_rows:
+                continue
+            screen = Screen({0: CuckooFilter.build(k1[often], k2[often]).table.tobytes()}, [], 1)
+            chance = screen.hits(k1[~often], k2[~often])
+            screen = Screen(screen.filters, list(zip(k1[~often][chance].tolist(), k2[~often][chance].tolist(), strict=True)), 1)
+            rows, k1, k2 = (blob(asked, c, np.int64) for c in ("row", "k1", "k2"))
+            hit = screen.common(k1, k2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (rows, k1, k2)], schema=found)
+
+    both = counts.select("k1", "k2", "docs").mapInArrow(tidy(table), ROUTED).unionByName(docs.select("row", "text").mapInArrow(tidy(lines), ROUTED))
+    return by_bucket(both, shards).mapInArrow(tidy(probe), kind)
 
 
 class LineIndex:
@@ -347,7 +410,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with common lines dropped, in their own columns; n_chars follows the text."""
-    out = drop_lines(docs).select(*docs.columns)
+    names = (unused("n_lines", docs.columns), unused("n_dropped", docs.columns))
+    out = drop_lines(docs, results=names).select(*docs.columns)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 

@@ -179,12 +179,39 @@ def brute_lines(rows, min_docs=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, -1])
-def test_line_dedup(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(line_dedup.drop_lines, "__defaults__", (*line_dedup.drop_lines.__defaults__[:-2], limit, None))
-    d = write(spark, tmp_path, documents=frame(spark, documents()).repartition(3))
+def lined():
+    """Documents with more common lines than one, more and less frequent."""
+    rows = documents()
+    return rows + [(80 + i, "\n".join([f"own {i}", *(f"Shared {k}" for k in range(6) if i % (k + 1) < 2)]), "s1") for i in range(40)]
+
+
+@pytest.mark.parametrize("resident,fingers", [(1 << 20, 32), (3, 32), (0, 32), (3, 1)])
+def test_line_dedup(spark, tmp_path, monkeypatch, resident, fingers):
+    """All filters sent, or some, or none; with chance hits in plenty as well."""
+    defaults = list(line_dedup.drop_lines.__defaults__)
+    defaults[4] = resident
+    monkeypatch.setattr(line_dedup.drop_lines, "__defaults__", tuple(defaults))
+    if fingers == 1:
+        monkeypatch.setattr(line_dedup.CuckooFilter, "fingerprint", staticmethod(lambda k2: np.ones(len(k2), np.uint32)))
+    d = write(spark, tmp_path, documents=frame(spark, lined()).repartition(3))
     got = [tuple(r) for r in line_dedup.query(spark, d).collect()]
-    assert sorted(got, key=repr) == brute_lines(documents())
+    assert sorted(got, key=repr) == brute_lines(lined())
+
+
+@pytest.mark.parametrize("resident", [1 << 20, 0])
+def test_line_stage_keeps_columns_of_any_name(spark, monkeypatch, resident):
+    defaults = list(line_dedup.drop_lines.__defaults__)
+    defaults[4] = resident
+    monkeypatch.setattr(line_dedup.drop_lines, "__defaults__", tuple(defaults))
+    docs = spark.createDataFrame(lined(), "doc_id long, text string, source string")
+    names = ("n_lines", "n_dropped", "row", "row_", "drops", "th", "k1", "docs", "bucket")
+    for n in names:
+        docs = docs.selectExpr("*", f"concat('{n}', source) AS {n}")
+    kept = line_dedup.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert all(r["source"] is None or r[n] == n + r["source"] for r in rows for n in names)
+    assert Counter(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in rows) == Counter(h for *_, h in brute_lines(lined()))
 
 
 def test_chance_hits_are_exceptions(spark, monkeypatch):
