@@ -89,9 +89,24 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """Join whose small side is broadcast only if rows * row_bytes is within BROADCAST_BYTES; otherwise a shuffle join with the same rows."""
+    """Join whose small side (keys unique) is broadcast only if rows * row_bytes is within BROADCAST_BYTES; otherwise a shuffle join with the same rows.
+
+    The shuffle join sends the keys apart that hold more rows of ``big`` than a share which no more than BROADCAST_BYTES of
+    small's rows can exceed, and rows without a key, so no task gets a hot key.
+    """
     n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n * row_bytes <= BROADCAST_BYTES else small.hint("merge"), on, how)
+    if n * row_bytes <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on, how)
+    count, flag = unused("n", [*big.columns, *small.columns]), unused("hot", [*big.columns, *small.columns])
+    held = big.select(*on).dropna().groupBy(*on).agg(F.count("*").alias(count))
+    most = max(64, (held.agg(F.sum(count)).first()[0] or 0) * row_bytes // BROADCAST_BYTES + 1)
+    hot = materialize(held.where(F.col(count) > most).select(*on, F.lit(True).alias(flag)), "hot-keys")
+    marked = big.join(F.broadcast(hot), on, "left")
+    apart = F.coalesce(F.col(flag), F.lit(False))
+    for k in on:
+        apart = apart | F.col(k).isNull()
+    first = marked.where(apart).drop(flag).join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return first.unionByName(marked.where(~apart).drop(flag).join(small.hint("merge"), on, how))
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:

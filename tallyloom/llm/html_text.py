@@ -7,12 +7,13 @@ pages that hold one agree in most of their content, as copies do. Constant texts
 digests; texts of page furniture, scripts and styles count nowhere. All pages are then parsed once more, in place:
 text under elements that mark page furniture, and constant text, is template; the varying slots are content. A page with an
 article (or main) element has its content there, unless the wrapper leaves more text outside. Inside articles only what
-INSIDE_SHARE of the host's pages have in common is template, so copies of an article, and what articles quote, stay.
+INSIDE_SHARE of the host's pages have in common is template, so copies of an article, and what articles quote, stay; of an
+article's own header the headings stay, and class names count only where they name what was added to the article.
 
 A text's blocks are the runs of text between block elements; white space in a block becomes one blank, a line break element
 counts as white space, and blocks are joined by line feeds. Defined cases: null or empty html gives an empty text; a null
 or unreadable url is a host of its own kind; unclosed and stray tags are repaired as browsers do for paragraphs, list items
-and table cells; repeated rows are handled one by one; an empty table gives an empty result; extra columns are ignored.
+and table cells; a tag with a quote that never closes ends at its next ">"; pages may be of any depth; repeated rows are handled one by one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,21 +42,21 @@ INSIDE_SHARE, INSIDE_PAGES = 0.3, 3
 WIDE, WIDE_COPY_SHARE = 8, 0.95
 #: What paths inside an article start with.
 ARTICLE = "@"
-#: Children lists beyond this length are aligned by equal ends only, so that matching stays near linear.
-ALIGN = 40
-#: Elements nested deeper are flattened into their ancestor, as browsers do beyond a depth of their own.
-DEPTH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul video audio".split())
 FURNITURE = frozenset("nav header footer aside form script style noscript template head title iframe button select input textarea menu dialog svg object embed canvas label".split())
 NAMED = re.compile(r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|widget\w*|footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip-?link|copyright|legal)(?![a-z])")
+#: Inside articles: class names, or beginnings of hyphened ones, of what readers, advertisers and sites add; names that are only whole ones.
+ADDED = re.compile(r"(?<![\w-])(?:(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|newsletter|comments?|disqus|share|sharing|sidebar|nav|menu|related-\w+|social-(?:share|links?|media))(?![a-z])|(?:notice|alert|popup|modal|banner|related|recommended|pagination|pager|breadcrumbs?|subscribe|signup|login)(?![\w-]))")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration, a tag, or (a quote that never closes) a tag that ends at the next ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -64,63 +67,75 @@ class Node:
         self.tag, self.mark, self.kids, self.shape = tag, mark, [], 0
 
 
+class _Open:
+    """The open elements of a parse, with their number by tag, so that looking for one that isn't open costs nothing."""
+
+    def __init__(self, root: Node):
+        self.stack, self.count = [root], Counter()
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.count[node.tag] += 1
+
+    def close(self, tags: set[str], stops: set[str] | frozenset[str] = frozenset()) -> None:
+        """Close the innermost element of these tags and all inside it, unless one of ``stops`` is open inside it."""
+        if not any(self.count[t] for t in tags):
+            return
+        stack = self.stack
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                for node in stack[i:]:
+                    self.count[node.tag] -= 1
+                del stack[i:]
+                return
+            if stack[i].tag in stops:
+                return
+
+
 def parse(page: str) -> Node:
-    """A repaired DOM tree; children are nodes and strings (character references decoded)."""
+    """A repaired DOM tree of any depth; children are nodes and strings (character references decoded)."""
     root = Node("", "")
-    stack = [root]
+    held = _Open(root)
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            stack[-1].kids.append(html.unescape(text) if "&" in text else text)
+            held.stack[-1].kids.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), m[3] if m[3] is not None else m[4]
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            held.close({tag})
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+            held.close({"p"}, BLOCK)  # a block ends an open paragraph
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in STOPS[tag]:
-                    break
+            held.close(CLOSES[tag], STOPS[tag])
         mark = ""
-        if m[3]:
-            mark = " ".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in _ATTR.findall(m[3])).lower()
+        if attributes:
+            mark = " ".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in _ATTR.findall(attributes)).lower()
         node = Node(tag, mark)
-        if len(stack) > DEPTH:
-            node.kids = stack[-1].kids  # too deep: its content joins its parent's
-        else:
-            stack[-1].kids.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        held.stack[-1].kids.append(node)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             node.kids.append(page[at : close.start()] if close else page[at:])
             at = close.end() if close else end
             continue
-        stack.append(node)
+        held.push(node)
     return root
 
 
-def furniture(node: Node) -> bool:
-    """Whether an element marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments."""
+def furniture(node: Node, inside: bool) -> bool:
+    """Whether an element marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
+
+    Inside articles only tags, roles and the marks of what readers and advertisers add count; there, other names are the author's.
+    """
     if node.tag in FURNITURE:
         return True
     if not node.mark or node.tag in ("html", "body", "article", "main"):
@@ -130,76 +145,191 @@ def furniture(node: Node) -> bool:
     for part in node.mark.split(" "):
         if part.startswith("role=") and part[5:] in ROLES:
             return True
-    return bool(NAMED.search(re.sub(r"\b(class|id|role)=", " ", node.mark)))
+    names = re.sub(r"\b(class|id|role)=", " ", node.mark)
+    return bool((ADDED if inside else NAMED).search(names))
+
+
+def headings(node: Node) -> list[Node]:
+    """The outermost headings below a node, outside furniture: what an article's own header adds to its text."""
+    out, stack = [], list(reversed(node.kids))
+    while stack:
+        k = stack.pop()
+        if isinstance(k, Node) and k.tag in HEADINGS:
+            out.append(k)
+        elif isinstance(k, Node) and not furniture(k, True):
+            stack += reversed(k.kids)
+    return out
 
 
 def _squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-def shape(node: Node) -> int:
-    """Digest of a subtree's elements without its texts; equal shapes match node by node."""
-    node.shape = hash((node.tag, tuple(shape(k) for k in node.kids if isinstance(k, Node))))
-    return node.shape
-
-
-def align(a: Node, b: Node) -> list[tuple[object, object]]:
-    """Matched children of two matched nodes by simple tree matching: equal ends first, then the best ordered matching."""
-    x = [k for k in a.kids if isinstance(k, Node) or k.strip()]
-    y = [k for k in b.kids if isinstance(k, Node) or k.strip()]
-    key = lambda k: (k.shape, k.mark) if isinstance(k, Node) else "text"
-    out, i, n = [], 0, min(len(x), len(y))
-    while i < n and key(x[i]) == key(y[i]):
-        out.append((x[i], y[i]))
-        i += 1
-    j = 0
-    while j < n - i and key(x[-1 - j]) == key(y[-1 - j]):
-        out.append((x[-1 - j], y[-1 - j]))
-        j += 1
-    x, y = x[i : len(x) - j], y[i : len(y) - j]
-    if not x or not y or len(x) > ALIGN or len(y) > ALIGN:
+class Matcher:
+    """Simple tree matching of the pages of a host: the largest order-keeping matching of equal tags, level by level.
+
+    Subtrees that are equal but for their texts have one shape; the matching of two shapes is weighed once, from the leaves
+    up and without recursion, so deep pages and long lists of like items cost no more than their distinct shapes.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.kids: list[tuple[int, ...]] = []
+        self.tags: list[str] = []
+        self.marks: list[str] = []
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def shape(self, root: Node) -> None:
+        """Number the shapes of a tree; 0 is a text."""
+        if not self.kids:
+            self._number("#text", "", ())
+        stack: list[tuple[Node, bool]] = [(root, False)]
+        while stack:
+            node, ready = stack.pop()
+            if not ready:
+                stack.append((node, True))
+                stack += [(k, False) for k in node.kids if isinstance(k, Node)]
+                continue
+            node.shape = self._number(node.tag, node.mark, tuple(k.shape if isinstance(k, Node) else 0 for k in _solid(node)))
+
+    def _number(self, tag: str, mark: str, kids: tuple[int, ...]) -> int:
+        key = (tag, mark, kids)
+        if key not in self.known:
+            self.known[key] = len(self.kids)
+            self.kids.append(kids)
+            self.tags.append(tag)
+            self.marks.append(mark)
+        return self.known[key]
+
+    def _missing(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        ys = set(y)
+        return [(p, q) for p in set(x) for q in ys if p and q and p != q and self.tags[p] == self.tags[q] and (p, q) not in self.weights]
+
+    def weight(self, a: int, b: int) -> int:
+        """Size of the matching of two shapes, a match of equal attributes counting more (0: their roots differ)."""
+        if a == b or not a or not b or self.tags[a] != self.tags[b]:
+            return self._same(a) if a == b else 0
+        stack = [(a, b)]
+        while stack:
+            pair = stack[-1]
+            if pair in self.weights:
+                stack.pop()
+                continue
+            x, y, first = self._middle(self.kids[pair[0]], self.kids[pair[1]])
+            if todo := self._missing(x, y):
+                stack += todo
+                continue
+            stack.pop()
+            kids = self.kids[pair[0]]
+            ends = [*kids[:first], *kids[first + len(x) :]]
+            self.weights[pair] = 1 + (self.marks[pair[0]] == self.marks[pair[1]]) + sum(map(self._same, ends)) + (int(self._table(x, y)[-1][-1]) if x and y else 0)
+        return self.weights[a, b]
+
+    def _same(self, a: int) -> int:
+        """Weight of a shape against itself."""
+        stack = [a]
+        while stack:
+            p = stack[-1]
+            if (p, p) in self.weights:
+                stack.pop()
+            elif todo := [k for k in set(self.kids[p]) if (k, k) not in self.weights]:
+                stack += todo
+            else:
+                self.weights[p, p] = 1 if not p else 2 + sum(self.weights[k, k] for k in self.kids[p])
+        return self.weights[a, a]
+
+    @staticmethod
+    def _middle(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], int]:
+        """Both lists without their equal ends, and the length of the equal beginning."""
+        i, n = 0, min(len(x), len(y))
+        while i < n and x[i] == y[i]:
+            i += 1
+        j = 0
+        while j < n - i and x[-1 - j] == y[-1 - j]:
+            j += 1
+        return x[i : len(x) - j], y[i : len(y) - j], i
+
+    def _scores(self, x: tuple[int, ...], y: tuple[int, ...]) -> np.ndarray:
+        """Weights of all pairs of distinct shapes; rows and columns as in sorted(set(x)) and sorted(set(y))."""
+        return np.array([[self.weight(p, q) if p == q or p and q and self.tags[p] == self.tags[q] else 0 for q in sorted(set(y))] for p in sorted(set(x))], np.int64)
+
+    def _table(self, x: tuple[int, ...], y: tuple[int, ...], last_only: bool = True) -> list[np.ndarray]:
+        """Rows of the dynamic programme over two lists; only the last one unless all are asked for."""
+        score = self._scores(x, y)
+        at, to = {p: i for i, p in enumerate(sorted(set(x)))}, np.searchsorted(sorted(set(y)), y)
+        row = np.zeros(len(y) + 1, np.int64)
+        rows = [row]
+        for p in x:
+            best = row.copy()
+            best[1:] = np.maximum(row[1:], row[:-1] + score[at[p]][to])
+            row = np.maximum.accumulate(best)
+            if last_only:
+                rows[0] = row
+            else:
+                rows.append(row)
+        return rows
+
+    def pairs(self, x: tuple[int, ...], y: tuple[int, ...], cells: int = 1 << 22) -> list[tuple[int, int]]:
+        """Places of the matched pairs of the best order-keeping matching; long lists are halved, so space stays linear."""
+        out: list[tuple[int, int]] = []
+        work = [(0, len(x), 0, len(y))]
+        while work:
+            a, b, c, d = work.pop()
+            if a == b or c == d:
+                continue
+            if (b - a) * (d - c) > cells and b - a > 1:
+                mid = (a + b) // 2
+                left = self._table(x[a:mid], y[c:d])[-1]
+                right = self._table(x[mid:b][::-1], y[c:d][::-1])[-1][::-1]
+                cut = c + int(np.argmax(left + right))
+                work += [(a, mid, c, cut), (mid, b, cut, d)]
+                continue
+            rows = self._table(x[a:b], y[c:d], last_only=False)
+            p, q = b - a, d - c
+            while p and q:
+                if rows[p][q] == rows[p - 1][q]:
+                    p -= 1
+                elif rows[p][q] == rows[p][q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    out.append((a + p, c + q))
         return out
-    score = [[_weight(p, q) for q in y] for p in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for p in range(len(x)):
-        for q in range(len(y)):
-            best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + score[p][q])
-    p, q = len(x), len(y)
-    while p and q:
-        if best[p][q] == best[p - 1][q]:
-            p -= 1
-        elif best[p][q] == best[p][q - 1]:
-            q -= 1
-        else:
-            p, q = p - 1, q - 1
-            out.append((x[p], y[q]))
-    return out
+
+    def align(self, a: Node, b: Node) -> list[tuple[object, object]]:
+        """Matched children of two matched nodes."""
+        u, v = _solid(a), _solid(b)
+        x, y, i = self._middle(self.kids[a.shape], self.kids[b.shape])
+        after = len(u) - i - len(x)
+        out = list(zip(u[:i], v[:i], strict=True)) + (list(zip(u[-after:], v[-after:], strict=True)) if after else [])
+        return out + [(u[i + p], v[i + q]) for p, q in self.pairs(x, y)]
+
+
+def _solid(node: Node) -> list[object]:
+    """Children but for blank texts."""
+    return [k for k in node.kids if isinstance(k, Node) or k.strip()]
 
 
-def _weight(a: object, b: object) -> int:
-    """Size of the simple tree matching of two children (0: their roots differ)."""
-    if isinstance(a, str) or isinstance(b, str):
-        return int(isinstance(a, str) and isinstance(b, str))
-    if a.tag != b.tag:
-        return 0
-    return 1 + sum(_weight(p, q) for p, q in align(a, b)) + (a.mark == b.mark)
+#: Where a text stands: whether inside an article, and a digest of the elements around it.
+Path = tuple[bool, bytes]
+TOP: Path = (False, b"")
 
 
-def _digest(path: str, text: str) -> str:
+def _digest(path: Path, text: str) -> str:
     """Starts with ARTICLE for a text inside an article."""
-    return path[:1].replace("/", "") + hashlib.md5(f"{path}\0{text}".encode("utf-8", "replace"), usedforsecurity=False).hexdigest()[:16]
+    return (ARTICLE if path[0] else "") + hashlib.blake2b(path[1] + text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def _enter(path: str, node: Node) -> str:
+def _enter(path: Path, node: Node) -> Path:
     """The path inside a node."""
-    here = f"{path}/{node.tag} {node.mark}"
-    return ARTICLE + here if node.tag in ("article", "main") and not path.startswith(ARTICLE) else here
+    opens = not path[0] and node.tag in ("article", "main")
+    return path[0] or opens, hashlib.blake2b(path[1] + f"/{node.tag} {node.mark}".encode("utf-8", "replace"), digest_size=8).digest()
 
 
-def flow(root: Node) -> Iterator[tuple[str, str] | None]:
+def flow(root: Node) -> Iterator[tuple[Path, str] | None]:
     """(path, text) of a page's texts outside furniture in their order; None ends a block."""
     # (node, path) to enter, or None to end a block; an explicit stack bears any depth
-    stack: list[tuple[object, str]] = [(root, "")]
+    stack: list[tuple[object, Path]] = [(root, TOP)]
     while stack:
         k, path = stack.pop()
         if k is None:
@@ -208,45 +338,47 @@ def flow(root: Node) -> Iterator[tuple[str, str] | None]:
             yield path, k
         elif k.tag == "br":
             yield path, " "
-        elif not furniture(k):
+        elif path[0] and k.tag == "header":
+            stack += [(x, _enter(path, k)) for x in reversed(headings(k))]
+        elif not furniture(k, path[0]):
             here = path if k is root else _enter(path, k)
             if k.tag in BLOCK:
                 yield None
-                stack.append((None, ""))
+                stack.append((None, TOP))
             stack += [(x, here) for x in reversed(k.kids)]
 
 
-def constants(a: Node, b: Node) -> tuple[set[str], int, int]:
+def constants(matcher: Matcher, a: Node, b: Node) -> tuple[set[str], int, int]:
     """Digests of the texts outside articles that two aligned pages share in place, and the characters of content shared and in all of a."""
     found: set[str] = set()
     shared = {False: 0, True: 0}
-    stack = [(a, b, "")]
+    stack = [(a, b, TOP)]
     while stack:
         x, y, path = stack.pop()
-        for p, q in align(x, y):
+        for p, q in matcher.align(x, y):
             if isinstance(p, str) and isinstance(q, str):
                 if _squeeze(p) == _squeeze(q):
-                    if not path.startswith(ARTICLE):  # two pages are too few to judge those
+                    if not path[0]:  # two pages are too few to judge those
                         found.add(_digest(path, _squeeze(p)))
-                    shared[path.startswith(ARTICLE)] += len(_squeeze(p))
-            elif isinstance(p, Node) and isinstance(q, Node) and not furniture(p):
+                    shared[path[0]] += len(_squeeze(p))
+            elif isinstance(p, Node) and isinstance(q, Node) and not furniture(p, path[0]):
                 stack.append((p, q, _enter(path, p)))
     total = {False: 0, True: 0}
     for path, text in filter(None, flow(a)):
-        total[path.startswith(ARTICLE)] += len(_squeeze(text))
+        total[path[0]] += len(_squeeze(text))
     inside = total[True] > 0
     return found, shared[inside], total[inside]
 
 
 def induce(pages: list[str]) -> list[str]:
     """The wrapper of a host from sampled pages: what any two of them, unless copies, have constant."""
-    trees = [parse(p) for p in pages]
+    matcher, trees = Matcher(), [parse(p) for p in pages]
     for t in trees:
-        shape(t)
+        matcher.shape(t)
     out: set[str] = set()
     for i, a in enumerate(trees):
         for b in trees[:i]:
-            found, shared, total = constants(a, b)
+            found, shared, total = constants(matcher, a, b)
             if total and shared <= COPY_SHARE * total:
                 out |= found
     return sorted(out)
@@ -257,8 +389,8 @@ def main_text(page: str, wrapper: frozenset[str] | set[str]) -> str:
     parts = [x if x is None or not wrapper or not x[1].strip() or _digest(x[0], _squeeze(x[1])) not in wrapper else (x[0], "") for x in flow(parse(page))]
     size = {True: 0, False: 0}
     for path, text in filter(None, parts):
-        size[path.startswith(ARTICLE)] += len(_squeeze(text))
-    inside = any(x and x[0].startswith(ARTICLE) for x in parts) and not (wrapper and size[False] > size[True])
+        size[path[0]] += len(_squeeze(text))
+    inside = any(x and x[0][0] for x in parts) and not (wrapper and size[False] > size[True])
     blocks: list[str] = []
     run: list[str] = []
     for x in [*parts, None]:
@@ -266,7 +398,7 @@ def main_text(page: str, wrapper: frozenset[str] | set[str]) -> str:
             if run and (text := _squeeze("".join(run))):
                 blocks.append(text)
             run.clear()
-        elif not inside or x[0].startswith(ARTICLE):
+        elif not inside or x[0][0]:
             run.append(x[1])
     return "\n".join(blocks)
 
@@ -280,7 +412,7 @@ def host_of(url: str = "url"):
 
 def page_texts(page: str) -> dict[str, tuple[int, bool]]:
     """Length by digest of a page's texts outside furniture, and whether they are inside an article."""
-    return {_digest(path, text): (len(text), path.startswith(ARTICLE)) for path, raw in filter(None, flow(parse(page))) if (text := _squeeze(raw))}
+    return {_digest(path, text): (len(text), path[0]) for path, raw in filter(None, flow(parse(page))) if (text := _squeeze(raw))}
 
 
 def common(pages: DataFrame) -> DataFrame:
@@ -332,16 +464,16 @@ def common(pages: DataFrame) -> DataFrame:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) for hosts with constant texts: tree matching of sampled pages and counts over all. pages(page_id, host, html)."""
-    pick = F.struct(F.md5(F.concat(F.lit("sample:"), F.col("page_id").cast("string"))).alias("h"), "page_id")
-    kind = F.pmod(F.xxhash64("page_id"), F.lit(SAMPLES))
-    chosen = pages.where("page_id is not null and html is not null").groupBy("host", kind.alias("k")).agg(F.min(pick).alias("p")).select("host", F.col("p.page_id").alias("page_id"))
+    # by the pages' own digests, so that repeated ids and copies count once
+    held = pages.where("html is not null").select("host", "html", F.md5("html").alias("digest"))
+    chosen = held.groupBy("host", F.pmod(F.xxhash64("digest"), F.lit(SAMPLES)).alias("k")).agg(F.min("digest").alias("digest")).select("host", "digest")
     chosen = materialize(chosen, "sampled-pages")
-    sampled = small_join(pages.select("page_id", "host", "html"), chosen, ["host", "page_id"], "left_semi", 64)
+    sampled = small_join(held, chosen, ["host", "digest"], "left_semi", 96).groupBy("host", "digest").agg(F.first("html").alias("html"))
 
     def learn(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame({"host": [key[0]], "wrapper": [induce(sorted(set(pdf["html"]))[:SAMPLES])]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [induce(sorted(set(pdf["html"])))]})
 
     matched = sampled.groupBy("host").applyInPandas(learn, "host string, wrapper array<string>").select("host", F.explode("wrapper").alias("digest"))
     return matched.unionByName(common(pages)).groupBy("host").agg(F.collect_set("digest").alias("wrapper"))

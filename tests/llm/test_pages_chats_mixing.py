@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import time
 
 import pytest
 from corpus import documents, frame
@@ -59,12 +61,59 @@ def test_wrapper_works_inside_articles_and_chooses_the_region(spark):
     assert got == want | {300 + i: f"Teaser {i}\nThe long main text of page {i} in plain elements" for i in range(9)}
 
 
-def test_tree_matching_counts_and_deep_pages():
-    a, b = (html_text.parse(h) for h in ("<div><p>1</p><b>2</b><p>3</p></div>", "<div><p>1</p><i>9</i><p>3</p></div>"))
-    for t in (a, b):
-        html_text.shape(t)
-    assert html_text._weight(a.kids[0], b.kids[0]) == 2 + 2 * 3
-    assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000, set()) == "deep"
+def brute_matching(a, b):
+    """Simple tree matching by its definition: a text matches a text, equal tags match with the best matching of their children."""
+    if isinstance(a, str) or isinstance(b, str):
+        return int(isinstance(a, str) and isinstance(b, str))
+    if a.tag != b.tag:
+        return 0
+    x, y = html_text._solid(a), html_text._solid(b)
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_matching(x[i], y[j]))
+    return 1 + best[-1][-1] + (a.mark == b.mark)
+
+
+def random_page(rng, depth):
+    if not depth or rng.random() < 0.2:
+        return rng.choice(["text", "other", " "])
+    tag = rng.choice(["div", "b", "i"])
+    mark = rng.choice(["", ' class="k"'])
+    return f"<{tag}{mark}>" + "".join(random_page(rng, depth - 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 1])
+def test_tree_matching_equals_brute_force(cells):
+    rng = random.Random(4)
+    for _ in range(60):
+        m, a, b = html_text.Matcher(), html_text.parse(random_page(rng, 5)), html_text.parse(random_page(rng, 5))
+        m.shape(a)
+        m.shape(b)
+        want = brute_matching(a, b)
+        x, y = m.kids[a.shape], m.kids[b.shape]
+        pairs = m.pairs(x, y, cells)
+        assert m.weight(a.shape, b.shape) == want
+        assert sum(m.weight(x[p], y[q]) for p, q in pairs) == want - 2
+        assert all(p[0] != q[0] and (p[0] < q[0]) == (p[1] < q[1]) for k, p in enumerate(sorted(pairs)) for q in sorted(pairs)[k + 1 :])
+        assert sum(brute_matching(p, q) for p, q in m.align(a, b)) == want - 2
+
+
+def test_deep_long_and_broken_pages():
+    began = time.time()
+    deep = lambda leaf: "<div>" * 3000 + leaf + "</div>" * 3000
+    assert html_text.main_text(deep("<nav>MENU</nav><p>deep</p>text"), set()) == "deep\ntext"
+    assert html_text.induce([deep("<p>a<p>b"), deep("<b>a</b><p>c"), deep("<i>z</i>")]) == []
+    items = lambda k: "<ul>" + "".join(f"<li><b>{i * k}</b> item{'<i>new</i>' if i % k == 0 else ''}" for i in range(3000)) + "</ul>"
+    html_text.induce([items(3), items(7)])
+    assert time.time() - began < 60
+    assert html_text.main_text('<p title="x>para one</p><p>two', set()) == "para one\ntwo"
+    assert html_text.main_text("</b>" * 20_000 + "<div>" * 20_000 + "</b></td>" * 20_000 + "end", set()) == "end"
+
+
+def test_articles_keep_their_own_parts():
+    body = "<article><header class='top'><h1>Headline</h1><p>By someone</p></header><p class='legal'>The law</p><section class='social-history'><p>The past</p></section><div class='share-bar'>Share</div><div class='comments'>Me</div><div class='ad'>Buy</div><p>End</p><footer>Tags</footer></article>"
+    assert html_text.main_text(page(1, body), set()) == "Headline\nThe law\nThe past\nEnd"
 
 
 def turns():
