@@ -54,6 +54,20 @@ SPANS = "doc long, row long, removed binary, asked binary"
 PHRASE, GONE, ASKED, SINGLY = 0, 1, 2, 3
 
 
+def _grams(prefix: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of the K bytes from each place on."""
+    return mix((prefix[place + K] - prefix[place]) * powers(len(prefix), _INVERSE)[place] + np.uint64(K))
+
+
+def triggers(content: np.ndarray, first: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Trigger hash of each phrase, of whose context ``content`` has the bytes from ``first`` on and which has that many starts."""
+    entry, place = _within(first + starts - 1, LENGTH - K + 2 - starts)  # all places within each of its strings
+    gram, low = _grams(rolling(content), place), np.uint64(SLICE - 1)
+    head = np.flatnonzero(_runs(entry))
+    best = np.minimum.reduceat((gram & ~low) | (place - first[entry]).astype(np.uint64), head) if len(head) else gram
+    return gram[head + (best & low).astype(np.int64) - (starts - 1)]
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(trigger hash, context hash, text index, first and last start) of the phrases of a run of texts; starts in the run."""
     n = len(data)
@@ -61,7 +75,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     prefix = rolling(data)
     m, width = n - K + 1, LENGTH - K + 1
-    gram = mix((prefix[K:] - prefix[:-K]) * powers(n, _INVERSE)[:m] + np.uint64(K))
+    gram = _grams(prefix, np.arange(m))
     ends = np.repeat(offsets[1:], np.diff(offsets))
     place = np.arange(m)
     low = np.uint64(SLICE - 1)
@@ -104,11 +118,10 @@ def _sizes(heads: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(heads, n))
 
 
-def _by_doc(kind: int, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, buckets: int, trigger: np.ndarray | None = None) -> Iterator[dict]:
+def _by_doc(kind: int, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, buckets: int) -> Iterator[dict]:
     """Blobs of starts lo to hi, by bucket of documents."""
-    columns = [doc, row, lo.astype(np.int64), hi.astype(np.int64), *([] if trigger is None else [trigger])]
-    for b, (d, r, x, y, *t) in scatter(mix(doc.view(np.uint64) + mix(row.view(np.uint64))), columns, buckets):
-        yield {"bucket": b, "kind": kind, "doc": d, "row": r, "lo": x, "hi": y, "trigger": t[0] if t else None}
+    for b, (d, r, x, y) in scatter(mix(doc.view(np.uint64) + mix(row.view(np.uint64))), [doc, row, lo.astype(np.int32), (hi - lo).astype(np.int32)], buckets):
+        yield {"bucket": b, "kind": kind, "doc": d, "row": r, "lo": x, "hi": y}
 
 
 def _emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -151,7 +164,7 @@ def _first_contexts(docs: DataFrame, buckets: int) -> DataFrame:
         size = _sizes(head, len(t))
         many = np.repeat(size >= MANY, size)
         if many.any():
-            out += _by_doc(SINGLY, doc[many], row[many], lo[many], hi[many], buckets, t[many])
+            out += _by_doc(SINGLY, doc[many], row[many], lo[many], hi[many], buckets)
         witness = t[head[size >= MANY]]  # stands for many contexts, with no place of its own
         none = np.full(len(witness), -1)
         columns = [np.append(t[~many], witness), np.append(c[~many], ~witness), np.append(doc[~many], none), np.append(row[~many], none), np.append(lo[~many], none).astype(np.int32), np.append(hi[~many] - lo[~many], none + 1).astype(np.uint8)]
@@ -191,7 +204,7 @@ def _first_contexts(docs: DataFrame, buckets: int) -> DataFrame:
             hot = np.repeat((kinds >= HOT) | (seen > 0), size)
             out = list(_by_doc(GONE, doc[late], row[late], lo[late], hi[late], buckets))
             for kind, which in ((ASKED, ask & ~hot), (SINGLY, ask & hot)):
-                out += _by_doc(kind, doc[which], row[which], lo[which], hi[which], buckets, t[which])
+                out += _by_doc(kind, doc[which], row[which], lo[which], hi[which], buckets)
             yield _emit(out, schema)
 
     return by_bucket(docs.mapInArrow(tidy(parse), PHRASES), buckets).mapInArrow(tidy(match), PHRASES)
@@ -204,8 +217,20 @@ def _merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[cut], top[np.append(cut[1:], len(lo)) - 1]
 
 
+def _pack(lo: np.ndarray, more: np.ndarray, kind: np.ndarray) -> bytes:
+    """Phrases of a document in five bytes each: first start, and number of further ones (68 at most) with the kind."""
+    return lo.astype(np.int32).tobytes() + (more * 2 + (kind == SINGLY)).astype(np.uint8).tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, kind) of phrases."""
+    n = len(data) // 5
+    last = np.frombuffer(data, np.uint8)[4 * n :].astype(np.int64)
+    return np.frombuffer(data, np.int32, n).astype(np.int64), last // 2 + 1, np.where(last % 2, SINGLY, ASKED)
+
+
 def _spans(blobs: DataFrame, buckets: int) -> DataFrame:
-    """One row a document: byte ranges that go, and (first start, last start, trigger, kind) of what is to be looked at."""
+    """One row a document: byte ranges that go, and phrases that are to be looked at (``_pack``)."""
     schema = arrow_schema(SPANS, blobs.sparkSession)
 
     def gather(batches):
@@ -215,19 +240,19 @@ def _spans(blobs: DataFrame, buckets: int) -> DataFrame:
                 part = table.filter(pc.equal(table.column("kind"), GONE) if gone else pc.greater(table.column("kind"), GONE))
                 if not part.num_rows:
                     continue
-                doc, row, lo, hi = (blob(part, n, np.int64) for n in ("doc", "row", "lo", "hi"))
-                t = np.zeros(len(doc), np.int64) if gone else blob(part, "trigger", np.int64)
+                doc, row = (blob(part, n, np.int64) for n in ("doc", "row"))
+                lo, more = (blob(part, n, np.int32).astype(np.int64) for n in ("lo", "hi"))
                 kind = np.repeat(np.asarray(part.column("kind")).astype(np.int64), [len(x) // 8 for x in part.column("doc").to_pylist()])
                 order = np.lexsort((lo, row, doc))
-                doc, row, lo, hi, t, kind = (x[order] for x in (doc, row, lo, hi, t, kind))
+                doc, row, lo, more, kind = (x[order] for x in (doc, row, lo, more, kind))
                 cuts = np.flatnonzero(_runs(doc, row))
                 for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
-                    found = _merged(lo[a:b], hi[a:b] + LENGTH) if gone else (lo[a:b], hi[a:b], t[a:b], kind[a:b])
-                    ready.setdefault((int(doc[a]), int(row[a])), [None, None])[not gone] = np.stack(found, 1).astype(np.int64).tobytes()
+                    found = np.stack(_merged(lo[a:b], lo[a:b] + more[a:b] + LENGTH), 1).tobytes() if gone else _pack(lo[a:b], more[a:b], kind[a:b])
+                    ready.setdefault((int(doc[a]), int(row[a])), [None, None])[not gone] = found
             keys = list(ready)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keys], pa.int64()), pa.array([r for _, r in keys], pa.int64()), pa.array([r for r, _ in ready.values()], pa.binary()), pa.array([a for _, a in ready.values()], pa.binary())], schema=schema)
 
-    return by_bucket(blobs.select("bucket", "kind", "doc", "row", "lo", "hi", "trigger"), buckets).mapInArrow(tidy(gather), SPANS)
+    return by_bucket(blobs.select("bucket", "kind", "doc", "row", "lo", "hi"), buckets).mapInArrow(tidy(gather), SPANS)
 
 
 def _rank(key: np.ndarray) -> np.ndarray:
@@ -306,6 +331,12 @@ def dictionary_repeats(t: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.n
         yield _as_runs(part[entry[late]], place[late])
 
 
+def _slices(lo: np.ndarray, starts: np.ndarray, kind: np.ndarray, size: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases in runs of some MB of context, to bound the memory of very long texts."""
+    for a in range(0, len(lo), size):
+        yield lo[a : a + size], starts[a : a + size], kind[a : a + size]
+
+
 def _first_strings(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     """Step 2: blobs of starts that go, from the suffix arrays of the asked contexts; hot triggers' strings by their fingerprints."""
     schema = arrow_schema(PHRASES, docs.sparkSession)
@@ -337,23 +368,22 @@ def _first_strings(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame
             asks = batch.column(3).to_pylist()
             for i, j, data, offsets in chunks(texts(batch.column(2))):
                 for r in range(i, j):
-                    lo, hi, t, kind = np.frombuffer(asks[r], np.int64).reshape(-1, 4).T
-                    base, length = offsets[r - i], hi - lo + LENGTH
-                    for k, one in ((kind == ASKED, False), (kind == SINGLY, True)):
-                        if not k.any():
-                            continue
-                        part = data[_within(lo[k] + base, length[k])[1]]
-                        doc, row = np.full(k.sum(), ids[r]), np.full(k.sum(), rows[r])
-                        if not one:
-                            whole.append((t[k].view(np.uint64), doc, row, lo[k], length[k], part))
-                            n += len(doc)
-                            size += len(part)
-                            continue
-                        entry, x = _within(_offsets(length[k])[:-1], length[k] - LENGTH + 1)
-                        place = lo[k][entry] + x - _offsets(length[k])[entry]
-                        back = len(part) - x
-                        single.append((span_hash(rolling(part), x, x + LENGTH), span_hash(rolling(part[::-1]), back - LENGTH, back), doc[entry], row[entry], place))
-                        m += len(place)
+                    for lo, starts, kind in _slices(*_unpack(asks[r])):
+                        length, base = starts + LENGTH - 1, offsets[r - i]
+                        for k, one in ((kind == ASKED, False), (kind == SINGLY, True)):
+                            if not k.any():
+                                continue
+                            part, first = data[_within(lo[k] + base, length[k])[1]], _offsets(length[k])[:-1]
+                            doc, row = np.full(k.sum(), ids[r]), np.full(k.sum(), rows[r])
+                            if not one:
+                                whole.append((triggers(part, first, starts[k]), doc, row, lo[k], length[k], part))
+                                n += len(doc)
+                                size += len(part)
+                                continue
+                            entry, x = _within(first, starts[k])
+                            back = len(part) - x
+                            single.append((span_hash(rolling(part), x, x + LENGTH), span_hash(rolling(part[::-1]), back - LENGTH, back), doc[entry], row[entry], lo[k][entry] + x - first[entry]))
+                            m += len(x)
                 if n >= flush or size >= 64 << 20:
                     yield _emit(list(contexts(whole)), schema)
                     whole, n, size = [], 0, 0

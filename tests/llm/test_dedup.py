@@ -83,6 +83,14 @@ def test_suffix_order_is_that_of_sorted_strings():
     assert [bool(h) for h in head] == [k == 0 or strings[order[k]] != strings[order[k - 1]] for k in range(len(order))]
 
 
+def test_triggers_are_those_of_the_parse():
+    data = np.frombuffer(documents()[29][1].encode() + b"ab" * 300, np.uint8)
+    t, _, _, lo, hi = suffix_dedup.phrases(data, np.array([0, len(data)]))
+    size = hi - lo + suffix_dedup.LENGTH
+    content = np.concatenate([data[a : a + n] for a, n in zip(lo, size)])
+    assert (suffix_dedup.triggers(content, np.cumsum(size) - size, hi - lo + 1) == t).all() and len(t) > 500
+
+
 def test_suffix_dedup_slices_of_a_long_text(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 512)
     import pyarrow as pa
