@@ -2,12 +2,14 @@
 
 Every line is labelled good or bad. A line's features describe its bytes and words and those of the lines before and after
 it. The field is fitted (full-batch Adam on the exact likelihood) on the lines of a bounded sample of labelled documents,
-each line carrying its document's label; FIT_DOCS documents of at most FIT_BYTES bytes bound the sample. Scoring is one
+each line carrying its document's label; FIT_DOCS doc_ids with one text of at most FIT_BYTES bytes and FIT_LINES lines each
+bound the sample. Scoring is one
 pass over the text without any shuffle: forward-backward marginals of all lines of a text, weighted by the lines' lengths,
 average into the document's score.
 
 Defined cases: null and empty texts are one empty line and get that line's score; a null doc_id is never held out; labels
-other than 0 and 1, and null ones, are not learned from; without any label every score is 0.5 by an all-zero field; repeated
+other than 0 and 1, and null ones, are not learned from; of several labels of a doc_id the greater counts, of several texts
+that with the least digest; without any label every score is 0.5 by an all-zero field; repeated
 rows are scored alike; an empty table gives an empty result; extra columns are ignored or pass through ``stage``.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, chunks, read, texts, tidy, words
 
-FIT_DOCS, FIT_BYTES = 4000, 1 << 16
+FIT_DOCS, FIT_BYTES, FIT_LINES = 4000, 1 << 16, 2000
 HELD_OUT_REMAINDER, FOLDS = 2, 4
 THRESHOLD = 0.7
 STEPS, RATE, PENALTY = 250, 0.1, 1e-3
@@ -148,9 +150,11 @@ class Field:
 
 def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
     """A field fitted on at most FIT_DOCS labelled documents outside the held-out fold, chosen by a digest of doc_id."""
-    chosen = labels.where("quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(FIT_DOCS)
-    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(chosen), "doc_id")
+    short = (F.octet_length("text") <= FIT_BYTES) & (F.regexp_count("text", F.lit("\n")) < FIT_LINES)
+    sample = docs.select("doc_id", "text").where(short).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5("text")).alias("text")).select("doc_id", "text", "quality")
     kind = "quality int, lines int, x binary"
     schema = arrow_schema(kind, docs.sparkSession)
 

@@ -1,14 +1,20 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by linear (logistic) models over the words of a text. Each model also takes the
-probabilities of the categories before it. While fitting, those are out-of-fold predictions, so that a later model meets
-earlier probabilities as uncertain as they will be on new texts. Words enter a model step by step, by their score statistic
-given the words already in, and only while that statistic is significant; so words that merely come along with telling ones
-stay out. The fit takes a bounded sample: FIT_DOCS labelled texts of at most FIT_BYTES bytes, of near copies one.
+Categories are predicted one after the other by linear (logistic) models over hashed features of a text: its words and the
+beginnings of its words (STEMS bytes), each once, so that forms of a word unseen in the fit still count. Each model also
+takes the probabilities of the categories before it. While fitting, those are out-of-fold predictions, so that a later model
+meets earlier probabilities as uncertain as they will be on new texts. A model takes the features that differ significantly
+between the labels and fits all of them together under an L2 penalty.
+
+The supplied labels know one kind of toxicity; the chain's first category, low quality, is no toxicity itself but tells the
+second model about junk, whose words prove less. The fit takes a bounded sample: of at most FIT_DOCS labelled doc_ids, one
+text of at most FIT_BYTES bytes each, of near copies one. The fold whose crc32(doc_id as text) mod 4 is 2 is never learned
+from, so its labels tell what the chain is worth.
 
 Scoring is one pass without a shuffle. Defined cases: null and empty texts have no words and get the models' base rates;
-labels that are null or not 0 or 1 are not learned from; without labels every probability is 0.5; repeated rows are scored
-alike; an empty table gives an empty result; extra columns are ignored.
+labels that are null or not 0 or 1 are not learned from; of several labels of a doc_id the greater counts, of several texts
+that with the least digest; without labels every probability is 0.5; repeated rows are scored alike; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,181 +25,204 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, chunks, _LOWER, mix, read, rolling, shingles, span_hash, texts, tidy
+from .quality_crf import held_out
 
 FIT_DOCS, FIT_BYTES = 10_000, 1 << 16
 #: Categories in chain order: name, and the SQL expression of its 0/1 label over the labels table.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 FOLDS = 5
-MAX_WORDS, WORDS_A_ROUND, SIGNIFICANT = 160, 10, 12.0
-PENALTY = 1e-4
-THRESHOLD = 0.5
+#: Bytes of word beginnings that are features of their own.
+STEMS = (4, 5, 6, 7, 8)
+#: Standard errors between the labels that make a feature significant, texts it must be in, and features of a model at most.
+SIGNIFICANT, LEAST, MAX_FEATURES = 4.0, 3, 4096
+PENALTY = 1.0
+THRESHOLD = 0.3
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of letters and digits, A-Z lower-cased, and the first of each text."""
+def _term_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of the runs of letters and digits; they never cross texts."""
     inside = _TERM[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.append(False, inside[:-1])[: len(data)]
     after = np.append(inside[1:], False)[: len(data)]
     start = np.flatnonzero(inside & (~before | edge[:-1]))
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return start, np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and digits, A-Z lower-cased, and the first of each text."""
+    start, end = _term_spans(data, offsets)
     return span_hash(rolling(_LOWER[data]), start, end), np.searchsorted(start, offsets)
 
 
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature hash, text index) of the words and word beginnings of a run of texts."""
+    lower = _LOWER[data]
+    start, end = _term_spans(data, offsets)
+    prefix = rolling(lower)
+    doc = np.searchsorted(offsets, start, "right") - 1
+    found, where = [span_hash(prefix, start, end)], [doc]
+    for k in STEMS:
+        long = end - start > k
+        found.append(span_hash(prefix, start[long], start[long] + k) ^ np.uint64(0x5851F42D4C957F2D))
+        where.append(doc[long])
+    return np.concatenate(found), np.concatenate(where)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with an L2 penalty (none on the last column, the constant)."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], PENALTY * len(y))
-    ridge[-1] = 1e-6 * len(y)
-    for _ in range(12):
-        p = _sigmoid(x @ w)
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
+def _minimise(loss, w: np.ndarray, steps: int = 80, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with halving steps; ``loss`` gives value and gradient."""
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, kept = grad.copy(), []
+        for s, y in reversed(past):
+            a = s @ q / (y @ s)
+            kept.append(a)
+            q -= a * y
+        if past:
+            q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(kept), strict=True):
+            q += s * (a - y @ q / (y @ s))
+        step = 1.0 if past else 1 / max(1e-9, np.abs(grad).sum())
+        new, (value2, grad2) = w - step * q, loss(w - step * q)
+        while value2 > value - 1e-4 * step * (grad @ q) and step > 1e-8:
+            step /= 2
+            new, (value2, grad2) = w - step * q, loss(w - step * q)
+        if (new - w) @ (grad2 - grad) > 1e-12:
+            past = [*past, (new - w, grad2 - grad)][-memory:]
+        settled = abs(value - value2) < 1e-8 * max(1.0, abs(value))
+        w, value, grad = new, value2, grad2
+        if settled:
             break
     return w
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(np.clip(p, 1e-4, 1 - 1e-4) / np.clip(1 - p, 1e-4, 1))
+
+
 class Linear:
-    """Logistic model over selected words and the earlier categories' log-odds."""
+    """Logistic model over features (sorted hashes) and the earlier categories' log-odds; the last weight is the constant."""
 
     def __init__(self, chosen: np.ndarray, weights: np.ndarray):
         self.chosen, self.weights = chosen, weights
 
-    @staticmethod
-    def design(present: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        logit = np.log(np.clip(earlier, 1e-4, 1 - 1e-4) / np.clip(1 - earlier, 1e-4, 1))
-        return np.hstack([present, logit, np.ones((len(present), 1))])
-
-    def predict(self, present: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.design(present, earlier) @ self.weights)
-
-
-def fit_linear(doc: np.ndarray, word: np.ndarray, n_words: int, earlier: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of the chosen words, weights). doc, word: pairs of a text and a word in it."""
-    n = len(y)
-    chosen: list[int] = []
-    present = np.zeros((n, 0))
-    while True:
-        x = Linear.design(present, earlier)
-        w = _newton(x, y)
-        if len(chosen) >= MAX_WORDS or not n_words:
-            break
-        p = _sigmoid(x @ w)
-        gain = np.bincount(word, (y - p)[doc], n_words)
-        spread = np.bincount(word, (p * (1 - p))[doc], n_words)
-        # an absolute floor keeps words of a few certain texts out
-        stat = np.where(gain > 0, gain * np.abs(gain), 0) / (spread + 1.0)
-        stat[chosen] = 0
-        best = np.argsort(-stat, kind="stable")[:WORDS_A_ROUND]
-        best = best[stat[best] >= max(SIGNIFICANT, stat[best[0]] / 4)]
-        if not len(best):
-            break
-        for k in best.tolist():
-            column = np.zeros((n, 1))
-            column[doc[word == k]] = 1
-            present = np.hstack([present, column])
-            chosen.append(k)
-    return np.array(chosen, np.int64), w
+    def predict(self, h: np.ndarray, doc: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
+        """h, doc: pairs of a feature and a text that has it, repeated or not."""
+        k = len(self.chosen)
+        z = _logit(earlier) @ self.weights[k:-1] + self.weights[-1]
+        if k and len(h):
+            at = np.minimum(np.searchsorted(self.chosen, h), k - 1)
+            hit = self.chosen[at] == h
+            once = np.unique(doc[hit] * k + at[hit])
+            z = z + np.bincount(once // k, self.weights[once % k], n)
+        return _sigmoid(z)
+
+
+def fit_linear(h: np.ndarray, doc: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
+    """A model of y. h, doc: distinct pairs of a feature and a text that has it."""
+    n, share = len(y), y.mean()
+    value, feature = np.unique(h, return_inverse=True)
+    often, good = np.bincount(feature, minlength=len(value)), np.bincount(feature, y[doc], len(value))
+    apart = np.abs(good - often * share) / np.sqrt(np.maximum(often * share * (1 - share), 1e-9))
+    best = np.flatnonzero((often >= LEAST) & (apart >= SIGNIFICANT))
+    best = np.sort(best[np.argsort(-apart[best], kind="stable")][:MAX_FEATURES])
+    place = np.full(len(value), -1)
+    place[best] = np.arange(len(best))
+    hit = place[feature] >= 0
+    column, row, k, odds = place[feature[hit]], doc[hit], len(best), _logit(earlier)
+
+    def loss(w):
+        z = np.bincount(row, w[column], n) + odds @ w[k:-1] + w[-1]
+        r = _sigmoid(z) - y
+        grad = np.concatenate([np.bincount(column, r[row], k), odds.T @ r, [r.sum()]])
+        grad[:-1] += PENALTY * w[:-1]
+        return np.sum(np.logaddexp(0, z) - y * z) + PENALTY / 2 * np.sum(w[:-1] ** 2), grad
+
+    return Linear(value[best], _minimise(loss, np.zeros(k + odds.shape[1] + 1)))
 
 
 class Chain:
     def __init__(self, names: tuple[str, ...], models: list[Linear]):
         self.names, self.models = names, models
 
-    def predict(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Probabilities (texts x categories) from word hashes."""
-        n = len(first) - 1
-        doc = np.repeat(np.arange(n), np.diff(first))
+    def predict(self, h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities (texts x categories)."""
         out = np.zeros((n, 0))
         for m in self.models:
-            order = np.argsort(m.chosen, kind="stable")
-            at = np.searchsorted(m.chosen[order], h) if len(order) else np.zeros(len(h), np.int64)
-            hit = (at < len(order)) & (m.chosen[order[np.minimum(at, len(order) - 1)]] == h) if len(order) else np.zeros(len(h), bool)
-            present = np.zeros((n, len(order)))
-            present[doc[hit], order[at[hit]] if len(order) else []] = 1
-            out = np.hstack([out, m.predict(present, out)[:, None]])
+            out = np.hstack([out, m.predict(h, doc, n, out)[:, None]])
         return out
 
 
+def learn(h: np.ndarray, doc: np.ndarray, y: np.ndarray, fold: np.ndarray, names: tuple[str, ...]) -> Chain:
+    """The chain for labels y (texts x categories); earlier categories reach later models out of fold."""
+    models, earlier = [], np.zeros((len(y), 0))
+    for k in range(len(names)):
+        models.append(fit_linear(h, doc, earlier, y[:, k]))
+        if k + 1 == len(names):
+            break
+        apart = np.full(len(y), y[:, k].mean())
+        for f in range(FOLDS):
+            rest = np.flatnonzero(fold != f)
+            if not len(rest) or len(rest) == len(y):
+                continue
+            place = np.full(len(y), -1)
+            place[rest] = np.arange(len(rest))
+            at = place[doc] >= 0
+            model = fit_linear(h[at], place[doc[at]], earlier[rest], y[rest, k])
+            apart[fold == f] = model.predict(h, doc, len(y), earlier)[fold == f]
+        earlier = np.hstack([earlier, apart[:, None]])
+    return Chain(names, models)
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] = CHAIN) -> Chain:
     names = tuple(n for n, _ in chain)
-    wanted = labels.select("doc_id", *(F.expr(e).cast("int").alias(n) for n, e in chain)).where(" and ".join(f"{n} in (0, 1)" for n in names))
+    wanted = labels.where(~held_out()).select("doc_id", *(F.expr(e).cast("int").alias(n) for n, e in chain)).where("doc_id is not null and " + " and ".join(f"{n} in (0, 1)" for n in names))
     wanted = wanted.groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names)).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(FIT_DOCS)
     sample = docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(wanted), "doc_id")
-    kind = "doc_id long, labels binary, sketch binary, words binary"
+    sample = sample.groupBy("doc_id", *names).agg(F.min_by("text", F.md5("text")).alias("text")).select("doc_id", "text", *names)
+    kind = "doc_id long, labels binary, sketch binary, found binary"
     schema = arrow_schema(kind, docs.sparkSession)
 
     def describe(batches):
         for batch in batches:
             y = np.stack([np.asarray(batch.column(k)).astype(np.int8) for k in range(2, 2 + len(names))], 1)
             for i, j, data, offsets in chunks(texts(batch.column(1))):
-                h, first = terms(data, offsets)
-                s, at = shingles(h, first, 5)
+                s, at = shingles(*terms(data, offsets), 5)
                 sketch = np.zeros((j - i, 4), np.uint64)
                 for k in range(4):
                     full = np.flatnonzero(np.diff(at))
                     if len(full):
                         sketch[full, k] = np.minimum.reduceat(mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), at[:-1][full])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([r.tobytes() for r in y[i:j]], pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], schema=schema)
+                h, doc = features(data, offsets)
+                order = np.argsort(doc, kind="stable")
+                cut = np.searchsorted(doc[order], np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([r.tobytes() for r in y[i:j]], pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([np.unique(h[order[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], schema=schema)
 
     rows = sorted(sample.mapInArrow(tidy(describe), kind).collect(), key=lambda r: r["doc_id"])
     seen: set[tuple[int, int]] = set()
-    ys, ws, ids = [], [], []
+    ys, found, ids = [], [], []
     for r in rows:
         marks = list(enumerate(np.frombuffer(r["sketch"], np.uint64).tolist()))
         if any(m in seen for m in marks):
             continue  # a near copy of a text that teaches already
         seen.update(m for m in marks if m[1])
         ys.append(np.frombuffer(r["labels"], np.int8))
-        ws.append(np.frombuffer(r["words"], np.uint64))
+        found.append(np.frombuffer(r["found"], np.uint64))
         ids.append(r["doc_id"])
     if not ys:
         return Chain(names, [Linear(np.zeros(0, np.uint64), np.zeros(k + 1)) for k in range(len(names))])
-    y = np.stack(ys).astype(np.float64)
-    value, word = np.unique(np.concatenate(ws), return_inverse=True)
-    doc = np.repeat(np.arange(len(ws)), [len(x) for x in ws])
-    often = np.bincount(word) >= 5
-    keep = often[word]
-    renumber = np.cumsum(often) - 1
-    value, word, doc = value[often], renumber[word[keep]], doc[keep]
+    doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
     fold = (mix(np.array(ids, np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    models, earlier = [], np.zeros((len(y), 0))
-    for k in range(len(names)):
-        chosen, w = fit_linear(doc, word, len(value), earlier, y[:, k])
-        models.append(Linear(value[chosen], w))
-        if k + 1 == len(names):
-            break
-        apart = np.zeros(len(y))
-        for f in range(FOLDS):
-            rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if not len(own):
-                continue
-            if not len(rest):
-                apart[own] = y[:, k].mean()
-                continue
-            place = np.full(len(y), -1)
-            place[rest] = np.arange(len(rest))
-            at = place[doc] >= 0
-            c, w = fit_linear(place[doc[at]], word[at], len(value), earlier[rest], y[rest, k])
-            present = np.zeros((len(y), len(c)))
-            column = np.full(len(value), -1)
-            column[c] = np.arange(len(c))
-            hit = column[word] >= 0
-            present[doc[hit], column[word[hit]]] = 1
-            apart[own] = Linear(c, w).predict(present[own], earlier[own])
-        earlier = np.hstack([earlier, apart[:, None]])
-    return Chain(names, models)
+    return learn(np.concatenate(found), doc, np.stack(ys).astype(np.float64), fold, names)
 
 
 def predict(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,7 +235,7 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Data
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             for i, j, data, offsets in chunks(texts(batch.column(1))):
-                p = sent.value.predict(*terms(data, offsets))
+                p = sent.value.predict(*features(data, offsets), j - i)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(p[:, k].copy()) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(tidy(score), kind)
