@@ -1,19 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of two blocks of BLOCK words (each block belongs to two passages). A passage is a TF-IDF vector
-over hashed word pairs. One pass over all documents sums, per task, the pairs' document frequencies and the product of the
-passages' Gram matrix with random vectors; with the benchmark's own passages, weighted up so that the space resolves them,
-an orthonormal basis of that range is the randomised decomposition. A second pass projects every passage; those with enough
-energy in the space and enough cosine to an item become candidates. The space has 256 directions at most, so with many items
-it doesn't resolve each of them; therefore passages that hold enough of an item's rarest words become candidates as well.
-That test is exact: nothing that can pass the next one fails it. A candidate counts when the longest common subsequence of
-words, over the passage and its surroundings, covers LCS_FROM of the item and its answer (the part after "Answer:", else the
-last sentence) is there as well. The cosine in the result may be low where the space is too small for the item.
-
-Benchmark items are the stated query set: they meet all passages, in blocks of QUERY_ITEMS items; nothing of the documents
-goes to the driver but the summed matrix, whose size is fixed. Defined cases: null, empty or wordless texts and items match
-nothing; items of one word match nothing; repeated rows are matched one by one; empty tables give an empty result; extra
-columns are ignored or pass through ``stage``.
+over SLOTS hashed word pairs, folded with signs into DIMS numbers. Two passes over all documents sum, per task, the pairs'
+document frequencies and the product of the passages' Gram matrix with a random matrix; neither depends on the benchmark.
+With the benchmark's own passages, weighted up so that the space resolves them, the randomised decomposition (Nystroem's,
+with a small SVD) gives the right singular vectors of the weighted passages; those with a singular value of CUT of the largest
+stay, RANK at most. Another pass projects every passage; those with enough energy in the space and enough cosine to an item
+become candidates. A space of bounded rank doesn't resolve thousands of items; therefore passages that hold enough of an
+item's rarest words become candidates as well. That test is exact: nothing that can pass the next one fails it. A candidate
+counts when the longest common subsequence of words, over the passage and its surroundings, covers LCS_FROM of the item and
+its answer (the part after "Answer:", else the last sentence) is there as well. The cosine in the result may be low where
+the space doesn't resolve the item.
+
+Benchmark items are the stated query set: they meet all passages, in blocks of QUERY_ITEMS items (one pass each); nothing of
+the documents goes to the driver but the summed matrices, whose size is fixed. Sums are made in a fixed order. Defined cases:
+null, empty or wordless texts and items match nothing; items of one word match nothing; repeated documents are matched
+one by one, repeated items once; empty tables give an empty result; extra columns are ignored or pass through ``stage``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from .common import arrow_schema, chunks, materialize, mix, read, texts, tidy
 from .toxicity import terms
 
 BLOCK = 32
-DIMS = 1 << 13
+SLOTS, DIMS = 1 << 20, 1 << 13
+#: Directions kept at most, random ones beyond them, and the least singular value kept, as a part of the largest.
+RANK, MORE, CUT = 96, 16, 0.01
 SLICES, FAN = 32, 64
 QUERY_ITEMS = 4096
 #: The benchmark's share of the squared weights of the decomposed matrix, against 1 for all documents.
@@ -52,7 +56,7 @@ def pairs(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(count)), count)
     block = base[doc] + (np.arange(len(w)) - first[doc]) // BLOCK
     inner = doc[1:] == doc[:-1]
-    slot = (mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]) & np.uint64(DIMS - 1)).astype(np.int64)
+    slot = (mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]) & np.uint64(SLOTS - 1)).astype(np.int64)
     return slot[inner], block[:-1][inner]
 
 
@@ -70,63 +74,103 @@ def passage_sums(per_block: np.ndarray, base: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rowsum(table: np.ndarray, slot: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """Sums of table rows by block; blocks ascend."""
+def signed(idf: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, weight) of pairs: slots fold into dimensions with signs, so that chance meetings cancel on average."""
+    return slot & (DIMS - 1), np.where(slot & DIMS, idf[slot], -idf[slot])
+
+
+def _rowsum(table: np.ndarray, dim: np.ndarray, weight: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """Weighted sums of table rows by block; blocks ascend."""
     out = np.zeros((n, table.shape[1]), np.float32)
-    if len(slot):
+    if len(dim):
         head = np.flatnonzero(np.diff(block, prepend=-1))
-        out[block[head]] = np.add.reduceat(table[slot], head, axis=0)
+        rows = table[dim]
+        rows *= weight[:, None]
+        out[block[head]] = np.add.reduceat(rows, head, axis=0)
     return out
 
 
-def gram_sketch(docs: DataFrame, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(T'T omega, document frequencies by slot, number of blocks) over the passages of all documents."""
-    k = omega.shape[1]
-    kind = "slice int, fan int, part binary"
+def _summed(docs: DataFrame, shape: tuple[int, int], add_up) -> np.ndarray:
+    """Sum over all tasks of the arrays that ``add_up(batches)`` gives for docs(text), always in the same order."""
+    kind = "slice int, fan int, task int, part binary"
     schema = arrow_schema(kind, docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(omega.astype(np.float32))
+    rows = shape[0] // SLICES
 
-    def sketch(batches):
-        total = np.zeros((DIMS, k + 2))
-        for batch in batches:
-            for _, _, data, offsets in chunks(texts(batch.column(0))):
-                w, first = terms(data, offsets)
-                base = block_base(first)
-                n = int(base[-1])
-                total[0, k + 1] += n
-                if len(w) < 2:
-                    continue
-                slot, block = pairs(w, first)
-                z = passage_sums(_rowsum(sent.value, slot, block, n), base)
-                both = z.copy()
-                follows = np.ones(n, bool)
-                follows[base[:-1]] = False
-                at = np.flatnonzero(follows)
-                both[at] += z[at - 1]
-                order = np.argsort(slot * n + block)
-                s, b = slot[order], block[order]
-                if not len(s):
-                    continue
-                head = np.flatnonzero(np.diff(s, prepend=-1))
-                total[s[head], :k] += np.add.reduceat(both[b], head, axis=0)
-                fresh = np.append(True, (s[1:] != s[:-1]) | (b[1:] != b[:-1]))
-                total[:, k] += np.bincount(s[fresh], minlength=DIMS)
-        fan = TaskContext.get().partitionId() % FAN
-        rows = DIMS // SLICES
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([fan] * SLICES, pa.int32()), pa.array([total[i * rows : (i + 1) * rows].astype(np.float32).tobytes() for i in range(SLICES)], pa.binary())], schema=schema)
+    def partial(batches):
+        total = add_up(batches)
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task % FAN] * SLICES, pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([total[i * rows : (i + 1) * rows].tobytes() for i in range(SLICES)], pa.binary())], schema=schema)
 
     def add(key, pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["part"])
-        return pd.DataFrame({"slice": [int(key[0])], "part": [total.astype(np.float32).tobytes()]})
+        ordered = pdf.sort_values("task")
+        total = sum(np.frombuffer(x, np.float64) for x in ordered["part"])
+        return pd.DataFrame({"slice": [int(key[0])], "task": [int(ordered["task"].iloc[0])], "part": [total.tobytes()]})
 
-    partial = docs.select("text").mapInArrow(tidy(sketch), kind).groupBy("slice", "fan").applyInPandas(add, "slice int, part binary")
-    found = {r["slice"]: np.frombuffer(r["part"], np.float32) for r in partial.groupBy("slice").applyInPandas(add, "slice int, part binary").collect()}
-    if not found:
-        return np.zeros((DIMS, k)), np.zeros(DIMS), 0.0
-    total = np.concatenate([found[i] for i in range(SLICES)]).reshape(DIMS, k + 2).astype(np.float64)
-    return total[:, :k], total[:, k], float(total[0, k + 1])
+    parts = docs.select("text").mapInArrow(tidy(partial), kind).groupBy("slice", "fan").applyInPandas(add, "slice int, task int, part binary")
+    found = {r["slice"]: np.frombuffer(r["part"], np.float64) for r in parts.groupBy("slice").applyInPandas(add, "slice int, task int, part binary").collect()}
+    return np.concatenate([found[i] for i in range(SLICES)]).reshape(shape) if found else np.zeros(shape)
+
+
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """(blocks that hold a pair, by slot; number of blocks) over all documents."""
+
+    def count(batches):
+        total = np.zeros((SLOTS + SLICES, 1))
+        for batch in batches:
+            for _, _, data, offsets in chunks(texts(batch.column(0))):
+                w, first = terms(data, offsets)
+                n = int(block_base(first)[-1])
+                total[SLOTS] += n
+                if len(w) > 1:
+                    slot, block = pairs(w, first)
+                    held = np.unique(slot * n + block) // n
+                    total[:SLOTS, 0] += np.bincount(held, minlength=SLOTS)
+        return total
+
+    # the rows beyond SLOTS hold the number of blocks
+    total = _summed(docs, (SLOTS + SLICES, 1), count)[:, 0]
+    return total[:SLOTS], float(total[SLOTS])
+
+
+class Sketch:
+    """What the spaces need of the documents: inverse document frequencies, and the Gram matrix times random directions."""
+
+    def __init__(self, docs: DataFrame):
+        df, n = document_frequencies(docs)
+        self.idf = (np.log((n + 1) / (df + 1)) + 0.05).astype(np.float32)
+        self.omega = np.random.default_rng(SEED).standard_normal((DIMS, RANK + MORE))
+        sent = docs.sparkSession.sparkContext.broadcast((self.idf, self.omega.astype(np.float32)))
+
+        def product(batches):
+            idf, omega = sent.value
+            total = np.zeros((DIMS, omega.shape[1]))
+            for batch in batches:
+                for _, _, data, offsets in chunks(texts(batch.column(0))):
+                    w, first = terms(data, offsets)
+                    if len(w) < 2:
+                        continue
+                    base = block_base(first)
+                    n = int(base[-1])
+                    slot, block = pairs(w, first)
+                    dim, weight = signed(idf, slot)
+                    z = passage_sums(_rowsum(omega, dim, weight, block, n), base)
+                    both = z.copy()
+                    follows = np.ones(n, bool)
+                    follows[base[:-1]] = False
+                    at = np.flatnonzero(follows)
+                    both[at] += z[at - 1]
+                    order = np.argsort(dim, kind="stable")
+                    if not len(order):
+                        continue
+                    head = np.flatnonzero(np.diff(dim[order], prepend=-1))
+                    rows = both[block[order]]
+                    rows *= weight[order][:, None]
+                    total[dim[order][head]] += np.add.reduceat(rows, head, axis=0)
+            return total
+
+        self.gram = _summed(docs, self.omega.shape, product)
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -219,32 +263,41 @@ class Items:
         data = np.frombuffer(text.encode(), np.uint8)
         return terms(data, np.array([0, len(data)]))[0]
 
-    def project(self, table: np.ndarray) -> None:
-        v = np.stack([table[s].sum(0) for s in self.slots]) if self.slots else np.zeros((0, table.shape[1]))
+    def project(self, space: Space) -> None:
+        spans = [signed(space.idf, s) for s in self.slots]
+        v = np.stack([w @ space.table[d] for d, w in spans]) if spans else np.zeros((0, space.table.shape[1]))
         self.vectors = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 class Space:
-    """The latent space: idf squared by slot and the projection of a slot's count, both as float32."""
-
-    def __init__(self, docs: DataFrame, items: Items):
-        rng = np.random.default_rng(SEED)
-        k = min(256, max(32, -(-len(items.slots) // 6)))
-        omega = rng.standard_normal((DIMS, k))
-        gram, df, n = gram_sketch(docs, omega)
-        self.idf = np.log((n + len(items.slots) + 1) / (df + 1)) + 0.05
-        y = self.idf[:, None] * gram
-        bench = np.zeros((DIMS, k))
-        squares = 0.0
+    """The latent space of the documents' and some items' passages: idf by slot, and the directions as a table by dimension."""
+
+    def __init__(self, sketch: Sketch, items: Items):
+        self.idf = sketch.idf
+        bench = np.zeros_like(sketch.gram)
         for s in items.slots:
-            np.add.at(bench, s, omega[s].sum(0))
-            squares += float((self.idf[s] ** 2).sum())
-        bench *= self.idf[:, None]
+            dim, weight = signed(self.idf, s)
+            np.add.at(bench, dim, weight[:, None] * (weight.astype(np.float64) @ sketch.omega[dim]))
+        scale = np.linalg.norm(sketch.gram) / max(np.linalg.norm(bench), 1e-12)
         # in the sketch, sums of random rows grow as the root of the weight
-        scale = np.linalg.norm(y) / max(np.linalg.norm(bench), 1e-12) if n else 1.0
-        q, _ = np.linalg.qr(y + BENCH_WEIGHT * max(scale, 1e-12) * bench)
-        self.table = (self.idf[:, None] * q).astype(np.float32)
-        self.square = (self.idf[:, None] ** 2).astype(np.float32)
+        vectors, values = nystroem(sketch.gram + BENCH_WEIGHT * (scale or 1.0) * bench, sketch.omega)
+        keep = values[:RANK] >= CUT * max(values[0], 1e-12)
+        self.table = vectors[:, :RANK][:, keep].astype(np.float32)
+
+
+def nystroem(y: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and singular values of X, largest first, from y = X'X omega."""
+    shift = max(1e-300, np.finfo(float).eps * np.linalg.norm(y))
+    while True:
+        moved = y + shift * omega
+        core = omega.T @ moved
+        try:
+            lower = np.linalg.cholesky((core + core.T) / 2)
+            break
+        except np.linalg.LinAlgError:  # not positive within rounding
+            shift *= 10
+    u, s, _ = np.linalg.svd(np.linalg.solve(lower, moved.T).T, full_matrices=False)
+    return u, np.sqrt(np.maximum(s**2 - shift, 0))
 
 
 MATCHES = "doc_id long, item_id long, start_word long, cosine double, lcs_ratio double, answer_ratio double"
@@ -259,11 +312,12 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
         base = block_base(first)
         slot, block = pairs(w, first)
         n = int(base[-1])
-        v = passage_sums(_rowsum(np.hstack([space.table, space.square]), slot, block, n), base)
-        norm = np.sqrt(np.maximum(v[:, -1], 1e-12))
-        inner = np.linalg.norm(v[:, :-1], axis=1)
+        dim, weight = signed(space.idf, slot)
+        v = passage_sums(_rowsum(space.table, dim, weight, block, n), base)
+        norm = np.sqrt(np.maximum(passage_sums(np.bincount(block, weight * weight, n), base), 1e-12))
+        inner = np.linalg.norm(v, axis=1)
         near = np.flatnonzero(inner >= ENERGY_FROM * norm)
-        cosine = (v[near, :-1] / np.maximum(inner[near, None], 1e-12)) @ items.vectors.T
+        cosine = (v[near] / np.maximum(inner[near, None], 1e-12)) @ items.vectors.T
         a, b = np.nonzero(cosine >= COSINE_FROM)
         latent = near[a] * len(items.words) + np.array(items.owner)[b]
         passage, item = items.holders(w, first, base)
@@ -286,23 +340,34 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
                 continue
             said = lcs(answer, around) / len(answer) if answer else 1.0
             if said >= ANSWER_FROM:
-                close = float((items.vectors[items.bounds[item] : items.bounds[item + 1]] @ v[p, :-1]).max() / max(inner[p], 1e-12))
+                close = float((items.vectors[items.bounds[item] : items.bounds[item + 1]] @ v[p]).max() / max(inner[p], 1e-12))
                 best[row, item] = (start - int(first[row]), close, ratio, said)
         for (row, item), found in sorted(best.items()):
             yield i + row, items.ids[item], *found
 
 
-def blocks_of_items(bench: DataFrame) -> Iterator[Items]:
-    """The query set in blocks of QUERY_ITEMS items by id, so that one block bounds what is sent to tasks."""
-    bench = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    low = None
+def blocks_of_items(bench: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """The query set in blocks of QUERY_ITEMS items by id, so that one block bounds what is sent to tasks; and whether more may follow."""
+    bench = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    key, low = F.struct("item_id", "text"), None
     while True:
-        rows = (bench if low is None else bench.where(F.struct("item_id", "text") > F.struct(F.lit(low[0]).cast("long").alias("item_id"), F.lit(low[1]).alias("text")))).orderBy("item_id", "text").limit(QUERY_ITEMS).collect()
+        rows = (bench if low is None else bench.where(key > low)).orderBy(key).limit(QUERY_ITEMS).collect()
+        more = len(rows) == QUERY_ITEMS
         if rows:
-            yield Items([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()))
-            low = tuple(rows[-1])
-        if len(rows) < QUERY_ITEMS:
+            yield Items([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string())), more
+        if not more:
             return
+        low = F.struct(F.lit(rows[-1]["item_id"]).cast("long").alias("item_id"), F.lit(rows[-1]["text"]).alias("text"))
+
+
+def spaces(docs: DataFrame, bench: DataFrame) -> Iterator[tuple[tuple[Space, Items], bool]]:
+    """The space of each block of items, with its items; the documents are summed up once."""
+    sketch = None
+    for items, more in blocks_of_items(bench):
+        sketch = sketch or Sketch(docs)
+        space = Space(sketch, items)
+        items.project(space)
+        yield (space, items), more
 
 
 def find_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -310,10 +375,8 @@ def find_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = arrow_schema(MATCHES, spark)
     out = spark.createDataFrame([], MATCHES)
-    for items in blocks_of_items(bench):
-        space = Space(docs, items)
-        items.project(space.table)
-        sent = spark.sparkContext.broadcast((space, items))
+    for pair, _ in spaces(docs, bench):
+        sent = spark.sparkContext.broadcast(pair)
 
         def search(batches, sent=sent):
             for batch in batches:
@@ -332,10 +395,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a match go."""
     at = docs.columns.index("text")
-    for items in blocks_of_items(read(spark, sf_dir, "benchmark")):
-        space = Space(docs, items)
-        items.project(space.table)
-        sent = spark.sparkContext.broadcast((space, items))
+    for pair, more in spaces(docs, read(spark, sf_dir, "benchmark")):
+        sent = spark.sparkContext.broadcast(pair)
 
         def clean(batches, sent=sent):
             for batch in batches:
@@ -344,5 +405,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = materialize(docs.mapInArrow(tidy(clean), docs.schema), "clean") if len(items.ids) == QUERY_ITEMS else docs.mapInArrow(tidy(clean), docs.schema)
+        docs = docs.mapInArrow(tidy(clean), docs.schema)
+        docs = materialize(docs, "clean") if more else docs
     return docs

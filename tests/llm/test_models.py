@@ -183,6 +183,60 @@ def test_decontamination_finds_all_of_thousands_of_items(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want and len(want) >= 160
 
 
+def test_decomposition_gives_the_singular_vectors():
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(300, 12)) * 0.5 ** np.arange(12)) @ rng.normal(size=(12, 60))
+    vectors, values = decontaminate.nystroem(x.T @ x @ (omega := rng.normal(size=(60, 20))), omega)
+    _, want, right = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values[:12], want[:12], rtol=1e-3) and (values[13:] < 1e-3 * want[0]).all()
+    assert np.abs(np.abs((vectors[:, :8] * right[:8].T).sum(0)) - 1).max() < 1e-3
+
+
+def test_sketch_equals_the_weighted_gram_matrix(spark):
+    rows = documents()
+    sketch = decontaminate.Sketch(frame(spark, rows).repartition(3))
+    again = decontaminate.Sketch(frame(spark, rows).repartition(3))
+    assert (sketch.gram == again.gram).all() and (sketch.idf == again.idf).all()
+    df, blocks, counts = Counter(), 0, []
+    for _, text, _ in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        w, first = toxicity.terms(data, np.array([0, len(data)]))
+        slot, block = decontaminate.pairs(w, first)
+        n = max(1, -(-len(w) // decontaminate.BLOCK))
+        blocks += n
+        df.update(s for _, s in {(b, s) for b, s in zip(block.tolist(), slot.tolist())})
+        counts += [slot[(block == b) | (block == b + 1)] for b in range(n)]
+    assert all(sketch.idf[s] == pytest.approx(np.log((blocks + 1) / (k + 1)) + 0.05, rel=1e-5) for s, k in df.items())
+    want = np.zeros_like(sketch.gram)
+    for slot in counts:
+        dim, weight = decontaminate.signed(sketch.idf, slot)
+        np.add.at(want, dim, weight[:, None] * (weight @ sketch.omega[dim]))
+    assert np.allclose(sketch.gram, want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
+
+
+def test_decontamination_of_paraphrases(spark, tmp_path):
+    """Words replaced, or parts in another order, in a corpus of other texts: all are found down to the LCS bound."""
+    rng = random.Random(12)
+    filler = lambda n: [f"w{int(3000 * rng.random() ** 2)}" for _ in range(n)]
+    items = [filler(rng.randint(25, 60)) for _ in range(40)]
+    docs, want = [], set()
+    for share in (0, 0.1, 0.2, 0.3, 0.35):
+        for i, own in enumerate(items):
+            w = list(own)
+            for k in rng.sample(range(len(w)), int(len(w) * share)):
+                w[k] = f"new{rng.randrange(9999)}"
+            cut = len(w) // 4
+            turned = w[cut:] + w[:cut] if share == 0.1 else w
+            docs.append(filler(rng.randint(0, 90)) + turned + filler(rng.randint(0, 90)))
+            want.add((len(docs) - 1, i))
+    docs += [filler(200) for _ in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    path = write(tmp_path, documents=frame(spark, [(d, " ".join(w), "s") for d, w in enumerate(docs)]), benchmark=bench)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.query(spark, path).collect()}
+    possible = {(d, i) for d, i in want if brute_lcs(items[i], docs[d]) >= 0.6 * len(items[i]) and brute_lcs(items[i], docs[d]) >= 0.5 * len(items[i])}
+    assert got == possible and len(possible) > 0.9 * len(want)
+
+
 def test_decontamination_of_empty_tables(spark, tmp_path):
     bench = spark.createDataFrame([(1, "a few words of an item")], "item_id long, text string")
     d = write(tmp_path, documents=frame(spark, []), benchmark=bench)
