@@ -35,7 +35,7 @@ from .toxicity import terms
 BLOCK = 32
 SLOTS, DIMS = 1 << 20, 1 << 13
 #: Directions kept at most, random ones beyond them, and the least singular value kept, as a part of the largest.
-RANK, MORE, CUT = 96, 16, 0.01
+RANK, MORE, CUT = 48, 8, 0.01
 SLICES, FAN = 32, 64
 QUERY_ITEMS = 4096
 #: The benchmark's share of the squared weights of the decomposed matrix, against 1 for all documents.
@@ -79,14 +79,25 @@ def signed(idf: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slot & (DIMS - 1), np.where(slot & DIMS, idf[slot], -idf[slot])
 
 
+def _sums(table: np.ndarray, row: np.ndarray, weight: np.ndarray, group: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weighted sums of table rows over pieces of a group, each group, its first piece); groups ascend, a piece has ``piece`` rows at most."""
+    head = np.flatnonzero(np.diff(group, prepend=-1))
+    count = np.diff(np.append(head, len(group)))
+    many = -(-count // piece)
+    first = np.cumsum(many) - many
+    place = np.repeat(first * piece - head, count) + np.arange(len(group))
+    rows, weights = np.zeros(many.sum() * piece, np.int64), np.zeros(many.sum() * piece, np.float32)
+    rows[place], weights[place] = row, weight
+    # small matrix products, which are faster than sums of sorted rows
+    return np.matmul(weights.reshape(-1, 1, piece), table[rows].reshape(-1, piece, table.shape[1]))[:, 0], group[head], first
+
+
 def _rowsum(table: np.ndarray, dim: np.ndarray, weight: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """Weighted sums of table rows by block; blocks ascend."""
+    """Weighted sums of table rows by block; blocks ascend and have BLOCK pairs at most."""
     out = np.zeros((n, table.shape[1]), np.float32)
     if len(dim):
-        head = np.flatnonzero(np.diff(block, prepend=-1))
-        rows = table[dim]
-        rows *= weight[:, None]
-        out[block[head]] = np.add.reduceat(rows, head, axis=0)
+        sums, at, _ = _sums(table, dim, weight, block, BLOCK)
+        out[at] = sums
     return out
 
 
@@ -125,8 +136,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
                 total[SLOTS] += n
                 if len(w) > 1:
                     slot, block = pairs(w, first)
-                    held = np.unique(slot * n + block) // n
-                    total[:SLOTS, 0] += np.bincount(held, minlength=SLOTS)
+                    held, often = np.unique(np.unique(slot * n + block) // n, return_counts=True)
+                    total[held, 0] += often
         return total
 
     # the rows beyond SLOTS hold the number of blocks
@@ -161,13 +172,11 @@ class Sketch:
                     follows[base[:-1]] = False
                     at = np.flatnonzero(follows)
                     both[at] += z[at - 1]
-                    order = np.argsort(dim, kind="stable")
-                    if not len(order):
+                    if not len(dim):
                         continue
-                    head = np.flatnonzero(np.diff(dim[order], prepend=-1))
-                    rows = both[block[order]]
-                    rows *= weight[order][:, None]
-                    total[dim[order][head]] += np.add.reduceat(rows, head, axis=0)
+                    order = np.argsort(dim * n + block)
+                    sums, at, first_piece = _sums(both, block[order], weight[order], dim[order], 8)
+                    total[at] += np.add.reduceat(sums, first_piece, axis=0)
             return total
 
         self.gram = _summed(docs, self.omega.shape, product)
