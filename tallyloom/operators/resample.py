@@ -15,7 +15,7 @@ def _draws(clusters: DataFrame, replicates: int, seed: int, names: list[str]) ->
     draws the same again; draws are counted per cluster before they meet its sums.
     """
     slots = clusters.select(F.col("i").alias("slot"), "n").select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "slot"), F.col("n"))
+    pick = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("slot").cast("string")), 256), 1, 15), 16, 10).cast("bigint"), F.col("n"))
     return slots.groupBy("replicate", pick.alias("i")).agg(F.count("*").alias("times")).join(clusters.select("i", *names), "i")
 
 
@@ -62,7 +62,7 @@ def permutation_null(items: DataFrame, values: DataFrame, replicates: int = 200,
     each = items.select("item", "table_id", "predicted", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     by = Window.partitionBy("replicate")
     left = each.select("replicate", "predicted", F.row_number().over(by.orderBy("item")).alias("k"))
-    right = each.select("replicate", "table_id", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "replicate", "item"), "item")).alias("k"))
+    right = each.select("replicate", "table_id", F.row_number().over(by.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("item").cast("string")), 256), "item")).alias("k"))
     null = hit(left.join(right, ["replicate", "k"])).groupBy("replicate").agg(rate(F.count("hit"), F.count("*")).alias("r"))
     s = null.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("r").alias("null_mean"), F.sort_array(F.collect_list("r")).alias("s"), rate(F.count_if(F.col("r") >= F.col("observed")) + 1, F.count("*") + 1).alias("p"))
     at = lambda p: F.element_at("s", F.least(F.floor(F.lit(p) * F.size("s")).cast("int"), F.size("s") - 1) + 1)

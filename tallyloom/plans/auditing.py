@@ -148,8 +148,8 @@ add(
 )
 add(
     "flt17_first_invalid_variant",
-    lambda s, d: v.first_invalid_variant(table(s, d, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_orderkey").alias("group_id"), F.element_at(F.array(*map(F.lit, v.VARIANTS)), F.col("l_linenumber").cast("int")).alias("variant")).agg(F.max(F.when(F.col("l_discount") > 0.08, F.col("l_returnflag"))).alias("reason"))),
-    "WITH r AS (SELECT l_orderkey AS group_id, l_linenumber AS k, max(CASE WHEN l_discount > 0.08 THEN l_returnflag END) AS reason FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2) SELECT group_id, arg_min(reason, k) FILTER (WHERE reason IS NOT NULL) AS reason FROM r GROUP BY 1",
+    lambda s, d: v.first_invalid_variant(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("group_id"), F.element_at(F.array(*map(F.lit, v.VARIANTS)), ((F.col("l_linenumber") - 1) % 4 + 1).cast("int")).alias("variant")).agg(F.max(F.when(F.col("l_discount") > 0.08, F.col("l_returnflag"))).alias("reason"))),
+    "WITH r AS (SELECT l_orderkey AS group_id, (l_linenumber - 1) % 4 AS k, max(CASE WHEN l_discount > 0.08 THEN l_returnflag END) AS reason FROM lineitem GROUP BY 1, 2) SELECT group_id, arg_min(reason, k) FILTER (WHERE reason IS NOT NULL) AS reason FROM r GROUP BY 1",
 )
 add("join23_split_leaks", lambda s, d: v.split_leaks(table(s, d, "documents").select(F.md5("text").alias("key"), (F.col("doc_id") % 3).cast("string").alias("split"))).select("key", F.array_join("splits", ",").alias("splits")), "SELECT md5(text) AS key, string_agg(DISTINCT (doc_id % 3)::VARCHAR, ',' ORDER BY (doc_id % 3)::VARCHAR) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1")
 
@@ -163,19 +163,19 @@ add("smp02_assign_splits", lambda s, d: sm.assign_splits(_custom(s, d), 5, {"tra
 
 
 def _variants(s, d):
-    return table(s, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("group_id"), F.element_at(F.array(*map(F.lit, v.VARIANTS)), F.col("l_linenumber").cast("int")).alias("variant")).distinct()
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.element_at(F.array(*map(F.lit, v.VARIANTS)), ((F.col("l_linenumber") - 1) % 4 + 1).cast("int")).alias("variant")).distinct()
 
 
-_VAR = f"v AS (SELECT DISTINCT l_orderkey AS group_id, {list(v.VARIANTS)}[l_linenumber] AS variant FROM lineitem WHERE l_linenumber <= 4)"
+_VAR = f"v AS (SELECT DISTINCT l_orderkey AS group_id, {list(v.VARIANTS)}[(l_linenumber - 1) % 4 + 1] AS variant FROM lineitem)"
 add("smp03_epoch_sample", lambda s, d: sm.epoch_sample(_variants(s, d), 3, 1), f"WITH {_VAR} SELECT group_id, variant FROM v QUALIFY row_number() OVER (PARTITION BY group_id, variant = 'clean' ORDER BY sha256('3:1:' || group_id || ':' || variant), variant) = 1")
-_groups = lambda s, d: table(s, d, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("group_id"))
-_SCH = f"""p AS (SELECT g.c_custkey AS group_id, c.c AS cycle, list(k ORDER BY sha256('9:' || g.c_custkey || ':' || c.c || ':' || k)) AS kinds FROM customer g, (VALUES (0), (1)) c(c), (VALUES {', '.join(f"('{k}')" for k in COUNTERFACTUALS)}) t(k) WHERE g.c_custkey <= 300 GROUP BY 1, 2),
+_groups = lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("group_id"))
+_SCH = f"""p AS (SELECT g.c_custkey AS group_id, c.c AS cycle, list(k ORDER BY sha256('9:' || g.c_custkey || ':' || c.c || ':' || k)) AS kinds FROM customer g, (VALUES (0), (1)) c(c), (VALUES {', '.join(f"('{k}')" for k in COUNTERFACTUALS)}) t(k) GROUP BY 1, 2),
 sch AS (SELECT (cycle * 3 + e.e)::INT AS epoch, sha256('9:place:' || (cycle * 3 + e.e) || ':' || group_id) AS place, group_id, cycle::INT AS cycle, kinds[e.e + 1] AS kind FROM p, (VALUES (0), (1), (2)) e(e))"""
 add("smp06_cycle_schedule", lambda s, d: sm.schedule(_groups(s, d), 9, 2), f"WITH {_SCH} SELECT * FROM sch")
 add(
     "smp07_matched_pairs",
-    lambda s, d: sm.matched_pairs(table(s, d, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("group_id"), F.col("c_name").alias("image_a")), table(s, d, "orders").select((F.col("o_custkey") % 301).alias("group_id"), F.col("o_orderkey").alias("image_b"), F.col("o_orderkey").alias("ordinal")), 9, 2),
-    f"WITH {_SCH} SELECT s.*, c.c_name AS image_a, b.image_b FROM sch s JOIN customer c ON s.group_id = c.c_custkey JOIN (SELECT o_custkey % 301 AS g, max(o_orderkey) AS image_b FROM orders GROUP BY 1) b ON b.g = s.group_id",
+    lambda s, d: sm.matched_pairs(table(s, d, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_name").alias("image_a")), table(s, d, "orders").select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("image_b"), F.col("o_orderkey").alias("ordinal")).unionByName(table(s, d, "customer").select(F.col("c_custkey").alias("group_id"), F.lit(-1).cast("long").alias("image_b"), F.lit(-1).cast("long").alias("ordinal"))), 9, 2),
+    f"WITH {_SCH} SELECT s.*, c.c_name AS image_a, b.image_b FROM sch s JOIN customer c ON s.group_id = c.c_custkey JOIN (SELECT c_custkey AS g, coalesce(max(o_orderkey), -1) AS image_b FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) b ON b.g = s.group_id",
 )
 add("win07_capped", lambda s, d: sm.capped(table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), "o_custkey"), 4, "o_custkey", 3), "SELECT o_orderkey AS pair_id, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('4:' || o_orderkey), o_orderkey) <= 3")
 add("smp10_audit_sample", lambda s, d: sm.sampled(table(s, d, "orders").select("o_orderkey", "o_custkey"), 8, 25, "o_orderkey"), "SELECT o_orderkey, o_custkey FROM orders ORDER BY sha256('8:' || o_orderkey), o_orderkey LIMIT 25")
@@ -191,21 +191,42 @@ def _arms(s, d):
 
 def _bootstrap(s, d):
     a, b = _arms(s, d)
-    return r.bootstrap_delta(a, b, F.col("ok"), F.lit(1), "doc", 200, 3).select(F.round("delta", 9).alias("delta"), "replicates", (F.col("ci_low") <= F.col("ci_high")).alias("ordered"))
+    return r.bootstrap_delta(a, b, F.col("ok"), F.lit(1), "doc", 200, 3).select(*(F.round(c, 9).alias(c) for c in ("delta", "ci_low", "ci_high")), "replicates")
 
 
-add("smp12_bootstrap_delta", _bootstrap, f"WITH {OUTCOMES_SQL} SELECT round(avg(correct_b::INT) - avg(correct_a::INT), 9) AS delta, 200::INT AS replicates, true AS ordered FROM outcomes")
-add("smp13_macro_bootstrap", lambda s, d: r.macro_bootstrap(outcomes(s, d).select("document_id", "table_id", F.col("correct_a").cast("int").alias("num"), F.lit(1).alias("den")), "document_id", 200, 3).select("replicates", (F.col("ci_low") <= F.col("ci_high")).alias("ordered")), "SELECT 200::INT AS replicates, true AS ordered")
+_pick = "(('0x' || substr(sha256('3:' || r || ':' || i), 1, 15))::UBIGINT % n)::BIGINT"
+_ends = lambda lo, hi: f"list_sort(list(x))[least(floor({lo} * count(*))::INT, count(*) - 1) + 1] AS low, list_sort(list(x))[least(floor({hi} * count(*))::INT, count(*) - 1) + 1] AS high"
+add(
+    "smp12_bootstrap_delta",
+    _bootstrap,
+    f"""WITH {OUTCOMES_SQL}, c AS (SELECT row_number() OVER (ORDER BY doc) - 1 AS i, count(*) OVER () AS n, * FROM (SELECT table_id || document_id AS doc, sum(correct_a::INT) AS a, sum(correct_b::INT) AS b, count(*) AS k FROM outcomes GROUP BY 1)),
+draws AS (SELECT r, {_pick} AS i FROM c, range(200) t(r)), x AS (SELECT r, sum(b) / sum(k) - sum(a) / sum(k) AS x FROM draws JOIN c USING (i) GROUP BY 1), e AS (SELECT count(*)::INT AS replicates, {_ends(0.025, 0.975)} FROM x)
+SELECT round((SELECT avg(correct_b::INT) - avg(correct_a::INT) FROM outcomes), 9) AS delta, round(low, 9) AS ci_low, round(high, 9) AS ci_high, replicates FROM e""",
+)
+add(
+    "smp13_macro_bootstrap",
+    lambda s, d: r.macro_bootstrap(outcomes(s, d).select("document_id", "table_id", F.col("correct_a").cast("int").alias("num"), F.lit(1).alias("den")), "document_id", 200, 3).select("replicates", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high")),
+    f"""WITH {OUTCOMES_SQL}, p AS (SELECT document_id AS doc, table_id, sum(correct_a::INT) AS num, count(*) AS den FROM outcomes GROUP BY 1, 2), c AS (SELECT row_number() OVER (ORDER BY doc) - 1 AS i, count(*) OVER () AS n, doc FROM (SELECT DISTINCT doc FROM p)),
+draws AS (SELECT DISTINCT r, {_pick} AS i FROM c, range(200) t(r)), m AS (SELECT r, table_id, sum(num) / sum(den) AS m FROM draws JOIN c USING (i) JOIN p USING (doc) GROUP BY 1, 2), x AS (SELECT r, avg(m) AS x FROM m GROUP BY 1), e AS (SELECT count(*)::INT AS replicates, {_ends(0.025, 0.975)} FROM x)
+SELECT replicates, round(low, 9) AS ci_low, round(high, 9) AS ci_high FROM e""",
+)
 
 
 def _null(s, d):
     o = outcomes(s, d).select(F.col("pair_id").alias("item"), "table_id", (F.col("n") % 53).alias("predicted"), (F.col("n") % 50).alias("value"))
-    return r.permutation_null(o.drop("value"), o.select("table_id", "value").distinct(), 50, 1).select(F.round("observed", 9).alias("observed"), F.col("null_mean").between(0, 1).alias("fine"), (F.col("p") > 0).alias("positive"))
+    return r.permutation_null(o.drop("value"), o.select("table_id", "value").distinct(), 50, 1).select(*(F.round(c, 9).alias(c) for c in ("observed", "null_mean", "null_p05", "null_p95", "p")))
 
 
-add("smp14_permutation_null", _null, f"WITH {OUTCOMES_SQL} SELECT round(avg(EXISTS (SELECT 1 FROM outcomes k WHERE k.table_id = o.table_id AND k.n % 50 = o.n % 53)::INT), 9) AS observed, true AS fine, true AS positive FROM outcomes o")
+add(
+    "smp14_permutation_null",
+    _null,
+    f"""WITH {OUTCOMES_SQL}, o AS (SELECT pair_id AS item, table_id, n % 53 AS predicted FROM outcomes), v AS (SELECT DISTINCT table_id, n % 50 AS predicted, 1 AS hit FROM outcomes), seen AS (SELECT count(hit) / count(*) AS observed FROM o LEFT JOIN v USING (table_id, predicted)),
+l AS (SELECT r, predicted, row_number() OVER (PARTITION BY r ORDER BY item) AS k FROM o, range(50) t(r)), t AS (SELECT r, table_id, row_number() OVER (PARTITION BY r ORDER BY sha256('1:' || r || ':' || item), item) AS k FROM o, range(50) t(r)),
+x AS (SELECT r, count(hit) / count(*) AS x FROM l JOIN t USING (r, k) LEFT JOIN v USING (table_id, predicted) GROUP BY 1), e AS (SELECT avg(x) AS null_mean, {_ends(0.05, 0.95)}, (count(*) FILTER (WHERE x >= (SELECT observed FROM seen)) + 1)::DOUBLE / (count(*) + 1) AS p FROM x)
+SELECT round((SELECT observed FROM seen), 9) AS observed, round(null_mean, 9) AS null_mean, round(low, 9) AS null_p05, round(high, 9) AS null_p95, round(p, 9) AS p FROM e""",
+)
 add("set01_union", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("n"), F.lit("c").alias("kind")).unionByName(table(s, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_nationkey").alias("n"))).groupBy("kind", "n").agg(F.count("*").alias("k")), "SELECT 'c' AS kind, c_nationkey AS n, count(*) AS k FROM customer GROUP BY 2 UNION ALL SELECT 's', s_nationkey, count(*) FROM supplier GROUP BY 2")
 add("set02_intersect", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("n")).intersect(table(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n"))), "SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 add("set03_except", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("n")).subtract(table(s, d, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("n"))), "SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 add("set04_unordered_pairs", lambda s, d: table(s, d, "orders").select(F.array_sort(F.array(F.col("o_custkey") % 30, F.col("o_orderkey") % 30)).alias("p")).distinct().select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")), "SELECT DISTINCT least(o_custkey % 30, o_orderkey % 30) AS a, greatest(o_custkey % 30, o_orderkey % 30) AS b FROM orders")
-add("win08_windowed_events", lambda s, d: visits.windowed(table(s, d, "events"), width="1 hour").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("w"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS w, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+add("udf04_windowed_events", lambda s, d: visits.windowed(table(s, d, "events"), width="1 hour").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("w"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS w, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

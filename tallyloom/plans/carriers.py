@@ -58,14 +58,14 @@ OUTCOMES_SQL = """outcomes AS (SELECT doc_id AS pair_id, source AS table_id, lan
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """Table facts: table_id, metric, period, value, unit, scope and the order of arrival."""
-    part = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_type", F.substring("p_name", 1, 6))).alias("metric"))
+    part = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("metric"))
     supplier = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("table_id"))
     lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"), "l_quantity", F.col("l_returnflag").alias("unit"), F.col("l_linestatus").alias("scope"))
     joined = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
     return joined.groupBy("table_id", "metric", F.col("year").cast("string").alias("period"), "unit", "scope").agg(F.sum("l_quantity").cast("bigint").alias("value"), F.min("l_partkey").alias("arrival"))
 
 
-FACTS_SQL = """facts AS (SELECT s_nationkey AS table_id, lower(concat_ws(' ', p_type, substr(p_name, 1, 6))) AS metric, year(l_shipdate)::VARCHAR AS period,
+FACTS_SQL = """facts AS (SELECT s_nationkey AS table_id, lower(concat_ws(' ', p_type, p_name)) AS metric, year(l_shipdate)::VARCHAR AS period,
   l_returnflag AS unit, l_linestatus AS scope, sum(l_quantity)::BIGINT AS value, min(l_partkey) AS arrival
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import auditing, evaluation, mining, records, scalars
+from . import auditing, building, evaluation, mining, records, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = (evaluation, mining, scalars, auditing, records)
+FAMILIES = (evaluation, mining, scalars, auditing, records, building)
 FLAGSHIP = "agg03_cgs_by_setting"
 
 

@@ -148,8 +148,8 @@ add(
 )
 add(
     "agg28_unique_questions",
-    lambda s, d: m.first_wins(table(s, d, "conversations").where("role = 'user'").select(F.substring("text", 1, 12).alias("question"), "conv_id", F.struct("conv_id", "turn").alias("o")), ["question"], "o").drop("o"),
-    "SELECT substr(text, 1, 12) AS question, arg_min(conv_id, (conv_id, turn)) AS conv_id FROM conversations WHERE role = 'user' GROUP BY 1",
+    lambda s, d: m.first_wins(table(s, d, "conversations").where("role = 'user'").select(F.col("text").alias("question"), "conv_id", F.struct("conv_id", "turn").alias("o")), ["question"], "o").drop("o"),
+    "SELECT text AS question, arg_min(conv_id, (conv_id, turn)) AS conv_id FROM conversations WHERE role = 'user' GROUP BY 1",
 )
 
 

@@ -41,11 +41,11 @@ WHERE a.metric < b.metric AND a.value <> b.value AND {_JAC} >= 0.5 AND NOT (rege
 def _questions(s, d):
     o = table(s, d, "orders")
     k = F.col("o_orderkey")
-    return o.where("o_custkey % 10 = 1").select(F.col("o_custkey").alias("table_id"), k.alias("question"), F.when(k % 7 != 0, F.when(k % 2 == 0, "adjusted ebitda").when(k % 3 == 0, "ebitda").otherwise("revenue")).alias("metric"), F.when(k % 11 != 0, F.year("o_orderdate").cast("string")).alias("period"), (k % 5).cast("string").alias("answer"), F.when(k % 3 == 0, "thousand").otherwise("million").alias("scale"))
+    return o.select(F.col("o_custkey").alias("table_id"), k.alias("question"), F.when(k % 7 != 0, F.when(k % 2 == 0, "adjusted ebitda").when(k % 3 == 0, "ebitda").otherwise("revenue")).alias("metric"), F.when(k % 11 != 0, F.year("o_orderdate").cast("string")).alias("period"), (k % 5).cast("string").alias("answer"), F.when(k % 3 == 0, "thousand").otherwise("million").alias("scale"))
 
 
 _Q = """q AS (SELECT o_custkey AS table_id, o_orderkey AS question, CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'adjusted ebitda' WHEN o_orderkey % 3 = 0 THEN 'ebitda' ELSE 'revenue' END END AS metric,
-  CASE WHEN o_orderkey % 11 <> 0 THEN year(o_orderdate)::VARCHAR END AS period, (o_orderkey % 5)::VARCHAR AS answer, CASE WHEN o_orderkey % 3 = 0 THEN 'thousand' ELSE 'million' END AS scale FROM orders WHERE o_custkey % 10 = 1)"""
+  CASE WHEN o_orderkey % 11 <> 0 THEN year(o_orderdate)::VARCHAR END AS period, (o_orderkey % 5)::VARCHAR AS answer, CASE WHEN o_orderkey % 3 = 0 THEN 'thousand' ELSE 'million' END AS scale FROM orders)"""
 add(
     "join14_question_pairs",
     lambda s, d: p.question_pairs(_questions(s, d)),
@@ -61,11 +61,11 @@ FROM q a JOIN q b ON a.table_id = b.table_id AND a.question < b.question""",
 def _instances(s, d):
     k = F.col("o_orderkey")
     label = F.element_at(F.array(*map(F.lit, ("FY", "Actual", "Budget", "LTM", "Forecast", "12M Budget", "Current", "Q3"))), (k % 8 + 1).cast("int"))
-    return table(s, d, "orders").where("o_custkey % 5 = 2").select((F.col("o_custkey") % 100).alias("document_id"), F.col("o_custkey").alias("company"), k.alias("ordinal"), label.alias("period"), F.substring(F.year("o_orderdate").cast("string"), F.when(k % 2 == 0, 1).otherwise(3), F.lit(4)).alias("year"), F.month("o_orderdate").cast("string").alias("month"), F.when(k % 3 != 0, (k % 90).cast("double")).alias("column_x"))
+    return table(s, d, "orders").select((F.col("o_custkey") % 100).alias("document_id"), F.col("o_custkey").alias("company"), k.alias("ordinal"), label.alias("period"), F.substring(F.year("o_orderdate").cast("string"), F.when(k % 2 == 0, 1).otherwise(3), F.lit(4)).alias("year"), F.month("o_orderdate").cast("string").alias("month"), F.when(k % 3 != 0, (k % 90).cast("double")).alias("column_x"))
 
 
 _I = """i AS (SELECT o_custkey % 100 AS document_id, o_custkey AS company, o_orderkey AS ordinal, ['FY', 'Actual', 'Budget', 'LTM', 'Forecast', '12M Budget', 'Current', 'Q3'][(o_orderkey % 8 + 1)::INT] AS period,
-  CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) ELSE 2000 + year(o_orderdate) % 100 END AS y, month(o_orderdate) AS m, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 90)::DOUBLE END AS x FROM orders WHERE o_custkey % 5 = 2)"""
+  CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) ELSE 2000 + year(o_orderdate) % 100 END AS y, month(o_orderdate) AS m, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 90)::DOUBLE END AS x FROM orders)"""
 add(
     "join17_instance_pairs",
     lambda s, d: p.instance_pairs(_instances(s, d)),
@@ -170,13 +170,13 @@ add(
 )
 add(
     "join08_context_blocks",
-    lambda s, d: t.context_blocks(table(s, d, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("ord"), F.substring("text", 1, 20).alias("text")), 2),
-    "SELECT conv_id AS page, turn AS ord, substr(text, 1, 20) AS text, (SELECT string_agg(substr(x.text, 1, 20), ' ' ORDER BY x.turn) FROM conversations x WHERE x.conv_id = c.conv_id AND abs(x.turn - c.turn) <= 2) AS context, (SELECT count(*) FROM conversations x WHERE x.conv_id = c.conv_id AND abs(x.turn - c.turn) <= 2)::INT AS n_context FROM conversations c",
+    lambda s, d: t.context_blocks(table(s, d, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("ord"), F.col("text")), 2),
+    "SELECT conv_id AS page, turn AS ord, text, (SELECT string_agg(x.text, ' ' ORDER BY x.turn) FROM conversations x WHERE x.conv_id = c.conv_id AND abs(x.turn - c.turn) <= 2) AS context, (SELECT count(*) FROM conversations x WHERE x.conv_id = c.conv_id AND abs(x.turn - c.turn) <= 2)::INT AS n_context FROM conversations c",
 )
 add(
     "prj06_ordered_units",
-    lambda s, d: t.ordered_units(table(s, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("group_id"), (F.col("l_partkey") % 7).alias("id"), F.col("l_linenumber").alias("role_rank"), F.concat(F.lit("role"), F.col("l_linenumber").cast("string")).alias("role"))).select("group_id", F.array_join(F.transform("units", lambda u: F.concat(u.id.cast("string"), F.lit(":"), u.role)), ",").alias("units")),
-    "WITH o AS (SELECT l_orderkey AS group_id, l_partkey % 7 AS id, min(l_linenumber) AS k FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2) SELECT group_id, string_agg(id || ':role' || k, ',' ORDER BY k, id) AS units FROM o GROUP BY 1",
+    lambda s, d: t.ordered_units(table(s, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), (F.col("l_partkey") % 7).alias("id"), F.col("l_linenumber").alias("role_rank"), F.concat(F.lit("role"), F.col("l_linenumber").cast("string")).alias("role"))).select("group_id", F.array_join(F.transform("units", lambda u: F.concat(u.id.cast("string"), F.lit(":"), u.role)), ",").alias("units")),
+    "WITH o AS (SELECT l_orderkey AS group_id, l_partkey % 7 AS id, min(l_linenumber) AS k FROM lineitem GROUP BY 1, 2) SELECT group_id, string_agg(id || ':role' || k, ',' ORDER BY k, id) AS units FROM o GROUP BY 1",
 )
 add(
     "join22_value_membership",

@@ -35,7 +35,7 @@ add(
 
 
 def _variants(s, d):
-    return table(s, d, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_orderkey").alias("group_id"), F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("variant")).agg(F.max("l_partkey").alias("part"))
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("group_id"), F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("variant")).agg(F.max("l_partkey").alias("part"))
 
 
 add(
@@ -83,10 +83,14 @@ add(
 )
 add(
     "smp16_counterfactual_plans",
-    lambda s, d: (lambda g, q: (lambda a: r.counterfactual_plans(a, t.header_swaps(a, g), t.irrelevant_cells(a, g, a.select("table_id", "question", "row_idx", "col_idx")), F.lit("99")))(t.answer_cells(q, g)))(*_asked(s, d)).groupBy("variant").agg(F.count("*").alias("n"), F.count("new_text").alias("edits")),
-    f"WITH {_AQ}, ok AS (SELECT a.table_id, a.question FROM ans a WHERE EXISTS (SELECT 1 FROM body b WHERE a.table_id = b.table_id AND a.row_idx = b.row_idx AND b.col_idx > 0 AND b.col_idx <> a.col_idx AND b.k <> a.k) AND EXISTS (SELECT 1 FROM body b WHERE a.table_id = b.table_id AND b.row_idx > 1 AND b.col_idx > 0 AND b.row_idx <> a.row_idx AND b.k <> a.k)) SELECT v AS variant, count(*) AS n, count(*) FILTER (WHERE v <> 'clean') AS edits FROM ok, (VALUES ('clean'), ('target_value'), ('header_address_swap'), ('irrelevant_value')) x(v) GROUP BY v",
+    lambda s, d: (lambda g, q: (lambda a: r.counterfactual_plans(a, t.header_swaps(a, g), t.irrelevant_cells(a, g, a.select("table_id", "question", "row_idx", "col_idx")), F.lit("99")))(t.answer_cells(q, g)))(*_asked(s, d)).select("table_id", "question", "variant", "row_idx", "col_idx", "new_text"),
+    f"""WITH {_AQ}, swap AS (SELECT a.table_id, a.question, arg_min(b.text, b.col_idx) AS peer FROM ans a JOIN body b ON a.table_id = b.table_id AND a.row_idx = b.row_idx AND b.col_idx > 0 AND b.col_idx <> a.col_idx AND b.k <> a.k GROUP BY 1, 2),
+other AS (SELECT a.table_id, a.question, c.* FROM ans a, LATERAL (SELECT b.row_idx AS ir, b.col_idx AS ic, b.text AS it FROM body b WHERE b.table_id = a.table_id AND b.row_idx > 1 AND b.col_idx > 0 AND b.row_idx <> a.row_idx AND b.k <> a.k ORDER BY abs(b.row_idx - a.row_idx) + abs(b.col_idx - a.col_idx), b.row_idx, b.col_idx LIMIT 1) c),
+j AS (SELECT * FROM ans JOIN swap USING (table_id, question) JOIN other USING (table_id, question))
+SELECT table_id, question, 'clean' AS variant, NULL::INT AS row_idx, NULL::INT AS col_idx, NULL::VARCHAR AS new_text FROM j UNION ALL SELECT table_id, question, 'target_value', row_idx, col_idx, '99' FROM j
+UNION ALL SELECT table_id, question, 'header_address_swap', row_idx, col_idx, peer FROM j UNION ALL SELECT table_id, question, 'irrelevant_value', ir, ic, it || '1' FROM j""",
 )
-add("prj16_prompts", lambda s, d: table(s, d, "nation").select("n_nationkey", F.length(r.qa_prompt(F.col("n_name"))).alias("a"), F.size(r.messages(r.grounding_prompt(F.col("n_name")), F.lit("i"))[0].parts).alias("parts")), "SELECT n_nationkey, (length('Answer the question from the table image.') + 2 + length('Question: ') + length(n_name) + 1 + length('Answer:'))::INT AS a, 2::INT AS parts FROM nation")
+add("prj16_prompts", lambda s, d: table(s, d, "part").select("p_partkey", r.qa_prompt(F.col("p_name")).alias("a"), F.size(r.messages(r.grounding_prompt(F.col("p_name")), F.lit("i"))[0].parts).alias("parts")), "SELECT p_partkey, 'Answer the question from the table image.' || chr(10) || chr(10) || 'Question: ' || p_name || chr(10) || 'Answer:' AS a, 2::INT AS parts FROM part")
 add(
     "src03_index_by",
     lambda s, d: readers.index_by(_orders(s, d).select(F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey").cast("string")).otherwise(" ").alias("uid"), "o_orderkey", "o_orderpriority"), "uid", "o_orderkey"),

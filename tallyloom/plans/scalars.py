@@ -48,10 +48,14 @@ add(
     lambda s, d: number_texts(s, d).select("id", n.money_scale(F.col("a"), F.col("b")).alias("money"), n.scale_shift(F.col("a"), F.col("b")).alias("shift")),
     f"WITH {N}, c AS (SELECT id, {_num('a')} AS x, {_num('b')} AS y FROM number_texts), r AS (SELECT id, CASE WHEN y <> 0 THEN x / y END AS r, CASE WHEN y <> 0 AND x <> 0 THEN x / y END AS q FROM c) SELECT id, coalesce({_scale}, false) AS money, coalesce({_shift}, false) AS shift FROM r",
 )
+_DRAW = lambda key: f"(('0x' || substr(sha256(id::VARCHAR || ':{key}'), 1, 12))::UBIGINT::DOUBLE / 281474976710656)"
 add(
     "num04_counterfactual",
-    lambda s, d: number_texts(s, d).select("id", n.counterfactual(F.col("b"), F.col("id").cast("string")).alias("c"), "b").select("id", (F.col("c") != F.col("b")).alias("changed"), (F.length(F.regexp_extract("c", r"\.(\d+)$", 1)) == F.length(F.regexp_extract("b", r"\.(\d+)$", 1))).alias("same_places"), (F.contains("c", F.lit(",")) <= (F.contains("b", F.lit(",")) | (F.regexp_replace("b", ",", "").cast("double") < 1000))).alias("same_commas")),
-    f"WITH {N} SELECT id, true AS changed, true AS same_places, true AS same_commas FROM number_texts",
+    lambda s, d: number_texts(s, d).select("id", n.counterfactual(F.col("b"), F.col("id").cast("string")).alias("c")),
+    f"""WITH {N}, t AS (SELECT id, b, regexp_extract(b, '\\d[\\d,]*(?:\\.\\d+)?') AS digits, contains(b, '.') AS cents FROM number_texts), v AS (SELECT *, replace(digits, ',', '')::DOUBLE AS v, CASE WHEN cents THEN 0.01 ELSE 1 END AS unit FROM t),
+m AS (SELECT *, greatest(round(v * (0.05 + 0.3 * {_DRAW('size')}) / unit) * unit, unit) AS delta, {_DRAW('sign')} AS draw FROM v), w AS (SELECT *, CASE WHEN draw < 0.5 OR v <= delta THEN v + delta ELSE v - delta END AS x FROM m),
+f AS (SELECT *, CASE WHEN cents THEN format('{{:,.2f}}', x) ELSE format('{{:,}}', round(x)::BIGINT) END AS y FROM w)
+SELECT id, CASE WHEN contains(digits, ',') OR v < 1000 THEN y ELSE replace(y, ',', '') END AS c FROM f""",
 )
 add("num09_rates", lambda s, d: table(s, d, "part").groupBy("p_size").agg(n.rate(F.count_if(F.col("p_retailprice") > 1500), F.count_if(F.col("p_partkey") % 3 == 0)).alias("r")).withColumn("g", F.round(n.geometric_mean(F.col("r"), F.lit(0.5), F.lit(0.2)), 9)), "WITH r AS (SELECT p_size, CASE WHEN count(*) FILTER (WHERE p_partkey % 3 = 0) <> 0 THEN count(*) FILTER (WHERE p_retailprice > 1500)::DOUBLE / count(*) FILTER (WHERE p_partkey % 3 = 0) END AS r FROM part GROUP BY 1) SELECT *, round(pow(r * 0.5 * 0.2, 1.0 / 3), 9) AS g FROM r")
 add(
@@ -89,7 +93,7 @@ add(
     lambda s, d: boxes(s, d).select("vec_id", x.grounding_target(F.col("label").cast("string"), F.lit("Row"), F.lit("Col"), F.col("a")).alias("t")).select("vec_id", x.tag(F.col("t"), "answer").alias("answer"), x.tag(F.col("t"), "row").alias("row"), x.tag(F.col("t"), "note").alias("note"), F.array_join(x.tag_box(F.col("t")), " ").alias("box"), x.box_before_answer(F.col("t")).alias("box_first")),
     f"WITH {BOXES_SQL} SELECT vec_id, label::VARCHAR AS answer, 'Row' AS row, NULL::VARCHAR AS note, CASE WHEN a[3] > a[1] AND a[4] > a[2] THEN array_to_string(a, ' ') END AS box, false AS box_first FROM boxes",
 )
-add("str24_list_parts", lambda s, d: table(s, d, "nation").select("n_nationkey", x.part_of_list(F.concat(F.lit("Town, "), "n_name"), F.upper("n_name")).alias("p"), x.part_of_list(F.col("n_name"), F.col("n_name")).alias("q")), "SELECT n_nationkey, true AS p, false AS q FROM nation")
+add("str24_list_parts", lambda s, d: table(s, d, "orders").select("o_orderkey", x.part_of_list(F.concat(F.col("o_orderstatus"), F.lit(", "), F.lower("o_orderpriority"), F.lit(" ,x")), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).when(F.col("o_orderkey") % 3 == 1, F.lit("F")).otherwise(F.substring("o_orderpriority", 3, 4))).alias("p")), "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN o_orderstatus = 'F' ELSE lower(substr(o_orderpriority, 3, 4)) IN (lower(o_orderstatus), lower(o_orderpriority), 'x') END AS p FROM orders")
 add("str25_formats", lambda s, d: table(s, d, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("m"), F.stddev_samp("s_acctbal").alias("s")).select("s_nationkey", x.mean_text(F.round("m"), F.lit(0.5)).alias("t")), "SELECT s_nationkey, format('{:.3f} ± 0.500', round(avg(s_acctbal))) AS t FROM supplier GROUP BY 1")
 _FORMS = ("yyyy-MM-dd", "dd/MM/yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM-yy", "MMMM yyyy", "yyyy")
 
