@@ -5,7 +5,7 @@ target needs. A queued document's virtual finish time is the source's cumulative
 target. The queues are merged by range-sorting on that time, and the merged queue is truncated at the total budget.
 
 Defined cases: a null text or one without words has size 0 and takes 0; a null source is a source of its own, last in the
-order of sources; rows that repeat a doc_id are separate documents; an empty table gives an empty result; extra columns are
+order of sources; rows that repeat a doc_id, or have none, are separate documents; an empty table gives an empty result; extra columns are
 ignored. Running totals never gather a source in one task: each source's queue is cut into digest ranges, summed in
 parallel, and shifted by the (bounded) table of range totals; the merged queue is cut into time ranges in the same way.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read
+from .common import BROADCAST_BYTES, materialize, numbered, read, WORD
 
 SEED = "mix-1:"
 #: Hex digits of the digest that cut a source's queue into ranges (16 ** 3 ranges a source).
@@ -23,6 +23,8 @@ RANGE_DIGITS = 3
 #: Time ranges of the merged queue per unit of virtual time, and the last range, which is open.
 TIME_RANGES, LAST_RANGE = 16384, 65536
 MAX_REPEATS = 3
+#: Rows of one doc_id from which on they are shuffled one by one.
+MANY = 10_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -55,9 +57,14 @@ def _time_range(t: Column) -> Column:
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
-    digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    queued = sized.select("*", F.substring(digest, 1, 16).alias("h"), F.substring(digest, 1, RANGE_DIGITS).alias("r"))
+    sized = materialize(numbered(docs.select("doc_id", "source", "text"), "row").select("doc_id", "source", size.alias("size"), "row"), "mix-sizes")
+    # Rows without an id, and those of an id that would fill a range, are shuffled by their row keys; BROADCAST_BYTES bounds such ids.
+    many = max(MANY, sized.count() * 16 // BROADCAST_BYTES + 1)
+    often = sized.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > many).select("doc_id", F.lit(True).alias("often"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    name = F.when(F.col("doc_id").isNull() | F.col("often").isNotNull(), F.concat_ws(":", own, F.col("row").cast("string"))).otherwise(own)
+    digest = F.md5(F.concat(F.lit(SEED), name))
+    queued = sized.join(F.broadcast(often), "doc_id", "left").select("doc_id", "source", "size", F.substring(digest, 1, 16).alias("h"), F.substring(digest, 1, RANGE_DIGITS).alias("r"))
     targets = source_targets(sized)
 
     # Totals of the digest ranges, shifted into offsets: at most 16 ** RANGE_DIGITS rows a source.

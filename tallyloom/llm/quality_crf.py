@@ -67,12 +67,13 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         total = np.concatenate([[0], np.cumsum(flag)])
         return (total[ends] - total[starts]).astype(np.float64)
 
-    w, _, at = words(data, offsets, lower=False)
+    w, first_word, at = words(data, offsets, lower=False)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first_word))
     word_at = np.zeros(len(data), bool)
     word_at[at] = True
     same = np.zeros(len(data), bool)
-    same[at[1:][w[1:] == w[:-1]]] = True
-    same[at[2:][w[2:] == w[:-2]]] = True
+    for k in (1, 2):  # a word of the text's, not of the line's, last two
+        same[at[k:][(w[k:] == w[:-k]) & (text[k:] == text[:-k])]] = True
     n_words = np.maximum(within(word_at), 1)
     size = np.maximum(length, 1)
     own = [within(c[data]) / size for c in _CLASSES]

@@ -101,27 +101,37 @@ def test_suffix_dedup_slices_of_a_long_text(monkeypatch):
     assert starts == list(range(len(text[0].as_py().encode()) - 99))
 
 
-def brute_components(rows):
-    sets = []
-    for _, text, *_ in rows:
-        w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    root = list(range(len(rows)))
+def word_set(text):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_parts(sets):
+    """Indices of the sets by component of their links."""
+    root = list(range(len(sets)))
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(rows)):
+    for i in range(len(sets)):
         for j in range(i):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 root[top(i)] = top(j)
-    least = {}
-    for i, r in enumerate(rows):
-        if r[0] is not None:
-            least[top(i)] = min(least.get(top(i), r[0]), r[0])
-    return sorted(((r[0], len(sets[i]), least.get(top(i))) for i, r in enumerate(rows)), key=repr)
+    parts = {}
+    for i in range(len(sets)):
+        parts.setdefault(top(i), []).append(i)
+    return list(parts.values())
+
+
+def brute_components(rows):
+    sets = [word_set(text) for _, text, *_ in rows]
+    out = []
+    for part in brute_parts(sets):
+        least = min((rows[i][0] for i in part if rows[i][0] is not None), default=None)
+        out += [(rows[i][0], len(sets[i]), least) for i in part]
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("tokens,edges", [(2_000_000, 1 << 20), (150, 0)])

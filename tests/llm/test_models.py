@@ -58,6 +58,39 @@ def test_field_without_labels_or_rows(spark, tmp_path):
     assert {round(r["score"], 6) for r in quality_crf.query(spark, d).collect()} == {0.5}
 
 
+def brute_features(line, before):
+    """A line's own features, by their definition; before: the text up to the line."""
+    every = re.findall("[^\x20\x09-\x0d]+", before + line)
+    words = re.findall("[^\x20\x09-\x0d]+", line)
+    size, b = len(line.encode()), line.encode().decode("latin-1")
+    share = lambda chars: 4 * sum(c in chars for c in b) / max(size, 1)
+    at = len(every) - len(words)
+    same = sum(any(k <= i and every[i - k] == every[i] for k in (1, 2)) for i in range(at, len(every)))
+    n = max(len(words), 1)
+    classes = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&<>", "|", "!?", ".,;:", "@/\\_=+~^{}[]()"]
+    return [*map(share, classes), same / n, np.log1p(size) / 8, np.log1p(n) / 6, min(size / n, 30) / 10, b[-1:] in tuple(".,;:"), b[:1].isascii() and b[:1].isupper(), not size]
+
+
+def test_scores_equal_brute_force():
+    rng = np.random.default_rng(3)
+    field = quality_crf.Field(rng.normal(size=quality_crf.N_ALL), rng.normal(size=(2, 2)))
+    docs = ["", "One line, with two two words.", "Été |#| 12\n\nGo go go!\nend", "a\n" * 5, " \t\nA.\n"]
+    got = quality_crf.scores(field, pa.array(docs))
+    for text, score in zip(docs, got):
+        lines = text.split("\n")
+        own = [brute_features(x, "\n".join([*lines[:i], ""])) for i, x in enumerate(lines)]
+        blank = [0.0] * quality_crf.N_OWN
+        x = np.array([[*own[i], *(own[i - 1] if i else blank), *(own[i + 1] if i + 1 < len(own) else blank), 1.0] for i in range(len(own))], float)
+        e, weight, total = x @ field.weights, np.zeros(len(lines)), 0.0
+        for k in range(2 ** len(lines)):
+            y = [(k >> i) & 1 for i in range(len(lines))]
+            w = np.exp(sum(e[i] for i in range(len(y)) if y[i]) + sum(field.moves[p, q] for p, q in zip(y, y[1:])))
+            total += w
+            weight += w * np.array(y)
+        size = np.array([len(x.encode()) + 1 for x in lines])
+        assert score == pytest.approx((weight / total * size).sum() / size.sum())
+
+
 def test_field_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     field = quality_crf.Field(rng.normal(size=quality_crf.N_ALL), rng.normal(size=(2, 2)))
@@ -95,6 +128,17 @@ def test_quality_rules(spark, tmp_path):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert sorted((str(r["doc_id"]), *(r[k] for k in names)) for r in got) == sorted((str(i), *brute_rules(t)) for i, t, _ in rows)
     assert not any(r["kept"] and r["base_failed"] for r in got)
+    raw, target = Counter(), Counter()
+    slot = lambda t: [(int.from_bytes(t[k : k + 4], "little") * 2654435761 % 2**32) >> 16 for k in range(len(t) - 3)]
+    good = {i for i, q, _ in labels if q}
+    for i, t, _ in rows:
+        raw.update(slot((t or "").encode()))
+        target.update(slot((t or "").encode()) if i in good else [])
+    sums = [sum(c.values()) for c in (raw, target)]
+    ratio = {k: np.log((target[k] + 0.5) / (sums[1] + 0.5 * 2**16)) - np.log((raw[k] + 0.5) / (sums[0] + 0.5 * 2**16)) for k in raw}
+    brute = sorted((str(i), round(float(np.mean([ratio[k] for k in s])) if (s := slot((t or "").encode())) else 0.0, 6), not brute_rules(t)[-1]) for i, t, _ in rows)
+    assert sorted((str(r["doc_id"]), round(r["llr"], 6), not r["base_failed"]) for r in got) == brute
+    assert all(r["kept"] == (not r["base_failed"] and round(r["llr"], 9) >= quality_rules.KEEP_FROM) for r in got)
     truth = {i: q for i, q, _ in labels}
     assert all(r["kept"] == bool(truth[r["doc_id"]]) for r in got if r["doc_id"] in truth and r["doc_id"] not in {x[0] for x in documents()} and not r["base_failed"])
 
@@ -123,6 +167,36 @@ def test_toxicity_chain(spark, tmp_path):
     assert {r["p_toxic"] for r in toxicity.predict(frame(spark, documents()), chain).collect()} == {0.5}
 
 
+def test_linear_models_equal_brute_force():
+    """The fit is where the penalised likelihood is flat, and a prediction is the sum over a text's features."""
+    rng = np.random.default_rng(4)
+    n = 300
+    words = [{int(k) for k in rng.integers(0, 40, 8)} for _ in range(n)]
+    y = np.array([float((3 in w or 5 in w) != (rng.random() < 0.1)) for w in words])
+    earlier = rng.random((n, 1))
+    h = np.array([k for w in words for k in sorted(w)], np.uint64)
+    doc = np.array([i for i, w in enumerate(words) for _ in w])
+    model = toxicity.fit_linear(h, doc, earlier, y)
+    assert {3, 5} <= set(model.chosen.tolist())
+    weight = dict(zip(model.chosen.tolist(), model.weights))
+    odds = np.log(np.clip(earlier[:, 0], 1e-4, 1 - 1e-4) / np.clip(1 - earlier[:, 0], 1e-4, 1))
+    z = np.array([sum(weight.get(k, 0) for k in w) for w in words]) + odds * model.weights[-2] + model.weights[-1]
+    p = 1 / (1 + np.exp(-z))
+    assert np.allclose(model.predict(np.repeat(h, 2), np.repeat(doc, 2), n, earlier), p)
+    for k, w in weight.items():
+        assert abs(sum(p[i] - y[i] for i in range(n) if k in words[i]) + toxicity.PENALTY * w) < 0.05
+    assert abs((p - y).sum()) < 0.05
+
+
+def test_features_are_words_and_their_beginnings():
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return set(toxicity.features(data, np.array([0, len(data)]))[0].tolist())
+
+    assert found("Réeuxelle") & found("réeuxon") and not found("abcd") & found("abcde")
+    assert len(found("abcdefghij abcd")) == 1 + 5 + 1 and found("") == set()
+
+
 def brute_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

@@ -3,12 +3,17 @@
 import hashlib
 import math
 import random
+import re
 import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
+import test_dedup
+import test_models
 from corpus import documents, frame
 
-from tallyloom.llm import chat_format, html_text, mixing
+from tallyloom.llm import chat_format, html_text, mixing, quality_crf
 
 
 def write(tmp_path, **tables):
@@ -186,6 +191,62 @@ def test_mix_of_nothing(spark):
     assert [(r["size"], r["taken"]) for r in mixing.mix_sources(frame(spark, [(1, None, None), (2, "", "s")])).collect()] == [(0, 0), (0, 0)]
 
 
+def test_mix_splits_an_id_that_many_rows_have(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MANY", 3)
+    rows = [(None if i % 3 else 7, "w " * (i % 9 + 1), "s") for i in range(90)] + [(100 + i, "w w", "t") for i in range(30)]
+    sizes, total, target = brute_mix(rows)
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(str((r["doc_id"], r["size"])) for r in got) == sorted(str((i, k)) for i, _, k in sizes)
+    for n, k in total.items():
+        mine = [r for r in got if r["source_size"] == k]
+        assert abs(sum(r["taken"] for r in mine) - target[n]) <= 10 and max(r["taken"] - 3 * r["size"] for r in mine) <= 0
+
+
+def brute_pipeline(rows, good, items):
+    """The stages by their definitions: rows kept (doc_id, text), given which rows the quality field keeps."""
+    rows = [r for r, keep in zip(rows, good) if keep]
+    rows = [(r[0], kept) for r, kept in zip(rows, brute_cleaned(rows))]
+    sets = [test_dedup.word_set(t) for _, t in rows]
+    keep = [True] * len(rows)
+    for part in test_dedup.brute_parts(sets):
+        members = sorted((rows[i][0] is None, rows[i][0] or 0, i) for i in part)
+        for *_, i in members[1:]:
+            keep[i] = not sets[i]
+    rows = [r for r, k in zip(rows, keep) if k]
+    terms = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+
+    def leaks(text, own):
+        """Whether a passage of 64 words with its surroundings holds the item."""
+        w = terms(text)
+        return any(test_models.brute_lcs(own, w[max(0, p - len(own)) : p + 64 + len(own)]) >= 0.6 * len(own) for p in range(0, len(w), 32))
+
+    return [(i, t) for i, t in rows if not any(leaks(t, terms(own)) for own in items)]
+
+
+def brute_cleaned(rows, min_docs=10):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    lines = [(r[1] or "").split("\n") for r in rows]
+    count = Counter(k for ls in lines for k in {key(x) for x in ls} if k)
+    return [r[1] if all(count[key(x)] < min_docs for x in ls) else "\n".join(x for x in ls if count[key(x)] < min_docs) for r, ls in zip(rows, lines)]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = test_models.labelled(80)
+    rows = [*docs, *((1000 + (i or 0) if i is not None else None, t, s) for i, t, s in documents() if i != 28), (None, documents()[4][1], "s1"), (1005, "other " + documents()[0][1], "s0")]
+    items = [documents()[9][1], " ".join(f"item{k}" for k in range(30))]
+    schema = "doc_id long, text string, source string"
+    table = spark.createDataFrame(rows, schema).selectExpr("doc_id", "text", "'en' AS lang", "source", "cast(length(text) as long) AS n_chars")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = write(tmp_path, documents=table, benchmark=bench, labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    field = quality_crf.fit_field(table, spark.read.parquet(f"{d}/labels.parquet"))
+    good = quality_crf.scores(field, pa.array([t or "" for _, t, _ in rows])) >= quality_crf.THRESHOLD
+    want = brute_pipeline(rows, good, items)
+    out = corpus_pipeline.run(spark, d).collect()
+    assert 40 < len(want) < len(rows) and Counter((r["doc_id"], r["size"]) for r in out) == Counter((i, len((t or "").split())) for i, t in want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
