@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, _LOWER, mix, read, rolling, shingles, span_hash, texts, tidy
+from .common import arrow_schema, chunks, _LOWER, materialize, mix, read, rolling, shingles, span_hash, texts, tidy
 from .quality_crf import held_out
 
 FIT_DOCS, FIT_BYTES = 10_000, 1 << 16
@@ -207,22 +207,73 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str],
                 cut = np.searchsorted(doc[order], np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([r.tobytes() for r in y[i:j]], pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([np.unique(h[order[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], schema=schema)
 
-    rows = sorted(sample.mapInArrow(tidy(describe), kind).collect(), key=lambda r: r["doc_id"])
+    described = materialize(sample.mapInArrow(tidy(describe), kind), "labelled-texts")
+    rows = sorted(described.select("doc_id", "labels", "sketch").collect(), key=lambda r: r["doc_id"])
     seen: set[tuple[int, int]] = set()
-    ys, found, ids = [], [], []
+    ids, ys = [], []
     for r in rows:
         marks = list(enumerate(np.frombuffer(r["sketch"], np.uint64).tolist()))
         if any(m in seen for m in marks):
             continue  # a near copy of a text that teaches already
         seen.update(m for m in marks if m[1])
-        ys.append(np.frombuffer(r["labels"], np.int8))
-        found.append(np.frombuffer(r["found"], np.uint64))
         ids.append(r["doc_id"])
+        ys.append(np.frombuffer(r["labels"], np.int8))
     if not ys:
         return Chain(names, [Linear(np.zeros(0, np.uint64), np.zeros(k + 1)) for k in range(len(names))])
-    doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    y = np.stack(ys).astype(np.float64)
     fold = (mix(np.array(ids, np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    return learn(np.concatenate(found), doc, np.stack(ys).astype(np.float64), fold, names)
+    chosen = candidates(described, ids, y, fold)
+    place = {d: i for i, d in enumerate(ids)}
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+    held, pair = "doc_id long, found binary", arrow_schema("doc_id long, found binary", docs.sparkSession)
+
+    def only_chosen(batches):
+        for batch in batches:
+            found = [h[np.isin(h, sent.value)].tobytes() for h in (np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=pair)
+
+    kept = [(place[r["doc_id"]], np.frombuffer(r["found"], np.uint64)) for r in described.select("doc_id", "found").mapInArrow(tidy(only_chosen), held).collect() if r["doc_id"] in place]
+    kept.sort(key=lambda x: x[0])
+    doc = np.repeat([i for i, _ in kept], [len(x) for _, x in kept]).astype(np.int64)
+    return learn(np.concatenate([x for _, x in kept]), doc, y, fold, names)
+
+
+def candidates(described: DataFrame, ids: list[int], y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the features that any model of the chain may choose: significant in all texts, or in those beyond some fold.
+
+    described(doc_id, found): features are counted by fold and label where they are; the driver gets no more than
+    MAX_FEATURES a category and fit.
+    """
+    k = y.shape[1]
+    kind = "h long, fold int, " + ", ".join(f"y{j} int" for j in range(k))
+    schema = arrow_schema(kind, described.sparkSession)
+    sent = described.sparkSession.sparkContext.broadcast({d: (int(f), *map(int, row)) for d, f, row in zip(ids, fold, y, strict=True)})
+
+    def spread(batches):
+        for batch in batches:
+            known = [(sent.value[d], np.frombuffer(x, np.int64)) for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d in sent.value]
+            if known:
+                labels = np.repeat(np.array([m for m, _ in known], np.int32), [len(x) for _, x in known], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in known])), *(pa.array(labels[:, j].copy()) for j in range(k + 1))], schema=schema)
+
+    rows = described.select("doc_id", "found").mapInArrow(tidy(spread), kind)
+    counts = [F.count_if(F.col("fold") == f).alias(f"n_{f}") for f in range(FOLDS)]
+    counts += [F.count_if((F.col("fold") == f) & (F.col(f"y{j}") == 1)).alias(f"p_{j}_{f}") for j in range(k) for f in range(FOLDS)]
+    held = rows.groupBy("h").agg(*counts)
+    apart = []
+    for j in range(k):
+        for left_out in (None, *range(FOLDS)):
+            inside = fold != left_out if left_out is not None else np.ones(len(fold), bool)
+            share = float(y[inside, j].mean()) if inside.any() else 0.0
+            if not 0 < share < 1:
+                continue
+            n = sum(F.col(f"n_{f}") for f in range(FOLDS) if f != left_out)
+            p = sum(F.col(f"p_{j}_{f}") for f in range(FOLDS) if f != left_out)
+            apart.append(F.when(n >= LEAST, F.abs(p - n * share) / F.sqrt(n * (share * (1 - share)))))
+    if not apart:
+        return np.zeros(0, np.uint64)
+    best = held.select("h", F.greatest(*apart, F.lit(0.0)).alias("z")).where(F.col("z") >= SIGNIFICANT * 0.999).orderBy(F.desc("z"), "h").limit(MAX_FEATURES * k * (FOLDS + 1)).select("h").collect()
+    return np.sort(np.array([r["h"] for r in best], np.int64).view(np.uint64))
 
 
 def predict(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
