@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import geometric_mean, rate
 from ..functions.text import canonical_variant
+from .ranks import tallied, value_at
 
 COUNTERFACTUALS = ("target_value", "header_address_swap", "irrelevant_value")
 VARIANTS = ("clean", *COUNTERFACTUALS)
@@ -78,9 +79,14 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def error_buckets(rows: DataFrame, variant: str) -> DataFrame:
     """Wrong or right by place and answer for one variant: A both right, B place only, C answer only, D neither."""
+    return error_groups(rows, variant).groupBy("bucket").agg(F.count("*").alias("n"), F.min("group_id").alias("first_group"), F.max("group_id").alias("last_group"))
+
+
+def error_groups(rows: DataFrame, variant: str) -> DataFrame:
+    """The groups of the error buckets of one variant, a row each."""
     e, a = F.col("evidence_ok"), F.col("answer_ok")
     bucket = F.when(e & a, "A").when(e, "B").when(a, "C").otherwise("D")
-    return rows.where(F.col("variant") == variant).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("group_id")).alias("groups"))
+    return rows.where(F.col("variant") == variant).select(bucket.alias("bucket"), "group_id")
 
 
 def pair_sums() -> dict[str, tuple[Column, Column]]:
@@ -161,13 +167,17 @@ def first_wins(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
 def coverage(pairs: DataFrame, table: str = "table_id") -> DataFrame:
     """Pairs per table: tables, pairs, median, maximum, and quartiles by index."""
     per = pairs.groupBy(table).agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("tables"), F.sum("n").alias("pairs"), F.median("n").alias("median"), F.max("n").alias("most"), F.sort_array(F.collect_list("n")).alias("s")).select("tables", "pairs", "median", "most", *(F.element_at("s", F.floor(F.lit(p) * (F.size("s") - 1)).cast("int") + 1).alias(k) for p, k in ((0.25, "p25"), (0.75, "p75"))))
+    last = F.col("total") - 1
+    middle = (value_at("n", F.floor(last / 2)) + value_at("n", F.ceil(last / 2))) / 2
+    quartiles = (value_at("n", F.floor(F.lit(p) * last)).alias(k) for p, k in ((0.25, "p25"), (0.75, "p75")))
+    return tallied(per, "n").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tables"), F.sum(F.col("n") * F.col("c")).alias("pairs"), middle.alias("median"), F.max("n").alias("most"), *quartiles)
 
 
 def per_document(pairs: DataFrame, document: str) -> DataFrame:
     """Minimum, maximum, mean and upper median of pairs a document."""
     per = pairs.groupBy(document).agg(F.count("*").alias("n"))
-    return per.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.bround(F.avg("n"), 3).alias("mean"), F.sort_array(F.collect_list("n")).alias("s")).select("least", "most", "mean", F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("upper_median"))
+    mean = F.sum(F.col("n") * F.col("c")) / F.sum("c")
+    return tallied(per, "n").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.bround(mean, 3).alias("mean"), value_at("n", F.floor(F.col("total") / 2)).alias("upper_median"))
 
 
 def top(df: DataFrame, key: str, k: int = 10) -> DataFrame:

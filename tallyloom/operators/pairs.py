@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_number, whole_year, year_gap
 from ..functions.text import ACTUAL_LABELS, FORECAST_LABELS, confusable, content_words, first_year, has_qualifier, is_footnote_copy, label_class, strings, temporal_remainder, without_qualifiers
+from .ranks import positions
 
 # Fixed values.
 JACCARD_FROM = 0.5
@@ -139,15 +140,8 @@ def pair_checks(pairs: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """pair_id prefix_000000, prefix_000001, … in the given total order.
-
-    Ranks come from a range sort: each range is numbered in parallel and shifted by the counts of the ranges before it.
-    """
-    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    within = spread.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = within.groupBy("__p").agg(F.count("*").alias("__n"))
-    shift = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    return within.join(F.broadcast(shift), "__p").withColumn("pair_id", F.format_string(f"{prefix}_%06d", F.col("__i") + F.col("__s") - 1)).drop("__p", "__i", "__s")
+    """pair_id prefix_000000, prefix_000001, … in the given total order."""
+    return positions(df, order, "__i").withColumn("pair_id", F.format_string(f"{prefix}_%06d", F.col("__i"))).drop("__i")
 
 
 def primary_selection(pairs: DataFrame, seed: int, table_cap: int, adjacent: int, skip: int) -> DataFrame:

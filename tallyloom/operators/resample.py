@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rate
+from .ranks import positions
+
+
+def _numbered(clusters: DataFrame, key: str) -> DataFrame:
+    """Clusters with their place i from 0 by key and their number n."""
+    placed = positions(clusters, [key], "i")
+    return placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("n"))))
 
 
 def _draws(clusters: DataFrame, replicates: int, seed: int, names: list[str]) -> DataFrame:
@@ -28,8 +35,7 @@ def bootstrap_delta(a: DataFrame, b: DataFrame, num: Column, den: Column, cluste
     sa, sb = sums(a, "a"), sums(b, "b")
     point = sa.agg(rate(F.sum("num_a"), F.sum("den_a")).alias("x")).crossJoin(sb.agg(rate(F.sum("num_b"), F.sum("den_b")).alias("y"))).select((F.col("y") - F.col("x")).alias("delta"))
     both = sa.join(sb, cluster)
-    w = Window.orderBy(cluster)
-    numbered = both.withColumn("i", (F.row_number().over(w) - 1).cast("bigint")).withColumn("n", F.count("*").over(Window.partitionBy()))
+    numbered = _numbered(both, cluster)
     names = ["num_a", "den_a", "num_b", "den_b"]
     weighted = _draws(numbered, replicates, seed, names)
     total = lambda c: F.sum(F.col(c) * F.col("times"))
@@ -44,7 +50,7 @@ def macro_bootstrap(tables: DataFrame, cluster: str, replicates: int = 1000, see
     """Bootstrap of a mean over tables; a table drawn twice counts once. tables(cluster, table_id, num, den)."""
     per = tables.groupBy(cluster, "table_id").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     clusters = per.select(cluster).distinct()
-    numbered = clusters.withColumn("i", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("bigint")).withColumn("n", F.count("*").over(Window.partitionBy()))
+    numbered = _numbered(clusters, cluster)
     drawn = _draws(numbered, replicates, seed, [cluster]).select("replicate", cluster).distinct()
     means = drawn.join(per, cluster).groupBy("replicate", "table_id").agg(rate(F.sum("num"), F.sum("den")).alias("m")).groupBy("replicate").agg(F.avg("m").alias("m"))
     s = means.where("m is not null").agg(F.sort_array(F.collect_list("m")).alias("s"))
@@ -59,10 +65,13 @@ def permutation_null(items: DataFrame, values: DataFrame, replicates: int = 200,
     """
     hit = lambda df: df.join(values.select("table_id", F.col("value").alias("predicted"), F.lit(1).alias("hit")), ["table_id", "predicted"], "left")
     observed = hit(items).agg(rate(F.count("hit"), F.count("*")).alias("observed"))
-    each = items.select("item", "table_id", "predicted", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    by = Window.partitionBy("replicate")
-    left = each.select("replicate", "predicted", F.row_number().over(by.orderBy("item")).alias("k"))
-    right = each.select("replicate", "table_id", F.row_number().over(by.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("item").cast("string")), 256), "item")).alias("k"))
+    placed = positions(items.select("item", "table_id", "predicted"), ["item"], "k")
+    each = placed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    left = each.select("replicate", "predicted", "k")
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("item").cast("string")), 256)
+    dealt = positions(each.select("replicate", "table_id", "item", digest.alias("digest")), ["replicate", "digest", "item"], "k")
+    # All replicates are of one size, so places within one follow from the places in all.
+    right = dealt.crossJoin(F.broadcast(placed.agg(F.count("*").alias("n")))).select("replicate", "table_id", (F.col("k") % F.col("n")).alias("k"))
     null = hit(left.join(right, ["replicate", "k"])).groupBy("replicate").agg(rate(F.count("hit"), F.count("*")).alias("r"))
     s = null.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("r").alias("null_mean"), F.sort_array(F.collect_list("r")).alias("s"), rate(F.count_if(F.col("r") >= F.col("observed")) + 1, F.count("*") + 1).alias("p"))
     at = lambda p: F.element_at("s", F.least(F.floor(F.lit(p) * F.size("s")).cast("int"), F.size("s") - 1) + 1)

@@ -66,9 +66,14 @@ add(
 )
 add(
     "agg08_error_buckets",
-    lambda s, d: m.error_buckets(_grounded(s, d), "header_address_swap").select("bucket", "n", F.element_at("groups", 1).alias("first_group"), F.element_at("groups", -1).alias("last_group")),
+    lambda s, d: m.error_buckets(_grounded(s, d), "header_address_swap"),
     f"WITH {_G} SELECT CASE WHEN evidence_ok AND answer_ok THEN 'A' WHEN evidence_ok THEN 'B' WHEN answer_ok THEN 'C' ELSE 'D' END AS bucket, count(*) AS n, min(group_id) AS first_group, max(group_id) AS last_group FROM g WHERE variant = 'header_address_swap' GROUP BY 1",
 )
+add(
+    "agg08_error_groups",
+    lambda s, d: m.error_groups(_grounded(s, d), "header_address_swap"),
+    f"WITH {_G} SELECT CASE WHEN evidence_ok AND answer_ok THEN 'A' WHEN evidence_ok THEN 'B' WHEN answer_ok THEN 'C' ELSE 'D' END AS bucket, group_id FROM g WHERE variant = 'header_address_swap'",
+)
 _PM = {
     "individual_accuracy": (cnt("correct_a") + " + " + cnt("correct_b"), "count(*) * 2"),
     "pair_accuracy": (cnt("correct_a AND correct_b"), "count(*)"),

@@ -17,9 +17,17 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, line) of non-blank lines in file order; for manifests, whose order and raw keys count."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ordinal", "line"))
-    return whole.where(F.trim("line") != "")
+    """(file, ordinal, line) of non-blank lines in file order; for manifests, whose order and raw keys count.
+
+    Files are read in blocks. A block's lines have successive ids, so a line's ordinal (from 0, blank lines counted) is its
+    distance from the block's first line and the lines of the file's blocks before it.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path, lineSep="\n").select(block.alias("b"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    blocks = lines.groupBy("b").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("b.file").orderBy("b.start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("b", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.where(F.trim("line") != "").join(blocks, "b").select("b.file", (F.col("id") + F.col("shift")).alias("ordinal"), "line")
 
 
 def typed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
