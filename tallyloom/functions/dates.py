@@ -37,7 +37,10 @@ def loose_date(c: Column) -> Column:
     """struct(d, precision) by the first format that fits; null where none does. Two-digit years from 69 on are 19xx."""
     t = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), r"\s+", " "))
     # month names in one case, May told apart from its own abbreviation by length only
-    t = F.initcap(F.lower(t))
+    return let(F.initcap(F.lower(t)), _first_fit)
+
+
+def _first_fit(t: Column) -> Column:
     tries = []
     for pattern, form, precision in FORMATS:
         d = F.try_to_date(t, form)

@@ -43,11 +43,15 @@ def canonical(c: Column) -> Column:
 
     Equality of canonical texts is equality of numbers; texts keep all digits, without a limit on their number.
     """
-    found = F.regexp_extract(c, "(?U)" + NUMBER, 0)
+    bare = lambda found: F.regexp_replace(found, r"(?U)[()$£€%\s]", "")
+    body = lambda b: let(F.regexp_replace(b, "^-", ""), plain_separators)
+    return let(F.regexp_extract(c, "(?U)" + NUMBER, 0), lambda found: let(bare(found), lambda b: let(body(b), lambda text: _spelled(found, b, text))))
+
+
+def _spelled(found: Column, bare: Column, body: Column) -> Column:
+    """The canonical text from what was found, the same without decoration, and its digits with a plain decimal dot."""
     in_brackets = F.trim(found).startswith("(") & F.trim(found).endswith(")")
-    bare = F.regexp_replace(found, r"(?U)[()$£€%\s]", "")
     minus = bare.startswith("-")
-    body = plain_separators(F.regexp_replace(bare, "^-", ""))
     whole = F.regexp_replace(F.regexp_extract(body, r"^(\d+)", 1), r"^0+(?=\d)", "")
     part = F.regexp_replace(F.regexp_extract(body, r"\.(\d+)$", 1), "0+$", "")
     text = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
