@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_text, jaccard_join, line_dedup, mixing, quality_crf, quality_rules, suffix_dedup, toxicity
+from . import centroid_clusters, chat_format, decontaminate, embedding_dedup, html_text, jaccard_join, line_dedup, mixing, periodic_runs, quality_crf, quality_rules, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,12 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": chat_format.query,
         "op9_mix_sources": mixing.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_embedding_dedup": embedding_dedup.query,
+        "op12_periodic_runs": periodic_runs.query,
+        "op13_centroid_clusters": centroid_clusters.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op2_jaccard_join": jaccard_join.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    named = {"op1_suffix_dedup": suffix_dedup, "op2_jaccard_join": jaccard_join, "op8_chat_format": chat_format, "op9_mix_sources": mixing, "op10_line_dedup": line_dedup, "op11_embedding_dedup": embedding_dedup, "op13_centroid_clusters": centroid_clusters}
+    return {k: m.ORACLE_SQL for k, m in named.items()}
