@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_seed
 from .metrics import COUNTERFACTUALS
+from .shared import written
+
+#: Hexadecimal digits by which a quantile is narrowed at a time, and rows that are few enough to be looked at one by one.
+PREFIX_DIGITS, FEW = 3, 4096
 
 
 def digest(seed: int, *keys: Column) -> Column:
@@ -76,40 +80,76 @@ def sampled(df: DataFrame, seed: int, n: int, key: str) -> DataFrame:
     return df.orderBy(digest(seed, F.col(key)), key).limit(n)
 
 
+def among_first(df: DataFrame, size: int, h: str, key: str) -> Column:
+    """Whether a row is one of the ``size`` first by (h, key): a condition on these columns, for ``df`` or any rows of it.
+
+    h is a hexadecimal digest, and (h, key) names one row. The last of the rows is a quantile of the digests, which is found
+    from counts of digest prefixes: the prefix in which the count passes ``size``, then PREFIX_DIGITS more digits of it, until
+    its rows are few. No task gathers or sorts the rows; df is read once a step, and the steps grow with the logarithm of its rows.
+    """
+    if size <= 0:
+        return F.lit(False)
+    prefix, left, few = "", size, False
+    while not few:
+        digits = len(prefix) + PREFIX_DIGITS
+        # At most 16 ** PREFIX_DIGITS rows reach the driver, whatever the table.
+        counts = df.where(F.startswith(h, F.lit(prefix))).groupBy(F.substring(h, 1, digits).alias("p")).agg(F.count("*").alias("n")).collect()
+        for p, n in sorted((r["p"], r["n"]) for r in counts):
+            if n >= left:
+                prefix, few = p, n <= FEW or digits >= 64
+                break
+            left -= n
+        else:
+            return F.lit(True)  # no more rows than asked for
+    last = df.where(F.startswith(h, F.lit(prefix))).select(h, key).orderBy(h, key).limit(left).orderBy(F.desc(h), F.desc(key)).first()
+    return F.coalesce((F.col(h) < F.lit(last[0])) | ((F.col(h) == F.lit(last[0])) & (F.col(key) <= F.lit(last[1]))), F.lit(False))
+
+
 def dev_split(df: DataFrame, seed: int, fraction: float, key: str) -> DataFrame:
-    """Adds is_dev for round(n * fraction) rows (half to even) in digest order."""
-    narrow = df.select(key, digest(seed, F.col(key)).alias("h"))
-    exact = narrow.count() * fraction
-    size = round(exact)
-    return df.join(narrow.orderBy("h", key).limit(size).select(key, F.lit(True).alias("is_dev")), key, "left").fillna(False, ["is_dev"])
+    """Adds is_dev for round(n * fraction) rows (half to even) in digest order; ``key`` names one row. A filter: nothing is shuffled."""
+    keyed = df.withColumn("__h", digest(seed, F.col(key)))
+    narrow = keyed.select(key, "__h")
+    return keyed.withColumn("is_dev", among_first(narrow, round(narrow.count() * fraction), "__h", key)).drop("__h")
 
 
 def greedy_caps(rows: DataFrame, seed: int, caps: dict[str, int], key: str = "pair_id", total: int | None = None) -> DataFrame:
-    """Rows taken in digest order while none of their cap columns is full; null is a value like others.
+    """Rows taken in digest order while none of their cap columns is full; null is a value like others; ``key`` names one row.
 
-    Greedy choice over several caps is sequential by nature, but what fills up stays full: of the rows that agree in all cap
-    columns those taken come first, and they are no more than the least cap. So only that many of each combination, keys and
-    cap columns alone, meet in one task. The chosen keys are joined back.
+    The choice is that of one pass in order, found in rounds over all rows at once. Among the rows not yet turned down, one that
+    ranks within the cap in each of its groups is taken whatever becomes of those before it; a group whose first ``cap`` rows
+    are all taken is full and turns down the rest. The first open row is always decided, and in a random order most are
+    within a few rounds (their number grows with the logarithm of the rows). Only the first ``cap`` rows of a group ever meet
+    (ranks are limited before the shuffle), and of rows alike in all groups no more than the least cap are looked at at all.
     """
     columns = list(caps)
-    types = dict(rows.dtypes)
-
-    def take(pdf):
-        counts: dict[tuple, int] = {}
-        keep = []
-        for row in pdf.sort_values(["h", key]).itertuples(index=False):
-            slots = [(c, None if (x := getattr(row, c)) != x else x) for c in columns]
-            if (total is None or len(keep) < total) and all(counts.get(s, 0) < caps[s[0]] for s in slots):
-                for s in slots:
-                    counts[s] = counts.get(s, 0) + 1
-                keep.append(getattr(row, key))
-        return pdf[pdf[key].isin(keep)][[key]]
-
     least = min([*caps.values(), *([] if total is None else [total])])
     first = F.row_number().over(Window.partitionBy(*columns).orderBy("h", key))
-    narrow = rows.select(key, *columns, digest(seed, F.col(key)).alias("h")).withColumn("__k", first).where(F.col("__k") <= least).drop("__k").withColumn("__one", F.lit(1))
-    chosen = narrow.groupBy("__one").applyInPandas(take, f"`{key}` {types[key]}")
-    return rows.join(chosen, key, "left_semi")
+    narrow = rows.select(key, *columns, digest(seed, F.col(key)).alias("h")).withColumn("__k", first).where(F.col("__k") <= least).drop("__k")
+    # Groups as strings with null apart, so that they can be joined by equality.
+    slot = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"__{c}")
+    taken = written(narrow.select(key, "h", *map(slot, columns)).where("false"), "caps-taken")
+    open_ = written(narrow.select(key, "h", *map(slot, columns)), "caps-open")
+    while open_.limit(1).count():
+        both = taken.withColumn("__done", F.lit(1)).unionByName(open_.withColumn("__done", F.lit(0)))
+        tops = []
+        for c in columns:
+            rank = F.row_number().over(Window.partitionBy("__slot").orderBy("h", key))
+            tops.append(both.select(key, "h", "__done", F.lit(c).alias("__c"), F.col(f"__{c}").alias("__slot")).withColumn("__k", rank).where(F.col("__k") <= caps[c]))
+        top = tops[0]
+        for t in tops[1:]:
+            top = top.unionByName(t)
+        top = written(top, "caps-first")
+        sure = top.groupBy(key).agg(F.count("*").alias("n"), F.max("__done").alias("__done")).where((F.col("n") == len(columns)) | (F.col("__done") == 1)).select(key, "__done")
+        sure = written(sure, "caps-sure")
+        full = top.join(sure.select(key), key).groupBy("__c", "__slot").agg(F.count("*").alias("n"))
+        full = written(full.where(F.col("n") >= F.element_at(F.create_map(*(F.lit(x) for c in columns for x in (c, caps[c]))), F.col("__c"))).select("__c", "__slot"), "caps-full")
+        new = open_.join(sure.where("__done = 0").select(key), key, "left_semi")
+        rest = open_.join(sure.select(key), key, "left_anti")
+        for c in columns:
+            rest = rest.join(full.where(F.col("__c") == c).select(F.col("__slot").alias(f"__{c}")), f"__{c}", "left_anti")
+        taken, open_ = written(taken.unionByName(new.select(*taken.columns)), "caps-taken"), written(rest.select(*taken.columns), "caps-open")
+    chosen = taken if total is None else taken.where(among_first(taken, total, "h", key))
+    return rows.join(chosen.select(key), key, "left_semi")
 
 
 def jitter(seed: int, group: Column, choices: list[int]) -> Column:

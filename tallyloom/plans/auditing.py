@@ -180,7 +180,16 @@ add(
 add("win07_capped", lambda s, d: sm.capped(table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), "o_custkey"), 4, "o_custkey", 3), "SELECT o_orderkey AS pair_id, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('4:' || o_orderkey), o_orderkey) <= 3")
 add("smp10_audit_sample", lambda s, d: sm.sampled(table(s, d, "orders").select("o_orderkey", "o_custkey"), 8, 25, "o_orderkey"), "SELECT o_orderkey, o_custkey FROM orders ORDER BY sha256('8:' || o_orderkey), o_orderkey LIMIT 25")
 add("smp11_dev_split", lambda s, d: sm.dev_split(table(s, d, "customer").select("c_custkey"), 6, 0.15, "c_custkey"), "SELECT c_custkey, row_number() OVER (ORDER BY sha256('6:' || c_custkey), c_custkey) <= round_even((SELECT count(*) FROM customer) * 0.15, 0) AS is_dev FROM customer")
-add("smp08_greedy_caps", lambda s, d: sm.greedy_caps(table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_custkey") % 40).alias("page"), (F.col("o_custkey") % 7).alias("company")), 2, {"page": 5, "company": 20}).groupBy("company").agg(F.count("*").alias("n")))
+add(
+    "smp08_greedy_caps",
+    lambda s, d: sm.greedy_caps(table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_custkey") % 40).alias("page"), (F.col("o_custkey") % 7).alias("company")), 2, {"page": 5, "company": 20}),
+    """WITH o AS (SELECT o_orderkey AS k, (o_custkey % 40)::INT AS page, (o_custkey % 7)::INT AS company FROM orders),
+rows AS (SELECT list(struct_pack(k := [k], page := [page], company := [company]) ORDER BY sha256('2:' || k), k) AS l FROM o),
+taken AS (SELECT list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc.page, lambda p: p = x.page[1])) < 5 AND len(list_filter(acc.company, lambda c: c = x.company[1])) < 20
+  THEN struct_pack(k := list_append(acc.k, x.k[1]), page := list_append(acc.page, x.page[1]), company := list_append(acc.company, x.company[1])) ELSE acc END,
+  struct_pack(k := []::BIGINT[], page := []::INT[], company := []::INT[])) AS t FROM rows)
+SELECT k AS pair_id, page::BIGINT AS page, company::BIGINT AS company FROM (SELECT unnest(t.k) AS k, unnest(t.page) AS page, unnest(t.company) AS company FROM taken)""",
+)
 add("smp15_jitter", lambda s, d: table(s, d, "customer").select("c_custkey", sm.jitter(7, F.col("c_custkey").cast("string"), [-2, 0, 1, 3]).alias("j")), "SELECT c_custkey, [-2, 1, 3][(('0x' || substr(sha256('7:' || c_custkey), 1, 16))::UBIGINT % 3)::INT + 1]::INT AS j FROM customer")
 
 
@@ -191,7 +200,7 @@ def _arms(s, d):
 
 def _bootstrap(s, d):
     a, b = _arms(s, d)
-    return r.bootstrap_delta(a, b, F.col("ok"), F.lit(1), "doc", 200, 3).select(*(F.round(c, 9).alias(c) for c in ("delta", "ci_low", "ci_high")), "replicates")
+    return r.bootstrap_delta(a, b, F.col("ok"), F.lit(1), "doc", 10_000, 3).select(*(F.round(c, 9).alias(c) for c in ("delta", "ci_low", "ci_high")), "replicates")
 
 
 _pick = "(('0x' || substr(sha256('3:' || r || ':' || i), 1, 15))::UBIGINT % n)::BIGINT"
@@ -200,14 +209,14 @@ add(
     "smp12_bootstrap_delta",
     _bootstrap,
     f"""WITH {OUTCOMES_SQL}, c AS (SELECT row_number() OVER (ORDER BY doc) - 1 AS i, count(*) OVER () AS n, * FROM (SELECT table_id || document_id AS doc, sum(correct_a::INT) AS a, sum(correct_b::INT) AS b, count(*) AS k FROM outcomes GROUP BY 1)),
-draws AS (SELECT r, {_pick} AS i FROM c, range(200) t(r)), x AS (SELECT r, sum(b) / sum(k) - sum(a) / sum(k) AS x FROM draws JOIN c USING (i) GROUP BY 1), e AS (SELECT count(*)::INT AS replicates, {_ends(0.025, 0.975)} FROM x)
+draws AS (SELECT r, {_pick} AS i FROM c, range(10000) t(r)), x AS (SELECT r, sum(b) / sum(k) - sum(a) / sum(k) AS x FROM draws JOIN c USING (i) GROUP BY 1), e AS (SELECT count(*)::INT AS replicates, {_ends(0.025, 0.975)} FROM x)
 SELECT round((SELECT avg(correct_b::INT) - avg(correct_a::INT) FROM outcomes), 9) AS delta, round(low, 9) AS ci_low, round(high, 9) AS ci_high, replicates FROM e""",
 )
 add(
     "smp13_macro_bootstrap",
-    lambda s, d: r.macro_bootstrap(outcomes(s, d).select("document_id", "table_id", F.col("correct_a").cast("int").alias("num"), F.lit(1).alias("den")), "document_id", 200, 3).select("replicates", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high")),
+    lambda s, d: r.macro_bootstrap(outcomes(s, d).select("document_id", "table_id", F.col("correct_a").cast("int").alias("num"), F.lit(1).alias("den")), "document_id", 10_000, 3).select("replicates", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high")),
     f"""WITH {OUTCOMES_SQL}, p AS (SELECT document_id AS doc, table_id, sum(correct_a::INT) AS num, count(*) AS den FROM outcomes GROUP BY 1, 2), c AS (SELECT row_number() OVER (ORDER BY doc) - 1 AS i, count(*) OVER () AS n, doc FROM (SELECT DISTINCT doc FROM p)),
-draws AS (SELECT DISTINCT r, {_pick} AS i FROM c, range(200) t(r)), m AS (SELECT r, table_id, sum(num) / sum(den) AS m FROM draws JOIN c USING (i) JOIN p USING (doc) GROUP BY 1, 2), x AS (SELECT r, avg(m) AS x FROM m GROUP BY 1), e AS (SELECT count(*)::INT AS replicates, {_ends(0.025, 0.975)} FROM x)
+draws AS (SELECT DISTINCT r, {_pick} AS i FROM c, range(10000) t(r)), m AS (SELECT r, table_id, sum(num) / sum(den) AS m FROM draws JOIN c USING (i) JOIN p USING (doc) GROUP BY 1, 2), x AS (SELECT r, avg(m) AS x FROM m GROUP BY 1), e AS (SELECT count(*)::INT AS replicates, {_ends(0.025, 0.975)} FROM x)
 SELECT replicates, round(low, 9) AS ci_low, round(high, 9) AS ci_high FROM e""",
 )
 
@@ -217,12 +226,30 @@ def _null(s, d):
     return r.permutation_null(o.drop("value"), o.select("table_id", "value").distinct(), 50, 1).select(*(F.round(c, 9).alias(c) for c in ("observed", "null_mean", "null_p05", "null_p95", "p")))
 
 
+def _mixed(half, key):
+    y = f"((({half} + {key}) * 1103515245 + 12345) % 2147483648)"
+    return f"(((xor({y}, {y} >> 15) * 747796405) % 2147483648) >> 3)"
+
+
+def _step(rows):
+    """SQL of one walk step over rows(r, k, v, a, b, n, keys): v after the rounds of the keyed permutation."""
+    sql = f"(SELECT *, v // b AS lo, v % b AS hi FROM {rows})"
+    for i in range(1, r.ROUNDS + 1):
+        new = f"(lo + {_mixed('hi', f'keys[{i}]')}) % a AS lo, hi" if i % 2 else f"lo, (hi + {_mixed('lo', f'keys[{i}]')}) % b AS hi"
+        sql = f"(SELECT r, k, a, b, n, keys, {new} FROM {sql})"
+    return f"SELECT r, k, lo * b + hi AS v, a, b, n, keys FROM {sql}"
+
+
+_KEYS = ", ".join(f"('0x' || substr(sha256('1:' || r || ':{i}'), 1, 7))::BIGINT" for i in range(r.ROUNDS))
 add(
     "smp14_permutation_null",
     _null,
-    f"""WITH {OUTCOMES_SQL}, o AS (SELECT pair_id AS item, table_id, n % 53 AS predicted FROM outcomes), v AS (SELECT DISTINCT table_id, n % 50 AS predicted, 1 AS hit FROM outcomes), seen AS (SELECT count(hit) / count(*) AS observed FROM o LEFT JOIN v USING (table_id, predicted)),
-l AS (SELECT r, predicted, row_number() OVER (PARTITION BY r ORDER BY item) AS k FROM o, range(50) t(r)), t AS (SELECT r, table_id, row_number() OVER (PARTITION BY r ORDER BY sha256('1:' || r || ':' || item), item) AS k FROM o, range(50) t(r)),
-x AS (SELECT r, count(hit) / count(*) AS x FROM l JOIN t USING (r, k) LEFT JOIN v USING (table_id, predicted) GROUP BY 1), e AS (SELECT avg(x) AS null_mean, {_ends(0.05, 0.95)}, (count(*) FILTER (WHERE x >= (SELECT observed FROM seen)) + 1)::DOUBLE / (count(*) + 1) AS p FROM x)
+    f"""WITH RECURSIVE {OUTCOMES_SQL}, o AS (SELECT pair_id AS item, table_id, n % 53 AS predicted, row_number() OVER (ORDER BY pair_id) - 1 AS k FROM outcomes), v AS (SELECT DISTINCT table_id, n % 50 AS predicted, 1 AS hit FROM outcomes), seen AS (SELECT count(hit) / count(*) AS observed FROM o LEFT JOIN v USING (table_id, predicted)),
+sides AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM o)),
+start AS (SELECT r, k, k AS v, a, b, n, [{_KEYS}] AS keys FROM o, sides, range(50) t(r)),
+walk AS ({_step('start')} UNION ALL {_step('(SELECT * FROM walk WHERE v >= n)')}),
+x AS (SELECT w.r, count(hit) / count(*) AS x FROM walk w JOIN o ON o.k = w.k JOIN o t ON t.k = w.v LEFT JOIN v ON v.table_id = t.table_id AND v.predicted = o.predicted WHERE w.v < w.n GROUP BY 1),
+e AS (SELECT avg(x) AS null_mean, {_ends(0.05, 0.95)}, (count(*) FILTER (WHERE x >= (SELECT observed FROM seen)) + 1)::DOUBLE / (count(*) + 1) AS p FROM x)
 SELECT round((SELECT observed FROM seen), 9) AS observed, round(null_mean, 9) AS null_mean, round(low, 9) AS null_p05, round(high, 9) AS null_p95, round(p, 9) AS p FROM e""",
 )
 add("set01_union", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("n"), F.lit("c").alias("kind")).unionByName(table(s, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_nationkey").alias("n"))).groupBy("kind", "n").agg(F.count("*").alias("k")), "SELECT 'c' AS kind, c_nationkey AS n, count(*) AS k FROM customer GROUP BY 2 UNION ALL SELECT 's', s_nationkey, count(*) FROM supplier GROUP BY 2")
