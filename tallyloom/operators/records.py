@@ -70,6 +70,38 @@ def resolve_images(tables: DataFrame, existing: DataFrame, fresh: DataFrame) ->
     return j.withColumn("path", F.coalesce("__e", "__f")).withColumn("image_source", F.when(F.col("__e").isNotNull(), "existing").when(F.col("__f").isNotNull(), "fresh").otherwise("missing")).drop("__e", "__f")
 
 
+def source_index(group_id: Column) -> Column:
+    """The index, with its leading zeros, in a group id syn_<index>_<name>; any other id fails."""
+    parts = F.split(group_id, "_")
+    fine = F.coalesce((F.size(parts) >= 3) & (parts[0] == "syn"), F.lit(False))
+    return F.when(fine, F.get(parts, F.lit(1))).otherwise(F.raise_error(F.concat(F.lit("no group id: "), F.coalesce(group_id, F.lit("null")))).cast("string"))
+
+
+def source_table_key(table_id: Column, index: Column) -> Column:
+    """id:<table id>, or index:<row number> for tables without an id."""
+    return F.when(F.coalesce(table_id, F.lit("")) != "", F.concat(F.lit("id:"), table_id)).otherwise(F.concat(F.lit("index:"), index.cast("string")))
+
+
+def packet_cell(raw: Column) -> Column:
+    """A cell of a packet as read, struct<cell_id, text, bbox>, with whole coordinates and no null text; a box without four fails."""
+    box = F.transform(raw["bbox"], lambda x: x.cast("int"))
+    fine = F.when(F.coalesce(F.size(box) == 4, F.lit(False)), box).otherwise(F.raise_error(F.concat(F.lit("no box of cell "), F.coalesce(raw["cell_id"], F.lit("null")))).cast("array<int>"))
+    return F.struct(raw["cell_id"].alias("cell_id"), F.coalesce(raw["text"], F.lit("")).alias("text"), fine.alias("bbox"))
+
+
+def patch_texts(patches: Column) -> Column:
+    """New texts by cell id of an array of struct<cell_id, new_text>: blank ids are left out, the last patch of a cell counts."""
+    named = F.filter(patches, lambda p: F.coalesce(p["cell_id"], F.lit("")) != "")
+    last = F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda q: q["cell_id"] == p["cell_id"]))
+    return F.map_from_arrays(F.transform(last, lambda p: p["cell_id"]), F.transform(last, lambda p: F.coalesce(p["new_text"], F.lit(""))))
+
+
+def patched(cells: Column, patches: Column) -> Column:
+    """Packet cells with the texts of their patches."""
+    texts = patch_texts(patches)
+    return F.transform(cells, lambda c: F.struct(c["cell_id"].alias("cell_id"), F.coalesce(F.try_element_at(texts, c["cell_id"]), c["text"]).alias("text"), c["bbox"].alias("bbox")))
+
+
 def replay(groups: DataFrame, source: DataFrame) -> DataFrame:
     """Groups matched to source rows by index and question (of repeated questions the last); unmatched ones are flagged.
 

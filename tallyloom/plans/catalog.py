@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import auditing, building, evaluation, mining, producing, records, scalars
+from . import auditing, building, evaluation, mining, producing, records, scalars, supplying
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = (evaluation, mining, scalars, auditing, records, building, producing)
+FAMILIES = (evaluation, mining, scalars, auditing, records, building, producing, supplying)
 FLAGSHIP = "agg03_cgs_by_setting"
 
 

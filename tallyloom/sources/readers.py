@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import json_elements
+
 OCR_ENTRY = "array<struct<c:array<int>,cf:int,t:string>>"
 
 
@@ -37,9 +39,8 @@ def typed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of one whole JSON array with their positions."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", f"array<{schema}>", {"mode": "FAILFAST"})).alias("ordinal", "doc")).select("ordinal", "doc.*")
+    """Elements of one JSON array with their positions, in as many tasks as the file has blocks."""
+    return json_elements(spark, path, schema).select(F.col("ordinal").cast("int").alias("ordinal"), "doc.*")
 
 
 def index_by(df: DataFrame, key: str, ordinal: str, last: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,15 @@ def json_lines(df: DataFrame, path: str, valid: Column | None = None) -> None:
     df.select(*sorted(df.columns)).write.mode("errorifexists").json(path, ignoreNullFields=False)
 
 
+def json_arrays(df: DataFrame, path: str, by: str, order: str) -> None:
+    """One JSON array a value of ``by``, in the given order, each a single document in a folder of its own (<by>=<value>)."""
+    w = Window.partitionBy(by).orderBy(order)
+    first, last = F.row_number().over(w) == 1, F.lead(F.lit(1)).over(w).isNull()
+    doc = F.to_json(F.struct(*sorted(c for c in df.columns if c != by)), {"ignoreNullFields": "false"})
+    value = F.concat(F.when(first, "[").otherwise(""), doc, F.when(last, "]").otherwise(","))
+    df.select(by, value.alias("value")).write.mode("errorifexists").partitionBy(by).text(path)
+
+
 def subsets(df: DataFrame, path: str, by: str) -> None:
     """Parquet partitioned by subset, into a fresh folder."""
     df.repartition(by).write.mode("errorifexists").partitionBy(by).parquet(path)

@@ -1,32 +1,58 @@
-"""Streams: a checkpointed visit counter per group, and windowed counts with late data dropped by a watermark."""
+"""Streams: a visit counter per group whose state can be taken out and put back, and windowed counts with late data dropped by a watermark."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 VISITS = "group_id string, visit_no long"
+#: Typed state of a group needs this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def count_visits(requests: DataFrame) -> DataFrame:
-    """For a stream of requests(group_id), each with its group's visit number from 0; the state is one counter a group.
+class VisitCounter(StatefulProcessor):
+    """One counter a group; ``visits`` of an initial state are where it goes on from."""
 
-    Stopped and started again from its checkpoint, the stream goes on as if never stopped. What a visit shows is a pure
-    function of the number (operators.sampling.visit).
-    """
+    def init(self, handle) -> None:
+        self.visits = handle.getValueState("visits", "visits long")
 
-    def step(key, batches: Iterator, state):
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        n = state.get[0] if state.exists else 0
-        for pdf in batches:
+        n = self.visits.get()[0] if self.visits.exists() else 0
+        for pdf in rows:
             yield pd.DataFrame({"group_id": [key[0]] * len(pdf), "visit_no": range(n, n + len(pdf))})
             n += len(pdf)
-        state.update((n,))
+        self.visits.update((n,))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.visits.update((int(initialState["visits"].sum()),))
+
+    def close(self) -> None:
+        pass
+
+
+def count_visits(requests: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """For a stream of requests(group_id), each with its group's visit number from 0; the state is one counter a group.
+
+    Stopped and started again from its checkpoint, the stream goes on as if never stopped. ``initial``(group_id, visits), such as
+    what visit_counts took out of another stream, is where a fresh one goes on from, without that stream's checkpoint. What
+    a visit shows is a pure function of the number (operators.sampling.visit).
+    """
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    start = initial.select("group_id", "visits").groupBy("group_id") if initial is not None else None
+    return requests.select("group_id").groupBy("group_id").transformWithStateInPandas(VisitCounter(), VISITS, "Append", "None", start)
+
 
-    return requests.groupBy("group_id").applyInPandasWithState(step, VISITS, "n long", "append", "NoTimeout")
+def visit_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(group_id, visits): the state of a stopped counter, as a table."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    state = spark.read.format("statestore").option("stateVarName", "visits").load(checkpoint)
+    return state.select("key.group_id", F.col("value.visits").alias("visits"))
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
