@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_number, whole_year, year_gap
 from ..functions.text import ACTUAL_LABELS, FORECAST_LABELS, confusable, content_words, first_year, has_qualifier, is_footnote_copy, label_class, strings, temporal_remainder, without_qualifiers
 from .ranks import positions
+from .shared import bounded, written
 
 # Fixed values.
 JACCARD_FROM = 0.5
 PER_METRIC, PER_TABLE = 4, 24
 COLUMN_APART = 20.0
 
+#: Rows of a block of a group that is paired with itself.
+BLOCK_ROWS = 1024
+
 
 def agreed(facts: DataFrame, key: list[str], value: str, ordinal: str) -> DataFrame:
     """One fact a key, the first by ordinal, for keys whose facts all have one value."""
@@ -22,10 +26,24 @@ def agreed(facts: DataFrame, key: list[str], value: str, ordinal: str) -> DataFr
     return kept.where(F.col("__lo") == F.col("__hi")).select(*key, "__r.*")
 
 
-def _self_join(facts: DataFrame, equal: list[str], columns: list[str], before: Column) -> DataFrame:
-    a = facts.select(*(F.col(c).alias(f"{c}_a" if c not in equal else c) for c in columns))
-    b = facts.select(*(F.col(c).alias(f"{c}_b" if c not in equal else c) for c in columns))
-    return a.join(b, equal).where(before)
+def _self_join(facts: DataFrame, equal: list[str], columns: list[str], before: Column, block: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs of rows that agree in ``equal`` and fulfil ``before``, a condition that holds for one order of a pair at most.
+
+    A group of more than ``block`` rows becomes blocks, dealt by digest of its rows, and meets as a triangle: each two blocks, and each
+    block with itself, are a tile of their own, so a tile has two blocks of rows at most whatever the group's size.
+    """
+    rows = facts.select(*columns)
+    sizes = written(rows.groupBy(*equal).agg(F.count("*").alias("__n")).where(F.col("__n") > block).select(*equal, F.ceil(F.col("__n") / block).cast("int").alias("__blocks")), "large-groups")
+    n = sizes.count()
+    side = lambda df, s: df.select(*(F.col(c).alias(c if c in equal or c.startswith("__") and c != "__block" else f"{c}_{s}") for c in df.columns))
+    if not n:
+        return side(rows, "a").join(side(rows, "b"), equal).where(before)
+    dealt = rows.join(bounded(sizes, 64, n), equal, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    dealt = dealt.withColumn("__block", F.pmod(F.xxhash64(*columns), F.col("__blocks")).cast("int")).withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    tiled = dealt.withColumn("__lo", F.least("__block", "__with")).withColumn("__hi", F.greatest("__block", "__with")).drop("__blocks", "__with")
+    met = side(tiled, "a").join(side(tiled, "b"), [*equal, "__lo", "__hi"])
+    across = (F.col("__lo") == F.col("__hi")) | (F.col("__block_a") != F.col("__block_b"))
+    return met.where(across & before).drop("__lo", "__hi", "__block_a", "__block_b")
 
 
 def period_pairs(facts: DataFrame, caps: bool = True) -> DataFrame:
@@ -50,7 +68,7 @@ def period_pairs(facts: DataFrame, caps: bool = True) -> DataFrame:
 def metric_pairs(facts: DataFrame) -> DataFrame:
     """Pairs of related metrics of a table in one period, unit and scope (null equal to null) with other values."""
     one = agreed(facts, ["table_id", "metric", "period", "unit", "scope"], "value", "arrival")
-    one = one.withColumn("scope", F.coalesce(F.concat(F.lit("="), F.col("scope")), F.lit("")))
+    one = written(one.withColumn("scope", F.coalesce(F.concat(F.lit("="), F.col("scope")), F.lit(""))), "agreed-facts")
     related = related_metrics(one.select("metric").distinct())
     keys = ["table_id", "period", "unit", "scope"]
     side = lambda s: one.select(*keys, F.col("metric").alias(f"metric_{s}"), F.col("value").alias(f"value_{s}"))
@@ -63,16 +81,50 @@ def related_metrics(metrics: DataFrame) -> DataFrame:
 
     Labels are few beside facts, so relatedness is settled once a label pair and joined to the facts by equality.
     """
-    words = metrics.select("metric", content_words(F.col("metric")).alias("w")).withColumn("n", F.size("w"))
-    one = words.select("metric", "n", F.explode("w").alias("word"))
-    a, b = (one.select("word", F.col("metric").alias(f"metric_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    shared = a.join(b, "word").where("metric_a < metric_b").groupBy("metric_a", "metric_b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    alike = shared.select("metric_a", "metric_b", (F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("jaccard"))
-    based = metrics.select("metric", without_qualifiers(F.col("metric")).alias("base"), has_qualifier(F.col("metric")).alias("q")).where("base <> ''")
-    a, b = (based.select("base", F.col("metric").alias(f"metric_{s}"), F.col("q").alias(f"q_{s}")) for s in "ab")
-    basis = a.join(b, "base").where("metric_a < metric_b and q_a <> q_b").select("metric_a", "metric_b", F.lit(True).alias("basis"))
-    out = alike.join(basis, ["metric_a", "metric_b"], "full").fillna(0.0, ["jaccard"]).fillna(False, ["basis"])
-    return out.where(((F.col("jaccard") >= JACCARD_FROM) | F.col("basis")) & ~is_footnote_copy(F.col("metric_a"), F.col("metric_b")))
+    words, ranked = _ranked_words(metrics)
+    found = _candidates(ranked)
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    alike = found.where(shared * (1 + JACCARD_FROM) >= (F.col("n_a") + F.col("n_b")) * JACCARD_FROM).select("metric_a", "metric_b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("jaccard"), F.lit(False).alias("basis"))
+    based = words.select("metric", "words", F.size("words").alias("n"), without_qualifiers(F.col("metric")).alias("base"), has_qualifier(F.col("metric")).alias("q")).where("base <> ''")
+    side = lambda s: based.select("base", *(F.col(c).alias(f"{c}_{s}") for c in ("metric", "words", "n", "q")))
+    overlap = F.coalesce(F.try_divide(shared, F.col("n_a") + F.col("n_b") - shared), F.lit(0.0))
+    basis = side("a").join(side("b"), "base").where("metric_a < metric_b and q_a <> q_b").select("metric_a", "metric_b", overlap.alias("jaccard"), F.lit(True).alias("basis"))
+    # pairs that are both are few, and are basis pairs
+    only = alike.join(bounded(written(basis.select("metric_a", "metric_b"), "basis-pairs"), 128), ["metric_a", "metric_b"], "left_anti")
+    return only.unionByName(basis).where(~is_footnote_copy(F.col("metric_a"), F.col("metric_b")))
+
+
+def _ranked_words(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(metric, words) of labels, and (metric, words, n) with words as their ranks from rare to common, in that order."""
+    words = written(metrics.select("metric", content_words(F.col("metric")).alias("words")), "label-words")
+    one = words.select("metric", F.explode("words").alias("word"))
+    often = written(one.groupBy("word").agg(F.count("*").alias("often")), "word-counts")
+    ranks = bounded(positions(often, ["often", "word"], "rank").select("word", "rank"), 64)
+    ranked = one.join(ranks, "word").groupBy("metric").agg(F.array_sort(F.collect_list("rank")).alias("words"))
+    return words, ranked.withColumn("n", F.size("words"))
+
+
+def _candidates(ranked: DataFrame) -> DataFrame:
+    """(metric_a, metric_b, words_a, words_b, n_a, n_b): pairs of labels that may share JACCARD_FROM of their words, each once.
+
+    Prefix filter: two labels that share so many words have one in common among their first n - ceil(n * JACCARD_FROM) + 1, from rare
+    to common, so common words mostly join nothing. Length and position bound what can still be shared; a pair counts at the first
+    word that it shares.
+    """
+    first = F.col("n") - F.ceil(F.col("n") * JACCARD_FROM) + 1
+    prefix = written(ranked.select("metric", "words", "n", F.posexplode(F.slice("words", F.lit(1), first.cast("int"))).alias("at", "word")), "label-prefixes")
+    side = lambda s: prefix.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("metric", "words", "n", "at")))
+    long_enough = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * JACCARD_FROM
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    may = rest * (1 + JACCARD_FROM) >= (F.col("n_a") + F.col("n_b")) * JACCARD_FROM
+    before = F.arrays_overlap(F.slice("words_a", F.lit(1), F.col("at_a")), F.slice("words_b", F.lit(1), F.col("at_b")))
+    met = side("a").join(side("b"), "word").where((F.col("metric_a") < F.col("metric_b")) & long_enough & may)
+    return met.where((F.col("at_a") == 0) | (F.col("at_b") == 0) | ~before).select("metric_a", "metric_b", "words_a", "words_b", "n_a", "n_b")
+
+
+def similar_candidates(metrics: DataFrame) -> DataFrame:
+    """The pairs of labels that related_metrics compares in full."""
+    return _candidates(_ranked_words(metrics)[1])
 
 
 def classify(a: dict[str, Column], b: dict[str, Column]) -> Column:

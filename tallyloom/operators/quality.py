@@ -11,6 +11,8 @@ from ..functions.dates import values_match
 from ..functions.numbers import ocr_value, rate, scale_or_sign
 from ..functions.text import normal
 from .metrics import sets
+from .scan import HOT_ROWS, in_ranges, same_key, split_hot, with_previous, with_running
+from .shared import bounded, written
 
 # Fixed values.
 MARGIN = 8
@@ -88,12 +90,21 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
     return counts.withColumn("share", rate(F.col("n"), F.sum("n").over(Window.partitionBy("field"))))
 
 
-def column_clusters(rows: DataFrame, by: list[str], x: str, ordinal: str, gap: float = CLUSTER_GAP) -> DataFrame:
-    """Rows with a cluster number by place: a step of more than gap starts a new one; rows without a place are one (-1)."""
+def column_clusters(rows: DataFrame, by: list[str], x: str, ordinal: str, gap: float = CLUSTER_GAP, hot: int = HOT_ROWS) -> DataFrame:
+    """Rows with a cluster number by place: a step of more than gap starts a new one; rows without a place are one (-1).
+
+    Groups of more than ``hot`` rows are scanned in ranges, so none of any size lies in one task.
+    """
+    starts = lambda before: F.coalesce((F.col(x) - before > gap).cast("int"), F.lit(0))
+    number = lambda c: F.when(F.col(x).isNull(), F.lit(-1)).otherwise(c)
+    few, many = split_hot(rows, by, hot)
     w = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last(), ordinal)
-    starts = F.coalesce((F.col(x) - F.lag(x).over(w) > gap).cast("int"), F.lit(0))
-    stepped = rows.withColumn("__s", starts)
-    return stepped.withColumn("cluster", F.when(F.col(x).isNull(), F.lit(-1)).otherwise(F.sum("__s").over(w))).drop("__s")
+    out = few.withColumn("__s", starts(F.lag(x).over(w))).withColumn("cluster", number(F.sum("__s").over(w))).drop("__s")
+    if many is None:
+        return out
+    stepped = with_previous(in_ranges(many, by, [F.col(x).asc_nulls_last(), F.col(ordinal)]), by, x, "__before")
+    counted = with_running(stepped, by, starts(F.col("__before")), "__c")
+    return out.unionByName(counted.withColumn("cluster", number(F.col("__c"))).select(*out.columns))
 
 
 def cluster_agreement(clustered: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
@@ -117,13 +128,34 @@ def co_occurrence(instances: DataFrame, pairs: list[tuple[str, str]], values: st
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("n")) for i, (a, b) in enumerate(pairs)))).alias("s")).select("s.*")
 
 
-def gap_candidates(rows: DataFrame, by: list[str], centre: str, ordinal: str) -> DataFrame:
-    """Groups of LEAST_ROWS or more placed rows whose largest gap is GAP_RATIO times the median of the others."""
+def _gaps_in_ranges(rows: DataFrame, by: list[str], centre: str, ordinal: str) -> DataFrame:
+    """by, rows, largest, after_row, median_other of groups of any size: gaps and their ranks by scans, the median by its ranks."""
+    placed = with_running(with_previous(in_ranges(rows, by, [F.col(centre), F.col(ordinal)]), by, centre, "__before"), by, F.lit(1), "__i")
+    gaps = written(placed.select(*by, (F.col(centre) - F.col("__before")).alias("gap"), (F.col("__i") - 1).alias("i")), "gaps")
+    top = F.max(F.struct("gap", (-F.col("i")).alias("i")))
+    per = gaps.groupBy(*by).agg(F.count("*").alias("rows"), top.alias("t")).select(*by, "rows", F.col("t.gap").alias("largest"), F.when(F.col("t.gap").isNotNull(), -F.col("t.i")).cast("int").alias("after_row"))
+    ranked = with_running(in_ranges(gaps.where("gap is not null"), by, [F.col("gap"), F.col("i")]), by, F.lit(1), "k")
+    # Of the rows - 1 gaps the last in order is the largest; the middle of the others lies at one rank or between two.
+    others = F.col("rows") - 2
+    near = bounded(per.select(*(F.col(c).alias(f"__{c}") for c in by), "rows"), 64)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    middle = ranked.join(near, same & F.col("k").between(F.floor((others + 1) / 2), F.floor(others / 2) + 1)).groupBy(*by).agg(F.avg("gap").alias("median_other"))
+    return per.join(middle, same_key(per, middle, by), "left").select(*(per[c] for c in by), "rows", "largest", "after_row", F.when(F.col("rows") > 2, F.col("median_other").cast("double")).alias("median_other"))
+
+
+def gap_candidates(rows: DataFrame, by: list[str], centre: str, ordinal: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Groups of LEAST_ROWS or more placed rows whose largest gap is GAP_RATIO times the median of the others.
+
+    Groups of more than ``hot`` rows are scanned in ranges, so none of any size lies in one task.
+    """
+    few, many = split_hot(rows.where(F.col(centre).isNotNull()), by, hot)
     w = Window.partitionBy(*by).orderBy(centre, ordinal)
-    gaps = rows.where(F.col(centre).isNotNull()).withColumn("gap", F.lead(centre).over(w) - F.col(centre)).withColumn("i", F.row_number().over(w))
+    gaps = few.withColumn("gap", F.lead(centre).over(w) - F.col(centre)).withColumn("i", F.row_number().over(w))
     first = Window.partitionBy(*by).orderBy(F.col("gap").desc_nulls_last(), "i")
     ranked = gaps.withColumn("r", F.row_number().over(first))
     per = ranked.groupBy(*by).agg(F.count("*").alias("rows"), F.max("gap").alias("largest"), F.min(F.when(F.col("r") == 1, F.col("i"))).alias("after_row"), F.median(F.when(F.col("r") > 1, F.col("gap"))).alias("median_other"))
+    if many is not None:
+        per = per.withColumn("median_other", F.col("median_other").cast("double")).unionByName(_gaps_in_ranges(many, by, centre, ordinal))
     return per.where((F.col("rows") >= LEAST_ROWS) & (F.col("median_other") > 0) & (F.col("largest") >= F.col("median_other") * GAP_RATIO)).withColumn("ratio", F.col("largest") / F.col("median_other"))
 
 

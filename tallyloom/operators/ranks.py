@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Bits of monotonically_increasing_id that count within a partition.
 WITHIN = 33
 
 
-def _ready(spark: SparkSession) -> None:
-    """A checkpoint folder: the one of the session; local sessions without one get a folder of their own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyloom-"))
-
-
 def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Every row with its place (bigint, from 0, without gaps) in the given order; rows that tie come in any order.
 
     A range sort numbers each range in parallel, and the counts of the ranges before shift it. Both readers of the ranges
-    (counts and rows) take them from one checkpoint: ranges are drawn from samples, so a second sort could cut elsewhere.
+    (counts and rows) take them from one table: ranges are drawn from samples, so a second sort could cut elsewhere.
     """
-    _ready(df.sparkSession)
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    sorted_ = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "positions")
     part, place = F.shiftright("__id", WITHIN), F.col("__id").bitwiseAND(F.lit((1 << WITHIN) - 1))
     counts = sorted_.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     shift = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))

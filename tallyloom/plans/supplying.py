@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pairs as p
+from ..operators import quality as q
 from ..operators import records as rec
+from ..operators import tables as t
 from ..operators.results import result_rows
 from ..operators.shared import fresh, written
 from ..functions.text import evidence_first_target, grounding_target
@@ -179,3 +181,121 @@ add(
     f"""WITH {BOXES_SQL} SELECT vec_id, 'c0' AS cell_id, CASE WHEN vec_id % 2 = 0 THEN 'lost' ELSE coalesce(label::VARCHAR, '') END AS text, array_to_string(a, ' ') AS box FROM boxes
 UNION ALL SELECT vec_id, 'c1', '', array_to_string(b, ' ') FROM boxes UNION ALL SELECT vec_id, 'c2', CASE WHEN vec_id % 3 <> 0 THEN 'last' ELSE '' END, array_to_string(b, ' ') FROM boxes""",
 )
+
+
+def _lines(s, d):
+    path = fresh(s, "lines")
+    sinks.json_lines(table(s, d, "documents").select("doc_id", "lang", "text"), path, F.col("doc_id").isNotNull())
+    return readers.json_lines(s, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+add("src01_json_lines", _lines, "SELECT doc_id, lang, md5(coalesce(text, '')) AS text FROM documents")
+
+
+def _blocks(s, d):
+    """Documents as one page of blocks, a block a line and every seventh without an id, as JSON lines and back."""
+    path = fresh(s, "paged")
+    block = lambda x, i: F.struct(F.when(i % 7 != 6, F.concat_ws("-", F.col("doc_id").cast("string"), i.cast("string"))).otherwise(" ").alias("uuid"), i.alias("order"), x.alias("text"), F.array(i, i, i + 1, i + 1).alias("bbox"))
+    page = F.struct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), block).alias("blocks"))
+    sinks.json_lines(table(s, d, "documents").select("doc_id", F.array(page).alias("pages")), path)
+    docs = readers.json_lines(s, path, "doc_id long, pages array<struct<blocks:array<struct<uuid:string,`order`:int,text:string,bbox:array<int>>>>>")
+    return readers.block_index(docs).select("doc_id", "page", "uuid", F.md5("text").alias("text"), F.col("bbox")[3].alias("bottom"))
+
+
+add(
+    "src05_block_index",
+    _blocks,
+    "WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), b AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS i FROM l) SELECT doc_id, 0 AS page, doc_id || '-' || i AS uuid, md5(text) AS text, (i + 1)::INT AS bottom FROM b WHERE i % 7 <> 6",
+)
+
+
+def _spans(s, d):
+    words = F.split("p_name", " ")
+    missing = F.transform(words, lambda w, i: F.when(i == 2, F.concat(w, F.lit("?"))).otherwise(w))
+    spans = table(s, d, "part").select("p_partkey", F.posexplode(t.word_spans(missing, F.col("p_name"))).alias("i", "w"))
+    return spans.select("p_partkey", "i", "w.start", "w.end")
+
+
+add(
+    "src06_word_spans",
+    _spans,
+    """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), e AS (SELECT p_partkey, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+s AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e)
+SELECT p_partkey, i::INT AS i, (CASE WHEN i = 2 THEN -1 ELSE pos END)::INT AS start, (CASE WHEN i = 2 THEN -1 ELSE pos + length(word) END)::INT AS "end" FROM s""",
+)
+
+
+def _labelled(s, d):
+    """A table a brand with a row a part: its name in words and its type."""
+    word = lambda w: F.struct(F.concat(F.lit(" "), w).alias("text"), F.array(F.lit(0)).alias("bbox"))
+    cell = lambda c, label: F.struct(F.col(c).alias("text"), F.lit(label).alias("label"), F.array(F.lit(1)).alias("bbox"), F.transform(F.split(c, " "), word).alias("words"))
+    rows = table(s, d, "part").groupBy(F.col("p_brand").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.array(cell("p_name", "name"), cell("p_type", "type")).alias("cells")))).alias("rows"))
+    cells, words = t.flatten_table(rows)
+    return words.join(cells.withColumnRenamed("text", "cell_text"), ["table_id", "row_idx", "col_idx"]).select("table_id", "row_idx", "col_idx", F.col("word_idx").cast("bigint").alias("word_idx"), "text", "label", "cell_text")
+
+
+add(
+    "src07_labelled_words",
+    _labelled,
+    """WITH r AS (SELECT p_brand AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_idx, p_name, p_type FROM part),
+c AS (SELECT table_id, row_idx, 0 AS col_idx, 'name' AS label, p_name AS cell_text FROM r UNION ALL SELECT table_id, row_idx, 1, 'type', p_type FROM r),
+w AS (SELECT *, unnest(string_split(cell_text, ' ')) AS text, unnest(range(len(string_split(cell_text, ' ')))) AS i FROM c)
+SELECT table_id, row_idx::INT AS row_idx, col_idx, row_number() OVER (PARTITION BY table_id ORDER BY row_idx, col_idx, i) - 1 AS word_idx, text, label, cell_text FROM w""",
+)
+
+
+def _export(s, d):
+    """Orders as annotation lines: those of every third order belong to no group, some values are blank."""
+    path, k = fresh(s, "export"), F.col("o_orderkey")
+    values = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.when(k % 5 == 0, " ").otherwise(F.col("o_orderpriority")))
+    rows = table(s, d, "orders").select(F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("document_id"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("page_id"), F.when(k % 3 != 0, "company").alias("group"), k.alias("instance_index"), F.when(k % 7 != 0, values).otherwise(F.create_map(F.lit("status"), F.lit(""))).alias("values"))
+    sinks.json_lines(rows, path)
+    return readers.json_lines(s, path, "document_id string, page_id string, `group` string, instance_index long, values map<string,string>").withColumn("boxes", F.lit(None).cast("map<string,array<int>>"))
+
+
+add(
+    "src13_document_fields",
+    lambda s, d: readers.document_fields(_export(s, d)).select("document_id", "instance_index", F.array_join(F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat_ws("=", e.key, e.value)), ",").alias("fields")),
+    "SELECT 'd' || o_custkey AS document_id, o_orderkey AS instance_index, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'priority=' || o_orderpriority || ',' END || 'status=' || o_orderstatus AS fields FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0",
+)
+add("src14_page_ids", lambda s, d: readers.page_ids(_export(s, d)), "SELECT DISTINCT 'd' || o_custkey AS document_id, 'p' || o_orderkey % 3 AS page_id FROM orders")
+
+
+def _manifest(s, d):
+    path = fresh(s, "manifest")
+    table(s, d, "supplier").select("s_suppkey", "s_name").orderBy(F.desc("s_acctbal"), "s_suppkey").coalesce(1).write.json(path)
+    return readers.manifest(s, path, "s_suppkey long, s_name string", 50).select("ordinal", "s_suppkey", "s_name")
+
+
+add("src18_manifest", _manifest, "SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS ordinal, s_suppkey, s_name FROM supplier ORDER BY ordinal LIMIT 50")
+
+
+def _labels(s, d):
+    """Lines of predictions below a folder a label, an order's lines in one file and in order of their numbers."""
+    path = fresh(s, "predicted")
+    line = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("group_id"), F.when(F.col("l_orderkey") % 4 != 0, F.concat(F.lit("d"), (F.col("l_orderkey") % 9).cast("string"))).alias("document_id"), F.col("l_linenumber").cast("string").alias("prediction")))
+    rows = table(s, d, "lineitem").select(F.col("l_returnflag").alias("label"), "l_orderkey", "l_linenumber", line.alias("value"))
+    rows.repartition("l_orderkey").sortWithinPartitions("label", "l_orderkey", "l_linenumber").select("label", "value").write.partitionBy("label").text(path)
+    return readers.predictions(s, path, "group_id string, document_id string, prediction string", "*.txt")
+
+
+_LAST = "SELECT l_returnflag AS label, l_orderkey::VARCHAR AS group_id, CASE WHEN l_orderkey % 4 <> 0 THEN 'd' || l_orderkey % 9 END AS document_id, max(l_linenumber)::VARCHAR AS prediction FROM lineitem GROUP BY ALL"
+add("src19_predictions", _labels, _LAST)
+add("src20_scored", lambda s, d: readers.scored(_labels(s, d)).groupBy("label", "document_id").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups")), f"SELECT label, document_id, count(*) AS n, count(DISTINCT group_id) AS groups FROM ({_LAST}) WHERE document_id IS NOT NULL GROUP BY ALL")
+
+#: Half of all documents are one group; groups of more rows than this are scanned in ranges.
+HOT = 200
+_hot = lambda s, d: table(s, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "all").otherwise(F.col("source")).alias("page"), "doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("n_chars").cast("double")).alias("x"))
+_HOT = "h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'all' ELSE source END AS page, doc_id, CASE WHEN doc_id % 11 <> 0 THEN n_chars::DOUBLE END AS x FROM documents)"
+add(
+    "win05_hot_islands",
+    lambda s, d: q.column_clusters(_hot(s, d), ["page"], "x", "doc_id", 15.0, HOT).select("page", "doc_id", F.col("cluster").cast("bigint").alias("cluster")),
+    f"""WITH {_HOT}, s AS (SELECT *, coalesce((x - lag(x) OVER w > 15)::INT, 0) AS st FROM h WINDOW w AS (PARTITION BY page ORDER BY x NULLS LAST, doc_id))
+SELECT page, doc_id, CASE WHEN x IS NULL THEN -1 ELSE sum(st) OVER (PARTITION BY page ORDER BY x NULLS LAST, doc_id) END::BIGINT AS cluster FROM s""",
+)
+add(
+    "agg17_hot_gaps",
+    lambda s, d: q.gap_candidates(_hot(s, d), ["page"], "x", "doc_id", HOT).select("page", "rows", "after_row", "largest", "median_other"),
+    f"""WITH {_HOT}, g AS (SELECT page, lead(x) OVER w - x AS gap, row_number() OVER w AS i FROM h WHERE x IS NOT NULL WINDOW w AS (PARTITION BY page ORDER BY x, doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY gap DESC NULLS LAST, i) AS k FROM g),
+p AS (SELECT page, count(*) AS rows, max(gap) AS largest, (min(i) FILTER (WHERE k = 1))::INT AS after_row, median(gap) FILTER (WHERE k > 1) AS median_other FROM r GROUP BY 1) SELECT page, rows, after_row, largest, median_other FROM p WHERE rows >= 3 AND median_other > 0 AND largest >= median_other * 2.5""",
+)

@@ -95,9 +95,10 @@ def page_ids(export: DataFrame) -> DataFrame:
     return export.select("document_id", "page_id").distinct()
 
 
-def predictions(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Prediction lines of all labels (<root>/<label>/*.jsonl) in one scan; of a label's repeated group the last line counts."""
-    lines = typed_lines(spark, f"{root}/*/*.jsonl", schema).select(F.element_at(F.split("file", "/"), -2).alias("label"), "file", "ordinal", "record.*")
+def predictions(spark: SparkSession, root: str, schema: str, files: str = "*.jsonl") -> DataFrame:
+    """Prediction lines of all labels (<root>/<label>/ or <root>/label=<label>/) in one scan; of a label's repeated group the last line counts."""
+    label = F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^label=", "")
+    lines = typed_lines(spark, f"{root}/*/{files}", schema).select(label.alias("label"), "file", "ordinal", "record.*")
     rest = [c for c in lines.columns if c not in ("label", "group_id", "file", "ordinal")]
     return lines.groupBy("label", "group_id").agg(F.max_by(F.struct(*rest), F.struct("file", "ordinal")).alias("r")).select("label", "group_id", "r.*")
 

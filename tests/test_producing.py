@@ -41,8 +41,8 @@ def test_documents_without_values_stay(spark):
 
 def test_frozen_selection(spark, tmp_path):
     records = spark.createDataFrame([(i, f"t{min(i, 3)}", "adjacent" if i % 2 else "skip") for i in range(7)], "pair_id long, table_id string, construction_rule string")
-    frozen.freeze(records, records.where("pair_id > 0").select("pair_id"), str(tmp_path / "f"), seed=7)
-    read = lambda part: json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "f" / part), wholetext=True).collect()))
+    what = frozen.freeze(records, records.where("pair_id > 0").select("pair_id"), str(tmp_path / "f"), seed=7)
+    read = lambda part: json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "f" / what["folder"] / part), wholetext=True).collect()))
     assert sorted(read("manifest")["pair_ids"]) == [1, 2, 3, 4, 5, 6] and read("manifest")["seed"] == 7
     assert read("audit") == {"adjacent": 3, "skip": 3, "fewest": 1, "most": 4, "median": 1, "tables": 3}
     assert frozen.frozen_audit(records.where(F.lit(False))).first().asDict() == {"adjacent": 0, "skip": 0, "fewest": 0, "most": 0, "median": 0, "tables": 0}
@@ -50,6 +50,72 @@ def test_frozen_selection(spark, tmp_path):
         frozen.freeze(records, records.select("pair_id"), str(tmp_path / "f"))
 
 
+SCHEMA = "pair_id long, table_id string, construction_rule string"
+
+
+@pytest.mark.parametrize("fails_at", ["rows", "manifest", "audit", "content", "rename"])
+def test_a_run_that_ends_between_steps_leaves_nothing_that_counts(spark, tmp_path, monkeypatch, fails_at):
+    records = spark.createDataFrame([(i, f"t{i % 3}", "skip") for i in range(9)], SCHEMA)
+    path = str(tmp_path / "f")
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        real_lines, real_report, real_content, real_files = frozen.json_lines, frozen.report, frozen.content, frozen._files
+        if fails_at == "rows":
+            m.setattr(frozen, "json_lines", stop)
+        elif fails_at in ("manifest", "audit"):
+            m.setattr(frozen, "report", lambda spark, data, at: stop() if at.endswith(fails_at) else real_report(spark, data, at))
+        elif fails_at == "content":
+            m.setattr(frozen, "content", stop)
+        else:
+
+            class Files:
+                def __init__(self, fs):
+                    self.fs = fs
+
+                def __getattr__(self, name):
+                    return stop if name == "rename" else getattr(self.fs, name)
+
+            m.setattr(frozen, "_files", lambda spark, path: (lambda h, fs: (h, Files(fs)))(*real_files(spark, path)))
+        with pytest.raises(KeyboardInterrupt):
+            frozen.freeze(records, records.select("pair_id"), path)
+    with pytest.raises(FileNotFoundError):
+        frozen.committed(spark, path, "rows", SCHEMA)
+    what = frozen.freeze(records, records.select("pair_id"), path)
+    assert frozen.committed(spark, path, "rows", SCHEMA).count() == 9
+    assert [p.name for p in (tmp_path / "f").iterdir() if p.is_dir()] == [what["folder"]]
+
+
+def test_what_is_not_what_was_committed_is_refused(spark, tmp_path):
+    records = spark.createDataFrame([(i, f"t{i % 3}", "skip") for i in range(9)], SCHEMA)
+    path = str(tmp_path / "f")
+    what = frozen.freeze(records, records.select("pair_id"), path)
+    part = next((tmp_path / "f" / what["folder"] / "rows").glob("part-*"))
+    part.write_text(part.read_text().replace("t1", "t2", 1))
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="not what was committed"):
+        frozen.committed(spark, path, "rows", SCHEMA)
+    assert frozen.committed(spark, path, "rows", SCHEMA, check=False).count() == 9
+
+
+def test_ids_and_cells_that_are_none_fail(spark):
+    from tallyloom.operators import records as rec
+
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "i string").select(rec.source_index(F.col("i"))).collect()
+    assert [r[0] for r in ids("syn_000012_a_b", "syn_7_")] == ["000012", "7"]
+    for bad in ("tat_1_a", "syn_1", "", None):
+        with pytest.raises(Exception, match="no group id"):
+            ids(bad)
+    cells = lambda box: spark.createDataFrame([(("c", None, box),)], "c struct<cell_id:string,text:string,bbox:array<double>>").select(rec.packet_cell(F.col("c")).alias("c")).first()["c"]
+    assert cells([1.9, 2.0, 3.2, 4.0]).asDict() == {"cell_id": "c", "text": "", "bbox": [1, 2, 3, 4]}
+    for bad in ([1.0, 2.0, 3.0], None):
+        with pytest.raises(Exception, match="no box of cell c"):
+            cells(bad)
+
+
 def test_configuration_and_metadata(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"model": {"x": 1}}')
     (tmp_path / "l.json").write_text("[1]")
