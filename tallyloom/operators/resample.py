@@ -147,36 +147,50 @@ def sides(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def permuted(x: Column, n: int, keys: Column) -> Column:
-    """The place of number x (0 to n - 1) in a permutation of these numbers that the array of ROUNDS keys draws.
+def _mixed(half: Column, key: Column) -> tuple[Column, Column]:
+    """A function of half and key in two steps, the second over the first named y; 31-bit products stay within 64 bits."""
+    y = F.col("__y").bitwiseXOR(F.shiftright("__y", 15))
+    return F.pmod((half + key) * 1103515245 + 12345, F.lit(1 << 31)), F.shiftright(F.pmod(y * 747796405, F.lit(1 << 31)), 3)
 
-    A Feistel network over pairs (x div b, x mod b) with sides a and b: each round adds to one half a function of the other and of
-    a key, so it can be undone, so it permutes 0 .. a * b - 1. A number beyond n - 1 is permuted again until it falls below:
-    that permutes 0 .. n - 1, and it is rare, as a * b exceeds n by less than a.
-    """
+
+def _again(v: Column, n: int, keys: Column) -> Column:
+    """v permuted as often as it takes to fall below n, as one expression; for the few numbers that need it."""
     a, b = sides(n)
 
     def mixed(half: Column, key: Column) -> Column:
-        # 31-bit products stay within 64 bits
         y = F.pmod((half + key) * 1103515245 + 12345, F.lit(1 << 31))
-        y = y.bitwiseXOR(F.shiftright(y, 15))
-        return F.shiftright(F.pmod(y * 747796405, F.lit(1 << 31)), 3)
+        return F.shiftright(F.pmod(y.bitwiseXOR(F.shiftright(y, 15)) * 747796405, F.lit(1 << 31)), 3)
+
+    def turn(acc: Column, i: Column) -> Column:
+        key = F.element_at(keys, i)
+        left, right = F.pmod(acc.l + mixed(acc.r, key), F.lit(a)), F.pmod(acc.r + mixed(acc.l, key), F.lit(b))
+        return F.when(i % 2 == 1, F.struct(left.alias("l"), acc.r.alias("r"))).otherwise(F.struct(acc.l.alias("l"), right.alias("r")))
 
     def step(v: Column) -> Column:
         half = F.struct(F.floor(v / b).cast("bigint").alias("l"), F.pmod(v, F.lit(b)).alias("r"))
-
-        def turn(acc: Column, i: Column) -> Column:
-            key = F.element_at(keys, i)
-            left = F.pmod(acc.l + mixed(acc.r, key), F.lit(a))
-            right = F.pmod(acc.r + mixed(acc.l, key), F.lit(b))
-            return F.when(i % 2 == 1, F.struct(left.alias("l"), acc.r.alias("r"))).otherwise(F.struct(acc.l.alias("l"), right.alias("r")))
-
         return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), half, turn, lambda acc: acc.l * b + acc.r)
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(min(WALK, a * b - n + 1))), x.cast("bigint"), lambda v, i: F.when((i > 1) & (v < n), v).otherwise(step(v)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(min(WALK, a * b - n + 1))), v, lambda v, i: F.when(v < n, v).otherwise(step(v)))
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk of the permutation did not end")).cast("bigint"))
 
 
+def permuted(df: DataFrame, x: str, n: int, keys: str, name: str) -> DataFrame:
+    """Adds the place of number x (0 to n - 1) in a permutation of these numbers that the array of ROUNDS keys draws.
+
+    A Feistel network over pairs (x div b, x mod b) with sides a and b: each round adds to one half a function of the other and of
+    a key, so it can be undone, so it permutes 0 .. a * b - 1. A number beyond n - 1 is permuted again until it falls below:
+    that permutes 0 .. n - 1, and it is rare, as a * b exceeds n by less than a. Rounds are projections of one stage.
+    """
+    a, b = sides(n)
+    out = df.withColumn("__0", F.floor(F.col(x) / b).cast("bigint")).withColumn("__1", F.pmod(F.col(x).cast("bigint"), F.lit(b)))
+    for i in range(ROUNDS):
+        first, second = _mixed(F.col(f"__{1 - i % 2}"), F.col(keys)[i])
+        changed = f"__{i % 2}"
+        out = out.withColumn("__y", first).withColumn(changed, F.pmod(F.col(changed) + second, F.lit(b if i % 2 else a)))
+    out = out.withColumn("__v", F.col("__0") * b + F.col("__1"))
+    return out.withColumn(name, F.when(F.col("__v") < n, F.col("__v")).otherwise(_again(F.col("__v"), n, F.col(keys)))).drop("__0", "__1", "__y", "__v")
+
+
 def permutation_null(items: DataFrame, values: DataFrame, replicates: int = 200, seed: int = 0) -> DataFrame:
     """Share of items whose prediction is a value of their table, against shuffled table labels.
 
@@ -191,7 +205,8 @@ def permutation_null(items: DataFrame, values: DataFrame, replicates: int = 200,
     n = placed.count()
     key = lambda i: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.lit(str(i))), 256), 1, 7), 16, 10).cast("bigint")
     drawn = items.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).select("replicate", F.array(*map(key, range(ROUNDS))).alias("keys"))
-    left = placed.select("k", "predicted").crossJoin(F.broadcast(drawn)).select("replicate", "predicted", permuted(F.col("k"), n, F.col("keys")).alias("k"))
+    each = placed.select("k", "predicted").crossJoin(F.broadcast(drawn))
+    left = permuted(each, "k", n, "keys", "k").select("replicate", "predicted", "k")
     labels = bounded(placed.select("k", "table_id"), 64, n)
     null = hit(left.join(labels, "k")).groupBy("replicate").agg(rate(F.count("hit"), F.count("*")).alias("r"))
     s = null.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("r").alias("null_mean"), F.sort_array(F.collect_list("r")).alias("s"), rate(F.count_if(F.col("r") >= F.col("observed")) + 1, F.count("*") + 1).alias("p"))
