@@ -22,6 +22,8 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: A side is broadcast only when its measured size stays below this many bytes.
 BROADCAST_BYTES = 48 << 20
+#: Bits of a row's name for its file and for its place there, and seeds that are tried to tell the files apart.
+FILE_BITS, PLACE_BITS, SEEDS = 38, 26, 16
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,11 +74,20 @@ def _names_its_rows(docs: DataFrame) -> bool:
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a long, ``name``, that tells its rows apart and is the same in every pass over them.
 
-    Rows of a Parquet table are named by 64 bits of their file and place in it; any other docs is written once, with numbers.
+    Rows of a Parquet table are named by their file and place in it: FILE_BITS of the file's digest, under a seed for which no two
+    files of the table agree (that is looked up, not assumed), and PLACE_BITS of the row's number. The 64 bits are mixed by a
+    permutation, so equal names mean equal rows. Any other docs, or one for which no seed does, is written once, with numbers.
     """
     if _names_its_rows(docs):
         with contextlib.suppress(AnalysisException):  # file formats without places
-            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+            place = F.col("_metadata.row_index")
+            files = materialize(docs.select(F.col("_metadata.file_path").alias("file"), place.alias("place")).groupBy("file").agg(F.max("place").alias("last")), "files")
+            digest = lambda file, seed: F.shiftleft(F.xxhash64(file, F.lit(seed)).bitwiseAND(F.lit((1 << FILE_BITS) - 1)), PLACE_BITS)
+            for seed in range(SEEDS):
+                n, named, last = files.agg(F.count("*"), F.count_distinct(digest("file", seed)), F.max("last")).first()
+                if n == named and (last or 0) < 1 << PLACE_BITS:
+                    # xxhash64 of one long is a permutation of the longs
+                    return docs.select("*", F.xxhash64(digest(F.col("_metadata.file_path"), seed).bitwiseOR(place)).alias(name))
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 

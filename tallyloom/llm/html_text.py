@@ -2,13 +2,20 @@
 
 For each host, up to SAMPLES pages (chosen by a digest, so bounded whatever the host's size) are parsed into DOM trees and
 aligned pairwise by simple tree matching. Text nodes that are aligned and equal are constant. Besides, the (path, text)
-digests of all pages of a host are counted, once a page: those on COMMON_SHARE of the pages are constant as well, unless the
-pages that hold one agree in most of their content, as copies do. Constant texts form the host's wrapper, a small set of
-digests; texts of page furniture, scripts and styles count nowhere. All pages are then parsed once more, in place:
-text under elements that mark page furniture, and constant text, is template; the varying slots are content. A page with an
-article (or main) element has its content there, unless the wrapper leaves more text outside. Inside articles only what
-INSIDE_SHARE of the host's pages have in common is template, so copies of an article, and what articles quote, stay; of an
-article's own header the headings stay, and class names count only where they name what was added to the article.
+digests of all pages of a host are counted, once a page, whatever elements they stand in: those on COMMON_SHARE of the pages are
+constant as well, unless the pages that hold one agree in most of their content, as copies do. Inside articles only what
+INSIDE_SHARE of the host's pages have in common is constant, so copies of an article, and what articles quote, stay.
+
+The alignment also tells which containers are part of the template: those that stand once on each sampled page, in one place. Over
+all pages of the host the varying text below each of them, links apart, is summed up; from the root, the wrapper enters a
+container as long as it holds REGION_SHARE of that text (where no container does, text under elements that mark page
+furniture is left out of account). The container where that ends is the host's region, whatever its tag and its names: its
+varying slots, and the headings right before it, are content; all else is template.
+
+Marks of furniture (elements, roles, whole class names) decide alone only for what no wrapper can tell: hosts with a single page,
+pages without the region, hosts without one; there a page with an article (or main) element has its content in it, unless the
+wrapper leaves more text outside. Within the content they tell what was added to it: menus, forms, adverts, reader comments; of
+an article's own header headings and sentences stay.
 
 A text's blocks are the runs of text between block elements; white space in a block becomes one blank, a line break element
 counts as white space, and blocks are joined by line feeds. Defined cases: null or empty html gives an empty text; a null
@@ -23,6 +30,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +50,24 @@ INSIDE_SHARE, INSIDE_PAGES = 0.3, 3
 WIDE, WIDE_COPY_SHARE = 8, 0.95
 #: What paths inside an article start with.
 ARTICLE = "@"
+#: A container is entered while it holds this share of the varying text around it.
+REGION_SHARE = 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul video audio".split())
-FURNITURE = frozenset("nav header footer aside form script style noscript template head title iframe button select input textarea menu dialog svg object embed canvas label".split())
-NAMED = re.compile(r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|widget\w*|footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip-?link|copyright|legal)(?![a-z])")
-#: Inside articles: class names, or beginnings of hyphened ones, of what readers, advertisers and sites add; names that are only whole ones.
-ADDED = re.compile(r"(?<![\w-])(?:(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|newsletter|comments?|disqus|share|sharing|sidebar|nav|menu|related-\w+|social-(?:share|links?|media))(?![a-z])|(?:notice|alert|popup|modal|banner|related|recommended|pagination|pager|breadcrumbs?|subscribe|signup|login)(?![\w-]))")
+CODE = frozenset("script style noscript template head title iframe svg object embed canvas".split())
+FURNITURE = CODE | frozenset("nav header footer aside form button select input textarea menu dialog label".split())
+CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
+#: Names of furniture, as the last part of a class name or id: what sites, advertisers and readers add to any page, ...
+ADDED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond replies disqus share sharing newsletter nav navigation menu sidebar breadcrumb breadcrumbs pagination pager related recommended toolbar".split())
+#: ... what is theirs unless it stands inside an article, where the name may be the author's, ...
+NAMED = ADDED | frozenset("banner cookie cookies consent notice notices alert popup modal overlay subscribe signup login masthead header footer widget widgets social recommendations skiplink copyright legal".split())
+#: ... and inside articles only if it is the whole name.
+WHOLE = frozenset("notice alert popup modal banner subscribe signup login cookie-banner cookie-notice cookie-bar cookie-consent".split())
+#: Parts of names that say where or in what form a thing stands, after its name, and whose it is, before it.
+FORMS = frozenset("left right top bottom bar box list area section block wrapper wrap container inner outer item items link links button buttons posts articles stories news".split())
+OWNERS = frozenset("site page main post article entry blog wp social global top bottom side user reader google cookie big".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -120,7 +138,7 @@ def parse(page: str) -> Node:
             mark = " ".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in _ATTR.findall(attributes)).lower()
         node = Node(tag, mark)
         held.stack[-1].kids.append(node)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
+        if tag in VOID:  # no other element closes itself, whatever its tag ends in
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -131,30 +149,54 @@ def parse(page: str) -> Node:
     return root
 
 
+@lru_cache(1 << 14)
+def _marked(mark: str, inside: bool) -> bool:
+    if "hidden=" in mark and ("aria-hidden=true" in mark or re.search(r"(^| )hidden=", mark)):
+        return True
+    for part in mark.split(" "):
+        if part.startswith("role="):
+            if part[5:] in ROLES:
+                return True
+            continue
+        name = part.removeprefix("class=").removeprefix("id=")
+        if inside and name in WHOLE:
+            return True
+        parts = [x for x in re.split(r"[-_\d]+", name) if x]
+        while len(parts) > 1 and parts[-1] in FORMS:
+            parts.pop()
+        if parts and parts[-1] in (ADDED if inside else NAMED) and all(x in OWNERS for x in parts[:-1]):
+            return True
+    return False
+
+
 def furniture(node: Node, inside: bool) -> bool:
     """Whether an element marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
 
-    Inside articles only tags, roles and the marks of what readers and advertisers add count; there, other names are the author's.
+    Inside articles only elements, roles and the names of what readers and advertisers add count; there, other names are the author's.
     """
     if node.tag in FURNITURE:
         return True
-    if not node.mark or node.tag in ("html", "body", "article", "main"):
-        return False
-    if "hidden=" in node.mark and ("aria-hidden=true" in node.mark or re.search(r"(^| )hidden=", node.mark)):
-        return True
-    for part in node.mark.split(" "):
-        if part.startswith("role=") and part[5:] in ROLES:
-            return True
-    names = re.sub(r"\b(class|id|role)=", " ", node.mark)
-    return bool((ADDED if inside else NAMED).search(names))
+    return bool(node.mark) and node.tag not in ("html", "body", "article", "main") and _marked(node.mark, inside)
+
+
+def _sentence(node: Node) -> bool:
+    """Whether the text of a paragraph ends as sentences do: a lead, not a byline or a date."""
+    words, stack = [], [node]
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            words.append(k)
+        elif not furniture(k, True):
+            stack += reversed(k.kids)
+    return "".join(words).rstrip().endswith((".", "!", "?", "…", "。", '."', ".”", "?”", "!”"))
 
 
 def headings(node: Node) -> list[Node]:
-    """The outermost headings below a node, outside furniture: what an article's own header adds to its text."""
+    """The outermost headings and sentences below a node, outside furniture: what an article's own header adds to its text."""
     out, stack = [], list(reversed(node.kids))
     while stack:
         k = stack.pop()
-        if isinstance(k, Node) and k.tag in HEADINGS:
+        if isinstance(k, Node) and (k.tag in HEADINGS or k.tag == "p" and not furniture(k, True) and _sentence(k)):
             out.append(k)
         elif isinstance(k, Node) and not furniture(k, True):
             stack += reversed(k.kids)
@@ -323,13 +365,22 @@ def _digest(path: Path, text: str) -> str:
 def _enter(path: Path, node: Node) -> Path:
     """The path inside a node."""
     opens = not path[0] and node.tag in ("article", "main")
-    return path[0] or opens, hashlib.blake2b(path[1] + f"/{node.tag} {node.mark}".encode("utf-8", "replace"), digest_size=8).digest()
+    return path[0] or opens, hashlib.blake2b(path[1] + f"/{node.tag} {_stable(node.mark)}".encode("utf-8", "replace"), digest_size=8).digest()
 
 
-def flow(root: Node) -> Iterator[tuple[Path, str] | None]:
-    """(path, text) of a page's texts outside furniture in their order; None ends a block."""
+@lru_cache(1 << 14)
+def _stable(mark: str) -> str:
+    """The names of a mark without those that hold digits, as names of single pages do."""
+    return " ".join(x for x in mark.split(" ") if not re.search(r"\d", x))
+
+
+def flow(root: Node, every: bool = False) -> Iterator[tuple[Path, str] | None]:
+    """(path, text) of a page's texts outside furniture, or of ``every`` text but code, in their order; None ends a block."""
     # (node, path) to enter, or None to end a block; an explicit stack bears any depth
-    stack: list[tuple[object, Path]] = [(root, TOP)]
+    return _flow([(root, TOP)], root, every)
+
+
+def _flow(stack: list[tuple[object, Path]], root: Node | None, every: bool = False, within: bool = False) -> Iterator[tuple[Path, str] | None]:
     while stack:
         k, path = stack.pop()
         if k is None:
@@ -338,9 +389,9 @@ def flow(root: Node) -> Iterator[tuple[Path, str] | None]:
             yield path, k
         elif k.tag == "br":
             yield path, " "
-        elif path[0] and k.tag == "header":
+        elif not every and (path[0] or within) and k.tag == "header":
             stack += [(x, _enter(path, k)) for x in reversed(headings(k))]
-        elif not furniture(k, path[0]):
+        elif k.tag not in CODE if every else not furniture(k, path[0] or within):
             here = path if k is root else _enter(path, k)
             if k.tag in BLOCK:
                 yield None
@@ -348,6 +399,29 @@ def flow(root: Node) -> Iterator[tuple[Path, str] | None]:
             stack += [(x, here) for x in reversed(k.kids)]
 
 
+def nodes(root: Node) -> Iterator[tuple[Node, Path, list[object]]]:
+    """(element, path, its siblings) of all elements but code, in their order."""
+    stack: list[tuple[Node, Path, list[object]]] = [(root, TOP, [])]
+    while stack:
+        node, path, beside = stack.pop()
+        yield node, path, beside
+        stack += [(k, _enter(path, k), node.kids) for k in reversed(node.kids) if isinstance(k, Node) and k.tag not in CODE]
+
+
+def region_flow(root: Node, region: str) -> Iterator[tuple[Path, str] | None]:
+    """flow() of a page's region and the headings right before it in the same container."""
+    for node, path, beside in nodes(root):
+        if node.tag in CONTAINERS and path[1].hex() == region:
+            before: list[Node] = []
+            for k in beside:
+                if k is node:
+                    break
+                before = [*before, k] if isinstance(k, Node) and k.tag in HEADINGS else before if isinstance(k, str) and not k.strip() else []
+            for k in [*before, node]:
+                yield from _flow([(x, path) for x in reversed(k.kids)], None, within=True)
+                yield None
+
+
 def constants(matcher: Matcher, a: Node, b: Node) -> tuple[set[str], int, int]:
     """Digests of the texts outside articles that two aligned pages share in place, and the characters of content shared and in all of a."""
     found: set[str] = set()
@@ -361,36 +435,109 @@ def constants(matcher: Matcher, a: Node, b: Node) -> tuple[set[str], int, int]:
                     if not path[0]:  # two pages are too few to judge those
                         found.add(_digest(path, _squeeze(p)))
                     shared[path[0]] += len(_squeeze(p))
-            elif isinstance(p, Node) and isinstance(q, Node) and not furniture(p, path[0]):
+            elif isinstance(p, Node) and isinstance(q, Node) and p.tag not in CODE:
                 stack.append((p, q, _enter(path, p)))
     total = {False: 0, True: 0}
-    for path, text in filter(None, flow(a)):
+    for path, text in filter(None, flow(a, True)):
         total[path[0]] += len(_squeeze(text))
     inside = total[True] > 0
     return found, shared[inside], total[inside]
 
 
 def induce(pages: list[str]) -> list[str]:
-    """The wrapper of a host from sampled pages: what any two of them, unless copies, have constant."""
+    """The constant texts of a host from sampled pages: what any two of them, unless copies, have in common in place."""
+    return learn_template(pages)[0]
+
+
+def learn_template(pages: list[str]) -> tuple[list[str], list[str]]:
+    """(constant texts, containers of the template) of a host from sampled pages; containers by their paths, none from a single page."""
     matcher, trees = Matcher(), [parse(p) for p in pages]
     for t in trees:
         matcher.shape(t)
     out: set[str] = set()
+    places: set[str] = set()
     for i, a in enumerate(trees):
         for b in trees[:i]:
             found, shared, total = constants(matcher, a, b)
             if total and shared <= COPY_SHARE * total:
                 out |= found
-    return sorted(out)
+            places |= aligned_containers(matcher, a, b)
+    for t in trees:
+        times = Counter(path[1].hex() for node, path, _ in nodes(t) if node.tag in CONTAINERS)
+        places -= {p for p, n in times.items() if n > 1}
+    return sorted(out), sorted(places)
+
+
+def aligned_containers(matcher: Matcher, a: Node, b: Node) -> set[str]:
+    """Paths of the containers of two pages that are aligned and stand at one path on both."""
+    out: set[str] = set()
+    stack = [(a, b, TOP, TOP)]
+    while stack:
+        x, y, p, q = stack.pop()
+        for u, v in matcher.align(x, y):
+            if isinstance(u, Node) and isinstance(v, Node) and u.tag in CONTAINERS:
+                here, there = _enter(p, u), _enter(q, v)
+                if here == there:
+                    out.add(here[1].hex())
+                    stack.append((u, v, here, there))
+    return out
+
+
+def masses(page: str, wrapper: set[str] | frozenset[str], places: set[str] | frozenset[str]) -> dict[str, list]:
+    """By container of the template: [container around it, tag, characters of varying text below it but in links, the same outside marked furniture]."""
+    out: dict[str, list] = {"": [None, "", 0, 0]}
+    stack: list[tuple[object, Path, tuple[str, ...], bool]] = [(parse(page), TOP, ("",), False)]
+    while stack:
+        k, path, around, marked = stack.pop()
+        if isinstance(k, str):
+            text = _squeeze(k)
+            if text and _digest(path, text) not in wrapper:
+                for p in around:
+                    out[p][2] += len(text)
+                    out[p][3] += 0 if marked else len(text)
+        elif k.tag not in CODE and k.tag != "a":
+            here = path if not k.tag else _enter(path, k)
+            name = here[1].hex()
+            if k.tag in CONTAINERS and name in places and name not in out:
+                out[name] = [around[-1], k.tag, 0, 0]
+                around = (*around, name)
+            marked = marked or bool(k.tag) and furniture(k, here[0])
+            stack += [(x, here, around, marked) for x in k.kids]
+    return out
 
 
-def main_text(page: str, wrapper: frozenset[str] | set[str]) -> str:
-    """The content blocks of a page, given its host's wrapper."""
-    parts = [x if x is None or not wrapper or not x[1].strip() or _digest(x[0], _squeeze(x[1])) not in wrapper else (x[0], "") for x in flow(parse(page))]
+def choose_region(rows: list[tuple[str, str | None, str, int, int]]) -> str | None:
+    """The region of a host from the sums of (container, container around it, tag, varying text, the same outside furniture); null for none."""
+    about = {r[0]: r for r in rows}
+    now, inner = "", True
+    while inner and about[now][2] not in ("article", "main"):
+        inner = False
+        kids = sorted(r for r in rows if r[1] == now)
+        for column in (3, 4):
+            best = max(kids, key=lambda r: r[column], default=None)
+            if best and best[column] > 0 and best[column] >= REGION_SHARE * about[now][column]:
+                now, inner = best[0], True
+                break
+    return None if about[now][2] in ("", "html", "body") else now
+
+
+def main_text(page: str, wrapper: frozenset[str] | set[str], region: str | None = None) -> str:
+    """The content blocks of a page, given its host's constant texts and region."""
+    root = parse(page)
+    kept = lambda found: [x if x is None or not wrapper or not x[1].strip() or _digest(x[0], _squeeze(x[1])) not in wrapper else (x[0], "") for x in found]
+    parts = kept(region_flow(root, region)) if region else []
+    if any(x and x[1].strip() for x in parts):
+        return _joined(parts)
+    parts = kept(flow(root))
     size = {True: 0, False: 0}
     for path, text in filter(None, parts):
         size[path[0]] += len(_squeeze(text))
     inside = any(x and x[0][0] for x in parts) and not (wrapper and size[False] > size[True])
+    return _joined([x for x in parts if x is None or not inside or x[0][0]])
+
+
+def _joined(parts: list[tuple[Path, str] | None]) -> str:
+    """Blocks of the texts between the Nones, one a line."""
     blocks: list[str] = []
     run: list[str] = []
     for x in [*parts, None]:
@@ -398,7 +545,7 @@ def main_text(page: str, wrapper: frozenset[str] | set[str]) -> str:
             if run and (text := _squeeze("".join(run))):
                 blocks.append(text)
             run.clear()
-        elif not inside or x[0][0]:
+        else:
             run.append(x[1])
     return "\n".join(blocks)
 
@@ -411,8 +558,8 @@ def host_of(url: str = "url"):
 
 
 def page_texts(page: str) -> dict[str, tuple[int, bool]]:
-    """Length by digest of a page's texts outside furniture, and whether they are inside an article."""
-    return {_digest(path, text): (len(text), path[0]) for path, raw in filter(None, flow(parse(page))) if (text := _squeeze(raw))}
+    """Length by digest of a page's texts but code, and whether they are inside an article."""
+    return {_digest(path, text): (len(text), path[0]) for path, raw in filter(None, flow(parse(page), True)) if (text := _squeeze(raw))}
 
 
 def common(pages: DataFrame) -> DataFrame:
@@ -463,7 +610,7 @@ def common(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for hosts with constant texts: tree matching of sampled pages and counts over all. pages(page_id, host, html)."""
+    """(host, wrapper, places): constant texts and containers of the template, from tree matching of sampled pages and counts over all. pages(page_id, host, html)."""
     # by the pages' own digests, so that repeated ids and copies count once
     held = pages.where("html is not null").select("host", "html", F.md5("html").alias("digest"))
     chosen = held.groupBy("host", F.pmod(F.xxhash64("digest"), F.lit(SAMPLES)).alias("k")).agg(F.min("digest").alias("digest")).select("host", "digest")
@@ -473,10 +620,44 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def learn(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame({"host": [key[0]], "wrapper": [induce(sorted(set(pdf["html"])))]})
+        texts, places = learn_template(sorted(set(pdf["html"])))
+        return pd.DataFrame({"host": [key[0]], "wrapper": [texts], "places": [places]})
+
+    matched = materialize(sampled.groupBy("host").applyInPandas(learn, "host string, wrapper array<string>, places array<string>"), "templates")
+    texts = matched.select("host", F.explode("wrapper").alias("digest")).unionByName(common(pages)).groupBy("host").agg(F.collect_set("digest").alias("wrapper"))
+    return texts.join(matched.select("host", "places"), "host", "full")
+
+
+def regions(pages: DataFrame, learned: DataFrame, row_bytes: int, rows: int) -> DataFrame:
+    """(host, region): the container that holds the varying text of a host, all of its pages summed up."""
+    schema = "host string, place string, around string, tag string, varying long, unmarked long"
+    kind = arrow_schema(schema, pages.sparkSession)
+
+    def weigh(batches):
+        for batch in batches:
+            sums: dict[tuple, list[int]] = {}
+            for host, page, wrapper, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for place, (around, tag, varying, unmarked) in masses(page, frozenset(wrapper or ()), frozenset(places)).items():
+                    at = sums.setdefault((host, place, around, tag), [0, 0])
+                    at[0] += varying
+                    at[1] += unmarked
+            columns = [*zip(*sums), *zip(*sums.values())] if sums else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+    known = small_join(pages.where("html is not null").select("host", "html"), learned.where(F.size("places") > 0), ["host"], "inner", row_bytes, rows)
+    sums = known.select("host", "html", "wrapper", "places").mapInArrow(tidy(weigh), schema).groupBy("host", "place", "around", "tag").agg(F.sum("varying").alias("varying"), F.sum("unmarked").alias("unmarked"))
+
+    def choose(key, pdf):
+        import pandas as pd
+
+        rows: dict[str, list] = {}
+        for place, around, tag, varying, unmarked in sorted(zip(pdf["place"], pdf["around"], pdf["tag"], pdf["varying"], pdf["unmarked"], strict=True), key=lambda r: (r[0], r[1] or "")):
+            at = rows.setdefault(place, [place, around, tag, 0, 0])  # one path has one way down to it
+            at[3] += int(varying)
+            at[4] += int(unmarked)
+        return pd.DataFrame({"host": [key[0]], "region": [choose_region([tuple(r) for r in rows.values()])]})
 
-    matched = sampled.groupBy("host").applyInPandas(learn, "host string, wrapper array<string>").select("host", F.explode("wrapper").alias("digest"))
-    return matched.unionByName(common(pages)).groupBy("host").agg(F.collect_set("digest").alias("wrapper"))
+    return sums.groupBy("host").applyInPandas(choose, "host string, region string").where("region is not null")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -484,15 +665,18 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = arrow_schema(EXTRACTED, pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
     learned = materialize(wrappers(pages), "wrappers")
-    stats = learned.agg(F.count("*"), F.sum(F.size("wrapper") * 24 + 64)).first()
-    joined = small_join(pages, learned, ["host"], "left", max(1, (stats[1] or 0) // max(1, stats[0])), stats[0])
+    size = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)) * 24
+    n, total = learned.agg(F.count("*"), F.sum(size("wrapper") + size("places") + 96)).first()
+    row_bytes = max(1, (total or 0) // max(1, n))
+    found = learned.join(regions(pages, learned, row_bytes, n), "host", "left").select("host", "wrapper", "region")
+    joined = small_join(pages, materialize(found, "regions"), ["host"], "left", row_bytes, n)
 
     def run(batches):
         for batch in batches:
-            text = [main_text(h, frozenset(w or ())) if h else "" for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            text = [main_text(h, frozenset(w or ()), r) if h else "" for h, w, r in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], schema=schema)
 
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(tidy(run), EXTRACTED)
+    return joined.select("page_id", "url", "html", "wrapper", "region").mapInArrow(tidy(run), EXTRACTED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, read, texts, tidy, words
+from .common import arrow_schema, chunks, materialize, read, texts, tidy, words
 
 FIT_DOCS, FIT_BYTES, FIT_LINES = 4000, 1 << 16, 2000
+#: Lines of all these texts together: some 400 MB of the driver.
+ALL_LINES = 250_000
 HELD_OUT_REMAINDER, FOLDS = 2, 4
 THRESHOLD = 0.7
 STEPS, RATE, PENALTY = 250, 0.1, 1e-3
@@ -156,6 +158,17 @@ def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
     short = (F.octet_length("text") <= FIT_BYTES) & (F.regexp_count("text", F.lit("\n")) < FIT_LINES)
     sample = docs.select("doc_id", "text").where(short).join(F.broadcast(chosen), "doc_id")
     sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5("text")).alias("text")).select("doc_id", "text", "quality")
+    sample = materialize(sample, "labelled-texts")
+    # In the order of the digests, texts are taken until their lines are ALL_LINES: what the driver fits is bounded, whatever the texts.
+    sizes = sample.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"), (F.regexp_count("text", F.lit("\n")) + 1).alias("n")).collect()
+    total, last = 0, None
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["n"]
+        if total > ALL_LINES:
+            last = r["h"]
+            break
+    if last is not None:
+        sample = sample.where(F.md5(F.col("doc_id").cast("string")) < last)
     kind = "quality int, lines int, x binary"
     schema = arrow_schema(kind, docs.sparkSession)
 

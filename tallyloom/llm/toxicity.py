@@ -4,7 +4,8 @@ Categories are predicted one after the other by linear (logistic) models over ha
 beginnings of its words (STEMS bytes), each once, so that forms of a word unseen in the fit still count. Each model also
 takes the probabilities of the categories before it. While fitting, those are out-of-fold predictions, so that a later model
 meets earlier probabilities as uncertain as they will be on new texts. A model takes the features that differ significantly
-between the labels and fits all of them together under an L2 penalty.
+between the labels and fits all of them together under an L2 penalty. The last category's threshold is the one of the greatest F1
+over its own out-of-fold predictions.
 
 The supplied labels know one kind of toxicity; the chain's first category, low quality, is no toxicity itself but tells the
 second model about junk, whose words prove less. The fit takes a bounded sample: of at most FIT_DOCS labelled doc_ids, one
@@ -36,7 +37,8 @@ STEMS = (4, 5, 6, 7, 8)
 #: Standard errors between the labels that make a feature significant, texts it must be in, and features of a model at most.
 SIGNIFICANT, LEAST, MAX_FEATURES = 4.0, 3, 4096
 PENALTY = 1.0
-THRESHOLD = 0.3
+#: Where labels of one kind only tell nothing about a threshold.
+THRESHOLD = 0.5
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -151,8 +153,8 @@ def fit_linear(h: np.ndarray, doc: np.ndarray, earlier: np.ndarray, y: np.ndarra
 
 
 class Chain:
-    def __init__(self, names: tuple[str, ...], models: list[Linear]):
-        self.names, self.models = names, models
+    def __init__(self, names: tuple[str, ...], models: list[Linear], threshold: float = THRESHOLD):
+        self.names, self.models, self.threshold = names, models, threshold
 
     def predict(self, h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Probabilities (texts x categories)."""
@@ -162,13 +164,23 @@ class Chain:
         return out
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of the greatest F1 of probabilities against labels, half way down to the next probability; THRESHOLD if all labels agree."""
+    if not 0 < y.sum() < len(y):
+        return THRESHOLD
+    order = np.argsort(-p, kind="stable")
+    cut, right = p[order], np.cumsum(y[order])
+    ends = np.flatnonzero(np.append(cut[1:] < cut[:-1], True))
+    f1 = 2 * right[ends] / (ends + 1 + y.sum())
+    at = ends[np.argmax(f1)]
+    return float((cut[at] + (cut[at + 1] if at + 1 < len(cut) else 0.0)) / 2)
+
+
 def learn(h: np.ndarray, doc: np.ndarray, y: np.ndarray, fold: np.ndarray, names: tuple[str, ...]) -> Chain:
-    """The chain for labels y (texts x categories); earlier categories reach later models out of fold."""
+    """The chain for labels y (texts x categories); earlier categories reach later models out of fold, and so does the last one its threshold."""
     models, earlier = [], np.zeros((len(y), 0))
     for k in range(len(names)):
         models.append(fit_linear(h, doc, earlier, y[:, k]))
-        if k + 1 == len(names):
-            break
         apart = np.full(len(y), y[:, k].mean())
         for f in range(FOLDS):
             rest = np.flatnonzero(fold != f)
@@ -180,7 +192,7 @@ def learn(h: np.ndarray, doc: np.ndarray, y: np.ndarray, fold: np.ndarray, names
             model = fit_linear(h[at], place[doc[at]], earlier[rest], y[rest, k])
             apart[fold == f] = model.predict(h, doc, len(y), earlier)[fold == f]
         earlier = np.hstack([earlier, apart[:, None]])
-    return Chain(names, models)
+    return Chain(names, models, best_threshold(earlier[:, -1], y[:, -1]))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] = CHAIN) -> Chain:
@@ -276,8 +288,9 @@ def candidates(described: DataFrame, ids: list[int], y: np.ndarray, fold: np.nda
     return np.sort(np.array([r["h"] for r in best], np.int64).view(np.uint64))
 
 
-def predict(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, a probability p_<category> for each category, and the last category as a boolean."""
+def predict(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
+    """doc_id, a probability p_<category> for each category, and the last category as a boolean (by default from the chain's own threshold on)."""
+    threshold = chain.threshold if threshold is None else threshold
     kind = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names) + f", {chain.names[-1]} boolean"
     schema = arrow_schema(kind, docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(chain)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from corpus import documents, frame, prose
+from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, quality_crf, quality_rules, toxicity
 
@@ -188,6 +189,59 @@ def test_linear_models_equal_brute_force():
     assert abs((p - y).sum()) < 0.05
 
 
+def test_the_threshold_has_the_best_f1(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(2, 40))
+        p, y = rng.integers(0, 9, n) / 8, rng.integers(0, 2, n).astype(float)
+        t = toxicity.best_threshold(p, y)
+        if 0 < y.sum() < n:
+            f1 = lambda t: 2 * y[p >= t].sum() / ((p >= t).sum() + y.sum())
+            assert f1(t) == pytest.approx(max(f1(x) for x in p))
+        else:
+            assert t == toxicity.THRESHOLD
+
+
+def test_the_chain_by_hand():
+    """Two categories: the second model and the threshold see the first through models that were fitted without a text's fold."""
+    rng = np.random.default_rng(6)
+    n = 240
+    words = [{int(k) for k in rng.integers(0, 30, 7)} for _ in range(n)]
+    y = np.array([[float((3 in w) != (rng.random() < 0.1)), float((5 in w) != (rng.random() < 0.1))] for w in words])
+    fold = rng.integers(0, toxicity.FOLDS, n)
+    pairs = lambda at: (np.array([k for i in at for k in sorted(words[i])], np.uint64), np.array([j for j, i in enumerate(at) for _ in words[i]]))
+    every = list(range(n))
+
+    def out_of_fold(k, earlier):
+        out = np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            rest = [i for i in every if fold[i] != f]
+            model = toxicity.fit_linear(*pairs(rest), earlier[rest], y[rest, k])
+            for i in np.flatnonzero(fold == f):
+                out[i] = model.predict(*pairs([i]), 1, earlier[[i]])[0]
+        return out
+
+    first = out_of_fold(0, np.zeros((n, 0)))
+    second = toxicity.fit_linear(*pairs(every), first[:, None], y[:, 1])
+    last = out_of_fold(1, first[:, None])
+    chain = toxicity.learn(*pairs(every), y, fold, ("a", "b"))
+    assert np.allclose(chain.models[1].weights, second.weights) and chain.threshold == pytest.approx(toxicity.best_threshold(last, y[:, 1]))
+    p = chain.predict(*pairs(every), n)
+    assert np.allclose(p[:, 1], second.predict(*pairs(every), n, chain.models[0].predict(*pairs(every), n, np.zeros((n, 0)))[:, None]))
+
+
+@pytest.mark.parametrize("most,texts", [(250_000, 40), (100, 10), (9, 0)])
+def test_the_lines_of_the_fit_are_bounded_in_all(spark, monkeypatch, most, texts):
+    monkeypatch.setattr(quality_crf, "ALL_LINES", most)
+    seen = []
+    monkeypatch.setattr(quality_crf.Field, "fit", lambda self, x, first, y: seen.append((len(x), len(y))) or self)
+    docs = [(i, "\n".join(f"line {i} {k}" + "x" * i for k in range(10)), "s") for i in range(40)]
+    labels = [(i, i % 2, 0) for i in range(40)]
+    monkeypatch.setattr(quality_crf, "held_out", lambda doc_id="doc_id": F.lit(False))
+    quality_crf.fit_field(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert seen == ([(10 * texts, texts)] if texts else [])
+
+
 def test_features_are_words_and_their_beginnings():
     def found(text):
         data = np.frombuffer(text.encode(), np.uint8)
