@@ -5,7 +5,7 @@ beginnings of its words (STEMS bytes), each once, so that forms of a word unseen
 takes the probabilities of the categories before it. While fitting, those are out-of-fold predictions, so that a later model
 meets earlier probabilities as uncertain as they will be on new texts. A model takes the features that differ significantly
 between the labels and fits all of them together under an L2 penalty. The last category's threshold is the one of the greatest F1
-over its own out-of-fold predictions.
+over its own out-of-fold predictions, and no less than the label's share.
 
 The supplied labels know one kind of toxicity; the chain's first category, low quality, is no toxicity itself but tells the
 second model about junk, whose words prove less. The fit takes a bounded sample: of at most FIT_DOCS labelled doc_ids, one
@@ -165,7 +165,7 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the greatest F1 of probabilities against labels, half way down to the next probability; THRESHOLD if all labels agree."""
+    """The threshold of the greatest F1 of probabilities against labels, half way down to the next probability, but no less than the share of the label; THRESHOLD if all labels agree."""
     if not 0 < y.sum() < len(y):
         return THRESHOLD
     order = np.argsort(-p, kind="stable")
@@ -173,7 +173,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     ends = np.flatnonzero(np.append(cut[1:] < cut[:-1], True))
     f1 = 2 * right[ends] / (ends + 1 + y.sum())
     at = ends[np.argmax(f1)]
-    return float((cut[at] + (cut[at + 1] if at + 1 < len(cut) else 0.0)) / 2)
+    return max(float((cut[at] + (cut[at + 1] if at + 1 < len(cut) else 0.0)) / 2), min(float(y.mean()), float(cut[at])))
 
 
 def learn(h: np.ndarray, doc: np.ndarray, y: np.ndarray, fold: np.ndarray, names: tuple[str, ...]) -> Chain:
