@@ -90,7 +90,7 @@ def _subsets(s, d):
     frozen.freeze_subsets(_pairs(s, d), path, 5, 20, protocol_version="v1")
     summary = frozen.committed(s, path, "summary", "subset string, pair_type string, total long, documents long, most long").select("subset", F.concat(F.lit("total:"), F.coalesce("pair_type", F.lit("all"))).alias("what"), F.col("total").alias("n"))
     rules = frozen.committed(s, path, "validation", "subset string, rule string, violations long").select("subset", F.concat(F.lit("rule:"), "rule").alias("what"), F.col("violations").alias("n"))
-    rows = frozen.committed(s, path, "pairs", "subset string, pair_id string").groupBy("subset").agg(F.lit("rows").alias("what"), F.count("*").alias("n"))
+    rows = frozen.committed(s, path, "pairs", "subset string, pair_id string").select("subset", F.concat(F.lit("pair:"), "pair_id").alias("what"), F.lit(1).cast("bigint").alias("n"))
     audit = frozen.committed(s, path, "sample", "subset string, pair_id string").select("subset", F.concat(F.lit("sample:"), "pair_id").alias("what"), F.lit(1).cast("bigint").alias("n"))
     return summary.unionByName(rules).unionByName(rows).unionByName(audit)
 
@@ -100,7 +100,7 @@ add(
     "snk05_frozen_subsets",
     _subsets,
     f"""WITH {OUTCOMES_SQL}, p AS (SELECT *, CASE n % 3 WHEN 0 THEN 'period_derived' WHEN 1 THEN 'metric_candidate' ELSE 'human_authored' END AS subset, CASE WHEN n % 13 = 0 THEN 'other' WHEN n % 2 = 0 THEN 'period' ELSE 'metric' END AS pair_type FROM outcomes)
-SELECT subset, 'total:' || pair_type AS what, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT subset, 'total:all', count(*) FROM p GROUP BY ALL UNION ALL SELECT subset, 'rows', count(*) FROM p GROUP BY ALL
+SELECT subset, 'total:' || pair_type AS what, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT subset, 'total:all', count(*) FROM p GROUP BY ALL UNION ALL SELECT subset, 'pair:p' || pair_id, 1 FROM p
 UNION ALL SELECT subset, 'sample:p' || pair_id, 1 FROM p QUALIFY row_number() OVER (PARTITION BY subset ORDER BY sha256('5:p' || pair_id), 'p' || pair_id) <= 20
 {' '.join(f"UNION ALL SELECT subset, 'rule:{k}', count(*) FILTER (WHERE {c}) FROM p GROUP BY ALL" for k, c in _RULES.items())}""",
 )
@@ -283,10 +283,10 @@ _LAST = "SELECT l_returnflag AS label, l_orderkey::VARCHAR AS group_id, CASE WHE
 add("src19_predictions", _labels, _LAST)
 add("src20_scored", lambda s, d: readers.scored(_labels(s, d)).groupBy("label", "document_id").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups")), f"SELECT label, document_id, count(*) AS n, count(DISTINCT group_id) AS groups FROM ({_LAST}) WHERE document_id IS NOT NULL GROUP BY ALL")
 
-#: Half of all documents are one group; groups of more rows than this are scanned in ranges.
+#: Half of all documents are one group, the others groups of twenty; groups of more rows than this are scanned in ranges.
 HOT = 200
-_hot = lambda s, d: table(s, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "all").otherwise(F.col("source")).alias("page"), "doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("n_chars").cast("double")).alias("x"))
-_HOT = "h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'all' ELSE source END AS page, doc_id, CASE WHEN doc_id % 11 <> 0 THEN n_chars::DOUBLE END AS x FROM documents)"
+_hot = lambda s, d: table(s, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "all").otherwise(F.concat(F.lit("g"), F.floor(F.col("doc_id") / 40).cast("string"))).alias("page"), "doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("n_chars").cast("double")).alias("x"))
+_HOT = "h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'all' ELSE 'g' || doc_id // 40 END AS page, doc_id, CASE WHEN doc_id % 11 <> 0 THEN n_chars::DOUBLE END AS x FROM documents)"
 add(
     "win05_hot_islands",
     lambda s, d: q.column_clusters(_hot(s, d), ["page"], "x", "doc_id", 15.0, HOT).select("page", "doc_id", F.col("cluster").cast("bigint").alias("cluster")),
