@@ -19,7 +19,7 @@ LOOSE_DATE = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.
 QUARTER = r"(?i)\b(?:Q[1-4]|first|second|third|fourth)\s+quarter\b"
 TOKEN = r"[A-Za-z][A-Za-z&'-]*|\d{4}"
 UNIT_WORD = r"(?i)[$£€%]|\b(?:usd|eur|gbp|mn|bn|000|million|millions|thousand|thousands|billion|billions)\b"
-UNIT_SUBSTRINGS = ("$", "£", "€", "%", "usd", "eur", "gbp", "million", "thousand", "000", "mn", "bn", "m")
+UNIT_SUBSTRINGS = ("$", "£", "€", "%", "usd", "eur", "gbp", "million", "millions", "mn", "m", "000", "thousand", "thousands")
 VARIANT_ALIASES = {
     "clean": "clean",
     "target_value": "target_value",
@@ -137,6 +137,11 @@ def first_year(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, YEAR, 0), F.lit("")).cast("int")
 
 
+def period_key(c: Column) -> Column:
+    """What periods are sorted by: the first year in the label, 0 without one, then the label."""
+    return F.struct(F.coalesce(first_year(c), F.lit(0)).alias("year"), c.alias("label"))
+
+
 def unit_class(value: Column, metric: Column, tag: Column) -> Column:
     return F.when(F.coalesce(metric, F.lit("")).rlike(r"(?i)\bper[\s-]+(?:share|unit)\b"), "per_share").when(F.trim(value).rlike(r"%\s*\)?$"), "percent").otherwise(F.coalesce(F.nullif(tag, F.lit("")), F.lit("unscaled")))
 

@@ -127,11 +127,15 @@ def pair_sides(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("pair_id", "table_id", "document_id", "n", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("correct_a").alias("correct"), F.col("a_captured").alias("captured")), F.struct(F.lit("b").alias("side"), F.col("correct_b").alias("correct"), F.col("b_captured").alias("captured")))).alias("s")).select("pair_id", "table_id", "document_id", "n", "s.*")
 
 
+def joined_outcomes(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(pair_id, base, other): whether a pair is right under each of two checkpoints; pairs that both have. Inputs: pair_id, correct."""
+    return base.select("pair_id", F.col("correct").alias("base")).join(other.select("pair_id", F.col("correct").alias("other")), "pair_id")
+
+
 def rescue_regression(base: DataFrame, other: DataFrame) -> DataFrame:
     """2 by 2 counts of two checkpoints' pair results by pair_id, rescue and regression rates. Inputs: pair_id, correct."""
-    j = base.select("pair_id", F.col("correct").alias("x")).join(other.select("pair_id", F.col("correct").alias("y")), "pair_id")
-    x, y, n = F.col("x"), F.col("y"), F.count_if
-    return j.agg(n(x & y).alias("both"), n(x & ~y).alias("lost"), n(~x & y).alias("rescued"), n(~x & ~y).alias("neither"), rate(n(~x & y), n(~x)).alias("rescue_rate"), rate(n(x & ~y), n(x)).alias("regression_rate"))
+    x, y, n = F.col("base"), F.col("other"), F.count_if
+    return joined_outcomes(base, other).agg(n(x & y).alias("both"), n(x & ~y).alias("lost"), n(~x & y).alias("rescued"), n(~x & ~y).alias("neither"), rate(n(~x & y), n(~x)).alias("rescue_rate"), rate(n(x & ~y), n(x)).alias("regression_rate"))
 
 
 def mean_sd(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -159,9 +159,10 @@ def gap_candidates(rows: DataFrame, by: list[str], centre: str, ordinal: str, ho
     return per.where((F.col("rows") >= LEAST_ROWS) & (F.col("median_other") > 0) & (F.col("largest") >= F.col("median_other") * GAP_RATIO)).withColumn("ratio", F.col("largest") / F.col("median_other"))
 
 
-def mean_left(boxes: Column) -> Column:
-    """Mean left coordinate of a map of boxes; null for none."""
-    xs = F.transform(F.map_values(boxes), lambda b: b[0].cast("double"))
+def mean_left(boxes: Column, fields: list[str] | None = None) -> Column:
+    """Mean left coordinate of a map of boxes (of the listed fields, if given); null for none."""
+    held = boxes if fields is None else F.map_filter(boxes, lambda k, _: k.isin(fields))
+    xs = F.transform(F.map_values(held), lambda b: b[0].cast("double"))
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))
 
 

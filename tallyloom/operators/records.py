@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import same_number, strict_value
 from ..functions.text import YEAR, compact, question_key, same_answer, slug
+from .ranks import positions
 
 GROUNDING_TAGS = "<answer>...</answer>\n<row>...</row>\n<column>...</column>\n<bbox>x0 y0 x1 y1</bbox>"
 
@@ -118,9 +119,26 @@ def candidates(instances: DataFrame, used: DataFrame, allowed: DataFrame) -> Dat
     return kept.select("document_id", "instance", F.explode("values").alias("metric", "value")).where(F.trim("value") != "")
 
 
-def training_views(groups: DataFrame, kind: Column) -> DataFrame:
-    """Clean and counterfactual views of a visit; the counterfactual is looked up by its kind in the variants map."""
-    return groups.select("group_id", F.try_element_at("variants", F.lit("clean")).alias("clean_view"), F.try_element_at("variants", kind).alias("counterfactual_view"), kind.alias("kind"))
+def training_pairs(groups: DataFrame, visits: DataFrame) -> DataFrame:
+    """A clean and a counterfactual view of each visit, with its place in the cycle; a kind that its group does not have fails.
+
+    groups(group_id, question, variants: map<kind, struct<image_id, image_path, answer, target_id, evidence_ids, expected_behavior>>),
+    visits(epoch, place, group_id, cycle, kind) as sampling.schedule makes them: three visits a cycle.
+    """
+    j = visits.join(groups.select("group_id", "question", "variants"), "group_id")
+    view = lambda v: [v["image_id"].alias("image_id"), v["image_path"].alias("image"), F.col("question").alias("question"), v["answer"].alias("gold_answer"), v["target_id"].alias("target_cell_id"), v["evidence_ids"].alias("gold_evidence_ids")]
+    found = F.try_element_at("variants", F.col("kind"))
+    missing = F.raise_error(F.concat(F.lit("no variant "), F.coalesce("kind", F.lit("null")), F.lit(" of "), F.col("group_id").cast("string"))).cast(groups.schema["variants"].dataType.valueType)
+    j = j.withColumn("__clean", F.element_at("variants", "clean")).withColumn("__cf", F.when(found.isNotNull() & (F.col("kind") != "clean"), found).otherwise(missing))
+    cf = F.col("__cf")
+    return j.select("epoch", "place", "group_id", F.struct(*view(F.col("__clean"))).alias("clean"), F.struct(*view(cf), F.col("kind").alias("cf_type"), cf["expected_behavior"].alias("expected_behavior")).alias("counterfactual"), F.col("cycle").alias("cycle_index"), F.pmod(F.col("epoch"), F.lit(3)).alias("position_in_cycle"))
+
+
+def training_log(pairs: DataFrame, run_id: str) -> DataFrame:
+    """A flat row a training pair, with its step over all epochs (by epoch, place and group)."""
+    steps = positions(pairs, ["epoch", "place", "group_id"], "global_step")
+    sides = [F.col(f"{side}.{field}").alias(f"{name}_{field}") for field in ("image_id", "gold_answer", "target_cell_id") for side, name in (("clean", "clean"), ("counterfactual", "cf"))]
+    return steps.select(F.lit(run_id).alias("run_id"), "epoch", "global_step", "group_id", "cycle_index", "position_in_cycle", F.col("counterfactual.cf_type").alias("cf_type"), *sides)
 
 
 def qa_prompt(question: Column) -> Column:

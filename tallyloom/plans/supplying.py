@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as m
 from ..operators import pairs as p
 from ..operators import quality as q
 from ..operators import records as rec
+from ..operators import sampling as sm
 from ..operators import tables as t
 from ..operators.results import result_rows
 from ..operators.shared import fresh, written
-from ..functions.text import evidence_first_target, grounding_target
+from ..functions.text import UNIT_SUBSTRINGS, evidence_first_target, grounding_target, is_unit_by_substring, is_unit_by_word, period_key
 from ..sources import frozen, hosted, readers, sinks
 from ..streaming import visits
+from .auditing import _SCH, _groups
 from .carriers import BOXES_SQL, OUTCOMES_SQL, boxes, outcomes, table
 
 QUERIES, SQL = {}, {}
@@ -299,3 +302,71 @@ add(
     f"""WITH {_HOT}, g AS (SELECT page, lead(x) OVER w - x AS gap, row_number() OVER w AS i FROM h WHERE x IS NOT NULL WINDOW w AS (PARTITION BY page ORDER BY x, doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY gap DESC NULLS LAST, i) AS k FROM g),
 p AS (SELECT page, count(*) AS rows, max(gap) AS largest, (min(i) FILTER (WHERE k = 1))::INT AS after_row, median(gap) FILTER (WHERE k > 1) AS median_other FROM r GROUP BY 1) SELECT page, rows, after_row, largest, median_other FROM p WHERE rows >= 3 AND median_other > 0 AND largest >= median_other * 2.5""",
 )
+
+
+_UNITS = ("$ 1", "in millions", "December 31", "EUR mn", "10 %", "per share", "(000)", "Total", "bn", "  ", "m", "Billions", "GBPs")
+_unit = "[" + ", ".join(f"'{u}'" for u in _UNITS) + "]"
+add(
+    "flt12_unit_texts",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.concat(F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("doc_id") % len(_UNITS) + 1).cast("int")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "lang")).otherwise("")).alias("c")).select("doc_id", is_unit_by_word(F.col("c")).alias("by_word"), is_unit_by_substring(F.col("c")).alias("by_substring")),
+    f"""WITH c AS (SELECT doc_id, {_unit}[(doc_id % {len(_UNITS)})::INT + 1] || CASE WHEN doc_id % 3 = 0 THEN ' ' || lang ELSE '' END AS c FROM documents)
+SELECT doc_id, regexp_matches(c, '[$£€%]|\\b(?:usd|eur|gbp|mn|bn|000|million|millions|thousand|thousands|billion|billions)\\b', 'i') AS by_word, {' OR '.join(f"contains(lower(c), '{u}')" for u in UNIT_SUBSTRINGS)} AS by_substring FROM c""",
+)
+add(
+    "join03_joined_outcomes",
+    lambda s, d: m.joined_outcomes(outcomes(s, d).where("n % 3 > 0").select("pair_id", F.col("correct_a").alias("correct")), outcomes(s, d).where("n % 4 > 0").select("pair_id", F.col("correct_b").alias("correct"))),
+    f"WITH {OUTCOMES_SQL} SELECT pair_id, correct_a AS base, correct_b AS other FROM outcomes WHERE n % 3 > 0 AND n % 4 > 0",
+)
+
+
+def _periods(s, d):
+    k = F.col("doc_id")
+    label = F.when(k % 5 == 0, "none").when(k % 5 == 1, F.concat(F.lit("Dec 31, "), (k % 30 + 1990).cast("string"))).when(k % 5 == 2, F.concat((k % 40 + 1980).cast("string"), F.lit(" and "), (k % 9 + 2010).cast("string"))).when(k % 5 == 3, F.concat(F.lit("FY1"), (k % 30 + 1990).cast("string"))).otherwise((k % 30 + 2000).cast("string"))
+    return table(s, d, "documents").select("doc_id", "source", label.alias("period"))
+
+
+add(
+    "srt01_period_order",
+    lambda s, d: m.ranked(_periods(s, d).select("doc_id", "period", F.floor(F.col("doc_id") / 16).alias("g")), ["g"], [period_key(F.col("period")), F.col("doc_id")], "place").select("doc_id", period_key(F.col("period"))["year"].alias("year"), "place"),
+    """WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'Dec 31, ' || (doc_id % 30 + 1990) WHEN 2 THEN (doc_id % 40 + 1980) || ' and ' || (doc_id % 9 + 2010) WHEN 3 THEN 'FY1' || (doc_id % 30 + 1990) ELSE (doc_id % 30 + 2000)::VARCHAR END AS period FROM documents),
+y AS (SELECT doc_id, period, (CASE doc_id % 5 WHEN 1 THEN doc_id % 30 + 1990 WHEN 2 THEN doc_id % 40 + 1980 WHEN 4 THEN doc_id % 30 + 2000 ELSE 0 END)::INT AS year FROM p)
+SELECT doc_id, year, (row_number() OVER (PARTITION BY doc_id // 16 ORDER BY year, period, doc_id))::INT AS place FROM y""",
+)
+add(
+    "agg32_mean_left",
+    lambda s, d: boxes(s, d).select("vec_id", q.mean_left(F.create_map(F.lit("sales"), F.col("a"), F.lit("costs"), F.col("b"), F.lit("period"), F.array(F.lit(9), F.lit(9), F.lit(9), F.lit(9))), ["sales", "costs", "cash"]).alias("x"), q.mean_left(F.create_map(F.lit("period"), F.col("a")), ["sales"]).alias("none")),
+    f"WITH {BOXES_SQL} SELECT vec_id, (a[1] + b[1]) / 2.0 AS x, NULL::DOUBLE AS none FROM boxes",
+)
+
+
+def _trained(s, d):
+    """Customers as groups with four variants each, over two cycles of visits."""
+    k = F.col("c_custkey").cast("string")
+    one = lambda kind, answer, cell: F.struct(F.concat_ws("_", k, F.lit(kind)).alias("image_id"), F.concat(F.lit("i/"), k).alias("image_path"), answer.alias("answer"), F.lit(cell).alias("target_id"), F.array(F.lit(cell)).alias("evidence_ids"), F.when(F.lit(kind) == "target_value", "changes").otherwise("stays").alias("expected_behavior"))
+    kinds = {"clean": "c1", "target_value": "c1", "header_address_swap": "c2", "irrelevant_value": "c1"}
+    variants = F.create_map(*(x for kind, cell in kinds.items() for x in (F.lit(kind), one(kind, F.concat(F.col("c_mktsegment"), F.lit("*" if kind == "target_value" else "")), cell))))
+    groups = table(s, d, "customer").select(F.col("c_custkey").alias("group_id"), F.concat(F.lit("q"), k).alias("question"), variants.alias("variants"))
+    return rec.training_pairs(groups, sm.schedule(_groups(s, d), 9, 2))
+
+
+add(
+    "prj15_training_log",
+    lambda s, d: rec.training_log(_trained(s, d), "r1"),
+    f"""WITH {_SCH} SELECT 'r1' AS run_id, epoch, row_number() OVER (ORDER BY epoch, place, group_id) - 1 AS global_step, group_id, cycle AS cycle_index, epoch % 3 AS position_in_cycle, kind AS cf_type, group_id || '_clean' AS clean_image_id, group_id || '_' || kind AS cf_image_id,
+c_mktsegment AS clean_gold_answer, c_mktsegment || CASE kind WHEN 'target_value' THEN '*' ELSE '' END AS cf_gold_answer, 'c1' AS clean_target_cell_id, CASE kind WHEN 'header_address_swap' THEN 'c2' ELSE 'c1' END AS cf_target_cell_id FROM sch JOIN customer ON c_custkey = group_id""",
+)
+add(
+    "prj20_messages",
+    lambda s, d: table(s, d, "conversations").where("text is not null and trim(text) <> ''").select("conv_id", "turn", rec.messages(rec.qa_prompt(F.col("text")), F.concat_ws("/", F.lit("img"), F.col("conv_id").cast("string"))).alias("m")).select("conv_id", "turn", F.inline("m")).select("conv_id", "turn", "role", F.posexplode("parts").alias("i", "p")).select("conv_id", "turn", "role", "i", "p.type", F.md5("p.content").alias("content")),
+    """WITH c AS (SELECT * FROM conversations WHERE trim(text) <> '') SELECT conv_id, turn, 'user' AS role, 0 AS i, 'image' AS type, md5('img/' || conv_id) AS content FROM c
+UNION ALL SELECT conv_id, turn, 'user', 1, 'text', md5('Answer the question from the table image.' || chr(10) || chr(10) || 'Question: ' || trim(text) || chr(10) || 'Answer:') FROM c""",
+)
+
+
+def _sorted_json(s, d):
+    path = fresh(s, "sorted")
+    sinks.json_lines(table(s, d, "documents").select("source", "n_chars", "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang")), path)
+    return readers.raw_lines(s, path).select("line")
+
+
+add("snk02_sorted_json", _sorted_json, """SELECT '{"doc_id":' || doc_id || ',"lang":' || CASE WHEN doc_id % 2 = 0 THEN '"' || lang || '"' ELSE 'null' END || ',"n_chars":' || n_chars || ',"source":"' || source || '"}' AS line FROM documents""")

@@ -116,6 +116,18 @@ def test_ids_and_cells_that_are_none_fail(spark):
             cells(bad)
 
 
+def test_training_pairs_of_kinds_that_are_missing_fail(spark):
+    from tallyloom.operators import records as rec
+
+    groups = spark.createDataFrame([(1, "q", {k: (k, "p", "1", "c", ["c"], "stays") for k in ("clean", "target_value")})], "group_id long, question string, variants map<string,struct<image_id:string,image_path:string,answer:string,target_id:string,evidence_ids:array<string>,expected_behavior:string>>")
+    visit = lambda kind: spark.createDataFrame([(4, "aa", 1, 1, kind)], "epoch int, place string, group_id long, cycle int, kind string")
+    r = rec.training_pairs(groups, visit("target_value")).first()
+    assert (r["cycle_index"], r["position_in_cycle"], r["clean"]["image_id"], r["counterfactual"]["cf_type"]) == (1, 1, "clean", "target_value")
+    for bad in ("irrelevant_value", "clean", None):
+        with pytest.raises(Exception, match="no variant .* of 1"):
+            rec.training_pairs(groups, visit(bad)).collect()
+
+
 def test_configuration_and_metadata(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"model": {"x": 1}}')
     (tmp_path / "l.json").write_text("[1]")
