@@ -10,7 +10,7 @@ become candidates. A space of bounded rank doesn't resolve thousands of items; t
 item's rarest words become candidates as well. That test is exact: nothing that can pass the next one fails it. A candidate
 counts when the longest common subsequence of words, over the passage and its surroundings, covers LCS_FROM of the item and
 its answer (the part after "Answer:", else the last sentence) is there as well. The cosine in the result may be low where
-the space doesn't resolve the item.
+the space doesn't resolve the item; ``latent`` says whether the latent search had proposed the document for it.
 
 Benchmark items are the stated query set: they meet all passages, in blocks of QUERY_ITEMS items (one pass each); nothing of
 the documents goes to the driver but the summed matrices, whose size is fixed. Sums are made in a fixed order. Defined cases:
@@ -36,7 +36,9 @@ BLOCK = 32
 SLOTS, DIMS = 1 << 20, 1 << 13
 #: Directions kept at most, random ones beyond them, and the least singular value kept, as a part of the largest.
 RANK, MORE, CUT = 48, 8, 0.01
-SLICES, FAN = 32, 64
+SLICES = 32
+#: Tasks that make sums at most, so that what they send is bounded, and parts that are added up at a time.
+SUM_TASKS, FAN_IN = 8192, 64
 QUERY_ITEMS = 4096
 #: The benchmark's share of the squared weights of the decomposed matrix, against 1 for all documents.
 BENCH_WEIGHT = 8.0
@@ -102,7 +104,10 @@ def _rowsum(table: np.ndarray, dim: np.ndarray, weight: np.ndarray, block: np.nd
 
 
 def _summed(docs: DataFrame, shape: tuple[int, int], add_up) -> np.ndarray:
-    """Sum over all tasks of the arrays that ``add_up(batches)`` gives for docs(text), always in the same order."""
+    """Sum over all tasks of the arrays that ``add_up(batches)`` gives for docs(text), always in the same order.
+
+    Beyond SUM_TASKS partitions a task sums up several, and no step holds more than 128 parts of a slice.
+    """
     kind = "slice int, fan int, task int, part binary"
     schema = arrow_schema(kind, docs.sparkSession)
     rows = shape[0] // SLICES
@@ -110,7 +115,7 @@ def _summed(docs: DataFrame, shape: tuple[int, int], add_up) -> np.ndarray:
     def partial(batches):
         total = add_up(batches)
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task % FAN] * SLICES, pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([total[i * rows : (i + 1) * rows].tobytes() for i in range(SLICES)], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task // FAN_IN] * SLICES, pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([total[i * rows : (i + 1) * rows].tobytes() for i in range(SLICES)], pa.binary())], schema=schema)
 
     def add(key, pdf):
         import pandas as pd
@@ -119,7 +124,8 @@ def _summed(docs: DataFrame, shape: tuple[int, int], add_up) -> np.ndarray:
         total = sum(np.frombuffer(x, np.float64) for x in ordered["part"])
         return pd.DataFrame({"slice": [int(key[0])], "task": [int(ordered["task"].iloc[0])], "part": [total.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(tidy(partial), kind).groupBy("slice", "fan").applyInPandas(add, "slice int, task int, part binary")
+    # at most SUM_TASKS / FAN_IN parts a slice are left for the second step
+    parts = docs.select("text").coalesce(SUM_TASKS).mapInArrow(tidy(partial), kind).groupBy("slice", "fan").applyInPandas(add, "slice int, task int, part binary")
     found = {r["slice"]: np.frombuffer(r["part"], np.float64) for r in parts.groupBy("slice").applyInPandas(add, "slice int, task int, part binary").collect()}
     return np.concatenate([found[i] for i in range(SLICES)]).reshape(shape) if found else np.zeros(shape)
 
@@ -309,11 +315,11 @@ def nystroem(y: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.sqrt(np.maximum(s**2 - shift, 0))
 
 
-MATCHES = "doc_id long, item_id long, start_word long, cosine double, lcs_ratio double, answer_ratio double"
+MATCHES = "doc_id long, item_id long, start_word long, cosine double, lcs_ratio double, answer_ratio double, latent boolean"
 
 
-def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int, int, int, float, float, float]]:
-    """(row, item, first word of the passage, cosine, LCS and answer ratios): for each text and item the best passage."""
+def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int, int, int, float, float, float, bool]]:
+    """(row, item, first word of the passage, cosine, LCS and answer ratios, whether the latent search had the text as well): for each text and item the best passage."""
     for i, _, data, offsets in chunks(column):
         w, first = terms(data, offsets)
         if len(w) < 2 or not len(items.vectors):
@@ -329,6 +335,7 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
         cosine = (v[near] / np.maximum(inner[near, None], 1e-12)) @ items.vectors.T
         a, b = np.nonzero(cosine >= COSINE_FROM)
         latent = near[a] * len(items.words) + np.array(items.owner)[b]
+        proposed = set(zip((np.searchsorted(base, near[a], "right") - 1).tolist(), np.array(items.owner)[b].tolist(), strict=True))
         passage, item = items.holders(w, first, base)
         best: dict[tuple[int, int], tuple] = {}
         for pair in np.union1d(latent, passage * len(items.words) + item).tolist():
@@ -352,7 +359,7 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
                 close = float((items.vectors[items.bounds[item] : items.bounds[item + 1]] @ v[p]).max() / max(inner[p], 1e-12))
                 best[row, item] = (start - int(first[row]), close, ratio, said)
         for (row, item), found in sorted(best.items()):
-            yield i + row, items.ids[item], *found
+            yield i + row, items.ids[item], *found, (row, item) in proposed
 
 
 def blocks_of_items(bench: DataFrame) -> Iterator[tuple[Items, bool]]:
@@ -391,7 +398,7 @@ def find_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 found = [(ids[r], *rest) for r, *rest in matches(*sent.value, texts(batch.column(1)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 6, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 7, schema, strict=True)], schema=schema)
 
         out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(search), MATCHES))
     return out
