@@ -109,7 +109,7 @@ def commit_once(spark: SparkSession, path: str, write: Callable[[str], list[str]
     path that has been committed is refused.
     """
     if marker(spark, path) is not None:
-        raise FileExistsError(f"{path} has been committed")
+        raise FileExistsError(f"{path} exists and has been committed")
     hadoop, fs = _files(spark, path)
     folder = f"attempt-{uuid.uuid4().hex}"
     names = write(f"{path}/{folder}")

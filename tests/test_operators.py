@@ -131,11 +131,12 @@ def test_greedy_caps_query_takes_all_orders(spark, tmp_path):
 
     orders = [(i, i * 37 % 911 + 190) for i in range(4000)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    page, company = {}, {}
+    page, company, chosen = {}, {}, set()
     for k, c in sorted(orders, key=lambda x: hashlib.sha256(f"2:{x[0]}".encode()).hexdigest()):
         if page.get(c % 40, 0) < 5 and company.get(c % 7, 0) < 20:
             page[c % 40], company[c % 7] = page.get(c % 40, 0) + 1, company.get(c % 7, 0) + 1
-    assert {r["company"]: r["n"] for r in auditing.QUERIES["smp08_greedy_caps"](spark, str(tmp_path)).collect()} == company and sum(company.values()) == 140
+            chosen.add((k, c % 40, c % 7))
+    assert {tuple(r) for r in auditing.QUERIES["smp08_greedy_caps"](spark, str(tmp_path)).collect()} == chosen and sum(company.values()) == 140
 
 
 @pytest.mark.parametrize("total", [None, 40])
