@@ -73,8 +73,9 @@ add(
 )
 add(
     "join21_replay",
-    lambda s, d: r.replay(_orders(s, d).where("o_orderkey % 50 = 0").select(F.concat_ws("_", F.lit("syn"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("group_id"), F.col("o_orderpriority").alias("question")), _orders(s, d).where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("source_index"), F.col("o_orderpriority").alias("question"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("row_id"))).select("group_id", "question", "source_index", F.coalesce("row_id", F.lit(-1)).alias("row_id"), "mismatch"),
-    "WITH s AS (SELECT o_custkey, o_orderpriority, max(o_orderkey) AS row_id FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2) SELECT 'syn_' || o.o_custkey || '_' || o.o_orderkey AS group_id, o.o_orderpriority AS question, o.o_custkey AS source_index, coalesce(s.row_id, -1) AS row_id, s.row_id IS NULL AS mismatch FROM orders o LEFT JOIN s USING (o_custkey, o_orderpriority) WHERE o.o_orderkey % 50 = 0",
+    # every seventh group names a table that no source row has
+    lambda s, d: r.replay(_orders(s, d).select(F.concat_ws("_", F.lit("syn"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 == 0, 100_000_000).otherwise(0)).cast("string"), F.col("o_orderkey").cast("string")).alias("group_id"), F.col("o_orderpriority").alias("question")), _orders(s, d).select(F.col("o_custkey").alias("source_index"), F.col("o_orderpriority").alias("question"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("row_id"))).select("group_id", "question", "source_index", F.coalesce("row_id", F.lit(-1)).alias("row_id"), "mismatch"),
+    "WITH s AS (SELECT o_custkey AS source_index, o_orderpriority AS question, max(o_orderkey) AS row_id FROM orders GROUP BY 1, 2), g AS (SELECT o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 100000000 ELSE 0 END AS source_index, o_orderkey, o_orderpriority AS question FROM orders) SELECT 'syn_' || source_index || '_' || o_orderkey AS group_id, question, source_index, coalesce(row_id, -1) AS row_id, row_id IS NULL AS mismatch FROM g LEFT JOIN s USING (source_index, question)",
 )
 add(
     "join19_candidates",
