@@ -97,7 +97,10 @@ class _Open:
 
     def close(self, tags: set[str], stops: set[str] | frozenset[str] = frozenset()) -> None:
         """Close the innermost element of these tags and all inside it, unless one of ``stops`` is open inside it."""
-        if not any(self.count[t] for t in tags):
+        for t in tags:
+            if self.count.get(t):
+                break
+        else:
             return
         stack = self.stack
         for i in range(len(stack) - 1, 0, -1):
@@ -129,7 +132,7 @@ def parse(page: str) -> Node:
         if m[1]:
             held.close({tag})
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and held.count.get("p"):
             held.close({"p"}, BLOCK)  # a block ends an open paragraph
         if tag in CLOSES:
             held.close(CLOSES[tag], STOPS[tag])
@@ -365,7 +368,12 @@ def _digest(path: Path, text: str) -> str:
 def _enter(path: Path, node: Node) -> Path:
     """The path inside a node."""
     opens = not path[0] and node.tag in ("article", "main")
-    return path[0] or opens, hashlib.blake2b(path[1] + f"/{node.tag} {_stable(node.mark)}".encode("utf-8", "replace"), digest_size=8).digest()
+    return path[0] or opens, _inner(path[1], node.tag, node.mark)
+
+
+@lru_cache(1 << 16)
+def _inner(path: bytes, tag: str, mark: str) -> bytes:
+    return hashlib.blake2b(path + f"/{tag} {_stable(mark)}".encode("utf-8", "replace"), digest_size=8).digest()
 
 
 @lru_cache(1 << 14)
@@ -497,8 +505,7 @@ def masses(page: str, wrapper: set[str] | frozenset[str], places: set[str] | fro
                     out[p][3] += 0 if marked else len(text)
         elif k.tag not in CODE and k.tag != "a":
             here = path if not k.tag else _enter(path, k)
-            name = here[1].hex()
-            if k.tag in CONTAINERS and name in places and name not in out:
+            if k.tag in CONTAINERS and (name := here[1].hex()) in places and name not in out:
                 out[name] = [around[-1], k.tag, 0, 0]
                 around = (*around, name)
             marked = marked or bool(k.tag) and furniture(k, here[0])
