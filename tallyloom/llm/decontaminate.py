@@ -335,7 +335,6 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
         cosine = (v[near] / np.maximum(inner[near, None], 1e-12)) @ items.vectors.T
         a, b = np.nonzero(cosine >= COSINE_FROM)
         latent = near[a] * len(items.words) + np.array(items.owner)[b]
-        proposed = set(zip((np.searchsorted(base, near[a], "right") - 1).tolist(), np.array(items.owner)[b].tolist(), strict=True))
         passage, item = items.holders(w, first, base)
         best: dict[tuple[int, int], tuple] = {}
         for pair in np.union1d(latent, passage * len(items.words) + item).tolist():
@@ -358,8 +357,11 @@ def matches(space: Space, items: Items, column: pa.Array) -> Iterator[tuple[int,
             if said >= ANSWER_FROM:
                 close = float((items.vectors[items.bounds[item] : items.bounds[item + 1]] @ v[p]).max() / max(inner[p], 1e-12))
                 best[row, item] = (start - int(first[row]), close, ratio, said)
-        for (row, item), found in sorted(best.items()):
-            yield i + row, items.ids[item], *found, (row, item) in proposed
+        # which of the matches the latent search has proposed, in any passage
+        rows = np.searchsorted(base, near[a], "right") - 1 if best else near[:0]
+        proposed = np.isin([r * len(items.words) + k for r, k in sorted(best)], rows * len(items.words) + np.array(items.owner)[b] if best else rows)
+        for ((row, item), found), latent in zip(sorted(best.items()), proposed.tolist(), strict=True):
+            yield i + row, items.ids[item], *found, latent
 
 
 def blocks_of_items(bench: DataFrame) -> Iterator[tuple[Items, bool]]:
