@@ -142,8 +142,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
                 total[SLOTS] += n
                 if len(w) > 1:
                     slot, block = pairs(w, first)
-                    held, often = np.unique(np.unique(slot * n + block) // n, return_counts=True)
-                    total[held, 0] += often
+                    held = np.unique(slot * n + block) // n  # ascending
+                    head = np.flatnonzero(np.diff(held, prepend=-1))
+                    total[held[head], 0] += np.diff(np.append(head, len(held)))
         return total
 
     # the rows beyond SLOTS hold the number of blocks
