@@ -13,7 +13,8 @@ their own, drop out before anything but counts is shuffled.
    sends on one of them, so a shingle of a third of all documents costs a few rows a task.
 3. Each block's sets go into a trie. A set is joined by walking the trie level by level: the overlap of a path is counted
    once for all sets below it, and subtrees whose remaining length cannot reach the needed overlap are cut. Sets already in
-   one component are not compared again. Blocks above BLOCK_TOKENS are cut into parts: all parts meet a few pivot sets,
+   one component are not compared again. Blocks above BLOCK_TOKENS are first cut where the shingles that prefixes share
+   are too few for a link (``_cut_blocks``); those still above it are dealt into parts: all parts meet a few pivot sets,
    then every set that is not with the block's largest component meets every part, so no pair goes unseen.
 
 Defined cases: null, empty or blank texts have an empty set, link with nothing and are their own component; every row is a
@@ -23,6 +24,7 @@ doc_id has the component_id null; an empty table gives an empty result; extra co
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +39,17 @@ NUM, DEN = 75, 100
 #: Text bytes (as estimated from files) behind one count bucket, and shingles gathered by a task before it sends them on.
 BUCKET_BYTES, FLUSH = 4 << 20, 3 << 19
 #: Bytes of both bitmaps together, over all buckets; this much is broadcast at most.
-BITMAP_BYTES = 40 << 20
+BITMAP_BYTES = 88 << 20
 COMMON = 24
 #: Numbers, beyond those of the buckets, under which rows of documents are dealt out.
 DEALT = 4096
 #: Shingles of the sets that one task joins at once.
 BLOCK_TOKENS = 2_000_000
 PIVOTS = 32
+#: Prefix shingles of a large block that more of its sets hold than this join them without a count; pairs at once; a count beyond any bound.
+LIGHT, PAIRS_AT_ONCE, SURE = 64, 1 << 21, 1 << 40
+#: Shingles of sets behind one bucket of those prefixes.
+CUT_TOKENS = 1 << 20
 PAIR = "a long, b long"
 #: Up to this many measured pairs (16 bytes each), components are found in one task; beyond it, by alternating stars.
 LOCAL_EDGES = 1 << 20
@@ -223,21 +229,23 @@ def _can_link(nx, ny, px, py):
     return (np.minimum(nx, ny) * DEN >= NUM * np.maximum(nx, ny)) & (1 + np.minimum(nx - px - 1, ny - py - 1) >= need)
 
 
+def _grouped(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of distinct (token, node) by both, and where each token starts in it and how often it stands there."""
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    order, token = order[fresh], token[fresh]
+    starts = np.flatnonzero(np.diff(token, prepend=~token[:1])) if len(token) else np.zeros(0, np.int64)
+    return order, starts, np.diff(np.append(starts, len(token)))
+
+
 def _block_pairs(sets: DataFrame, buckets: int) -> DataFrame:
     """Pairs that join all documents which share a prefix shingle: for each shingle, its documents and the first of them."""
     spark = sets.sparkSession
     kind = "bucket int, token binary, node binary, n binary, place binary, a binary, b binary"
     schema, pair = arrow_schema(kind, spark), arrow_schema(PAIR, spark)
 
-    def grouped(token, node):
-        order = np.lexsort((node, token))
-        token, node = token[order], node[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        order, token = order[fresh], token[fresh]
-        starts = np.flatnonzero(np.diff(token, prepend=~token[:1])) if len(token) else np.zeros(0, np.int64)
-        return order, starts, np.diff(np.append(starts, len(token)))
-
     def deal(batches):
         for batch in batches:
             tokens, nodes, sizes, places = [], [], [], []
@@ -250,7 +258,7 @@ def _block_pairs(sets: DataFrame, buckets: int) -> DataFrame:
             if not tokens:
                 continue
             token, node, n, place = map(np.concatenate, (tokens, nodes, sizes, places))
-            order, starts, counts = grouped(token, node)
+            order, starts, counts = _grouped(token, node)
             token, node, n, place = token[order], node[order], n[order], place[order]
             head = np.repeat(starts, counts)
             many = np.repeat(counts, counts) > 2
@@ -269,7 +277,7 @@ def _block_pairs(sets: DataFrame, buckets: int) -> DataFrame:
             token, node = blob(table, "token", np.uint64), blob(table, "node", np.int64)
             n, place = blob(table, "n", np.int32).astype(np.int64), blob(table, "place", np.int32).astype(np.int64)
             if len(token):
-                order, starts, counts = grouped(token, node)
+                order, starts, counts = _grouped(token, node)
                 node, n, place = node[order], n[order], place[order]
                 head = np.repeat(starts, counts)
                 go = np.arange(len(head)) != head
@@ -424,6 +432,88 @@ def trie_links(sets: list[np.ndarray], tiers: list[np.ndarray], queries: list[in
     return out
 
 
+def _pairs_of(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within runs, about PAIRS_AT_ONCE at a time."""
+    done = np.cumsum(counts * (counts - 1) // 2) // PAIRS_AT_ONCE
+    for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(done)) + 1).tolist(), len(counts)]):
+        first, end = starts[a:b], starts[a:b] + counts[a:b]
+        at, end = np.arange(counts[a:b].sum()) + np.repeat(first - np.cumsum(counts[a:b]) + counts[a:b], counts[a:b]), np.repeat(end, counts[a:b])
+        found, step = [], 1
+        while len(at := at[(go := at + step < end)]):
+            end = end[go]
+            found.append((at, at + step))
+            step += 1
+        if found:
+            yield np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+CUT = "a long, b long, na int, nb int, k long"
+
+
+def _cut_blocks(held: DataFrame, weight: int) -> DataFrame:
+    """Pairs that join what may link of the blocks' sets: a rare shingle that two prefixes share by chance joins nothing.
+
+    A shingle of at most LIGHT prefixes gives all its pairs, and a pair counts the shingles that its prefixes share. Where
+    one prefix ends first, all of its set but what follows is known, so the overlap is the count and that rest at most.
+    A shingle of more prefixes is not counted: it joins its sets from size to size, and adds to the bound of each.
+    """
+    schema = arrow_schema(CUT, held.sparkSession)
+    kind = "bucket int, token binary, node binary, n binary"
+    dealt = arrow_schema(kind, held.sparkSession)
+    buckets = bucket_count(weight, CUT_TOKENS)
+
+    def deal(batches):
+        for batch in batches:
+            tokens, nodes, sizes = [], [], []
+            for node, n, own, shared, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                prefix = _unpack(t, own, shared)[own : n - -(-NUM * n // DEN) + 1]
+                tokens.append(prefix)
+                nodes.append(np.full(len(prefix), node, np.int64))
+                sizes.append(np.full(len(prefix), n, np.int32))
+            if tokens:
+                token, node, n = map(np.concatenate, (tokens, nodes, sizes))
+                yield pa.RecordBatch.from_pylist([dict(zip(dealt.names, (bucket, *cols), strict=True)) for bucket, cols in scatter(token, [token, node, n], buckets)], schema=dealt)
+
+    def rows(a, b, na, nb, k):
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((a, b, na, nb, k), schema, strict=True)], schema=schema)
+
+    def meet(batches):
+        for _, table in groups(batches):
+            token, node, n = blob(table, "token", np.uint64), blob(table, "node", np.int64), blob(table, "n", np.int32).astype(np.int64)
+            order, starts, counts = _grouped(token, node)
+            node, n = node[order], n[order]
+            light = counts <= LIGHT
+            for x, y in _pairs_of(starts[light], counts[light]):
+                near = np.minimum(n[x], n[y]) * DEN >= NUM * np.maximum(n[x], n[y])
+                x, y = x[near], y[near]
+                by = np.lexsort((node[y], node[x]))
+                x, y = x[by], y[by]
+                fresh = np.flatnonzero((np.diff(node[x], prepend=~node[x][:1]) != 0) | (np.diff(node[y], prepend=~node[y][:1]) != 0))
+                if len(fresh):
+                    yield rows(node[x][fresh], node[y][fresh], n[x][fresh], n[y][fresh], np.diff(np.append(fresh, len(x))))
+            heavy = np.repeat(~light, counts)
+            if heavy.any():
+                group, node, n = np.repeat(np.arange(len(counts)), counts)[heavy], node[heavy], n[heavy]
+                by = np.lexsort((node, n, group))
+                x, y = by[:-1], by[1:]
+                near = (group[x] == group[y]) & (n[x] * DEN >= NUM * n[y])
+                x, y = x[near], y[near]
+                yield rows(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), n[x], n[y], np.full(len(x), SURE))
+                own, often = np.unique(node, return_counts=True)
+                yield rows(own, own, 0 * own, 0 * own, often)
+
+    sets = held.select("node", "n", "own", "shared", "tokens")
+    met = by_bucket(sets.mapInArrow(tidy(deal), kind), buckets).mapInArrow(tidy(meet), CUT)
+    counted = materialize(met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("k")), "shared-prefixes")
+    often = materialize(counted.where("a = b").select("a", "k"), "heavy-shingles")
+    more, pairs = often.count(), counted.where("a < b")
+    for end in ("a", "b"):
+        pairs = small_join(pairs, often.select(F.col("a").alias(end), F.col("k").alias(f"k{end}")), [end], "left", 16, more)
+    most = F.greatest("na", "nb")
+    bound = F.col("k") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.ceil(most * NUM / DEN) - 1
+    return pairs.where(bound * (NUM + DEN) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _join_task(tasks: DataFrame) -> DataFrame:
     """Links found in each task; tasks(task, node, n, own, shared, tokens, asks). A node may come twice (copies of a class)."""
     schema = arrow_schema(PAIR, tasks.sparkSession)
@@ -445,11 +535,23 @@ def _join_task(tasks: DataFrame) -> DataFrame:
     return tasks.select(*columns).repartition("task").sortWithinPartitions("task").mapInArrow(tidy(run), PAIR)
 
 
+def _held(sets: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets with their blocks, and (block, weight)."""
+    held = small_join(sets, blocks.withColumnRenamed("component", "block"), ["node"], "inner", 16)
+    return held, materialize(held.groupBy("block").agg(F.sum("n").alias("weight")), "block-sizes")
+
+
 def _links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     """All links between sets of a block, up to those that follow from others by reachability."""
-    rows = blocks.count()
-    held = small_join(sets, blocks.withColumnRenamed("component", "block"), ["node"], "inner", 16, rows)
-    sizes = materialize(held.groupBy("block").agg(F.sum("n").alias("weight")), "block-sizes")
+    held, sizes = _held(sets, blocks)
+    large = sizes.where(F.col("weight") > BLOCK_TOKENS)
+    over = large.agg(F.sum("weight")).first()[0]
+    if over:
+        # A large block is mostly sets that share a shingle by chance with the next one; all that can link stays together.
+        cut = components(_cut_blocks(small_join(held, large.select("block"), ["block"], "inner", 16), over))
+        small = small_join(blocks, large.select(F.col("block").alias("component")), ["component"], "left_anti", 16)
+        blocks = materialize(small.select("node", "component").unionByName(cut), "cut-blocks")
+        held, sizes = _held(sets, blocks)
     large = sizes.where(F.col("weight") > BLOCK_TOKENS).withColumn("parts", F.ceil(F.col("weight") * 2 / BLOCK_TOKENS).cast("int"))
     small = small_join(held, large.select("block"), ["block"], "left_anti", 16)
     links = _join_task(small.select("*", F.col("block").alias("task"), F.lit(True).alias("asks")))

@@ -145,6 +145,35 @@ def test_jaccard_components(spark, monkeypatch, tokens, edges):
     assert sorted(got, key=repr) == brute_components(rows)
 
 
+def test_a_block_is_cut_where_prefixes_share_a_shingle_by_chance(spark, monkeypatch):
+    """Pairs of copies in a chain, each sharing some shingles with the next, are one block at first."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 400)
+    joins = []
+    monkeypatch.setattr(jaccard_join, "_join_task", lambda tasks, f=jaccard_join._join_task: joins.append(1) or f(tasks))
+    rows = []
+    for i in range(16):
+        text = [*(f"k{i}.{k}" for k in range(16)), *(f"c{i}.{k}" for k in range(40)), *(f"k{i + 1}.{k}" for k in range(16))]
+        rows += [(10 * i, " ".join(text), "s"), (10 * i + 1, " ".join([*text[:-1], "other"]), "s")]
+    got = [tuple(r) for r in jaccard_join.jaccard_components(frame(spark, rows).repartition(3)).collect()]
+    assert sorted(got, key=repr) == brute_components(rows)
+    assert len(joins) == 1  # no block is left that takes pivots and parts
+
+
+@pytest.mark.parametrize("light", [1, 3, 64])
+def test_cut_blocks_lose_no_link(spark, monkeypatch, light):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 50)
+    rng = np.random.default_rng(light)
+    rows = []
+    for i in range(160):  # few words, so that shingles are shared by chance as well
+        base = np.random.default_rng(i % 23).integers(0, 6, 30 + i % 9)
+        rows.append((i, " ".join(f"w{x}" for x in np.where(rng.random(len(base)) < 0.02, rng.integers(0, 6, len(base)), base)), "s"))
+    got = [tuple(r) for r in jaccard_join.jaccard_components(frame(spark, rows).repartition(3)).collect()]
+    want = brute_components(rows)
+    assert sorted(got, key=repr) == want and 1 < len({r[2] for r in want}) < 160
+
+
 def test_jaccard_without_rows(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).collect() == []
 
