@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.dates import values_match
 from ..functions.numbers import ocr_value, rate, scale_or_sign
@@ -16,6 +22,9 @@ from .shared import bounded, written
 
 # Fixed values.
 MARGIN = 8
+TOKEN = StructType([StructField("x", IntegerType()), StructField("ordinal", LongType()), StructField("text", StringType()), StructField("confidence", IntegerType())])
+#: Pairs of fields and tokens in a block, fields in one, and pairs looked at in one go.
+PAIRS, ROWS, AT_ONCE = 1 << 26, 256, 1 << 20
 LOW_CONFIDENCE = 60
 CLUSTER_GAP = 20.0
 GAP_RATIO, LEAST_ROWS = 2.5, 3
@@ -59,12 +68,39 @@ def completeness(instances: DataFrame, fields: list[str], values: str = "values"
 def tokens_near(fields: DataFrame, tokens: DataFrame, margin: int = MARGIN) -> DataFrame:
     """Each field with the tokens of its page whose centre lies in its box, widened by margin, ordered by left and ordinal.
 
-    fields(field_id, page, top, left, bottom, right), tokens(page, top, left, bottom, right, ordinal, text, confidence).
+    fields(field_id, page, top, left, bottom, right, ...), tokens(page, top, left, bottom, right, ordinal, text, confidence).
+    A page's fields are dealt into blocks that meet its tokens, PAIRS at a time; fields and tokens are shuffled, what is near is not.
     """
-    t = tokens.select("page", ((F.col("top") + F.col("bottom")) / 2).alias("cy"), ((F.col("left") + F.col("right")) / 2).alias("cx"), F.struct(F.col("left").alias("x"), "ordinal", "text", "confidence").alias("t"))
-    inside = F.col("cy").between(F.col("top") - margin, F.col("bottom") + margin) & F.col("cx").between(F.col("left") - margin, F.col("right") + margin)
-    j = fields.join(t, "page").where(inside).groupBy("field_id").agg(F.array_sort(F.collect_list("t")).alias("near"))
-    return fields.join(j, "field_id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<x:int,ordinal:bigint,text:string,confidence:int>>")))
+    found = StructType([*fields.schema.fields, StructField("near", ArrayType(TOKEN))])
+    schema = to_arrow_schema(found)
+    near_type, names = schema.field("near").type, fields.columns
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        boxes = table.column("f").combine_chunks().drop_null()
+        t = table.filter(pc.is_valid(table.column("t"))).select(["cy", "cx", "t"]).combine_chunks().flatten()
+        t = t.sort_by([(f"t.{n}", "ascending") for n in ("x", "ordinal", "text", "confidence")])
+        rows = pa.StructArray.from_arrays([t.column(f"t.{n.name}").combine_chunks() for n in near_type.value_type], fields=list(near_type.value_type))
+        cy, cx = (t.column(c).to_numpy() for c in ("cy", "cx"))
+        top, left, bottom, right = (boxes.field(n).cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None] for n in ("top", "left", "bottom", "right"))
+        step = max(1, AT_ONCE // max(1, len(rows)))
+        for i in range(0, len(boxes), step):
+            s = slice(i, i + step)
+            inside = (cy >= top[s] - margin) & (cy <= bottom[s] + margin) & (cx >= left[s] - margin) & (cx <= right[s] + margin)
+            ends = np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), rows.take(pa.array(np.nonzero(inside)[1])))
+            part = boxes.slice(i, step)
+            yield pa.RecordBatch.from_arrays([*(part.field(n).cast(schema.field(n).type) for n in names), lists.cast(near_type)], schema=schema)
+
+    t = tokens.where(F.col("page").isNotNull()).select("page", ((F.col("top") + F.col("bottom")) / 2).cast("double").alias("cy"), ((F.col("left") + F.col("right")) / 2).cast("double").alias("cx"), F.struct(F.col("left").alias("x"), "ordinal", "text", "confidence").cast(TOKEN).alias("t"))
+    n = fields.where(F.col("page").isNotNull()).groupBy("page").agg(F.count("*").alias("n")).join(tokens.groupBy("page").agg(F.count("*").alias("m")), "page", "left")
+    blocks = n.select("page", F.ceil(F.greatest(F.col("n") * F.coalesce("m", F.lit(0)) / PAIRS, F.col("n") / ROWS)).cast("int").alias("blocks"))
+    f = fields.select("page", F.struct(*fields.columns).alias("f")).join(blocks, "page").withColumn("block", F.pmod(F.xxhash64("f.field_id"), F.col("blocks")).cast("int"))
+    t = t.join(blocks, "page").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = f.select("page", "block", "f").unionByName(t.select("page", "block", "cy", "cx", "t"), allowMissingColumns=True)
+    tasks = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed count: small inputs make large lists
+    placed = both.repartition(tasks, "page", "block").groupBy("page", "block").applyInArrow(meet, found)
+    return placed.unionByName(fields.where(F.col("page").isNull()).withColumn("near", F.array().cast(ArrayType(TOKEN))))
 
 
 def ocr_outcome(value: Column, kind: Column, near: Column) -> Column:

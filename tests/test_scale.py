@@ -200,3 +200,19 @@ def test_bootstrap_by_vectors_and_by_rows(spark, monkeypatch, room):
     values = sorted({(f"t{rng.randint(0, 5)}", rng.randint(0, 9)) for _ in range(30)})
     one = resample.permutation_null(spark.createDataFrame(items, "item long, table_id string, predicted long"), spark.createDataFrame(values, "table_id string, value long"), 25, 3).first()
     assert one["observed"] == sum((t, p) in values for _, t, p in items) / 70 and 0 < one["p"] <= 1 and one["null_p05"] <= one["null_mean"] <= one["null_p95"]
+
+
+def test_tokens_near_shuffles_no_pairs(spark, monkeypatch):
+    """Blocks of any size give the lists of brute force, and what is near is not shuffled."""
+    monkeypatch.setattr(quality, "ROWS", 7)
+    monkeypatch.setattr(quality, "AT_ONCE", 50)
+    rng = random.Random(5)
+    at = lambda: sorted(rng.sample(range(100), 2))
+    fields = [(i, i % 3 if i % 10 else None, *(x for p in zip(at(), at()) for x in p), "v") for i in range(60)]
+    tokens = [(i % 4 if i % 9 else None, *(x for p in zip(at(), at()) for x in p), i, None if i % 8 == 0 else f"t{i}", i % 5) for i in range(80)]
+    f = spark.createDataFrame(fields, "field_id long, page long, top int, left int, bottom int, right int, value string")
+    t = spark.createDataFrame(tokens, "page long, top int, left int, bottom int, right int, ordinal long, text string, confidence int")
+    out = quality.tokens_near(f, t, 3)
+    want = {i: sorted((l2, o, x, c) for q, t2, l2, b2, r2, o, x, c in tokens if q is not None and q == p and t1 - 3 <= (t2 + b2) / 2 <= b1 + 3 and l1 - 3 <= (l2 + r2) / 2 <= r1 + 3) for i, p, t1, l1, b1, r1, _ in fields}
+    assert {r["field_id"]: [tuple(n) for n in r["near"]] for r in out.collect()} == want and any(want.values())
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
