@@ -381,3 +381,9 @@ def test_terms_and_pairs_stay_within_texts():
     assert first.tolist() == [0, 3, 3, 4]
     slot, block = decontaminate.pairs(h, first)
     assert len(slot) == 2 and block.tolist() == [0, 0]
+
+
+def test_distinct_numbers_ascend():
+    """Frequencies are counted from runs of distinct keys, whichever way those are found."""
+    for x in ([], [0], [5, 0, 5, 0, 3], [7] * 9):
+        assert decontaminate.distinct(np.array(x, np.int64)).tolist() == sorted(set(x))
