@@ -48,3 +48,8 @@ def bounded(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame
     """df, marked for broadcast if its measured rows of about row_bytes stay within BROADCAST_BYTES; else as it is."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
+
+
+def pieces(df: DataFrame, each: int) -> int:
+    """Partitions of about ``each`` bytes that df makes, by Catalyst's estimate of it (file sizes for tables)."""
+    return max(1, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each))

@@ -11,7 +11,7 @@ from ..operators import records as rec
 from ..operators import sampling as sm
 from ..operators import tables as t
 from ..operators.results import result_rows
-from ..operators.shared import fresh, written
+from ..operators.shared import fresh, pieces, written
 from ..functions.text import UNIT_SUBSTRINGS, evidence_first_target, grounding_target, is_unit_by_substring, is_unit_by_word, period_key
 from ..sources import frozen, hosted, readers, sinks
 from ..streaming import visits
@@ -273,12 +273,17 @@ def _manifest(s, d):
 add("src18_manifest", _manifest, "SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS ordinal, s_suppkey, s_name FROM supplier ORDER BY ordinal LIMIT 50")
 
 
+#: Bytes of line items behind one task that writes predictions of them.
+PREDICTED_BYTES = 8 << 20
+
+
 def _labels(s, d):
     """Lines of predictions below a folder a label, an order's lines in one file and in order of their numbers."""
     path = fresh(s, "predicted")
     line = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("group_id"), F.when(F.col("l_orderkey") % 4 != 0, F.concat(F.lit("d"), (F.col("l_orderkey") % 9).cast("string"))).alias("document_id"), F.col("l_linenumber").cast("string").alias("prediction")))
-    rows = table(s, d, "lineitem").select(F.col("l_returnflag").alias("label"), "l_orderkey", "l_linenumber", line.alias("value"))
-    rows.repartition("l_orderkey").sortWithinPartitions("label", "l_orderkey", "l_linenumber").select("label", "value").write.partitionBy("label").text(path)
+    items = table(s, d, "lineitem")
+    rows = items.select(F.col("l_returnflag").alias("label"), "l_orderkey", "l_linenumber", line.alias("value"))
+    rows.repartition(pieces(items, PREDICTED_BYTES), "l_orderkey").sortWithinPartitions("label", "l_orderkey", "l_linenumber").select("label", "value").write.partitionBy("label").text(path)
     return readers.predictions(s, path, "group_id string, document_id string, prediction string", "*.txt")
 
 

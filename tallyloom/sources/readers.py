@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shared import bounded, pieces, written
 from .arrays import json_elements
 
+#: Bytes of prediction lines behind one task that groups them.
+GROUPED_BYTES = 32 << 20
 OCR_ENTRY = "array<struct<c:array<int>,cf:int,t:string>>"
 
 
@@ -28,8 +31,9 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, lineSep="\n").select(block.alias("b"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))
     blocks = lines.groupBy("b").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("b.file").orderBy("b.start").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("b", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return lines.where(F.trim("line") != "").join(blocks, "b").select("b.file", (F.col("id") + F.col("shift")).alias("ordinal"), "line")
+    blocks = written(blocks.select("b", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")), "line-blocks")
+    # a row a file block: sent to the lines, since a shuffle by block would put whole files into one task
+    return lines.where(F.trim("line") != "").join(bounded(blocks, 256), "b").select("b.file", (F.col("id") + F.col("shift")).alias("ordinal"), "line")
 
 
 def typed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -99,8 +103,12 @@ def predictions(spark: SparkSession, root: str, schema: str, files: str = "*.jso
     """Prediction lines of all labels (<root>/<label>/ or <root>/label=<label>/) in one scan; of a label's repeated group the last line counts."""
     label = F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^label=", "")
     lines = typed_lines(spark, f"{root}/*/{files}", schema).select(label.alias("label"), "file", "ordinal", "record.*")
-    rest = [c for c in lines.columns if c not in ("label", "group_id", "file", "ordinal")]
-    return lines.groupBy("label", "group_id").agg(F.max_by(F.struct(*rest), F.struct("file", "ordinal")).alias("r")).select("label", "group_id", "r.*")
+    key, place, rest = ["label", "group_id"], ["file", "ordinal"], [c for c in lines.columns if c not in ("label", "group_id", "file", "ordinal")]
+    n = pieces(spark.read.text(f"{root}/*/{files}"), GROUPED_BYTES)
+    last = F.max_by(F.struct(*place, *rest), F.struct(*place)).alias("r")
+    # first by the task that read them, so that a group of very many lines is not sorted in one task; tasks follow the input
+    read = lines.withColumn("task", F.spark_partition_id()).repartition(n, *key, "task").groupBy(*key, "task").agg(last).select(*key, "r.*")
+    return read.repartition(n, *key).groupBy(*key).agg(last).select(*key, *(F.col("r")[c].alias(c) for c in rest))
 
 
 def scored(predicted: DataFrame) -> DataFrame:

@@ -189,3 +189,17 @@ def test_repeated_block_fails(spark):
     doc = spark.createDataFrame([("d", [{"blocks": [{"uuid": "u", "order": 1, "text": "a"}, {"uuid": "u", "order": 2, "text": "b"}, {"uuid": " ", "order": 3, "text": "c"}]}])], "doc_id string, pages array<struct<blocks:array<struct<uuid:string,order:int,text:string>>>>")
     with pytest.raises(Exception, match="repeated block u"):
         readers.block_index(doc).collect()
+
+
+def test_predictions_are_grouped_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "GROUPED_BYTES", 1 << 10)
+    (tmp_path / "m").mkdir()
+    for f in range(2):  # the later file and line of a group counts; 500 lines have no group
+        lines = [f'{{"group_id":{f"\"g{i % 50}\"" if i % 2 else "null"},"document_id":"d","v":{1000 * f + i}}}' for i in range(500)]
+        (tmp_path / "m" / f"{f}.jsonl").write_text("\n".join(lines))
+    p = readers.predictions(spark, str(tmp_path), "group_id string, document_id string, v long")
+    got = {r["group_id"]: r["v"] for r in p.collect()}
+    assert got == {None: 1498} | {f"g{i % 50}": 1000 + i for i in range(1, 500, 2)}
+    assert p.rdd.getNumPartitions() >= 40
+    plan = readers.raw_lines(spark, str(tmp_path / "m"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(b" not in plan  # no task gets the lines of a whole file
