@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,6 +46,11 @@ def strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compact(c: Column) -> Column:
     """Trimmed, inner white space as one blank; null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -92,9 +98,9 @@ def periods(c: Column) -> Column:
     years = F.regexp_extract_all(c, F.lit(YEAR), F.lit(0))
     quarter = F.regexp_extract_all(c, F.lit(QUARTER + r"(?:.{0,20}?\b(?:19|20)\d{2}\b)?"), F.lit(0))
     named = F.transform(quarter, lambda q: F.concat(compact(F.regexp_extract(q, QUARTER, 0)), F.when(q.rlike(YEAR), F.concat(F.lit(" "), F.regexp_extract(q, YEAR, 0))).otherwise(F.lit(""))))
-    everything = F.concat(dates, years, named)
-    lowered = F.transform(everything, F.lower)
-    return F.filter(everything, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    both = lambda every: F.struct(every.alias("every"), F.transform(every, F.lower).alias("lowered"))
+    distinct = lambda b: F.filter(b.every, lambda x, i: F.array_position(b.lowered, F.lower(x)) == i + 1)
+    return once(once(F.concat(dates, years, named), both), distinct)
 
 
 def period_in(period: Column, context: Column) -> Column:

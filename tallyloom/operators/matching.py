@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_number, whole_year
 from ..functions.geometry import grid_box, union_box
-from ..functions.text import compact, grounding_target, metric_tokens, number_text, period_in, periods, slug, tokens
+from ..functions.text import compact, grounding_target, metric_tokens, number_text, once, period_in, periods, slug, tokens
 from .pairs import numbered
 from .validate import grounding_reason
 
@@ -18,12 +18,16 @@ CONFIRMED = ("match", "match_word_set", "match_scale_or_sign")
 
 def metric_period_match(question: Column, context: Column, least: int = 1, ratio: float = 0.5) -> Column:
     """struct(accepted, reason, metric, matched_tokens, overlap, periods, matched_periods) of a question and its blocks' text."""
-    m, p, seen = metric_tokens(question), periods(question), tokens(context)
-    hit = F.filter(m, lambda t: F.array_contains(seen, t))
-    share = F.when(F.size(m) > 0, F.size(hit) / F.size(m)).otherwise(0.0)
-    found = F.filter(p, lambda x: period_in(x, context))
-    reason = F.when(F.size(m) == 0, "missing_metric_candidate").when(F.size(hit) < least, "metric_not_matched").when(share < ratio, "metric_overlap_below_threshold").when(F.size(p) == 0, "missing_period_candidate").when(F.size(found) == 0, "period_not_matched").otherwise("accepted")
-    return F.struct((reason == "accepted").alias("accepted"), reason.alias("reason"), F.nullif(F.array_join(m, " "), F.lit("")).alias("metric"), hit.alias("matched_tokens"), F.round(share, 6).alias("overlap"), p.alias("periods"), found.alias("matched_periods"))
+    texts = F.struct(metric_tokens(question).alias("m"), periods(question).alias("p"), tokens(context).alias("seen"), context.alias("context"))
+    matched = lambda x: F.struct(x.m.alias("m"), x.p.alias("p"), F.filter(x.m, lambda t: F.array_contains(x.seen, t)).alias("hit"), F.filter(x.p, lambda y: period_in(y, x.context)).alias("found"))
+
+    def verdict(x):
+        share = F.when(F.size(x.m) > 0, F.size(x.hit) / F.size(x.m)).otherwise(0.0)
+        reason = F.when(F.size(x.m) == 0, "missing_metric_candidate").when(F.size(x.hit) < least, "metric_not_matched").when(share < ratio, "metric_overlap_below_threshold").when(F.size(x.p) == 0, "missing_period_candidate").when(F.size(x.found) == 0, "period_not_matched").otherwise("accepted")
+        return F.struct((reason == "accepted").alias("accepted"), reason.alias("reason"), F.nullif(F.array_join(x.m, " "), F.lit("")).alias("metric"), x.hit.alias("matched_tokens"), F.round(share, 6).alias("overlap"), x.p.alias("periods"), x.found.alias("matched_periods"))
+
+    # tokens and periods are found once a row: as columns they would be found again for every use, and for every token compared
+    return once(once(texts, matched), verdict)
 
 
 def words_text(words: Column) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import metrics, pairs, quality, resample, sampling, tables, validate
+from tallyloom.operators import matching, metrics, pairs, quality, resample, sampling, tables, validate
 from tallyloom.sources import readers, sinks
 
 
@@ -203,3 +203,11 @@ def test_predictions_are_grouped_in_tasks_of_bounded_size(spark, tmp_path, monke
     assert p.rdd.getNumPartitions() >= 40
     plan = readers.raw_lines(spark, str(tmp_path / "m"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(b" not in plan  # no task gets the lines of a whole file
+
+
+def test_a_match_finds_tokens_and_periods_once(spark):
+    df = spark.createDataFrame([("What was the total revenue in 2019 and 2020?", "Total revenue of 2020")], "q string, c string").select(matching.metric_period_match(F.col("q"), F.col("c")).alias("m"))
+    r = df.first().m
+    assert (r.reason, r.metric, r.matched_tokens, r.overlap, r.periods, r.matched_periods) == ("accepted", "total revenue", ["total", "revenue"], 1.0, ["2019", "2020"], ["2020"])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(q") + plan.count("regexp_extract_all(coalesce(") <= 8  # once a row, not once a use
