@@ -159,6 +159,28 @@ def test_a_block_is_cut_where_prefixes_share_a_shingle_by_chance(spark, monkeypa
     assert len(joins) == 1  # no block is left that takes pivots and parts
 
 
+def test_rows_of_the_join_follow_the_documents(spark, monkeypatch):
+    """Stage 3 of the pipeline on chains of one block: a set goes to a bounded number of tasks, however long the chain."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 400)
+    dealt = []
+    monkeypatch.setattr(jaccard_join, "_join_task", lambda tasks, f=jaccard_join._join_task: dealt.append(tasks.count()) or f(tasks))
+    stage = dict(corpus_pipeline.STAGES)["jaccard_join"]
+
+    def run(length):
+        rows = []
+        for i in range(length):
+            text = [*(f"k{i}.{k}" for k in range(16)), *(f"c{i}.{k}" for k in range(40)), *(f"k{i + 1}.{k}" for k in range(16))]
+            rows += [(10 * i, " ".join(text), "s"), (10 * i + 1, " ".join([*text[:-1], "other"]), "s")]
+        dealt.clear()
+        got = sorted(r["doc_id"] for r in stage(spark, frame(spark, rows).repartition(3), "").collect())
+        assert got == sorted({r[2] for r in brute_components(rows)})
+        return sum(dealt) / len(rows)
+
+    assert run(32) <= 1.5 * run(8)
+
+
 @pytest.mark.parametrize("light", [1, 3, 64])
 def test_cut_blocks_lose_no_link(spark, monkeypatch, light):
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 40)
