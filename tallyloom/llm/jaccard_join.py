@@ -40,6 +40,8 @@ NUM, DEN = 75, 100
 BUCKET_BYTES, FLUSH = 4 << 20, 3 << 19
 #: Bytes of both bitmaps together, over all buckets; this much is broadcast at most.
 BITMAP_BYTES = 88 << 20
+#: A bucket's bitmap has 2 ** PLACE_BITS bits at most.
+PLACE_BITS = 22
 COMMON = 24
 #: Numbers, beyond those of the buckets, under which rows of documents are dealt out.
 DEALT = 4096
@@ -80,9 +82,15 @@ def _unplane(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32)
 
 
+def bitmap_bits(buckets: int) -> int:
+    """Bits of a bucket's bitmap of shared shingles: a share of BITMAP_BYTES, not rounded to a power of two; the common ones have an eighth of it."""
+    return max(1 << 10, min(1 << PLACE_BITS, BITMAP_BYTES * 7 // buckets)) // 64 * 64
+
+
 def _bits(values: np.ndarray, size: int) -> list[np.ndarray]:
-    x = mix(values.astype(np.uint64))
-    return [((x >> np.uint64(s)) & np.uint64(size - 1)).astype(np.int64) for s in (0, 21, 42)]
+    """Three places below ``size`` for each value, each from PLACE_BITS of its hash."""
+    x, wide = mix(values.astype(np.uint64)), np.uint64(PLACE_BITS)
+    return [((((x >> np.uint64(s)) & np.uint64((1 << PLACE_BITS) - 1)) * np.uint64(size)) >> wide).astype(np.int64) for s in (0, 21, 42)]
 
 
 def _bitmap(values: np.ndarray, size: int) -> bytes:
@@ -594,7 +602,7 @@ def jaccard_members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = min(1 << 16, bucket_count(plan_bytes(docs), BUCKET_BYTES))
-    bits = 1 << max(10, min(22, int(np.log2(BITMAP_BYTES * 7 / buckets))))
+    bits = bitmap_bits(buckets)
     counted = materialize(_counted(docs, width, buckets, bits), "shingle-counts")
     ids = counted.where("n is not null").select("row", "doc_id", "n", "d1", "d2")
     # At most BITMAP_BYTES in all, whatever the input.

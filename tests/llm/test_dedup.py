@@ -181,6 +181,18 @@ def test_rows_of_the_join_follow_the_documents(spark, monkeypatch):
     assert run(32) <= 1.5 * run(8)
 
 
+def test_one_more_bucket_does_not_halve_the_bitmaps(spark, monkeypatch):
+    """Texts that share two fifths of their shingles with others, and link with none, drop out just below a power of two of bits, too."""
+    monkeypatch.setattr(jaccard_join, "BITMAP_BYTES", 4 * 2047 // 7 + 1)  # for the four buckets of a small table
+    kept = []
+    monkeypatch.setattr(jaccard_join, "_sets", lambda *a, f=jaccard_join._sets: kept.append(f(*a).count()) or f(*a))
+    passages = [" ".join(f"p{i}.{k}" for k in range(42)) for i in range(95)]
+    rows = [(i, passages[i % 95] + " " + " ".join(f"o{i}.{k}" for k in range(58))) for i in range(190)]
+    got = [tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == brute_components(rows)
+    assert kept[0] < len(rows) / 2
+
+
 @pytest.mark.parametrize("light", [1, 3, 64])
 def test_cut_blocks_lose_no_link(spark, monkeypatch, light):
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 40)
