@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from ..functions.dates import values_match
 from ..functions.numbers import ocr_value, rate, scale_or_sign
 from ..functions.text import normal
+from .inside import PATTERNS, SAME, SCALED, alike, holding, mark, sums_inside
 from .metrics import sets
 from .scan import HOT_ROWS, in_ranges, same_key, split_hot, with_previous, with_running
 from .shared import bounded, written
@@ -25,7 +26,12 @@ MARGIN = 8
 TOKEN = StructType([StructField("x", IntegerType()), StructField("ordinal", LongType()), StructField("text", StringType()), StructField("confidence", IntegerType())])
 #: Pairs of fields and tokens in a block, fields in one, and pairs looked at in one go.
 PAIRS, ROWS, AT_ONCE = 1 << 26, 256, 1 << 20
+#: Fields and tokens of a page that meet in a task where only outcomes are asked for.
+FIELDS, TOKENS = 1 << 14, 1 << 16
+#: Counts over the tokens near a field: with a text, with a word, with a confidence, sum of confidences, ends in a comma, begins with a digit.
+COUNTS = ("seen", "worded", "sure", "total", "commas", "digits")
 LOW_CONFIDENCE = 60
+NUMERIC = ("monetary", "numerical")
 CLUSTER_GAP = 20.0
 GAP_RATIO, LEAST_ROWS = 2.5, 3
 STATUSES = ("match", "mismatch", "scale_mismatch", "granularity_mismatch", "unparseable")
@@ -103,21 +109,103 @@ def tokens_near(fields: DataFrame, tokens: DataFrame, margin: int = MARGIN) -> D
     return placed.unionByName(fields.where(F.col("page").isNull()).withColumn("near", F.array().cast(ArrayType(TOKEN))))
 
 
+def ocr_numbers(c: Column) -> Column:
+    """Readings of all numbers of a text; a comma and blanks before a digit belong inside a number."""
+    digits = F.regexp_replace(c, r",\s+(\d)", ",$1")
+    return F.filter(F.transform(F.regexp_extract_all(digits, F.lit(r"[-+]?[\d,]*\.?\d+"), F.lit(0)), ocr_value), lambda n: n.isNotNull())
+
+
 def ocr_outcome(value: Column, kind: Column, near: Column) -> Column:
     """How a field's value agrees with the tokens near it (seven outcomes)."""
     joined = F.array_join(F.transform(near, lambda t: t.text), " ")
     sure = F.filter(F.transform(near, lambda t: t.confidence), lambda c: c.isNotNull())
     mean = F.try_divide(F.aggregate(sure, F.lit(0).cast("bigint"), lambda a, c: a + c).cast("double"), F.size(sure))
     bad = F.when(F.coalesce(mean < LOW_CONFIDENCE, F.lit(False)), "mismatch_low_ocr_confidence").otherwise("mismatch")
-    # a comma and blanks before a digit belong inside a number
-    digits = F.regexp_replace(joined, r",\s+(\d)", ",$1")
-    found = F.filter(F.transform(F.regexp_extract_all(digits, F.lit(r"[-+]?[\d,]*\.?\d+"), F.lit(0)), ocr_value), lambda n: n.isNotNull())
+    found = ocr_numbers(joined)
     target = ocr_value(value)
     number = F.when(target.isNull(), "annotation_unparseable").when(F.exists(found, lambda n: F.abs(n - target) < 0.5), "match").when(F.exists(found, lambda n: scale_or_sign(target, n)), "match_scale_or_sign").otherwise(bad)
     a, b = normal(value), normal(joined)
     words = F.filter(F.split(a, " "), lambda w: w != "")
     text = F.when((a != "") & (F.contains(b, a) | F.contains(a, b)), "match").when((F.size(words) > 0) & (F.size(F.array_except(words, F.split(b, " "))) == 0), "match_word_set").otherwise(bad)
-    return F.when(F.trim(joined) == "", "no_ocr_nearby").when(kind.isin("monetary", "numerical"), number).otherwise(text)
+    return F.when(F.trim(joined) == "", "no_ocr_nearby").when(kind.isin(*NUMERIC), number).otherwise(text)
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(normal(c), " "), lambda w: w != "")
+
+
+def _looked_up(fields: DataFrame, tokens: DataFrame, margin: int) -> DataFrame:
+    """Struct f of each field with a page, COUNTS of the tokens near it, and as bits of hits which numbers or words are among them.
+
+    Blocks of a page's fields meet parts of its tokens, and what the parts give is added up; equal fields are one row, in copies.
+    """
+    schema = StructType([StructField("f", fields.schema), StructField("parts", IntegerType()), *(StructField(c, LongType()) for c in ("hits", *COUNTS))])
+    arrow = to_arrow_schema(schema)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        f, t = (table.filter(test(table.column("f"))).combine_chunks() for test in (pc.is_valid, pc.is_null))
+        box = np.stack([f.column(c).to_numpy() for c in ("top", "left", "bottom", "right")])
+        ys, xs = (t.column(c).to_numpy() for c in ("cy", "cx"))
+        one = np.zeros(max(len(f), len(t)), np.int64)
+        counts = sums_inside(one[: len(t)], xs, ys, np.stack([t.column(c).to_numpy() for c in COUNTS]), one[: len(f)], box)
+        hits = np.zeros(len(f), np.int64)
+        for c in ("numbers", "words"):
+            lists = t.column(c).combine_chunks()
+            each = lists.flatten().dictionary_encode()
+            at, known = pc.list_parent_indices(lists).to_numpy(), each.dictionary.to_pylist()
+            keys = each.indices.to_numpy().astype(np.int64)
+            if c == "numbers":
+                order = np.argsort(known)
+                keys, pairs = np.argsort(order)[keys], alike(f.column("target").to_numpy(), np.array(known, float)[order])
+            else:
+                pairs = holding(f.column("wanted").to_pylist(), known)
+            mark(hits, pairs, keys, xs[at], ys[at], box)
+        columns = [f.column("f").combine_chunks().cast(arrow.field("f").type), f.column("parts").combine_chunks(), pa.array(hits), *map(pa.array, counts)]
+        yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    text, number = F.col("text"), F.coalesce(F.col("kind").isin(*NUMERIC), F.lit(False))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    none = lambda of: F.array().cast(f"array<{of}>")
+    count = (flag(F.trim(text) != ""), flag(F.size(_words(text)) > 0), flag(F.col("confidence").isNotNull()), F.coalesce(F.col("confidence").cast("bigint"), F.lit(0)), flag(text.rlike(r",\s*\z")), flag(text.rlike(r"^\s*\d")))
+    t = tokens.where(F.col("page").isNotNull()).select("page", ((F.col("top") + F.col("bottom")) / 2).cast("double").alias("cy"), ((F.col("left") + F.col("right")) / 2).cast("double").alias("cx"), F.xxhash64(*tokens.columns).alias("hash"), *(c.alias(n) for c, n in zip(count, COUNTS, strict=True)), F.coalesce(ocr_numbers(text), none("double")).alias("numbers"), F.array_distinct(_words(text)).alias("words"))
+    t = t.where(F.col("cy").isNotNull() & F.col("cx").isNotNull() & ~F.isnan("cy") & ~F.isnan("cx"))
+    edge = lambda c, by: (F.col(c).cast("double") + by).alias(c)
+    f = fields.where(F.col("page").isNotNull()).select("page", F.struct(*fields.columns).alias("f"), edge("top", -margin), edge("left", -margin), edge("bottom", margin), edge("right", margin), F.when(number, ocr_value(F.col("value"))).alias("target"), F.when(number, none("string")).otherwise(_words(F.col("value"))).alias("wanted"))
+    per = f.groupBy("page").agg(F.count("*").alias("n")).join(t.groupBy("page").agg(F.count("*").alias("m")), "page", "left")
+    per = per.select("page", F.ceil(F.col("n") / FIELDS).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("m") / TOKENS), F.lit(1)).cast("int").alias("parts"))
+    f = f.join(per, "page").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    t = t.join(per, "page").withColumn("part", F.pmod(F.col("hash"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = f.drop("blocks").unionByName(t.drop("blocks", "parts", "hash"), allowMissingColumns=True)
+    tasks = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed count: small inputs take long
+    met = both.repartition(tasks, "page", "block", "part").groupBy("page", "block", "part").applyInArrow(meet, schema)
+    copies = (F.count("*") / F.first("parts")).cast("bigint")
+    summed = met.groupBy("f").agg(copies.alias("copies"), F.bit_or("hits").alias("hits"), *(F.sum(c).alias(c) for c in COUNTS))
+    return summed.select("f", "copies", "hits", *((F.col(c) / F.col("copies")).cast("bigint").alias(c) for c in COUNTS))
+
+
+def ocr_outcomes(fields: DataFrame, tokens: DataFrame, margin: int = MARGIN) -> DataFrame:
+    """fields with the outcome of ``ocr_outcome`` over their ``tokens_near``, of which lists are made only where they are needed.
+
+    fields(field_id, page, top, left, bottom, right, value, kind, ...), tokens as for ``tokens_near``. Counts, and whether some
+    number or word is near, come from sums over the tokens inside a box, without looking at each. Where a number or a text may
+    span tokens, or so few words are near that all may stand in the value, the field's list decides.
+    """
+    x = _looked_up(fields, tokens, margin).withColumn("a", normal(F.col("f.value"))).withColumn("n", F.size(_words(F.col("a"))))
+    mean = F.try_divide(F.col("total").cast("double"), F.col("sure"))
+    bad = F.when(F.coalesce(mean < LOW_CONFIDENCE, F.lit(False)), "mismatch_low_ocr_confidence").otherwise("mismatch")
+    has = lambda bits: F.col("hits").bitwiseAND(bits) == bits
+    number = F.when(ocr_value(F.col("f.value")).isNull(), "annotation_unparseable").when((F.col("commas") > 0) & (F.col("digits") > 0), None).when(has(F.lit(SAME)), "match").when(has(F.lit(SCALED)), "match_scale_or_sign").otherwise(bad)
+    every = F.expr(f"shiftleft(1L, least(n, {PATTERNS})) - 1")
+    # the words near a field and the blanks between them are as long as the value at most
+    few = F.col("worded") * 2 - 1 <= F.length("a")
+    text = F.when(F.col("n") == 0, bad).when((F.col("n") == 1) & has(every), "match").when(few | has(every), None).otherwise(bad)
+    outcome = F.when(F.col("seen") == 0, "no_ocr_nearby").when(F.col("f.kind").isin(*NUMERIC), number).otherwise(text)
+    known = written(x.select("f", "copies", outcome.alias("outcome")), "outcomes")
+    rows = known.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("f.*", "outcome")
+    listed = tokens_near(rows.where("outcome is null").drop("outcome"), tokens, margin)
+    listed = listed.select(*fields.columns, ocr_outcome(F.col("value"), F.col("kind"), F.col("near")).alias("outcome"))
+    return rows.where("outcome is not null").unionByName(listed).unionByName(fields.where(F.col("page").isNull()).withColumn("outcome", F.lit("no_ocr_nearby")))
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:

@@ -64,20 +64,20 @@ add("agg15_completeness", lambda s, d: q.completeness(_maps(s, d), ["a", "b", "c
 add("agg21_co_occurrence", lambda s, d: q.co_occurrence(_maps(s, d), [("a", "b"), ("b", "c"), ("a", "z")]), "SELECT a, b, n FROM (SELECT 'a' AS a, 'b' AS b, count(*) FILTER (WHERE c_custkey % 6 = 0) AS n FROM customer UNION ALL SELECT 'b', 'c', count(*) FILTER (WHERE c_custkey % 3 = 0) FROM customer UNION ALL SELECT 'a', 'z', 0)")
 
 
-def _tokens(s, d):
+def _page(s, d):
     b = boxes(s, d)
     fields = b.select(F.col("vec_id").alias("field_id"), F.col("label").alias("page"), F.col("a")[1].alias("top"), F.col("a")[0].alias("left"), F.col("a")[3].alias("bottom"), F.col("a")[2].alias("right"), F.col("vec_id").cast("string").alias("value"), F.when(F.col("vec_id") % 2 == 0, "numerical").otherwise("text").alias("kind"))
     tokens = b.select(F.col("label").alias("page"), F.col("b")[1].alias("top"), F.col("b")[0].alias("left"), F.col("b")[3].alias("bottom"), F.col("b")[2].alias("right"), F.col("vec_id").alias("ordinal"), (F.col("vec_id") % 50).cast("string").alias("text"), (F.col("vec_id") % 100).cast("int").alias("confidence"))
-    return q.tokens_near(fields, tokens)
+    return fields, tokens
 
 
 _T = f"""{BOXES_SQL}, near AS (SELECT f.vec_id AS field_id, f.label AS page, list(t.vec_id % 50 ORDER BY t.b[1], t.vec_id) FILTER (WHERE t.vec_id IS NOT NULL) AS near, avg(t.vec_id % 100) AS conf
   FROM boxes f LEFT JOIN boxes t ON f.label = t.label AND (t.b[2] + t.b[4]) / 2 BETWEEN f.a[2] - 8 AND f.a[4] + 8 AND (t.b[1] + t.b[3]) / 2 BETWEEN f.a[1] - 8 AND f.a[3] + 8 GROUP BY 1, 2)"""
-add("join06_tokens_near", lambda s, d: _tokens(s, d).select("field_id", F.array_join(F.transform("near", lambda t: t.text), " ").alias("near")), f"WITH {_T} SELECT field_id, coalesce(array_to_string(near, ' '), '') AS near FROM near")
+add("join06_tokens_near", lambda s, d: q.tokens_near(*_page(s, d)).select("field_id", F.array_join(F.transform("near", lambda t: t.text), " ").alias("near")), f"WITH {_T} SELECT field_id, coalesce(array_to_string(near, ' '), '') AS near FROM near")
 _rel = " OR ".join(f"abs(v / x - {f!r}) <= {f * t!r} OR abs(v / x - {1 / f!r}) <= {1 / f * t!r}" for f, t in ((10.0, 0.0005), (100.0, 0.0005), (1000.0, 0.02), (1e6, 0.02)))
 add(
     "num06_ocr_outcomes",
-    lambda s, d: _tokens(s, d).select("field_id", q.ocr_outcome(F.col("value"), F.col("kind"), F.col("near")).alias("outcome")),
+    lambda s, d: q.ocr_outcomes(*_page(s, d)).select("field_id", "outcome"),
     f"""WITH {_T}, m AS (SELECT field_id, near, conf, field_id::DOUBLE AS v, coalesce(array_to_string(near, ' '), '') AS j FROM near)
 SELECT field_id, CASE WHEN near IS NULL THEN 'no_ocr_nearby' WHEN field_id % 2 = 0 THEN CASE WHEN EXISTS (SELECT 1 FROM unnest(near) u(x) WHERE x = v) THEN 'match'
   WHEN EXISTS (SELECT 1 FROM unnest(near) u(x) WHERE x <> 0 AND (abs(v + x) <= abs(x) * 0.02 OR {_rel})) THEN 'match_scale_or_sign' WHEN conf < 60 THEN 'mismatch_low_ocr_confidence' ELSE 'mismatch' END

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import statistics
 from collections import Counter
@@ -9,7 +10,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import pairs, quality, resample, sampling, scan, shared
+from tallyloom.operators import inside, pairs, quality, resample, sampling, scan, shared
+from tallyloom.plans import catalog
 
 
 @pytest.fixture(autouse=True)
@@ -216,3 +218,57 @@ def test_tokens_near_shuffles_no_pairs(spark, monkeypatch):
     want = {i: sorted((l2, o, x, c) for q, t2, l2, b2, r2, o, x, c in tokens if q is not None and q == p and t1 - 3 <= (t2 + b2) / 2 <= b1 + 3 and l1 - 3 <= (l2 + r2) / 2 <= r1 + 3) for i, p, t1, l1, b1, r1, _ in fields}
     assert {r["field_id"]: [tuple(n) for n in r["near"]] for r in out.collect()} == want and any(want.values())
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+FIELDS = "field_id long, page long, top double, left double, bottom double, right double, value string, kind string"
+TOKENS = "page long, top double, left double, bottom double, right double, ordinal long, text string, confidence int"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ocr_outcomes_are_those_of_the_lists(spark, monkeypatch, seed):
+    """Counts and marks of parts give what the whole lists give, whatever the texts; equal fields and odd boxes stay."""
+    for module, name, n in ((quality, "FIELDS", 40), (quality, "TOKENS", 16), (inside, "AT_ONCE", 7)):
+        monkeypatch.setattr(module, name, n)
+    rng = random.Random(seed)
+    texts = [None, "", " ", "\t", "12", "1,", "1, ", "234", "1,234", "12.5", "-3", "x7y", "net", "Net", "profit", "net profit", "fit for", "of the year", "ye", "9" * 400, "0", "1200", "12.1", "0.0012", "\u00a0net\u2003debt", "STRASSE", "a, 5", "12 1200"]
+    values = [None, "", "12", "12.3", "3", "-12", "1234", "$1,200", "0", "NaN", "net", "NET profit", "t pro", "profit net", "net  debt", "of", "strasse", "year of the", "net net", "inf", "12000000", "word " * 70]
+    side = lambda: [rng.choice(odd) if rng.random() < 0.02 else rng.randint(0, 40) / 2 for _ in range(2)]
+    odd = [None, math.nan]
+    wide = lambda: sorted(x for x in side() if x is not None) if rng.random() < 0.9 else side()
+    box = lambda: (lambda v, h: (v[0], h[0], v[-1], h[-1]))(wide() or [None], wide() or [None])
+    page = lambda: None if rng.random() < 0.05 else rng.choice([1, 1, 1, 2, 3])
+    fields = [(i, page(), *box(), rng.choice(values), rng.choice(["monetary", "numerical", "text", "text", None])) for i in range(260)]
+    fields += [*fields[:20], (900, 7, 0.0, 0.0, 9.0, 9.0, "12", "text")]
+    odd.remove(math.nan)  # a list of tokens takes no such place
+    kinds = rng.sample(texts, 9), texts  # a page of few kinds of text, others of all
+    tokens = [(p := page(), *box(), i, rng.choice(kinds[p != 1]), rng.choice([None, 10, 70, 95])) for i in range(60)]
+    f, t = spark.createDataFrame(fields, FIELDS), spark.createDataFrame(tokens, TOKENS)
+    near = quality.tokens_near(f, t, 1)
+    want = near.select("field_id", "value", quality.ocr_outcome(F.col("value"), F.col("kind"), F.col("near")).alias("outcome"))
+    out = quality.ocr_outcomes(f, t, 1)
+    assert out.columns == [*f.columns, "outcome"]
+    assert Counter(map(tuple, out.select("field_id", "value", "outcome").collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_numbers_and_words_among_many(spark):
+    """Outcomes that one token decides, on a page whose tokens fill many levels."""
+    rng = random.Random(1)
+    at = lambda n: sorted(rng.randint(0, 999) for _ in range(n))
+    tokens = [(1, float(y), float(x), float(y), float(x), i, rng.choice([str(rng.randint(1, 400)), f"{rng.randint(1, 9)}.{rng.randint(0, 99)}", rng.choice("abcdef") * rng.randint(1, 4)]), rng.randint(0, 100)) for i in range(3000) for y, x in [(rng.randint(0, 999), rng.randint(0, 999))]]
+    fields = [(i, 1, float(a), float(b), float(c), float(d), rng.choice([str(rng.randint(1, 4000)), f"-{rng.randint(1, 90)}", "aab", "ff", "ab", "cccc b"]), rng.choice(["numerical", "text"])) for i in range(400) for (a, c), (b, d) in [(at(2), at(2))]]
+    f, t = spark.createDataFrame(fields, FIELDS), spark.createDataFrame(tokens, TOKENS)
+    want = quality.tokens_near(f, t).select("field_id", quality.ocr_outcome(F.col("value"), F.col("kind"), F.col("near")).alias("outcome"))
+    want = dict(map(tuple, want.collect()))
+    assert dict(map(tuple, quality.ocr_outcomes(f, t).select("field_id", "outcome").collect())) == want
+    assert len(set(want.values())) >= 4
+
+
+def test_num06_lists_tokens_of_few_fields(spark, tmp_path, monkeypatch):
+    """The query makes a list of near tokens only where one is needed, not for every field."""
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 0.125) for _ in range(8)], i % 2) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    listed, tokens_near = [], quality.tokens_near
+    monkeypatch.setattr(quality, "tokens_near", lambda f, *more: listed.append(f) or tokens_near(f, *more))
+    out = catalog.queries()["num06_ocr_outcomes"](spark, str(tmp_path))
+    assert out.count() == 1200 and sum(f.count() for f in listed) < 240
