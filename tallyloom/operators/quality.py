@@ -27,7 +27,7 @@ TOKEN = StructType([StructField("x", IntegerType()), StructField("ordinal", Long
 #: Pairs of fields and tokens in a block, fields in one, and pairs looked at in one go.
 PAIRS, ROWS, AT_ONCE = 1 << 26, 256, 1 << 20
 #: Fields and tokens of a page that meet in a task where only outcomes are asked for.
-FIELDS, TOKENS = 1 << 14, 1 << 16
+FIELDS, TOKENS = 1 << 15, 1 << 17
 #: Counts over the tokens near a field: with a text, with a word, with a confidence, sum of confidences, ends in a comma, begins with a digit.
 COUNTS = ("seen", "worded", "sure", "total", "commas", "digits")
 LOW_CONFIDENCE = 60
